@@ -216,7 +216,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, p: NearDup)
     asked = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
     alive = written(asked.mapInPandas(_pruned(p), "a long, b long"), "alive")
     wanted = alive.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = written(texts.join(wanted, "node", "left_semi").mapInArrow(_sets(p, "text"), "node long, s array<long>"), "sets")
+    sets = written(texts.join(wanted.hint("merge"), "node", "left_semi").mapInArrow(_sets(p, "text"), "node long, s array<long>"), "sets")
     both = alive.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     both = both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("n"))
     return both.where(100 * F.col("n") >= p.percent * (F.col("nx") + F.col("ny") - F.col("n"))).select("a", "b")
@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, params: NearDup = NearDup(), id_col: str =
 def _large_buckets(rest: DataFrame, nodes: DataFrame, texts: DataFrame, p: NearDup) -> DataFrame:
     """Links between members of different components, block against block."""
     wanted = rest.select("node").distinct()
-    sets = texts.join(wanted, "node", "left_semi").mapInArrow(_sets(p, "text"), "node long, s array<long>")
+    sets = texts.join(wanted.hint("merge"), "node", "left_semi").mapInArrow(_sets(p, "text"), "node long, s array<long>")
     known = written(sets.join(nodes.select("node", "sig"), "node"), "known")
     blocks = F.ceil(F.col("n") / p.block).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")

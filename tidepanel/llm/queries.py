@@ -7,15 +7,44 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepanel.llm import language, secrets
+from tidepanel.llm.kdtree import top_k
 from tidepanel.llm.near_dup import NearDup, near_duplicates
 from tidepanel.llm.positional import contaminated, contamination
 from tidepanel.llm.substrings import substring_dedup
+from tidepanel.llm.wordpiece import read_vocabulary, token_counts
+
+#: A public byte-pair vocabulary; words start with a space in it.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = rows.where(~F.coalesce(bad, F.lit(True)))
+    rows = rows.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double")).alias("v"))
+    return top_k(rows, rows.where("id % 50 = 0"), k=5)
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.fit(docs))
+    joined = F.concat_ws(",", F.transform("secret_spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), joined.alias("spans"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = language.held_out(F.col("doc_id"))
+    model = language.fit(docs.where(~held).select("doc_id", "text", "lang"))
+    found = language.predict(docs.select("doc_id", "text", held.alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -36,8 +65,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), read_vocabulary(VOCABULARY))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_substring_dedup, op7_near_dup, op8_decontamination)}
+    return {f.__name__: f for f in (op1_top_k, op3_secrets, op5_language, op6_substring_dedup, op7_near_dup, op8_decontamination, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
