@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import language, secrets
+from tidepanel.llm import language, licenses, mixing, secrets, urlfilter
 from tidepanel.llm.kdtree import top_k
 from tidepanel.llm.near_dup import NearDup, near_duplicates
 from tidepanel.llm.positional import contaminated, contamination
@@ -30,6 +30,17 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows, rows.where("id % 50 = 0"), k=5)
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, and each line as a notice of its own: per document its licence, and its notices."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.license_scan(docs).unionByName(licenses.license_scan(docs, unit="\n"))
+    return found.groupBy("doc_id").agg(
+        F.max(F.when(F.col("unit") == 0, F.col("license"))).alias("license"),
+        F.sum((F.col("unit") > 0).cast("long")).alias("n_notices"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("unit") > 0, F.col("license")))), ",").alias("notices"),
+    )
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan(docs, secrets.fit(docs))
@@ -37,6 +48,22 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), joined.alias("spans"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as captures dated over 2024 by id; list entries drawn from the hosts and their parent domains."""
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(366)).cast("int")).alias("day"))
+    domains = captures.select(F.explode(urlfilter.parents(urlfilter.host_of(F.col("url")))).alias("domain")).where("domain <> ''").distinct()
+    listed = domains.select("domain", F.md5("domain").alias("m")).where("instr(domain, '.') > 0 and ascii(m) % 3 < 2")
+    entry = F.explode(F.sequence(F.lit(1), F.lit(3)))
+    entries = listed.select("domain", "m", entry.alias("k")).select(
+        F.when(F.ascii(F.substring("m", 2, 1)) % 2 == 0, "ads").otherwise("spam").alias("list"),
+        "domain",
+        F.when((F.ascii(F.substring("m", 3, 1)) + F.col("k")) % 2 == 0, "block").otherwise("allow").alias("action"),
+        F.date_add(F.lit("2024-01-01").cast("date"), F.ascii(F.expr("substring(m, 3 + k, 1)")) + 60 * F.col("k") - 60).alias("day"),
+    )
+    return urlfilter.url_filter(captures, entries).select("page_id", "host", "day", "n_active", "verdict", "matched")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = language.held_out(F.col("doc_id"))
@@ -69,9 +96,59 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), read_vocabulary(VOCABULARY))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_top_k, op3_secrets, op5_language, op6_substring_dedup, op7_near_dup, op8_decontamination, op9_token_counts)}
+    return {f.__name__: f for f in (op1_top_k, op2_licenses, op3_secrets, op4_url_filter, op5_language, op6_substring_dedup, op7_near_dup, op8_decontamination, op9_token_counts, op10_mixing)}
+
+
+OP2 = r"""
+WITH known(license, text) AS (VALUES {known}),
+canon AS (SELECT license, sha256({c_text}) AS digest FROM known),
+parts AS (
+  SELECT doc_id, 0 AS unit, text FROM documents
+  UNION ALL SELECT doc_id, 1 AS unit, unnest(string_split(text, chr(10))) AS text FROM documents),
+form AS (SELECT doc_id, unit, {c_text} AS c FROM parts),
+found AS (SELECT doc_id, unit, license FROM form JOIN (SELECT DISTINCT license, digest FROM canon) k ON sha256(c) = k.digest WHERE c <> '')
+SELECT doc_id, max(license) FILTER (unit = 0) AS license, CAST(count(*) FILTER (unit = 1) AS BIGINT) AS n_notices,
+       coalesce(array_to_string(list_sort(list(DISTINCT license) FILTER (unit = 1)), ','), '') AS notices
+FROM found GROUP BY doc_id
+"""
+
+OP4 = r"""
+WITH cap AS (
+  SELECT page_id, CAST(DATE '2024-01-01' + CAST((page_id * 37) % 366 AS INTEGER) AS DATE) AS day,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*?)\.?(?::[0-9]*)?(?:[/?#]|$)', 1)) AS host FROM pages),
+par AS (SELECT DISTINCT host, array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.') AS domain
+        FROM (SELECT host, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM (SELECT DISTINCT host FROM cap WHERE host <> ''))),
+lst AS (SELECT DISTINCT domain, md5(domain) AS m FROM par WHERE contains(domain, '.') AND ascii(md5(domain)) % 3 < 2),
+ent AS (SELECT CASE WHEN ascii(substr(m, 2, 1)) % 2 = 0 THEN 'ads' ELSE 'spam' END AS list, domain,
+          CASE WHEN (ascii(substr(m, 3, 1)) + k) % 2 = 0 THEN 'block' ELSE 'allow' END AS action,
+          CAST(DATE '2024-01-01' + CAST(ascii(substr(m, CAST(3 + k AS BIGINT), 1)) + 60 * k - 60 AS INTEGER) AS DATE) AS day
+        FROM lst, (SELECT unnest([1, 2, 3]) AS k)),
+one AS (SELECT list, domain, day, max(action) AS action FROM ent GROUP BY ALL),
+iv AS (SELECT *, lead(day) OVER (PARTITION BY list, domain ORDER BY day) AS until FROM one),
+hit AS (SELECT page_id, action, list || ':' || iv.domain AS matched,
+          row_number() OVER (PARTITION BY page_id ORDER BY length(iv.domain) DESC, (action = 'block') DESC, action DESC, list || ':' || iv.domain DESC) AS rn,
+          count(*) OVER (PARTITION BY page_id) AS n
+        FROM cap JOIN par USING (host) JOIN iv ON iv.domain = par.domain AND iv.day <= cap.day AND (iv.until IS NULL OR cap.day < iv.until))
+SELECT cap.page_id, cap.host, cap.day, CAST(coalesce(n, 0) AS BIGINT) AS n_active, coalesce(action, 'allow') AS verdict, coalesce(matched, '') AS matched
+FROM cap LEFT JOIN hit ON hit.page_id = cap.page_id AND rn = 1
+"""
+
+
+def _canonical_sql(text: str) -> str:
+    x = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    x = f"regexp_replace({x}, '(^|\\n)[^a-z0-9\\n]*(copyright (\\(c\\)|[0-9])|\\(c\\) [0-9])[^\\n]*', '\\1', 'g')"
+    x = f"trim(regexp_replace(replace({x}, '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
+    for to, spellings in licenses.SPELLINGS.items():
+        for other in spellings:
+            x = x if other == "&" else f"replace({x}, '{other}', '{to}')"
+    return x
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    known = ", ".join(f"('{name}', '{text}')" for name, texts in licenses.KNOWN.items() for text in texts)
+    return {"op2_licenses": OP2.format(known=known, c_text=_canonical_sql("text")), "op4_url_filter": OP4, "op10_mixing": mixing.ORACLE}
