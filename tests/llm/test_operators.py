@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.llm import kdtree, language, licenses, mixing, near_dup, positional, secrets, substrings, urlfilter, wordpiece
+from tidepanel.llm import kdtree, language, licenses, mixing, near_dup, positional, secrets, sieve, substrings, urlfilter, wordpiece
 from tidepanel.llm.graph import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int"
@@ -233,3 +233,15 @@ def test_pipeline_keeps_and_drops(spark, small):
     red = pipeline.redact_secrets(spark, docs(spark, [(1, "my password=abcdef123 ok"), (2, "clean")]).drop("size"), small)
     assert {r.doc_id: r.text for r in red.collect()} == {1: "my [SECRET] ok", 2: "clean"}
     assert [n for n, _ in pipeline.STAGES][-1] == "mixing"
+
+
+def test_sieve(spark):
+    ids = spark.createDataFrame([(i * 7,) for i in range(500)] + [(None,)], "doc_id long")
+    table = spark.createDataFrame([(i, str(i)) for i in range(4000)] + [(None, "x"), (7, "7")], "doc_id long, text string")
+    for bits in (15, 18):  # small ones let more through
+        left = sieve.without(table, ids).collect()
+        assert sorted(r.doc_id for r in left if r.doc_id is not None) == [i for i in range(4000) if i % 7 or i >= 3500]
+        assert [r.text for r in left if r.doc_id is None] == ["x"]
+        hit = table.where(sieve.sieve(ids, "doc_id", bits)(F.col("doc_id"))).select("doc_id").distinct().count()
+        assert 501 <= hit < 4000
+    assert sieve.without(table, ids.limit(0)).count() == 4002 and sieve.without(table.limit(0), ids).count() == 0

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm import textcodes as tc
 from tidepanel.llm.graph import components
+from tidepanel.llm.sieve import sieve
 from tidepanel.llm.store import written
 
 
@@ -88,49 +89,64 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
     return value[keep], text[keep]
 
 
-def _signed_batches(p: NearDup, id_col: str, text_col: str):
+def _signatures(value: np.ndarray, text: np.ndarray, texts: int, p: NearDup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set sizes, the texts that have a set, and their MinHash values (others: zeros)."""
     seeds = tc.mix(np.arange(1, p.size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    n = np.bincount(text, minlength=texts)
+    full = np.flatnonzero(n)
+    sig = np.zeros((texts, p.size), np.uint32)
+    if len(full):
+        at = (np.cumsum(n) - n)[full]
+        for k, seed in enumerate(seeds):
+            x = value ^ seed
+            x *= seed
+            sig[full, k] = np.minimum.reduceat((x >> np.uint64(32)).astype(np.uint32), at)
+    return n, full, sig
+
+
+def _lists(rows: np.ndarray, bounds: np.ndarray | None = None) -> pa.ListArray:
+    """Longs as lists: the rows of a matrix, or what lies between bounds."""
+    if bounds is None:
+        bounds = np.arange(len(rows) + 1) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tc.signed(rows.reshape(-1))))
+
+
+def _banded(p: NearDup):
+    """Set size, two hashes of the set and the band keys of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = tc.buffers(batch.column(text_col))
-            ids = batch.column(id_col)
+            data, offsets = tc.buffers(batch.column("text"))
+            ids = batch.column("doc_id")
             for i, j, part, offs in tc.chunked(data, offsets):
                 value, text = shingle_sets(part, offs, p.shingle)
-                n = np.bincount(text, minlength=j - i)
-                full = np.flatnonzero(n)
-                at = (np.cumsum(n) - n)[full]
+                n, full, sig = _signatures(value, text, j - i, p)
                 h1, h2 = np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64)
-                sig = np.zeros((j - i, p.size), np.uint32)
                 if len(full):
+                    at = (np.cumsum(n) - n)[full]
                     h1[full] = np.add.reduceat(value, at)
                     h2[full] = np.add.reduceat(tc.mix(value.copy()), at)
-                    for k, seed in enumerate(seeds):
-                        x = value ^ seed
-                        x *= seed
-                        sig[full, k] = np.minimum.reduceat((x >> np.uint64(32)).astype(np.uint32), at)
-                flat = sig.tobytes()
-                width = 4 * p.size
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(tc.signed(h1)), pa.array(tc.signed(h2)), pa.array([flat[k * width : (k + 1) * width] for k in range(j - i)], pa.binary())],
-                    names=["doc_id", "n_shingles", "h1", "h2", "sig"],
-                )
+                sig = sig.reshape(j - i, p.bands, p.rows)
+                keys = np.zeros((j - i, p.bands), np.uint64) + np.arange(1, p.bands + 1, dtype=np.uint64)
+                for r in range(p.rows):
+                    keys = tc.joined(keys, sig[:, :, r].astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(tc.signed(h1)), pa.array(tc.signed(h2)), _lists(keys)], names=["doc_id", "n_shingles", "h1", "h2", "keys"])
 
     return run
 
 
-def _bands(p: NearDup):
+def _known(p: NearDup):
+    """Signature and full set of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(batch.num_rows, p.bands, p.rows)
-            key = np.zeros((batch.num_rows, p.bands), np.uint64)
-            key += np.arange(1, p.bands + 1, dtype=np.uint64)
-            for r in range(p.rows):
-                key = tc.joined(key, sig[:, :, r].astype(np.uint64))
-            node = np.repeat(batch.column("node").to_numpy(), p.bands)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(tc.signed(key.reshape(-1)))], names=["node", "key"])
+            data, offsets = tc.buffers(batch.column("text"))
+            ids = batch.column("node")
+            for i, j, part, offs in tc.chunked(data, offsets):
+                value, text = shingle_sets(part, offs, p.shingle)
+                _, _, sig = _signatures(value, text, j - i, p)
+                bounds = np.searchsorted(text, np.arange(j - i + 1))
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array([x.tobytes() for x in sig], pa.binary()), _lists(value, bounds)], names=["node", "sig", "s"])
 
     return run
 
@@ -158,19 +174,6 @@ def _pruned(p: NearDup):
     return run
 
 
-def _sets(p: NearDup, text_col: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = tc.buffers(batch.column(text_col))
-            ids = batch.column("node")
-            for i, j, part, offs in tc.chunked(data, offsets):
-                value, text = shingle_sets(part, offs, p.shingle)
-                bounds = np.searchsorted(text, np.arange(j - i + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.ListArray.from_arrays(pa.array(bounds), pa.array(tc.signed(value)))], names=["node", "s"])
-
-    return run
-
-
 def _forest(p: NearDup):
     """Links of one block, or between two blocks, of a large bucket: a spanning forest of them."""
     floor = least_matches(p)
@@ -210,14 +213,12 @@ def _forest(p: NearDup):
     return run
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, p: NearDup) -> DataFrame:
+def _confirmed(pairs: DataFrame, known: DataFrame, p: NearDup) -> DataFrame:
     """Pairs (a, b) that pass the signature test and then the test on full sets."""
-    sig = nodes.select("node", "sig")
+    sig = known.select("node", "sig")
     asked = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
     alive = written(asked.mapInPandas(_pruned(p), "a long, b long"), "alive")
-    wanted = alive.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = written(texts.join(wanted.hint("merge"), "node", "left_semi").mapInArrow(_sets(p, "text"), "node long, s array<long>"), "sets")
-    both = alive.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    both = alive.join(known.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     both = both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("n"))
     return both.where(100 * F.col("n") >= p.percent * (F.col("nx") + F.col("ny") - F.col("n"))).select("a", "b")
 
@@ -233,16 +234,18 @@ def near_duplicates(docs: DataFrame, params: NearDup = NearDup(), id_col: str =
     """
     p = params
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    signed = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_signed_batches(p, "doc_id", "text"), "doc_id long, n_shingles long, h1 long, h2 long, sig binary"), "signed")
+    signed = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_banded(p), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"), "signed")
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"))
-    nodes = written(classes, "nodes")
-    banded = nodes.select("node", "sig").mapInArrow(_bands(p), "node long, key long")
+    nodes = written(full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "nodes")
+    banded = nodes.select("node", F.explode("keys").alias("key"))
     sizes = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
     members = written(banded.join(sizes, "key"), "members")
+    wanted = members.select("node").distinct()
+    shared = texts.where(sieve(wanted, "node")(F.col("node"))).join(wanted.hint("merge"), "node", "left_semi")
+    known = written(shared.mapInArrow(_known(p), "node long, sig binary, s array<long>"), "known")
 
     star = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    first = written(_confirmed(star, nodes, texts, p), "star")
+    first = written(_confirmed(star, known, p), "star")
     reached = components(first, "first")
     placed = members.join(reached, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("component"))
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
@@ -250,8 +253,8 @@ def near_duplicates(docs: DataFrame, params: NearDup = NearDup(), id_col: str =
 
     few = rest.where(F.col("n") <= p.small)
     pairs = few.alias("l").join(few.alias("r"), "key").where("l.node < r.node and l.component <> r.component").select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-    links = first.unionByName(_confirmed(pairs.join(star, ["a", "b"], "left_anti"), nodes, texts, p))
-    links = links.unionByName(_large_buckets(rest.where(F.col("n") > p.small), nodes, texts, p))
+    links = first.unionByName(_confirmed(pairs.join(star, ["a", "b"], "left_anti"), known, p))
+    links = links.unionByName(_large_buckets(rest.where(F.col("n") > p.small), known, p))
 
     final = components(links, "second")
     out = signed.join(nodes.select("h1", "h2", "n_shingles", "node"), ["h1", "h2", "n_shingles"], "left").join(final, "node", "left")
@@ -260,11 +263,8 @@ def near_duplicates(docs: DataFrame, params: NearDup = NearDup(), id_col: str =
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _large_buckets(rest: DataFrame, nodes: DataFrame, texts: DataFrame, p: NearDup) -> DataFrame:
+def _large_buckets(rest: DataFrame, known: DataFrame, p: NearDup) -> DataFrame:
     """Links between members of different components, block against block."""
-    wanted = rest.select("node").distinct()
-    sets = texts.join(wanted.hint("merge"), "node", "left_semi").mapInArrow(_sets(p, "text"), "node long, s array<long>")
-    known = written(sets.join(nodes.select("node", "sig"), "node"), "known")
     blocks = F.ceil(F.col("n") / p.block).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     rows = rest.select("key", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
