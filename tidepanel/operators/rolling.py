@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 
-from tidepanel.functions.core import EPS, clean, frame, scorr, sdiv, series
+from tidepanel.functions.core import EPS, clean, frame, sdiv, series
 
 #: Window lengths, and the least sample deviation for which a fit is meaningful.
 WINDOWS = (5, 10, 20, 30, 60)
@@ -29,62 +29,87 @@ def candles() -> dict[str, Column]:
     }
 
 
-def prepared(panel: DataFrame) -> DataFrame:
-    """Base fields with what several families need of the row before."""
+class Frames:
+    """Windowed columns by name; each is computed once, whatever the number of features that use it."""
+
+    def __init__(self) -> None:
+        self.made: dict[str, Column] = {}
+
+    def __call__(self, name: str, d: int, x: Column, w: WindowSpec | None = None) -> Column:
+        self.made.setdefault(f"{name}_{d}", x.over(frame(d) if w is None else w))
+        return F.col(f"{name}_{d}")
+
+
+def prepared(panel: DataFrame, *carry: str) -> DataFrame:
+    """Base fields with what several families need of the row before; ``carry`` names columns to keep."""
     s = series()
     c, v = F.col("adjusted_close"), F.col("volume").cast("double")
-    before, v_before = F.lag("adjusted_close").over(s), F.lag("volume").over(s).cast("double")
-    return panel.select(
-        "trade_date", "security_id", *(clean(F.col(f"adjusted_{x}").cast("double")).alias(x) for x in ("open", "high", "low", "close")), clean(v).alias("v"),
-        F.row_number().over(s).cast("double").alias("rn"),
+    rows = panel.withColumns({"__c": F.lag("adjusted_close").over(s), "__v": F.lag("volume").over(s).cast("double"), "__rn": F.row_number().over(s).cast("double")})
+    before, v_before = F.col("__c"), F.col("__v")
+    return rows.select(
+        "trade_date", "security_id", *carry, *(clean(F.col(f"adjusted_{x}").cast("double")).alias(x) for x in ("open", "high", "low", "close")), clean(v).alias("v"),
+        F.col("__rn").alias("rn"),
         F.ln(v + 1).alias("lv"), sdiv(c, before).alias("cr"), F.ln(sdiv(v, v_before) + 1).alias("vr"),
         (c - before).alias("dc"), (v - v_before).alias("dv"), (F.abs(sdiv(c, before) - 1) * v).alias("wv"),
         F.coalesce((c > before).cast("double"), F.lit(0.0)).alias("up"), F.coalesce((c < before).cast("double"), F.lit(0.0)).alias("down"),
     )
 
 
-def _regression(d: int, what: str) -> Column:
+def _regression(d: int, w: Frames, what: str) -> Column:
     """Slope, fit or residual of close on row position; NULL for fewer than two points."""
-    w, c, rn = frame(d), F.col("close"), F.col("rn")
-    enough = F.count("close").over(w) >= 2
-    slope, level = F.regr_slope(c, rn).over(w), F.regr_intercept(c, rn).over(w)
+    c, rn = F.col("close"), F.col("rn")
+    enough = w("n_close", d, F.count("close")) >= 2
+    if what == "fit":
+        return F.when(enough & (w("std_close", d, F.stddev_samp("close")) > LEAST_STD), w("r2", d, F.regr_r2(c, rn)))
+    slope = w("slope", d, F.regr_slope(c, rn))
     if what == "slope":
         return sdiv(F.when(enough, slope), c)
-    if what == "fit":
-        return F.when(enough & (F.stddev_samp(c).over(w) > LEAST_STD), F.regr_r2(c, rn).over(w))
-    return sdiv(F.when(enough & c.isNotNull(), c - (level + slope * rn)), c)
+    return sdiv(F.when(enough & c.isNotNull(), c - (w("level", d, F.regr_intercept(c, rn)) + slope * rn)), c)
+
 
+def _listed(column: str, d: int, w: Frames) -> Column:
+    """The frame's values in order, NULLs among them."""
+    return F.transform(w(f"rows_{column}", d, F.collect_list(F.struct(F.col(column).alias("x")))), lambda r: r["x"])
 
-def _place(d: int, column: str, top: bool) -> Column:
+
+def _place(d: int, w: Frames, column: str, top: bool) -> Column:
     """1-based position of the first extreme in the frame, over d; a NULL in the frame is the extreme."""
-    rows = F.collect_list(F.struct(F.col(column).alias("x"))).over(frame(d))
-    values = F.transform(rows, lambda r: r["x"])
-    best = F.array_max(values) if top else F.array_min(values)
-    first_null = F.get(F.filter(F.transform(values, lambda x, i: F.when(x.isNull(), i + 1)), lambda i: i.isNotNull()), F.lit(0))
-    return F.coalesce(first_null, F.array_position(values, best)).cast("double") / d
+    values = _listed(column, d, w)
+    best = w(f"max_{column}", d, F.max(column)) if top else w(f"min_{column}", d, F.min(column))
+    missing = F.array_position(F.transform(values, lambda x: x.isNull()), F.lit(True))
+    return F.when(missing > 0, missing).otherwise(F.array_position(values, best)).cast("double") / d
 
 
-def _rank(d: int) -> Column:
-    rows = F.collect_list(F.struct(F.col("close").alias("x"))).over(frame(d))
-    known = F.filter(rows, lambda r: r["x"].isNotNull())
-    below, equal = F.size(F.filter(known, lambda r: r["x"] < F.col("close"))), F.size(F.filter(known, lambda r: r["x"] == F.col("close")))
+def _rank(d: int, w: Frames) -> Column:
+    known = w("known_close", d, F.collect_list("close"))
+    below, equal = F.size(F.filter(known, lambda x: x < F.col("close"))), F.size(F.filter(known, lambda x: x == F.col("close")))
     return F.when(F.col("close").isNotNull(), (below + (equal + 1) / 2) / F.size(known))
 
 
-def _sum(x: Column, d: int) -> Column:
-    return F.sum(x).over(frame(d))
+def _corr(d: int, w: Frames, name: str, x: str, y: str) -> Column:
+    """Pearson correlation over rows where both are known; NULL for fewer than two or a constant side."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+    return sdiv(w(f"{name}_xy", d, F.covar_pop(a, b)), w(f"{name}_x", d, F.stddev_pop(a)) * w(f"{name}_y", d, F.stddev_pop(b)))
+
 
+def _mean(column: str, d: int, w: Frames) -> Column:
+    return w(f"avg_{column}", d, F.avg(column))
 
-def _gain(x: str, sign: int) -> Column:
-    return F.when(F.col(x).isNotNull(), F.greatest(sign * F.col(x), F.lit(0.0)))
 
+def _std(column: str, d: int, w: Frames) -> Column:
+    return w(f"std_{column}", d, F.stddev_samp(column))
 
-def _balance(x: str, d: int, sign: int) -> Column:
+
+def _moved(x: str, d: int, w: Frames, sign: int) -> Column:
+    gain = F.when(F.col(x).isNotNull(), F.greatest(sign * F.col(x), F.lit(0.0)))
+    return w(f"{'rise' if sign > 0 else 'fall'}_{x}", d, F.sum(gain))
+
+
+def _balance(x: str, d: int, w: Frames, sign: int) -> Column:
     """Share of rises (1), falls (-1), or their difference (0) in all movement."""
-    total = _sum(F.abs(x), d) + EPS
-    if sign:
-        return sdiv(_sum(_gain(x, sign), d), total)
-    return sdiv(_sum(_gain(x, 1), d) - _sum(_gain(x, -1), d), total)
+    total = w(f"moved_{x}", d, F.sum(F.abs(x))) + EPS
+    return sdiv(_moved(x, d, w, sign) if sign else _moved(x, d, w, 1) - _moved(x, d, w, -1), total)
 
 
 def _c() -> Column:
@@ -92,56 +117,67 @@ def _c() -> Column:
 
 
 def _v() -> Column:
-    return F.col("v")
-
-
-FAMILIES: dict[str, Callable[[int], Column]] = {
-    "roc": lambda d: sdiv(F.lag("close", d).over(series()), _c()),
-    "ma": lambda d: sdiv(F.avg("close").over(frame(d)), _c()),
-    "std": lambda d: sdiv(F.stddev_samp("close").over(frame(d)), _c()),
-    "beta": lambda d: _regression(d, "slope"),
-    "rsqr": lambda d: _regression(d, "fit"),
-    "resi": lambda d: _regression(d, "rest"),
-    "max": lambda d: sdiv(F.max("high").over(frame(d)), _c()),
-    "min": lambda d: sdiv(F.min("low").over(frame(d)), _c()),
-    "qtlu": lambda d: sdiv(F.percentile("close", 0.8).over(frame(d)), _c()),
-    "qtld": lambda d: sdiv(F.percentile("close", 0.2).over(frame(d)), _c()),
+    return F.col("v") + EPS
+
+
+def _high(d: int, w: Frames) -> Column:
+    return w("max_high", d, F.max("high"))
+
+
+def _low(d: int, w: Frames) -> Column:
+    return w("min_low", d, F.min("low"))
+
+
+FAMILIES: dict[str, Callable[[int, Frames], Column]] = {
+    "roc": lambda d, w: sdiv(w("lag_close", d, F.lag("close", d), series()), _c()),
+    "ma": lambda d, w: sdiv(_mean("close", d, w), _c()),
+    "std": lambda d, w: sdiv(_std("close", d, w), _c()),
+    "beta": lambda d, w: _regression(d, w, "slope"),
+    "rsqr": lambda d, w: _regression(d, w, "fit"),
+    "resi": lambda d, w: _regression(d, w, "rest"),
+    "max": lambda d, w: sdiv(_high(d, w), _c()),
+    "min": lambda d, w: sdiv(_low(d, w), _c()),
+    "qtlu": lambda d, w: sdiv(w("p80_close", d, F.percentile("close", 0.8)), _c()),
+    "qtld": lambda d, w: sdiv(w("p20_close", d, F.percentile("close", 0.2)), _c()),
     "rank": _rank,
-    "rsv": lambda d: sdiv(_c() - F.min("low").over(frame(d)), F.max("high").over(frame(d)) - F.min("low").over(frame(d)) + EPS),
-    "imax": lambda d: _place(d, "high", True),
-    "imin": lambda d: _place(d, "low", False),
-    "imxd": lambda d: _place(d, "high", True) - _place(d, "low", False),
-    "corr": lambda d: scorr(_c(), F.col("lv"), frame(d)),
-    "cord": lambda d: scorr(F.col("cr"), F.col("vr"), frame(d)),
-    "cntp": lambda d: F.avg("up").over(frame(d)),
-    "cntn": lambda d: F.avg("down").over(frame(d)),
-    "cntd": lambda d: F.avg("up").over(frame(d)) - F.avg("down").over(frame(d)),
-    "sump": lambda d: _balance("dc", d, 1),
-    "sumn": lambda d: _balance("dc", d, -1),
-    "sumd": lambda d: _balance("dc", d, 0),
-    "vma": lambda d: sdiv(F.avg("v").over(frame(d)), _v() + EPS),
-    "vstd": lambda d: sdiv(F.stddev_samp("v").over(frame(d)), _v() + EPS),
-    "wvma": lambda d: sdiv(F.stddev_samp("wv").over(frame(d)), F.avg("wv").over(frame(d)) + EPS),
-    "vsump": lambda d: _balance("dv", d, 1),
-    "vsumn": lambda d: _balance("dv", d, -1),
-    "vsumd": lambda d: _balance("dv", d, 0),
+    "rsv": lambda d, w: sdiv(_c() - _low(d, w), _high(d, w) - _low(d, w) + EPS),
+    "imax": lambda d, w: _place(d, w, "high", True),
+    "imin": lambda d, w: _place(d, w, "low", False),
+    "imxd": lambda d, w: _place(d, w, "high", True) - _place(d, w, "low", False),
+    "corr": lambda d, w: _corr(d, w, "corr", "close", "lv"),
+    "cord": lambda d, w: _corr(d, w, "cord", "cr", "vr"),
+    "cntp": lambda d, w: _mean("up", d, w),
+    "cntn": lambda d, w: _mean("down", d, w),
+    "cntd": lambda d, w: _mean("up", d, w) - _mean("down", d, w),
+    "sump": lambda d, w: _balance("dc", d, w, 1),
+    "sumn": lambda d, w: _balance("dc", d, w, -1),
+    "sumd": lambda d, w: _balance("dc", d, w, 0),
+    "vma": lambda d, w: sdiv(_mean("v", d, w), _v()),
+    "vstd": lambda d, w: sdiv(_std("v", d, w), _v()),
+    "wvma": lambda d, w: sdiv(_std("wv", d, w), _mean("wv", d, w) + EPS),
+    "vsump": lambda d, w: _balance("dv", d, w, 1),
+    "vsumn": lambda d, w: _balance("dv", d, w, -1),
+    "vsumd": lambda d, w: _balance("dv", d, w, 0),
 }
 
 
-def rolling_features(panel: DataFrame, families: list[str] | None = None, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
-    """``trade_date, security_id`` and ``<family><d>`` for each family and window, in catalog order.
+def rolling_features(panel: DataFrame, families: list[str] | None = None, windows: tuple[int, ...] = WINDOWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``trade_date, security_id``, the columns to ``carry``, and ``<family><d>`` for each family and window, in catalog order.
 
     A window of nothing but one row has no deviation, slope or correlation (NULL).  On a
     constant window CORR and CORD are NULL.  Keys must be unique per security.
     """
-    made = [clean(FAMILIES[f](d)).alias(f"{f}{d}") for f in families or FAMILIES for d in windows]
-    return prepared(panel).select("trade_date", "security_id", *made)
+    w, keys = Frames(), ("trade_date", "security_id", *carry)
+    made = {f"{f}{d}": FAMILIES[f](d, w) for f in families or FAMILIES for d in windows}
+    rows = prepared(panel, *carry).select("*", *(x.alias(n) for n, x in w.made.items()))
+    rows = rows.select(*keys, *(x.alias(n) for n, x in made.items()))
+    return rows.select(*keys, *(clean(F.col(n)).alias(n) for n in made))
 
 
 def all_features(panel: DataFrame) -> DataFrame:
-    """The whole set: 13 row ratios and 145 rolling features."""
-    rows = panel.select("trade_date", "security_id", *(clean(x).alias(n) for n, x in candles().items()))
-    return rows.join(rolling_features(panel), ["trade_date", "security_id"])
+    """The whole set: 13 row ratios and 145 rolling features, with one shuffle by security."""
+    ratios = {n: clean(x) for n, x in candles().items()}
+    return rolling_features(panel.withColumns(ratios), carry=tuple(ratios))
 
 
 def catalog(spark: SparkSession) -> DataFrame:
