@@ -9,7 +9,6 @@ language and order.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ORDERS, BUCKETS, PIECE = 3, 1 << 15, 1 << 19
-LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
@@ -144,7 +142,7 @@ def _predicted(parts, text_col: str):
                 part = texts[i : i + 512]
                 joint = scores(model, part)
                 for text, row in zip(part, joint, strict=True):
-                    if not text or not len(row) or not LETTER.search(text):
+                    if not text or not len(row) or not any(map(str.isalpha, text)):
                         lang.append("und")
                         score.append(0.0)
                     else:
