@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.llm import textcodes as tc
+
 ORDERS, BUCKETS, PIECE = 3, 1 << 15, 1 << 19
 
 
@@ -135,7 +137,7 @@ def fit(labelled: DataFrame, per_language: int = 3000, max_languages: int = 256,
 def _predicted(parts, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*parts.value)
-        for batch in batches:
+        for batch in tc.slices(batches):
             lang, score = [], []
             texts = batch.column(text_col).to_pylist()
             for i in range(0, len(texts), 512):

@@ -115,7 +115,7 @@ def _banded(p: NearDup):
     """Set size, two hashes of the set and the band keys of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tc.slices(batches):
             data, offsets = tc.buffers(batch.column("text"))
             ids = batch.column("doc_id")
             for i, j, part, offs in tc.chunked(data, offsets):
@@ -139,7 +139,7 @@ def _known(p: NearDup):
     """Signature and full set of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tc.slices(batches):
             data, offsets = tc.buffers(batch.column("text"))
             ids = batch.column("node")
             for i, j, part, offs in tc.chunked(data, offsets):

@@ -59,6 +59,14 @@ def chunked(data: np.ndarray, offsets: np.ndarray, size: int = CHUNK) -> Iterato
         i = j
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches in runs of ``rows`` rows; afterwards Arrow's free memory goes back to the system, as workers live on."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+    pa.default_memory_pool().release_unused()
+
+
 class Words:
     """Word bounds of a chunk: ``starts``, ``ends`` in bytes; ``first[d]:first[d + 1]`` are text d's words."""
 
