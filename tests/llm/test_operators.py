@@ -38,6 +38,21 @@ def test_top_k_against_all_scores(spark):
     assert kdtree.top_k(rows.limit(0), rows, 5).count() == 0
 
 
+def test_top_k_finds_repeated_ids_once(spark):
+    best = {i: [100.0 - i, 1.0] for i in range(12)}
+    rows = [(i, v) for i, v in best.items()] + [(0, best[0])] * 9 + [(i, [50.0, 0.0]) for i in (20, 20, 20, 20, 20, 20, 20, 21, 22)] + [(1, [3.0, 9.0]), (2, [200.0, 0.0])]
+    table = spark.createDataFrame(rows, "id long, v array<double>")
+    asked = spark.createDataFrame([(900, [1.0, 0.0]), (901, [-1.0, 0.0]), (901, [-1.0, 0.0]), (902, [0.0, 1.0])], "id long, v array<double>")
+    for shard_rows in (1000, 8):
+        got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in kdtree.top_k(table, asked, 5, shard_rows=shard_rows).collect())
+        for q, w in ((900, (1, 0)), (901, (-1, 0)), (902, (0, 1))):
+            score = {}
+            for i, v in rows:
+                score[i] = max(score.get(i, -(10**9)), int(w[0] * v[0] + w[1] * v[1]))
+            expected = sorted((-s, i) for i, s in score.items())[:5]
+            assert [r for r in got if r[0] == q] == [(q, k + 1, i, -s) for k, (s, i) in enumerate(expected)]
+
+
 def test_license_forms(spark):
     text = licenses.KNOWN["MIT"][0]
     got = licenses.license_scan(docs(spark, [(1, "Copyright (c) 2020 Some One\n" + text.upper().replace("SUBLICENSE", "sub-license")), (2, "x " + text), (3, None), (4, ""), (5, "a\nLicenced under CC BY-NC 4.0!\nb")])).collect()

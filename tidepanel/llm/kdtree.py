@@ -33,11 +33,14 @@ class Tree:
 
 
 def build(vectors: np.ndarray, ids: np.ndarray, k: int) -> Tree:
-    """A tree over the distinct vectors; of equal ones the k + 1 smallest ids, enough for any top k."""
+    """A tree over the distinct vectors; of equal ones the k + 1 smallest distinct ids, enough for any top k."""
     order = np.lexsort((ids, *vectors.T[::-1])) if vectors.shape[1] else np.argsort(ids, kind="stable")
     vectors, ids = vectors[order], ids[order]
     fresh = np.ones(len(vectors), bool)
     fresh[1:] = (vectors[1:] != vectors[:-1]).any(1)
+    once = fresh.copy()
+    once[1:] |= ids[1:] != ids[:-1]
+    vectors, ids, fresh = vectors[once], ids[once], fresh[once]
     at = np.flatnonzero(fresh)
     points = vectors[at]
     same = [ids[a : min(a + k + 1, b)] for a, b in zip(at, np.append(at[1:], len(ids)), strict=True)]
@@ -65,7 +68,7 @@ def build(vectors: np.ndarray, ids: np.ndarray, k: int) -> Tree:
 
 
 def search(tree: Tree, query: np.ndarray, own: int, k: int, bound: float) -> list[tuple[float, int]]:
-    """Up to k (score, id), best first, none below ``bound``; ties to smaller ids."""
+    """Up to k (score, id), best first, none below ``bound``; each id once, at its best score; ties to smaller ids."""
     limits = np.maximum(query, 0) @ tree.high.T + np.minimum(query, 0) @ tree.low.T
     best: list[tuple[float, int]] = []  # a heap of (score, -id)
     queue = [(-limits[0], 0)]
@@ -86,12 +89,17 @@ def search(tree: Tree, query: np.ndarray, own: int, k: int, bound: float) -> lis
             if len(best) == k and score[p] < best[0][0]:
                 break
             for i in tree.ids[a + p]:
-                if i != own:
-                    entry = (float(score[p]), -int(i))
-                    if len(best) < k:
-                        heapq.heappush(best, entry)
-                    elif entry > best[0]:
-                        heapq.heapreplace(best, entry)
+                entry = (float(score[p]), -int(i))
+                if i == own or len(best) == k and entry <= best[0]:
+                    continue
+                held = next((n for n, (_, other) in enumerate(best) if other == entry[1]), None)
+                if held is not None:
+                    best[held] = max(best[held], entry)
+                    heapq.heapify(best)
+                elif len(best) < k:
+                    heapq.heappush(best, entry)
+                else:
+                    heapq.heapreplace(best, entry)
     return sorted(((s, -i) for s, i in best), key=lambda x: (-x[0], x[1]))
 
 
@@ -119,13 +127,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
 
     ``vectors`` and ``queries`` hold ``id`` long and ``v``, an array of whole numbers as doubles
     whose products sum below 2^53 (larger ones round).  A query does not find its own id.
-    Ties go to smaller ids; of repeated rows of an id the vectors all count as one
-    candidate each.  Only vectors of a query's length are compared.  Null ids or vectors
+    Ties go to smaller ids.  An id is found once: repeated rows count as one, and of different
+    vectors with one id, or of different queries with one id, the best score holds.  Only vectors of a query's length are compared.  Null ids or vectors
     take no part; fewer candidates give fewer rows; empty tables give none.  A block of
     queries meets each shard once: the cost is queries x vectors, before pruning.
     """
-    vectors = written(vectors.where("id is not null and v is not null").select("id", "v", F.size("v").alias("dim")), "vectors")
-    queries = written(queries.where("id is not null and v is not null").select("id", "v", F.size("v").alias("dim")), "asked")
+    vectors = written(vectors.where("id is not null and v is not null").select("id", "v", F.size("v").alias("dim")).dropDuplicates(["id", "v"]), "vectors")
+    queries = written(queries.where("id is not null and v is not null").select("id", "v", F.size("v").alias("dim")).dropDuplicates(["id", "v"]), "asked")
     n_shards = max(1, -(-vectors.count() // shard_rows))
     n_blocks = max(1, -(-queries.count() // query_rows))
     placed = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(n_shards)))
@@ -135,13 +143,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     keys = ["dim", "shard", "block"]
 
     def searched(asked: DataFrame) -> DataFrame:
-        return spread.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_shard_search(k), schema)
+        found = spread.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_shard_search(k), schema)
+        return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
     pilot = blocked.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(n_shards))).withColumn("bound", F.lit(None).cast("double"))
-    kth = searched(pilot).distinct().groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("bound"))
+    kth = searched(pilot).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("bound"))
     known = blocked.join(kth.withColumnRenamed("query_id", "id"), "id", "left")
     every = known.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))))
-    found = searched(every).distinct()
+    found = searched(every)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
