@@ -147,6 +147,68 @@ def test_ledger_sells_first_and_scales_buys(spark):
     assert got["x"].filled_notional == 100 and got["y"].filled_notional == pytest.approx(99.9 / 1.001) and got["y"].cash_after == pytest.approx(0, abs=1e-9)
 
 
+def one_step(shares, cash, weights, opens, states, nav, rate):
+    """Ledger rows by code and cash after, a loop over names."""
+    reason = lambda c, side: "missing_price" if not opens.get(c) else "unknown" if c not in states else "suspended" if states[c][0] else "limit_up" if side == "buy" and states[c][1] else "limit_down" if side == "sell" and states[c][2] else None
+    out, buys = {}, {}
+    for c in sorted({*shares, *weights}):
+        p = opens.get(c) or 0.0
+        gap = (weights.get(c, 0.0) * nav / p if p else 0.0) - shares.get(c, 0.0)
+        if gap < -1e-12:
+            filled = 0.0 if reason(c, "sell") else -gap * p
+            out[c] = ("sell", -gap * p, filled, reason(c, "sell"))
+            cash += filled * (1 - rate)
+        elif gap > 1e-12 or c in weights and not p:
+            out[c] = ("buy", max(gap, 0.0) * p, 0.0, reason(c, "buy"))
+            if not out[c][3]:
+                buys[c] = gap * p
+    need = sum(buys.values()) * (1 + rate)
+    scale = min(1.0, cash / need) if need else 0.0
+    for c, x in buys.items():
+        out[c] = ("buy", x, x * scale, None)
+        cash -= x * scale * (1 + rate)
+    return out, max(cash, 0.0)
+
+
+def test_ledger_batch_has_every_account_and_date(spark):
+    from tidepanel.plans import registry
+
+    small, got = "/root/testdata/sf0.01", {}
+    for r in registry.QUERIES["w7_ledger_batch"](spark, small).collect():
+        got.setdefault((r.account, r.trade_date), {})[r.code] = r
+    daily = {(r.trade_date, r.security_id): r for r in registry.P(spark, small).collect()}
+    known = {(r.trade_date, r.security_id): r for r in registry.research(spark, small).collect()}
+    days = sorted({t for t, _ in daily})
+    after = dict(zip(days, days[1:], strict=False))
+    rows = registry.scored(spark, small).localCheckpoint()
+    want, nav0 = {}, 1_000_000.0
+    for h in registry.HORIZONS:
+        steps = {}
+        for r in portfolio.positions(rows, h, 10, 5).where("not is_diagnostic").collect():
+            steps.setdefault((f"{r.portfolio}_{h}d", r.seq), (r.trade_date, {}))[1][r.security_id] = r.weight
+        for (account, seq), (day, weights) in steps.items():
+            if day not in after:
+                continue
+            bar = {c: daily.get((after[day], c)) for c in {c for t, c in daily if t == day or t == after[day]}}
+            opens = {c: b.adjusted_open for c, b in bar.items() if b}
+            states = {c: (not k.tradable_next_open, *((b.adjusted_high == b.adjusted_low and b.adjusted_open > k.adjusted_close, b.adjusted_high == b.adjusted_low and b.adjusted_open < k.adjusted_close) if (b := bar.get(c)) else (False, False))) for (t, c), k in known.items() if t == day}
+            before, old = steps.get((account, seq - 1), (None, {}))
+            paid = {c: daily[after[before], c].adjusted_open for c in old if (after[before], c) in daily}
+            shares = {c: old[c] * nav0 / p for c, p in paid.items()}
+            cash = max(0.0, nav0 - sum(shares[c] * paid[c] for c in shares))
+            nav = cash + sum(n * opens.get(c, paid[c]) for c, n in shares.items())
+            want[account, day] = one_step(shares, cash, weights, opens, states, nav, 0.001)
+    assert len({day for _, day in got}) > 10 and {a for a, _ in got} == {a for a, _ in want} and len({a for a, _ in got}) > 6
+    assert {x.block_reason for v in got.values() for x in v.values()} >= {None, "missing_price", "suspended", "unknown"}
+    assert got.keys() == {k for k, (ledger, _) in want.items() if ledger}
+    for key, step in got.items():
+        ledger, cash = want[key]
+        assert step.keys() == ledger.keys()
+        for c, r in step.items():
+            assert (r.side, r.block_reason) == (ledger[c][0], ledger[c][3])
+            assert (r.intended_notional, r.filled_notional, r.cash_after) == pytest.approx((ledger[c][1], ledger[c][2], cash), rel=1e-6, abs=1e-3)
+
+
 def test_ridge_matches_the_closed_form(spark):
     rng = np.random.default_rng(4)
     x, y, w = rng.normal(size=(80, 2)), rng.normal(size=80), rng.uniform(0.5, 1.5, 80)

@@ -118,25 +118,28 @@ def block_reason(side: Column, price: Column) -> Column:
     )
 
 
-def rebalance_ledger(holdings: DataFrame, targets: DataFrame, accounts: DataFrame, prices: DataFrame, state: DataFrame, bps: float) -> DataFrame:
+def rebalance_ledger(holdings: DataFrame, targets: DataFrame, accounts: DataFrame, prices: DataFrame, state: DataFrame, bps: float, date: str | None = None) -> DataFrame:
     """One step for many accounts: sells first, then buys scaled to the cash there is; no borrowing.
 
+    With ``date`` every table has that column too, and each (account, date) is a step of its own.
+
     ``holdings(account, code, shares)``, ``targets(account, code, weight)``, ``accounts(account, cash, nav)``,
     ``prices(code, price)``, ``state(code, suspended, limit_up, limit_down, unknown_blocked)`` give
     ``account, code, side, intended_notional, filled_notional, trading_cost, block_reason, shares_after, cash_after``.
     """
     rate = bps / 10_000.0
-    both = holdings.where("shares > 1e-12").join(targets.where("weight > 1e-12"), ["account", "code"], "full").join(accounts, "account").join(prices, "code", "left").join(state.withColumn("has_state", F.lit(True)), "code", "left")
+    on = [date] if date else []
+    both = holdings.where("shares > 1e-12").join(targets.where("weight > 1e-12"), ["account", *on, "code"], "full").join(accounts, ["account", *on]).join(prices, [*on, "code"], "left").join(state.withColumn("has_state", F.lit(True)), [*on, "code"], "left")
     have, weight = F.coalesce("shares", F.lit(0.0)), F.coalesce("weight", F.lit(0.0))
     want = F.when(F.col("price") > 0, weight * F.col("nav") / F.col("price"))
-    rows = both.select("account", "code", "cash", "price", have.alias("have"), want.alias("want"), "has_state", "suspended", "limit_up", "limit_down", "unknown_blocked", (weight > 0).alias("wanted"))
+    rows = both.select("account", *on, "code", "cash", "price", have.alias("have"), want.alias("want"), "has_state", "suspended", "limit_up", "limit_down", "unknown_blocked", (weight > 0).alias("wanted"))
     gap = F.coalesce(F.col("want"), F.lit(0.0)) - F.col("have")
     unpriced_buy = F.col("want").isNull() & F.col("wanted")
     side = F.when(gap < -1e-12, "sell").when((gap > 1e-12) | unpriced_buy, "buy")
     rows = rows.withColumn("gap", gap).withColumn("side", side).where("side is not null")
     rows = rows.withColumn("block_reason", block_reason(F.col("side"), F.col("price"))).withColumn("intended_notional", F.abs("gap") * F.coalesce("price", F.lit(0.0)))
     open_ = F.col("block_reason").isNull()
-    account = Window.partitionBy("account")
+    account = Window.partitionBy("account", *on)
     proceeds = F.sum(F.when((F.col("side") == "sell") & open_, F.col("intended_notional") * (1 - rate)).otherwise(0.0)).over(account)
     required = F.sum(F.when((F.col("side") == "buy") & open_, F.col("intended_notional") * (1 + rate)).otherwise(0.0)).over(account)
     scale = F.coalesce(F.least(F.lit(1.0), sdiv(F.col("cash") + proceeds, required)), F.lit(0.0))
@@ -145,4 +148,32 @@ def rebalance_ledger(holdings: DataFrame, targets: DataFrame, accounts: DataFram
     signed = F.when(F.col("side") == "sell", F.col("filled_notional")).otherwise(-F.col("filled_notional")) - F.col("trading_cost")
     after = F.greatest(F.lit(0.0), F.col("cash") + F.sum(signed).over(account))
     shares = F.col("have") + F.coalesce(sdiv(F.when(F.col("side") == "buy", F.col("filled_notional")).otherwise(-F.col("filled_notional")), F.col("price")), F.lit(0.0))
-    return rows.select("account", "code", "side", "intended_notional", "filled_notional", "trading_cost", "block_reason", shares.alias("shares_after"), after.alias("cash_after"))
+    return rows.select("account", *on, "code", "side", "intended_notional", "filled_notional", "trading_cost", "block_reason", shares.alias("shares_after"), after.alias("cash_after"))
+
+
+def execution_tables(held: DataFrame, daily: DataFrame, states: DataFrame, nav: float, date: str = "trade_date") -> dict[str, DataFrame]:
+    """The tables of ``rebalance_ledger`` for every (account, date) of ``held(account, seq, date, security_id, weight)``.
+
+    Orders of a signal date fill at the opens of the next session; a last date without one has no step.  An account
+    comes in with ``nav`` as its last valid rebalance invested it at the opens of that one (all cash before the first);
+    names without an open then stay in cash, and those without one now count at the earlier price.  ``states`` are
+    the rows of a signal date whose state is known: not tradable at the next open is suspended; a session at
+    a single price above (below) the signal's close is limit up (down).
+    """
+    sessions = daily.select(date).distinct().withColumn("_entry", F.lead(date).over(Window.orderBy(date)))
+    entered = daily.select(F.col(date).alias("_entry"), F.col("security_id").alias("code"), F.when(F.col("adjusted_open") > 0, F.col("adjusted_open")).alias("price"), (F.col("adjusted_high") == F.col("adjusted_low")).alias("_single"))
+    entered = entered.join(F.broadcast(sessions.where("_entry is not null")), "_entry").drop("_entry")
+    prices = entered.select(date, "code", "price")
+    live = held.join(F.broadcast(sessions.where("_entry is not null").select(date)), date).select("account", "seq", date, F.col("security_id").alias("code"), "weight")
+    steps = live.select("account", "seq", date).distinct()
+    bought = live.join(prices, [date, "code"]).where("price > 0").select("account", (F.col("seq") + 1).alias("seq"), "code", (F.col("weight") * nav / F.col("price")).alias("shares"), F.col("price").alias("_paid"))
+    holdings = bought.join(steps, ["account", "seq"]).join(prices, [date, "code"], "left")
+    worth = holdings.groupBy("account", date).agg(F.sum(F.col("shares") * F.col("_paid")).alias("_spent"), F.sum(F.col("shares") * F.coalesce("price", "_paid")).alias("_worth"))
+    cash = nav - F.coalesce("_spent", F.lit(0.0))
+    accounts = steps.join(worth, ["account", date], "left").select("account", date, F.greatest(cash, F.lit(0.0)).alias("cash"), (cash + F.coalesce("_worth", F.lit(0.0))).alias("nav"))
+    known = states.select(date, F.col("security_id").alias("code"), F.col("adjusted_close").alias("_close"), "tradable_next_open").join(entered, [date, "code"], "left")
+    state = known.select(
+        date, "code", (~F.col("tradable_next_open")).alias("suspended"), (F.col("_single") & (F.col("price") > F.col("_close"))).alias("limit_up"),
+        (F.col("_single") & (F.col("price") < F.col("_close"))).alias("limit_down"), F.col("tradable_next_open").isNull().alias("unknown_blocked"),
+    )
+    return {"holdings": holdings.select("account", date, "code", "shares"), "targets": live.select("account", date, "code", "weight"), "accounts": accounts, "prices": prices, "state": state}

@@ -11,6 +11,7 @@ from tidepanel.functions.core import rounded, sdiv
 from tidepanel.operators import contracts, cross_section, evidence, factors, labels, models, portfolio, rolling
 from tidepanel.plans import sqltext as sql
 from tidepanel.sources import panel as sources
+from tidepanel.sources.sinks import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -159,6 +160,16 @@ def _ledger(s: SparkSession, d: str) -> DataFrame:
     return portfolio.rebalance_ledger(holdings, targets, value, last.select(F.col("security_id").alias("code"), F.col("adjusted_close").alias("price")), state, 10.0)
 
 
+def ledger_batch(s: SparkSession, d: str) -> DataFrame:
+    """Every rebalance date of every long portfolio and horizon; the diagnostic one is short and needs borrowing."""
+    rows = written(scored(s, d), "scored")
+    every = [portfolio.positions(rows, h, 10, 5).where("not is_diagnostic").select(F.concat("portfolio", F.lit(f"_{h}d")).alias("account"), "seq", "trade_date", "security_id", "weight") for h in HORIZONS]
+    held = written(every[0].unionByName(every[1]).unionByName(every[2]), "held")
+    tables = portfolio.execution_tables(held, written(P(s, d), "daily"), written(research(s, d), "states"), 1_000_000.0)
+    return portfolio.rebalance_ledger(**tables, bps=10.0, date="trade_date")
+
+
+add("w7_ledger_batch", ledger_batch)
 add("w6_w7_rebalance_ledger", _ledger, sql.rounded(sql.P + """,
 g0 AS (SELECT security_id % 5 AS account, security_id AS code, adjusted_close AS price, turnover * 10 AS qty, tradable_next_open FROM p WHERE trade_date = DATE '2001-06-01'),
 g1 AS (SELECT account, 1000.0 + sum(CASE WHEN code % 3 = 0 THEN qty * price ELSE 0 END) AS nav, count(*) FILTER (code % 2 = 0) AS n FROM g0 GROUP BY account),
