@@ -219,6 +219,24 @@ def test_ridge_matches_the_closed_form(spark):
     assert [got[1.0, "a"], got[1.0, "b"]] == pytest.approx(list(beta))
 
 
+def test_boosted_trees_run_every_fold_and_score_its_test_rows(spark):
+    from tidepanel.operators import models
+    from tidepanel.plans import registry
+
+    d = "/root/testdata/sf0.01"
+    names = {f[0] for f in registry.FOLDS}
+    rounds = registry._rounds(registry._fold_rows(spark, d)).collect()
+    assert {(r.fold, r.iteration) for r in rounds} == {(f, k) for f in names for k in range(1, 21)} and len(rounds) == 80
+    scores = registry.boosted_test(spark, d).localCheckpoint()
+    keys = ["fold", "signal_date", "security_id"]
+    test = registry.modelled(spark, d).where("role = 'test'").select(*keys)
+    assert scores.where("score is not null").count() == test.count() and scores.select(*keys).exceptAll(test).isEmpty()
+    best = {f: min((-r.mean_rank_ic, r.iteration) for r in rounds if r.fold == f)[1] for f in names}
+    assert {(r.fold, r.iteration) for r in scores.select("fold", "iteration").distinct().collect()} == set(best.items())
+    tied = spark.createDataFrame([("a", 1, 0.1), ("a", 2, 0.3), ("a", 3, 0.3), ("b", 1, None), ("b", 2, None)], "fold string, iteration int, mean_rank_ic double")
+    assert {(r.fold, r.iteration) for r in models.best_iterations(tied).collect()} == {("a", 2), ("b", 2)}
+
+
 def test_contracts(spark):
     p = closes(spark, {"A": [1.0, 2.0], "B": [-1.0, 3.0]})
     with pytest.raises(contracts.ContractError):

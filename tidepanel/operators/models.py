@@ -7,7 +7,7 @@ from functools import reduce
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepanel.operators.cross_section import rank_ic
@@ -77,6 +77,19 @@ def boosted_trees(train: DataFrame, validation: DataFrame, features: list[str],
     return model, ics.groupBy("iteration").agg(F.avg("rank_ic").alias("mean_rank_ic"))
 
 
+def refit_scores(train: DataFrame, test: DataFrame, features: list[str], label: str, weight: str, iterations: int, depth: int = 4, step: float = 0.1, seed: int = 7) -> DataFrame:
+    """``test`` with ``score``, by trees fitted anew on ``train`` alone for a fixed number of iterations."""
+    pack = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
+    trees = GBTRegressor(featuresCol="_x", labelCol=label, weightCol=weight, predictionCol="score", maxIter=iterations, maxDepth=depth, stepSize=step, seed=seed, subsamplingRate=0.8)
+    return trees.fit(pack.transform(train)).transform(pack.transform(test)).drop("_x")
+
+
+def best_iterations(rounds: DataFrame, fold: str = "fold") -> DataFrame:
+    """Per fold the iteration of highest mean validation rank IC, the earliest of equals; without a known IC the last."""
+    order = Window.partitionBy(fold).orderBy(F.desc_nulls_last("mean_rank_ic"), F.when(F.col("mean_rank_ic").isNull(), -F.col("iteration")).otherwise(F.col("iteration")))
+    return rounds.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
 def importances(spark: SparkSession, model, features: list[str]) -> DataFrame:
     """``feature, gain, splits``."""
     splits = dict.fromkeys(range(len(features)), 0)

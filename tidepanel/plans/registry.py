@@ -260,9 +260,36 @@ def ridge_test(s: SparkSession, d: str) -> DataFrame:
     return rows.join(F.broadcast(chosen), ["fold", "alpha"]).select("fold", "signal_date", "security_id", "alpha", "y", "score")
 
 
+def _fold_rows(s: SparkSession, d: str) -> DataFrame:
+    return written(modelled(s, d).withColumn("w", F.lit(1.0)), "folds")
+
+
+def _rounds(rows: DataFrame) -> DataFrame:
+    out = None
+    for name in sorted(f[0] for f in FOLDS):
+        own = rows.where(F.col("fold") == name)
+        train, validation = own.where("role = 'train'"), own.where("role = 'validation'")
+        if train.isEmpty() or validation.isEmpty():  # a fold outside the table's years
+            continue
+        ics = models.boosted_trees(train, validation, FEATURES, "y", "w", "signal_date")[1].select(F.lit(name).alias("fold"), "iteration", "mean_rank_ic")
+        out = ics if out is None else out.unionByName(ics)
+    return rows.sparkSession.createDataFrame([], "fold string, iteration int, mean_rank_ic double") if out is None else out
+
+
 def boosted(s: SparkSession, d: str) -> DataFrame:
-    rows = modelled(s, d).where("fold = 'f1995'").withColumn("w", F.lit(1.0))
-    return models.boosted_trees(rows.where("role = 'train'"), rows.where("role = 'validation'"), FEATURES, "y", "w", "signal_date", rounds=5)[1]
+    """Validation rank IC of every fold and round."""
+    return _rounds(_fold_rows(s, d))
+
+
+def boosted_test(s: SparkSession, d: str) -> DataFrame:
+    """Test rows of each fold scored once, by trees refitted for the iterations that validation chose."""
+    rows = _fold_rows(s, d)
+    out = rows.where("false").select("fold", "signal_date", "security_id", F.lit(0).alias("iteration"), "y", F.lit(0.0).alias("score"))
+    for name, best in sorted((r.fold, r.iteration) for r in models.best_iterations(_rounds(rows)).collect()):
+        own = rows.where(F.col("fold") == name)
+        found = models.refit_scores(own.where("role = 'train'"), own.where("role = 'test'"), FEATURES, "y", "w", best)
+        out = out.unionByName(found.select("fold", "signal_date", "security_id", F.lit(best).alias("iteration"), "y", "score"))
+    return out
 
 
 _FOLD = sql.RP + sql.labels((1,)) + ",\nfs AS (SELECT 'f' || y AS fold, y AS a, y + 1 AS z, y + 2 AS v, y + 3 AS t FROM range(1995, 1999) t(y)),\nfa AS (SELECT fold, trade_date AS signal_date, security_id, label_end_date_1d AS label_end_date, CASE WHEN year(trade_date) BETWEEN a AND z THEN 'train' WHEN year(trade_date) = v THEN 'validation' WHEN year(trade_date) = t THEN 'test' END AS role, v, t FROM lab JOIN fs ON year(trade_date) BETWEEN a AND t WHERE label_excess_o2o_1d IS NOT NULL),\nfb AS (SELECT * FROM fa WHERE (role = 'train' AND year(label_end_date) < v) OR (role = 'validation' AND year(label_end_date) < t) OR role = 'test')"
@@ -273,6 +300,7 @@ add("m3_m7_ridge_coefficients", ridge_coefficients)
 add("g12_m1_ridge_validation", ridge_validation)
 add("m6_ridge_test_scores", ridge_test)
 add("m4_boosted_tree_rounds", boosted)
+add("m5_boosted_test_scores", boosted_test)
 
 # Specified operators
 SIG = sql.B + ", ss AS (SELECT trade_date, lead(trade_date) OVER (ORDER BY trade_date) AS entry_date FROM b), sg AS (SELECT signal_date, entry_date, lead(entry_date) OVER (ORDER BY signal_date) AS exit_date FROM (SELECT max(trade_date) AS signal_date, arg_max_null(entry_date, trade_date) AS entry_date FROM ss GROUP BY date_trunc('quarter', trade_date)))"
