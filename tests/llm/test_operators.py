@@ -90,6 +90,17 @@ def test_segment_decoding_is_whole_text_decoding(crf):
     assert any(text[a:b].startswith("password") for a, b in secrets.crf_spans(text, crf))
 
 
+def test_every_trigger_extends_its_stretch():
+    tokens = lambda text: {text[a:b] for s in secrets.segments(text) for a, b in s}
+    for text in ("the old user password HunterTwoBlueSky", "id 7 then the old user password HunterTwoBlueSky", "some words key HunterTwoBlueSky", "some words: HunterTwoBlueSky"):
+        assert "HunterTwoBlueSky" in tokens(text)
+    text = " ".join(f"word{'' if k % 40 else k}" for k in range(200))
+    whole = [t.span() for t in secrets.TOKEN.finditer(text)]
+    of_whole = dict(zip(whole, secrets.features(text, whole, ()), strict=True))
+    found = list(secrets.segments(text))
+    assert len(found) > 3 and all(f == of_whole[t] for s in found for t, f in zip(s, secrets.features(text, s, ()), strict=True))
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     emit, move = rng.normal(size=(6, 3)), rng.normal(size=(3, 3))
