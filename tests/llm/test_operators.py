@@ -61,6 +61,18 @@ def test_license_forms(spark):
     assert [(r.doc_id, r.unit, r.license) for r in lines] == [(5, 2, "CC-BY-NC-4.0")]
 
 
+def test_licenses_with_titles_and_in_blocks(spark, tmp_path):
+    wrap = lambda t: re.sub(r"(.{50,70}) ", r"\1\n", t)
+    rows = [(k, f"{title}\n\nCopyright (c) 2020 Some One\n\n{wrap(licenses.KNOWN[name][0])}\n") for k, (name, title) in enumerate((n, t) for n, ts in licenses.TITLES.items() for t in ts)]
+    names = [n for n, ts in licenses.TITLES.items() for _ in ts]
+    assert {r.doc_id: r.license for r in licenses.license_scan(docs(spark, rows)).collect()} == dict(enumerate(names))
+    docs(spark, [(1, f"a b\n \n{wrap(licenses.KNOWN['ISC'][0])}\n\nc d")]).write.parquet(f"{tmp_path}/documents.parquet")
+    from tidepanel.llm import queries
+
+    assert [tuple(r) for r in queries.queries()["op2_license_blocks"](spark, str(tmp_path)).collect()] == [(1, 2, "ISC")]
+    assert "BSD 3-Clause" in queries.oracle_sql()["op2_licenses"]
+
+
 @pytest.fixture(scope="module")
 def crf(spark, small):
     return secrets.fit(spark.read.parquet(f"{small}/documents.parquet").unionByName(spark.createDataFrame([(-k, f"some words password = {hashlib.sha256(str(k).encode()).hexdigest()[:18]} and more", "en", "s", 0) for k in range(30)], "doc_id long, text string, lang string, source string, n_chars long")))
