@@ -1,10 +1,12 @@
 """Each numbered operator against a brute-force version, with nulls, empty texts, ties, repeated rows and empty tables."""
 
 import hashlib
+import pathlib
 import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -55,10 +57,36 @@ def test_top_k_finds_repeated_ids_once(spark):
 
 def test_license_forms(spark):
     text = licenses.KNOWN["MIT"][0]
-    got = licenses.license_scan(docs(spark, [(1, "Copyright (c) 2020 Some One\n" + text.upper().replace("SUBLICENSE", "sub-license")), (2, "x " + text), (3, None), (4, ""), (5, "a\nLicenced under CC BY-NC 4.0!\nb")])).collect()
-    assert [(r.doc_id, r.license) for r in got] == [(1, "MIT")]
-    lines = licenses.license_scan(docs(spark, [(5, "a\nLicenced under CC BY-NC 4.0!\nb")]), unit="\n").collect()
-    assert [(r.doc_id, r.unit, r.license) for r in lines] == [(5, 2, "CC-BY-NC-4.0")]
+    wrap = lambda t: re.sub(r"(.{50,70}) ", r"\1\n", t)
+    heads = ("Copyright (c) 2020 Some One\n", "Copyright © 2020 Jo\n", "© 2020-2021 Jo\n", "(c) 2019 Jo\n", "Copyright Jo Doe 2020\n", "Copyright: Jo Doe\n", " * Copyright (C) Jo\nAll rights reserved.\n\n", "MIT License\n\nCopyright (c) 2020 Jo\n\n")
+    rows = [(k, head + wrap(text)) for k, head in enumerate(heads)]
+    rows += [(20, text.upper().replace("SUBLICENSE", "sub-\nlicense")), (20, text), (21, "x " + text), (22, None), (23, ""), (24, "a\nLicenced under CC BY-NC 4.0!\nb"), (25, " \n\n\t")]
+    rows.append((26, "one paragraph of words " * 2000 + "\nReleased under the MIT License.\n" * 3))
+    got = licenses.license_scan(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.kind, r.unit, r.license) for r in got) == [(k, "text", 0, "MIT") for k in [*range(len(heads)), 20, 20]]
+    lines = licenses.license_scan(docs(spark, rows), kinds=("line",)).where("doc_id > 20").orderBy("doc_id", "unit").collect()
+    assert [(r.doc_id, r.unit, r.license) for r in lines] == [(24, 2, "CC-BY-NC-4.0"), (26, 2, "MIT"), (26, 4, "MIT"), (26, 6, "MIT")]
+    assert licenses.license_scan(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_own_known_table(spark, monkeypatch):
+    mine = spark.createDataFrame([("House", "Do as you like."), ("Other name", "do as you LIKE"), ("House", "do as you like")], "license string, text string").select("license", licenses.digest(F.col("text")).alias("digest"))
+    want = [(1, "House"), (1, "Other name")]
+    for most in (licenses.BROADCAST_ROWS, 1):  # broadcast, and shuffled
+        monkeypatch.setattr(licenses, "BROADCAST_ROWS", most)
+        got = licenses.license_scan(docs(spark, [(1, "Do as you like!\n")]), mine)
+        assert sorted((r.doc_id, r.license) for r in got.collect()) == want
+    assert licenses.license_scan(docs(spark, [(1, "Do as you like")]), mine.limit(0)).count() == 0
+
+
+def test_long_licenses_by_digest(spark):
+    folder = pathlib.Path("/usr/share/common-licenses")
+    if not folder.is_dir():
+        pytest.skip("no licence texts on this machine")
+    rows = [(k, (folder / name).read_text(errors="replace")) for k, name in enumerate(("Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0", "CC0-1.0"))]
+    rows.append((7, rows[0][1].split("END OF TERMS")[0].replace("Version 2.0, January 2004", "Version 2.0, January 2004 ")))
+    got = {r.doc_id: r.license for r in licenses.license_scan(docs(spark, rows)).collect()}
+    assert got == {0: "Apache-2.0", 1: "GPL-2.0", 2: "GPL-3.0", 3: "LGPL-2.1", 4: "LGPL-3.0", 5: "MPL-2.0", 6: "CC0-1.0", 7: "Apache-2.0"}
 
 
 def test_licenses_with_titles_and_in_blocks(spark, tmp_path):
@@ -66,11 +94,15 @@ def test_licenses_with_titles_and_in_blocks(spark, tmp_path):
     rows = [(k, f"{title}\n\nCopyright (c) 2020 Some One\n\n{wrap(licenses.KNOWN[name][0])}\n") for k, (name, title) in enumerate((n, t) for n, ts in licenses.TITLES.items() for t in ts)]
     names = [n for n, ts in licenses.TITLES.items() for _ in ts]
     assert {r.doc_id: r.license for r in licenses.license_scan(docs(spark, rows)).collect()} == dict(enumerate(names))
-    docs(spark, [(1, f"a b\n \n{wrap(licenses.KNOWN['ISC'][0])}\n\nc d")]).write.parquet(f"{tmp_path}/documents.parquet")
+    docs(spark, [(1, f"a b\n \n{wrap(licenses.KNOWN['ISC'][0])}\n\nc d"), (2, f"{rows[0][1]}\n"), (3, "a\nReleased under the MIT licence\n")]).write.parquet(f"{tmp_path}/documents.parquet")
     from tidepanel.llm import queries
 
-    assert [tuple(r) for r in queries.queries()["op2_license_blocks"](spark, str(tmp_path)).collect()] == [(1, 2, "ISC")]
-    assert "BSD 3-Clause" in queries.oracle_sql()["op2_licenses"]
+    assert sorted(tuple(r) for r in queries.queries()["op2_license_blocks"](spark, str(tmp_path)).collect()) == [(1, 2, "ISC"), (2, 2, "MIT")]
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    twin = con.sql(queries.oracle_sql()["op2_licenses"] + " ORDER BY doc_id").fetchall()
+    mine = queries.op2_licenses(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in mine] == twin == [(2, "MIT", 0, ""), (3, None, 1, "MIT")]
 
 
 @pytest.fixture(scope="module")

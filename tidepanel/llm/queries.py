@@ -32,18 +32,18 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents, and each line as a notice of its own: per document its licence, and its notices."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = licenses.license_scan(docs).unionByName(licenses.license_scan(docs, unit="\n"))
+    found = licenses.license_scan(table(spark, sf_dir, "documents"), kinds=("text", "line"))
+    notice = F.col("kind") == "line"
     return found.groupBy("doc_id").agg(
-        F.max(F.when(F.col("unit") == 0, F.col("license"))).alias("license"),
-        F.sum((F.col("unit") > 0).cast("long")).alias("n_notices"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("unit") > 0, F.col("license")))), ",").alias("notices"),
+        F.max(F.when(~notice, F.col("license"))).alias("license"),
+        F.sum(notice.cast("long")).alias("n_notices"),
+        F.array_join(F.array_sort(F.collect_set(F.when(notice, F.col("license")))), ",").alias("notices"),
     )
 
 
 def op2_license_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each stretch between blank lines as a text of its own: ``doc_id, unit, license``."""
-    return licenses.license_scan(table(spark, sf_dir, "documents"), unit=r"\n[ \t\r]*\n")
+    return licenses.license_scan(table(spark, sf_dir, "documents"), kinds=("block",)).drop("kind")
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP2 = r"""
 WITH known(license, text) AS (VALUES {known}),
-canon AS (SELECT license, sha256({c_text}) AS digest FROM known),
+canon AS (SELECT license, sha256({c_text}) AS digest FROM known UNION ALL SELECT * FROM (VALUES {digests}) g(license, digest)),
 parts AS (
   SELECT doc_id, 0 AS unit, text FROM documents
   UNION ALL SELECT doc_id, 1 AS unit, unnest(string_split(text, chr(10))) AS text FROM documents),
@@ -145,15 +145,16 @@ FROM cap LEFT JOIN hit ON hit.page_id = cap.page_id AND rn = 1
 
 
 def _canonical_sql(text: str) -> str:
-    x = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    x = f"regexp_replace({x}, '(^|\\n)[^a-z0-9\\n]*(copyright (\\(c\\)|[0-9])|\\(c\\) [0-9])[^\\n]*', '\\1', 'g')"
+    x = f"regexp_replace(lower({text}), '{licenses.COPYRIGHT}', '\\1', 'g')"
     x = f"trim(regexp_replace(replace({x}, '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
     for to, spellings in licenses.SPELLINGS.items():
         for other in spellings:
-            x = x if other == "&" else f"replace({x}, '{other}', '{to}')"
+            x = f"replace({x}, '{other}', '{to}')"
     return x
 
 
 def oracle_sql() -> dict[str, str]:
-    known = ", ".join(f"('{name}', '{text}')" for name, texts in licenses.KNOWN.items() for text in texts)
-    return {"op2_licenses": OP2.format(known=known, c_text=_canonical_sql("text")), "op4_url_filter": OP4, "op10_mixing": mixing.ORACLE}
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, texts in licenses.KNOWN.items() for text in texts)
+    digests = ", ".join(f"('{name}', '{x}')" for name, values in licenses.DIGESTS.items() for x in values)
+    return {"op2_licenses": OP2.replace("{known}", known).replace("{digests}", digests).replace("{c_text}", _canonical_sql("text")), "op4_url_filter": OP4, "op10_mixing": mixing.ORACLE}
