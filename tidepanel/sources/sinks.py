@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -73,21 +74,38 @@ def mirror(df: DataFrame, name: str) -> None:
     df.createOrReplaceTempView(name)
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tidepanel-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; one of our own only if it is unset."""
+    """The folder that ``spark.checkpoint.dir`` names.
+
+    Where it is unset, a folder of our own serves a local master, whose executors are this very process; a cluster
+    is refused, as its executors do not see such a folder.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidepanel-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ContractError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or _own_dir()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
-    An empty frame keeps its schema.  The files stay until the folder goes.
+    An empty frame keeps its schema.  The files stay until ``discard`` or the folder's end.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete what ``written`` wrote, once nothing to come reads it."""
+    spark = table.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
