@@ -97,7 +97,7 @@ def test_licenses_with_titles_and_in_blocks(spark, tmp_path):
     docs(spark, [(1, f"a b\n \n{wrap(licenses.KNOWN['ISC'][0])}\n\nc d"), (2, f"{rows[0][1]}\n"), (3, "a\nReleased under the MIT licence\n")]).write.parquet(f"{tmp_path}/documents.parquet")
     from tidepanel.llm import queries
 
-    assert sorted(tuple(r) for r in queries.queries()["op2_license_blocks"](spark, str(tmp_path)).collect()) == [(1, 2, "ISC"), (2, 2, "MIT")]
+    assert sorted(tuple(r) for r in queries.queries()["op2_license_blocks"](spark, str(tmp_path)).collect()) == [(1, 2, "ISC"), (2, 3, "MIT")]
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     twin = con.sql(queries.oracle_sql()["op2_licenses"] + " ORDER BY doc_id").fetchall()
@@ -196,6 +196,15 @@ def test_repeated_windows(spark, window):
     assert got == brute_windows(rows, window)
 
 
+def test_a_passage_in_every_text(spark):
+    passage, window = words(14, 77, 500), 5
+    rows = [(k, " ".join(words(9, 300 + k, 500) + passage + words(k % 4, 400 + k, 500))) for k in range(40)] + [(50, " ".join(words(20_000, 6, 4000)))]
+    table = docs(spark, [*rows, (None, rows[0][1]), (None, None), (7, rows[7][1])])
+    found = substrings.substring_dedup(table, window).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in found if r.doc_id is not None} == brute_windows(rows, window)
+    assert len(found) == len(rows) + 3 and all(r.n_removed == 0 for r in found if r.doc_id is None)
+
+
 def brute_groups(rows, n, percent):
     sets = {}
     for i, text in rows:
@@ -225,9 +234,25 @@ def test_near_duplicates(spark):
             w[rng.randrange(80)] = f"z{rng.randrange(99)}"
         rows.append((100 + k, " ".join(w)))
     rows += [(300, rows[0][1].upper()), (301, None), (302, "  "), (303, "Two words"), (304, "two WORDS")]
+    rows += [(305, "long " * 5 + " ".join(words(30_000, 8, 9000)))]
     p = near_dup.NearDup(shingle=3, percent=85, bands=22, small=4, block=16)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs(spark, rows), p).collect()}
-    assert got == brute_groups(rows, 3, 85)
+    table = docs(spark, [*rows, (None, rows[0][1]), (None, None), (5, rows[5][1])])
+    found = near_dup.near_duplicates(table, p).collect()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in found if r.doc_id is not None}
+    assert got == brute_groups(rows, 3, 85) and len(found) == len(rows) + 3
+    assert [(r.component_id, r.kept) for r in found if r.doc_id is None] == [(None, True)] * 2
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found if r.doc_id is not None)
+
+
+def test_near_duplicates_of_texts_without_words(spark):
+    found = near_dup.near_duplicates(docs(spark, [(k, " " if k % 2 else None) for k in range(9)])).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found) == [(k, 0, k, True) for k in range(9)]
+
+
+def test_one_id_on_two_texts_is_one_document(spark):
+    a, b = " ".join(words(40, 1)), " ".join(words(40, 2))
+    found = near_dup.near_duplicates(docs(spark, [(1, a), (2, b), (1, b), (3, a)])).collect()
+    assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 1, 3: 1}
 
 
 def test_components(spark):
@@ -236,16 +261,64 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(21), 0), 40: 40, 41: 40, 42: 40}
 
 
+def item_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def brute_contamination(rows, items, n, slop):
+    """(doc_id, n_words, n_hit, items, near items) of each row, by looking everywhere."""
+    windows = {}
+    for i, text in items:
+        w = item_words(text)
+        if i is not None and w:
+            for s in range(max(1, len(w) - n + 1)):
+                windows.setdefault(tuple(w[s : s + n]), set()).add(str(i))
+    count = Counter(x for _, text in rows for x in item_words(text))
+    out = []
+    for i, text in rows:
+        w = item_words(text)
+        hit, found, near = set(), set(), set()
+        for q, names in windows.items():
+            for s in range(len(w) - len(q) + 1):
+                if tuple(w[s : s + len(q)]) == q:
+                    hit |= set(range(s, s + len(q)))
+                    found |= names
+            rarest = {x for x in q if count[x] == min(count[y] for y in q)}
+            reach = len(q) + slop
+            if any(x in rarest and set(q) <= set(w[max(0, s - reach) : s + reach + 1]) for s, x in enumerate(w)):
+                near |= names
+        out.append((i, len(w), len(hit), tuple(sorted(found)), tuple(sorted(near))))
+    return sorted(out, key=str)
+
+
 @pytest.mark.parametrize("at_once", [1000, 3])
 def test_contamination(spark, at_once):
     item = words(30, 5, 200)
-    items = [(1, " ".join(item)), (2, "Short Item!"), (3, None), (4, "..."), (5, " ".join(item[:19]))]
+    items = [(1, " ".join(item)), (2, "Short Item!"), (3, None), (4, "..."), (5, " ".join(item[:19])), (None, " ".join(item)), (6, "alpha beta")]
     rows = [(1, "a b c " + ", ".join(item[4:22]).upper() + " tail"), (2, "x short-item y short item"), (3, None), (4, " ".join(item[:12])), (5, " ".join(words(400, 6, 200))), (1, "no hit")]
+    rows += [(6, "one two alpha"), (7, "beta three"), (8, " ".join(item[:6] + ["odd"] + item[6:13])), (None, "short item"), (9, "filler " * 30_000 + "alpha beta"), (10, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in positional.contamination(docs(spark, rows), bench, at_once=at_once).collect())
-    assert got == [(1, 2, 0, ()), (1, 22, 18, ("1", "5")), (2, 6, 4, ("2",)), (3, 0, 0, ()), (4, 12, 0, ()), (5, 400, 0, ())]
-    near = positional.contamination(docs(spark, [(1, " ".join(item[:6] + ["odd"] + item[6:13]))]), bench, slop=4).first()
-    assert near["items"] == [] and "1" in near.near_items
+    got = positional.contamination(docs(spark, rows), bench, slop=4, at_once=at_once).collect()
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), tuple(r.near_items)) for r in got), key=str)
+    want = brute_contamination(rows, items, 13, 4)
+    assert [x[:4] for x in got] == [x[:4] for x in want]
+    near = {x[0]: x[4] for x in got}
+    assert near[6] == near[7] == () and near[8] == ("1", "5") and near[9] == ("6",)
+    if at_once == 1000:  # distinct counts decide the rarest term, so equal ones may differ between rounds
+        assert {x[0] for x in got if x[4]} <= {x[0] for x in want if x[4]}
+    assert all(set(x[3]) <= set(x[4]) for x in got)
+    exact = positional.contamination(docs(spark, rows), bench, at_once=at_once).collect()
+    assert not any(r.near_items for r in exact)
+
+
+def test_contamination_of_generated_texts(spark):
+    rng = random.Random(9)
+    items = [(k, " ".join(words(rng.randrange(1, 12), 700 + k, 30))) for k in range(12)]
+    rows = [(k, " ".join(words(rng.randrange(0, 60), 800 + k, 30))) for k in range(60)]
+    rows += [(100 + k, f"{rows[k][1]} {items[k][1]} {rows[k + 1][1]}") for k in range(12)]
+    got = positional.contamination(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"), n=5).collect()
+    want = brute_contamination(rows, items, 5, -1)
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got), key=str) == [x[:4] for x in want]
 
 
 def test_token_counts_are_greedy(spark):
@@ -284,7 +357,23 @@ def test_mixing_fills_to_the_caps(spark):
         own = [r for r in got if r.source == s]
         assert all(r.target == pytest.approx(goal) and r.source_size == size[s] and r.taken <= 2 * r.size for r in own)
         assert abs(sum(r.taken for r in own) - goal) <= max(r.size for r in own) / 2 + 1e-6
-    assert mixing.mix(docs(spark, rows).limit(0)).count() == 0
+    assert mixing.mix(docs(spark, rows).limit(0)).count() == 0 and mixing.mix_rows(docs(spark, rows).limit(0)).count() == 0
+    assert all(r.copies <= 2 for r in got)
+    whole = mixing.mix_rows(docs(spark, rows))  # its size takes the place of the extra column
+    assert whole.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "source_size", "target", "copies", "taken"]
+    key = lambda r: (str(r.doc_id), r.size, str(r.source), r.copies, r.taken)
+    assert sorted(map(key, whole.collect())) == sorted(map(key, got))
+
+
+def test_mixing_of_empty_texts_and_equal_rows(spark):
+    rows = [(k, "", "en", "a") for k in range(5)] + [(9, "a b c", "en", "a")] * 40 + [(k, "x " * 30, "en", "b") for k in range(20, 30)]
+    got = mixing.mix(docs(spark, rows)).collect()
+    assert all(r.copies <= 2 for r in got)
+    for s in "ab":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 15 + 1e-6
+    nothing = mixing.mix(docs(spark, [(1, None, "en", None), (2, "", "en", "a")])).collect()
+    assert [(r.size, r.taken, r.target) for r in nothing] == [(0, 0, 0.0)] * 2
 
 
 def test_empty_tables(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.store import written
+from tidepanel.llm.store import discard, written
 
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:
@@ -13,17 +13,22 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
 
     Large-star and small-star rounds alternate until the edges stop changing; every
     round is written to the shared folder.  Edges pointing at a hub are replaced, never
-    multiplied.  Self-links and nulls are ignored; an empty table gives an empty one.
+    multiplied; least neighbours are written before the joins, so that Spark can split the
+    edges of a hub over many tasks.  Self-links and nulls are ignored; an empty table gives
+    an empty one.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = written(small, name)
+        ends = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = large.join(least, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        old, edges = edges, written(small, name)
+        discard(old)
+        discard(low)
         seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if seen == before:
             break

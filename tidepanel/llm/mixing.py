@@ -30,8 +30,8 @@ def word_count(text: Column) -> Column:
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, epochs: float = 2.0) -> DataFrame:
     """``source, size`` (a row per source) to ``source, source_size, target``.
 
-    Sources are ordered by code point, null last.  The source table is small: it is what
-    the single-partition windows here see.
+    Sources are ordered by code point, null last.  The single-partition windows here see the
+    source table alone: a name and a few numbers a source, whatever the number of documents.
     """
     order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
     place = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1
@@ -48,27 +48,64 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return levels.select("source", "source_size", F.least(F.col("cap"), F.coalesce(level * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, epochs: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", digits: int = 3) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, size, source, source_size, target, copies, taken``.
-
-    ``taken`` = ``copies`` * ``size``, at most ceil(epochs) * size.  A source's taken words differ from its
-    target by at most half of one document.  A null text has size 0; a null source is a source of its own,
-    the last; null ids and repeated rows are rows like any other, and equal ones may be
-    taken differently.  Extra columns are ignored; an empty table gives an empty one.
-    """
+def _placed(docs: DataFrame, weights, share, epochs, seed, id_col, text_col, source_col, digits) -> DataFrame:
+    """Rows with their source's target, whole repetitions, words for one more, and running words in the seeded order."""
     rows = docs.select(F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source"))
-    rows = rows.withColumn("u", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))))
+    rows = rows.withColumn("u", _draw(F.col("doc_id"), seed))
     rows = written(rows.withColumn("range", F.substring("u", 1, digits)), "sizes")
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     goal = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("size")), weights, share, epochs)
     placed = ranges.alias("r").join(goal.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source"))).select("r.source", "range", "range_size", "source_size", "target")
     rep = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.select("source", "range", "source_size", "target", F.floor(rep).alias("whole"), ((rep - F.floor(rep)) * F.col("source_size")).alias("extra"), F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("before"))
-    both = rows.alias("d").join(placed.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.range") == F.col("p.range"))).select("d.*", "source_size", "target", "whole", "extra", "before")
+    placed = placed.select(
+        "source",
+        "range",
+        "source_size",
+        "target",
+        F.floor(rep).alias("whole"),
+        ((rep - F.floor(rep)) * F.col("source_size")).alias("extra"),
+        F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("before"),
+    )
+    same = F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.range") == F.col("p.range"))
+    both = rows.alias("d").join(placed.alias("p"), same).select("d.*", "source_size", "target", "whole", "extra", "before")
     running = Window.partitionBy("source", "range").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("before") + F.sum("size").over(running) - F.col("size") / 2
-    out = both.withColumn("copies", F.col("whole") + (middle <= F.col("extra")).cast("long"))
+    return both.withColumn("once_more", (middle <= F.col("extra")) & (F.col("extra") > 0))
+
+
+def _draw(doc_id: Column, seed: str) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(seed), doc_id.cast("string")))
+
+
+def mix_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, epochs: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", digits: int = 3) -> DataFrame:
+    """``docs``, all columns, with ``size, source_size, target, copies, taken``, as ``mix`` tells them.
+
+    Along the seeded order the rows taken once more come first, so each source has one last such row: a small
+    table that is joined to the texts, which need no shuffle.  Rows equal in id and size are taken together.
+    Columns of the added names are replaced.
+    """
+    placed = _placed(docs, weights, share, epochs, seed, id_col, text_col, source_col, digits)
+    key = F.struct("u", "doc_id", "size")
+    cut = placed.groupBy("source").agg(*(F.first(c).alias(c) for c in ("source_size", "target", "whole")), F.max(F.when(F.col("once_more"), key)).alias("_last"))
+    cut = written(cut.withColumnRenamed("source", "_source"), "cuts")
+    kept = docs.drop("size", "source_size", "target", "copies", "taken")
+    own = F.struct(_draw(F.col(id_col), seed).alias("u"), F.col(id_col).alias("doc_id"), F.col("size"))
+    both = kept.withColumn("size", word_count(F.col(text_col))).join(F.broadcast(cut), F.col(source_col).eqNullSafe(F.col("_source")), "left")
+    copies = F.col("whole") + F.coalesce(own <= F.col("_last"), F.lit(False)).cast("long")
+    return both.withColumn("copies", copies).withColumn("taken", copies * F.col("size")).select(*kept.columns, "size", "source_size", "target", "copies", "taken")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, epochs: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", digits: int = 3) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, size, source, source_size, target, copies, taken``.
+
+    ``taken`` = ``copies`` * ``size``, at most ceil(epochs) * size.  A source's taken words differ from its
+    target by at most half of one document.  A null text has size 0; a null source is a source of its own,
+    the last; null ids and repeated rows are rows like any other, and equal ones may be
+    taken differently.  Extra columns are ignored; an empty table gives an empty one.
+    """
+    placed = _placed(docs, weights, share, epochs, seed, id_col, text_col, source_col, digits)
+    out = placed.withColumn("copies", F.col("whole") + F.col("once_more").cast("long"))
     return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -7,7 +7,7 @@ component already, so only members of *different* components of a bucket are com
 next: directly in small buckets, and in large ones block against block inside a task,
 which returns a spanning forest of the links it confirmed.  A candidate's signatures are
 compared in batches; it is dropped once the posterior probability that its similarity
-reaches the threshold falls below ``miss``.  Survivors are confirmed on their full sets.
+reaches the threshold falls below ``miss`` over the number of batches.  Survivors are confirmed on their full sets.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidepanel.llm import textcodes as tc
 from tidepanel.llm.graph import components
 from tidepanel.llm.sieve import sieve
-from tidepanel.llm.store import written
+from tidepanel.llm.store import small_batches, written
 
 
 @dataclass(frozen=True)
@@ -46,7 +46,7 @@ class NearDup:
 
 
 def least_matches(p: NearDup) -> list[tuple[int, int]]:
-    """(hashes compared, fewest equal ones with which a candidate goes on), per batch.
+    """(hashes compared, fewest equal ones with which a candidate goes on), per batch; ``miss`` is shared out over the batches.
 
     The prior is uniform; the posterior after m of n is Beta(m + 1, n - m + 1).
     """
@@ -57,7 +57,7 @@ def least_matches(p: NearDup) -> list[tuple[int, int]]:
         for m in range(n + 1):
             log = m * np.log(grid) + (n - m) * np.log1p(-grid)
             mass = np.exp(log - log.max())
-            if mass[above].sum() / mass.sum() >= p.miss:
+            if mass[above].sum() / mass.sum() >= p.miss * p.batch / p.size:
                 out.append((n, m))
                 break
     return out
@@ -227,12 +227,13 @@ def near_duplicates(docs: DataFrame, params: NearDup = NearDup(), id_col: str =
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
     Words are runs of non-space, A-Z lowered.  Null or wordless texts have no shingles and
-    no links.  Rows that share an id are one document; repeated rows stay.  A null id has a null
-    component and is kept.  Extra columns are ignored.  An empty table gives an empty one.
+    no links: they are their own component.  Rows that share an id are one document; repeated rows
+    stay.  A row without an id takes no part: its component is null, and it is kept.  Extra columns are ignored.  An empty table gives an empty one.
     Links are confirmed on full sets; a pair is missed only where no band of it agrees
     or its signatures look implausible (both bounded by the parameters).
     """
     p = params
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     signed = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_banded(p), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"), "signed")
     full = signed.where("n_shingles > 0 and doc_id is not null")
@@ -257,9 +258,11 @@ def near_duplicates(docs: DataFrame, params: NearDup = NearDup(), id_col: str =
     links = links.unionByName(_large_buckets(rest.where(F.col("n") > p.small), known, p))
 
     final = components(links, "second")
-    out = signed.join(nodes.select("h1", "h2", "n_shingles", "node"), ["h1", "h2", "n_shingles"], "left").join(final, "node", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    # Texts without a set or an id go past the join, where they would share one key; large classes are split by Spark, as nodes is a stored table.
+    linked = full.join(nodes.select("h1", "h2", "n_shingles", "node").hint("merge"), ["h1", "h2", "n_shingles"], "left")
+    linked = linked.join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = linked.unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -1,7 +1,7 @@
 """Operator 8: benchmark decontamination over a distributed positional inverted index.
 
-``build_index`` stores postings of the training tokens: each row is a block of texts with,
-for every term, the ascending positions at which it stands.  Blocks are dealt by document,
+``build_index`` stores postings of the training tokens that test items ask for (postings of other
+terms could never be read): each row is a block of texts with, for every term, the ascending positions at which it stands.  Blocks are dealt by document,
 so a very common term or passage spreads over all of them and a search needs no shuffle.
 ``search`` takes windows of test words in blocks of a checked size, ranks each window's
 terms by their postings in the whole corpus, starts from the rarest list and intersects
@@ -12,6 +12,7 @@ only if all of its terms agree.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm import textcodes as tc
-from tidepanel.llm.store import written
+from tidepanel.llm.store import small_batches, written
 
-INDEX = "ids array<long>, first array<int>, terms array<long>, lists array<int>, postings binary"
+INDEX = "block string, ids array<long>, first array<int>, terms array<long>, lists array<int>, postings binary"
 #: Test windows searched at once; more are searched in further rounds.
 WINDOWS_AT_ONCE = 200_000
 
@@ -30,7 +31,7 @@ WINDOWS_AT_ONCE = 200_000
 def _indexed(vocabulary, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = vocabulary.value
-        for batch in batches:
+        for batch in tc.slices(batches):
             data, offsets = tc.buffers(batch.column("text"))
             ids = batch.column("doc_id")
             for i, j, part, offs in tc.chunked(data, offsets, size):
@@ -42,9 +43,9 @@ def _indexed(vocabulary, size: int):
                 order = np.argsort(term, kind="stable")
                 present, lists = np.unique(term[order], return_index=True)
                 ends = np.append(lists, len(order)).astype(np.int32)
-                row = [ids.slice(i, j - i).to_pylist(), words.first.astype(np.int32), tc.signed(wanted[present]), ends, at[order].astype(np.int32).tobytes()]
-                kinds = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["ids", "first", "terms", "lists", "postings"])
+                row = [uuid.uuid4().hex, ids.slice(i, j - i).to_pylist(), words.first.astype(np.int32), tc.signed(wanted[present]), ends, at[order].astype(np.int32).tobytes()]
+                kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["block", "ids", "first", "terms", "lists", "postings"])
 
     return run
 
@@ -55,6 +56,7 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray, id_col: str = "doc_id",
     Words are runs of digits, letters and non-ASCII, A-Z lowered.  Null texts have no words.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     wanted = spark.sparkContext.broadcast(np.unique(np.append(vocabulary, np.uint64(0))))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return written(texts.mapInArrow(_indexed(wanted, block_bytes), INDEX), "index")
@@ -88,10 +90,10 @@ def phrase_windows(items: DataFrame, n: int = 13, id_col: str = "item_id", text_
 
 
 class _Queries:
-    """Windows of one length as a matrix of places in the vocabulary, rarest term first in ``order``."""
+    """Windows of one length, with their numbers, as a matrix of places in the vocabulary, rarest term first in ``order``."""
 
-    def __init__(self, terms: np.ndarray, items: list[list[str]], vocabulary: np.ndarray, df: np.ndarray):
-        self.n, self.items = terms.shape[1], items
+    def __init__(self, terms: np.ndarray, numbers: np.ndarray, vocabulary: np.ndarray, df: np.ndarray):
+        self.n, self.numbers = terms.shape[1], numbers
         self.places = np.searchsorted(vocabulary, terms.view(np.uint64))
         self.order = np.argsort(df[self.places], axis=1, kind="stable")
 
@@ -125,31 +127,32 @@ def _matches(q: _Queries, lists: np.ndarray, ends: np.ndarray, postings: np.ndar
     return window[keep], start[keep]
 
 
-def _near(q: _Queries, lists: np.ndarray, ends: np.ndarray, postings: np.ndarray, n_words: int, terms: int, slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and places of their rarest term that have their ``terms`` rarest terms within n + slop words."""
-    many = ends - lists
+def _near(q: _Queries, lists: np.ndarray, ends: np.ndarray, postings: np.ndarray, first: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows, and the texts in which all of their terms stand within n + slop words of one place of the rarest."""
+    n_words, many = int(first[-1]), ends - lists
     alive = np.flatnonzero(many[q.places].min(axis=1) > 0)
-    reach = q.n + slop
-    width = np.int64(n_words + 2 * reach + 2)
+    width = np.int64(n_words + 1)
     keys = np.repeat(np.arange(len(many), dtype=np.int64), many) * width + postings
     places = q.places[alive, q.order[alive, 0]]
     size = many[places]
     window = np.repeat(alive, size)
     at = postings[np.repeat(lists[places], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)]
-    for k in range(1, min(terms, q.n)):
+    text = np.searchsorted(first, at, "right") - 1
+    low, high = np.maximum(at - q.n - slop, first[text]), np.minimum(at + q.n + slop, first[text + 1] - 1)
+    for k in range(1, q.n):
         if not len(window):
             break
         base = q.places[window, q.order[window, k]] * width
-        found = np.searchsorted(keys, base + np.maximum(at - reach, 0))
-        keep = (found < len(keys)) & (keys[np.minimum(found, len(keys) - 1)] <= base + np.minimum(at + reach, n_words))
-        window, at = window[keep], at[keep]
-    return window, at
+        found = np.searchsorted(keys, base + low)
+        keep = (found < len(keys)) & (keys[np.minimum(found, len(keys) - 1)] <= base + high)
+        window, text, low, high = window[keep], text[keep], low[keep], high[keep]
+    return window, text
 
 
-def _searched(asked, terms: int, slop: int):
+def _searched(asked, slop: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests, wanted, df = asked.value
-        queries = [_Queries(t, items, wanted, df) for t, items in tests]
+        queries = [_Queries(terms, numbers, wanted, df) for terms, numbers in tests]
         for batch in batches:
             for block in batch.to_pylist():
                 first = np.asarray(block["first"], np.int64)
@@ -159,8 +162,7 @@ def _searched(asked, terms: int, slop: int):
                 bounds = np.asarray(block["lists"], np.int64)
                 lists[have], ends[have] = bounds[:-1], bounds[1:]
                 n_words = int(first[-1])
-                change, items = np.zeros(n_words + 1, np.int64), {}
-                near: dict[int, set] = {}
+                change, exact, near = np.zeros(n_words + 1, np.int64), {}, {}
                 for q in queries:
                     window, start = _matches(q, lists, ends, post, n_words)
                     text = np.searchsorted(first, start, "right") - 1
@@ -168,13 +170,12 @@ def _searched(asked, terms: int, slop: int):
                     window, start, text = window[inside], start[inside], text[inside]
                     np.add.at(change, start, 1)
                     np.add.at(change, start + q.n, -1)
-                    for t, w in set(zip(text.tolist(), window.tolist(), strict=True)):
-                        items.setdefault(t, set()).update(q.items[w])
+                    for t, w in zip(text.tolist(), q.numbers[window].tolist(), strict=True):
+                        exact.setdefault(t, set()).add(w)
                     if slop >= 0:
-                        window, at = _near(q, lists, ends, post, n_words, terms, slop)
-                        text = np.searchsorted(first, at, "right") - 1
-                        for t, w in set(zip(text.tolist(), window.tolist(), strict=True)):
-                            near.setdefault(t, set()).update(q.items[w])
+                        window, text = _near(q, lists, ends, post, first, slop)
+                        for t, w in zip(text.tolist(), q.numbers[window].tolist(), strict=True):
+                            near.setdefault(t, set()).add(w)
                 cover = np.cumsum(change)[:-1] > 0
                 edge = np.diff(np.concatenate([[False], cover, [False]]).astype(np.int8))
                 runs: dict[int, list] = {}
@@ -186,16 +187,21 @@ def _searched(asked, terms: int, slop: int):
                             runs.setdefault(t, []).append({"lo": int(a - first[t]), "hi": int(stop - first[t])})
                         a, t = stop, t + 1
                 k = range(len(block["ids"]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(block["ids"], pa.int64()), pa.array(np.diff(first)), pa.array([runs.get(t, []) for t in k], _RUNS), pa.array([sorted(items.get(t, ())) for t in k], pa.list_(pa.string())), pa.array([sorted(near.get(t, ())) for t in k], pa.list_(pa.string()))],
-                    names=["doc_id", "n_words", "runs", "items", "near_items"],
-                )
+                columns = [
+                    pa.array([f"{block['block']}-{t}" for t in k], pa.string()),
+                    pa.array(block["ids"], pa.int64()),
+                    pa.array(np.diff(first)),
+                    pa.array([runs.get(t, []) for t in k], _RUNS),
+                    pa.array([sorted(exact.get(t, ())) for t in k], pa.list_(pa.int64())),
+                    pa.array([sorted(near.get(t, ())) for t in k], pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_words", "runs", "exact", "near"])
 
     return run
 
 
 _RUNS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-FOUND = "doc_id long, n_words long, runs array<struct<lo:long,hi:long>>, items array<string>, near_items array<string>"
+FOUND = "row string, doc_id long, n_words long, runs array<struct<lo:long,hi:long>>, exact array<long>, near array<long>"
 
 
 def _vocabulary(windows: DataFrame) -> np.ndarray:
@@ -203,7 +209,7 @@ def _vocabulary(windows: DataFrame) -> np.ndarray:
     return np.unique(np.append(found.view(np.uint64), np.uint64(0)))
 
 
-def _round(docs: DataFrame, windows: DataFrame, near_terms: int, slop: int, id_col: str, text_col: str) -> DataFrame:
+def _round(docs: DataFrame, windows: DataFrame, slop: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     vocabulary = _vocabulary(windows)
     index = build_index(docs, vocabulary, id_col, text_col)
@@ -212,13 +218,13 @@ def _round(docs: DataFrame, windows: DataFrame, near_terms: int, slop: int, id_c
     total = np.zeros(len(vocabulary), np.int64)
     total[np.searchsorted(vocabulary, df["terms"].to_numpy(np.int64).view(np.uint64))] = df["n"].to_numpy(np.int64)
     by_length: dict[int, tuple[list, list]] = {}
-    for terms, items in windows.select("terms", "item_ids").collect():
+    for terms, number in windows.select("terms", "number").collect():
         have = by_length.setdefault(len(terms), ([], []))
         have[0].append(terms)
-        have[1].append(items)
-    made = [(np.asarray(t, np.int64), i) for t, i in by_length.values()]
+        have[1].append(number)
+    made = [(np.asarray(t, np.int64), np.asarray(i, np.int64)) for t, i in by_length.values()]
     context = spark.sparkContext
-    return index.mapInArrow(_searched(context.broadcast((made, vocabulary, total)), near_terms, slop), FOUND)
+    return index.mapInArrow(_searched(context.broadcast((made, vocabulary, total)), slop), FOUND)
 
 
 def _merged(runs):
@@ -229,32 +235,46 @@ def _merged(runs):
     return F.aggregate(ordered, zero, step)["n"]
 
 
-def contamination(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", near_terms: int = 4, slop: int = -1, at_once: int = WINDOWS_AT_ONCE) -> DataFrame:
+def _named(hits: DataFrame, windows: DataFrame) -> DataFrame:
+    """``row, items, near_items``: the items behind the window numbers of rows that have some; no item list is broadcast."""
+    kind = lambda c, exact: F.transform(c, lambda w: F.struct(w.alias("number"), F.lit(exact).alias("is_exact")))
+    asked = hits.select("row", F.explode(F.concat(kind("exact", True), kind("near", False))).alias("w")).select("row", "w.*")
+    named = asked.join(windows.select("number", F.explode("item_ids").alias("item")).hint("merge"), "number")
+    ids = lambda exact: F.array_sort(F.collect_set(F.when(F.col("is_exact") == exact, F.col("item"))))
+    return named.groupBy("row").agg(ids(True).alias("items"), ids(False).alias("near_items"))
+
+
+def contamination(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", slop: int = -1, at_once: int = WINDOWS_AT_ONCE) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_hit, items, near_items``.
 
     A word is hit if it stands inside an occurrence of a window of n item words; an item of
     fewer words is one window; an item or text without words (or null) has none.  With
-    ``slop`` of 0 or more, ``near_items`` are the items of windows whose ``near_terms`` rarest
-    terms stand within n + slop words of each other (in or beside the text's block).  Test
-    windows are searched ``at_once`` at a time, so what is broadcast is bounded.  Repeated
-    rows stay; null item ids take no part; extra columns are ignored; empty tables give no
-    hits, or no rows.
+    ``slop`` of 0 or more, ``near_items`` are the items of windows all of whose terms stand, in any
+    order, within n + slop words of one place of their rarest term in the same text.  Test
+    windows are searched ``at_once`` at a time, so what is broadcast is bounded: terms and numbers
+    of windows; item ids are joined to the matches.  Repeated rows stay; null item ids take no part; extra columns are
+    ignored; empty tables give no hits, or no rows.
     """
-    windows = written(phrase_windows(items, n), "phrases")
+    windows = written(phrase_windows(items, n).withColumn("number", F.monotonically_increasing_id()), "phrases")
     many = windows.count()
     rounds = max(1, -(-many // at_once))
     part = F.pmod(F.xxhash64("terms"), F.lit(rounds))
+    none = F.array().cast("array<string>")
     if rounds == 1:
-        found = _round(docs, windows, near_terms, slop, id_col, text_col)
+        found = written(_round(docs, windows, slop, id_col, text_col), "found")
     else:
         keyed = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id()), "rows")
-        parts = [_round(keyed, windows.where(part == k), near_terms, slop, "row", "text") for k in range(rounds)]
+        parts = [_round(keyed, windows.where(part == k), slop, "row", "text").drop("row") for k in range(rounds)]
         both = parts[0]
         for p in parts[1:]:
             both = both.unionByName(p)
-        both = both.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("runs", "items", "near_items")))
-        found = both.withColumnRenamed("doc_id", "row").join(keyed.select("row", F.col("id").alias("doc_id")), "row")
-    return found.select("doc_id", "n_words", _merged(F.col("runs")).alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), F.array_sort(F.array_distinct("near_items")).alias("near_items"))
+        both = both.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("runs", "exact", "near")))
+        both = both.withColumnRenamed("doc_id", "row").join(keyed.select("row", F.col("id").alias("doc_id")), "row")
+        found = written(both.withColumn("row", F.col("row").cast("string")), "found")
+    hit = (F.size("exact") > 0) | (F.size("near") > 0)
+    hits = found.where(hit).join(_named(found.where(hit), windows), "row", "left")
+    every = hits.unionByName(found.where(~hit).select("*", none.alias("items"), none.alias("near_items")))
+    return every.select("doc_id", "n_words", _merged(F.col("runs")).alias("n_hit"), "items", "near_items")
 
 
 def contaminated(n_hit, n_words):

@@ -17,6 +17,9 @@ from tidepanel.llm.wordpiece import read_vocabulary, token_counts
 #: A public byte-pair vocabulary; words start with a space in it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
+#: Words that op8 lets stand between the terms of a window for a proximity match.
+NEAR_SLOP = 3
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -86,7 +89,7 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=NEAR_SLOP)
     return found.select(
         "doc_id",
         "n_words",
@@ -94,6 +97,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"),
     )
 
 

@@ -1,5 +1,18 @@
-"""Shared-folder tables that cut lineage and survive the loss of executors."""
+"""Shared-folder tables that cut lineage and survive the loss of executors; batches of bounded size for Python workers."""
 
-from tidepanel.sources.sinks import shared_dir, written
+from pyspark.sql import SparkSession
 
-__all__ = ["shared_dir", "written"]
+from tidepanel.sources.sinks import discard, shared_dir, written
+
+__all__ = ["discard", "shared_dir", "small_batches", "written"]
+
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_BYTES``: rows are whole texts, and executor and worker hold a batch each."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)

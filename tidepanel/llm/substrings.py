@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm import textcodes as tc
-from tidepanel.llm.store import written
+from tidepanel.llm.store import small_batches, written
 
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -50,7 +50,7 @@ def anchors(words: tc.Words, short: np.ndarray, window: int, level: int) -> np.n
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in tc.slices(batches):
         n, sha = [], []
         for text in batch.column("text").to_pylist():
             words = (text or "").encode().split()
@@ -61,7 +61,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _anchored(window: int, level: int, double: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tc.slices(batches):
             data, offsets = tc.buffers(batch.column("text"))
             ids, t1 = batch.column("doc_id"), batch.column("t1")
             for i, j, part, offs in tc.chunked(data, offsets):
@@ -81,7 +81,7 @@ def _anchored(window: int, level: int, double: int):
 
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tc.slices(batches):
             data, offsets = tc.buffers(batch.column("text"))
             ids, t1 = batch.column("rep"), batch.column("t1")
             spans = [s.as_py() for s in batch.column("spans")]
@@ -111,7 +111,7 @@ def _windows(window: int):
 
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tc.slices(batches):
             removed, sha = [], []
             for text, starts in zip(batch.column("text"), batch.column("starts"), strict=True):
                 words = text.as_py().encode().split()
@@ -128,16 +128,21 @@ def _cut(window: int):
 
 
 def _repeated(rows: DataFrame, key: str) -> DataFrame:
-    """Rows whose hash occurs in two different texts."""
-    seen = rows.groupBy(key).agg(F.min("t1").alias("lo"), F.max("t1").alias("hi")).where("lo < hi").select(key)
-    return rows.join(seen, key, "left_semi")
+    """Rows whose hash occurs in two different texts.
+
+    The repeated hashes are stored first: then a join has nothing but shuffled tables on both
+    sides, and Spark splits the rows of a very common hash over many tasks.
+    """
+    seen = written(rows.groupBy(key).agg(F.min("t1").alias("lo"), F.max("t1").alias("hi")).where("lo < hi").select(key), "repeated")
+    return rows.join(seen.hint("merge"), key, "left_semi")
 
 
-def repeated_windows(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tables behind the removal: per-row word counts, flagged window starts, candidate texts.
+def repeated_windows(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Tables behind the removal: per-row word counts, smallest id of equal texts, flagged window starts, candidate texts.
 
     A flagged start begins a window whose word sequence also starts in a smaller id.
     """
+    small_batches(docs.sparkSession)
     level, double = max(1, (window + 3) // 4), max(1, window // 2)
     text = F.col(text_col)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.hash(text).alias("t2"))
@@ -157,9 +162,9 @@ def repeated_windows(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     candidates = written(texts.join(spans.hint("merge"), ["rep", "t1", "t2"]), "candidates")
 
     rows = written(candidates.mapInArrow(_windows(window), "rep long, t1 long, pos int, h long, h2 int"), "windows")
-    least = rows.groupBy("h", "h2").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("h", "h2", "lo")
-    flagged = rows.join(least, ["h", "h2"]).where("rep > lo").select("rep", "t1", "pos")
-    return counted, flagged, candidates.select("rep", "t1", "text")
+    least = written(rows.groupBy("h", "h2").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("h", "h2", "lo"), "least")
+    flagged = rows.join(least.hint("merge"), ["h", "h2"]).where("rep > lo").select("rep", "t1", "pos")
+    return counted, reps, flagged, candidates.select("rep", "t1", "text")
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,15 +176,17 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     loses nothing.  Repeated rows get the same result each; extra columns are ignored;
     an empty table gives an empty one.
     """
-    counted, flagged, texts = repeated_windows(docs, window, id_col, text_col)
+    counted, reps, flagged, texts = repeated_windows(docs, window, id_col, text_col)
     starts = flagged.groupBy("rep", "t1").agg(F.collect_set("pos").alias("starts"))
     cut = texts.dropDuplicates(["rep", "t1"]).join(starts.hint("merge"), ["rep", "t1"]).mapInArrow(_cut(window), "rep long, t1 long, n_cut long, sha_cut string")
-    reps = counted.where(f"n_words >= {window} and doc_id is not null").groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"))
-    out = counted.join(reps, ["t1", "t2"], "left").join(written(cut, "cut"), ["rep", "t1"], "left")
-    copy = (F.col("doc_id") > F.col("rep")) & (F.col("n_words") >= window)
-    return out.select(
+    able = F.coalesce((F.col("n_words") >= window) & F.col("doc_id").isNotNull(), F.lit(False))
+    # Short texts and null ids go past the joins, where they would share keys; copies of one text are split by Spark.
+    out = counted.where(able).join(reps.hint("merge"), ["t1", "t2"]).join(written(cut, "cut").hint("merge"), ["rep", "t1"], "left")
+    copy = F.col("doc_id") > F.col("rep")
+    rest = counted.where(~able).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
+    return rest.unionByName(out.select(
         "doc_id",
         "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_cut", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, F.lit(EMPTY)).otherwise(F.coalesce("sha_cut", "sha")).alias("kept_sha256"),
-    )
+    ))
