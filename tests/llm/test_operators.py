@@ -55,6 +55,26 @@ def test_top_k_finds_repeated_ids_once(spark):
             assert [r for r in got if r[0] == q] == [(q, k + 1, i, -s) for k, (s, i) in enumerate(expected)]
 
 
+def test_top_k_edges(spark, tmp_path, monkeypatch):
+    from tidepanel.llm import queries
+
+    rng = np.random.default_rng(5)
+    v = {i: rng.integers(-2, 3, 4).astype(float).tolist() for i in range(300)}
+    table = spark.createDataFrame([(i, x, 7) for i, x in v.items()], "id long, v array<double>, score int")
+    monkeypatch.setattr(kdtree, "BOX_BYTES", 300)  # boxes in many rounds
+    got = [tuple(r) for r in kdtree.top_k(table, table.where("id % 7 = 0"), 5, shard_rows=16, query_rows=10, sample_rows=90).collect()]
+    want = [(q, n + 1, i, int(s)) for q in range(0, 300, 7) for n, (s, i) in enumerate(sorted(((np.dot(v[q], v[i]), i) for i in v if i != q), key=lambda x: (-x[0], x[1]))[:5])]
+    assert sorted(got) == want
+    assert kdtree.top_k(table, table.limit(0)).count() == kdtree.top_k(table.limit(0), table).count() == 0
+    mixed = spark.createDataFrame([(1, []), (2, []), (3, [1.0]), (4, [2.0]), (None, [3.0]), (5, [1.0, 2.0])], "id long, v array<double>")
+    assert sorted(tuple(r) for r in kdtree.top_k(mixed, mixed).collect()) == [(1, 1, 2, 0), (2, 1, 1, 0), (3, 1, 4, 2), (4, 1, 3, 2)]
+
+    raw = [(0, [0.5, -0.001]), (50, [float("nan"), 1.0]), (100, [1.0, 1.0]), (3, [float("inf"), 1.0]), (4, [None, 1.0]), (5, None), (6, [0.25, 0.999]), (7, [0.25, 0.9999])]
+    spark.createDataFrame(raw, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r) for r in queries.op1_top_k(spark, str(tmp_path)).collect())
+    assert got == [(0, 1, 100, 128 * 256 - 256), (0, 2, 6, 128 * 64 - 255), (0, 3, 7, 128 * 64 - 255), (100, 1, 6, 256 * (64 + 255)), (100, 2, 7, 256 * (64 + 255)), (100, 3, 0, 256 * 127)]
+
+
 def test_license_forms(spark):
     text = licenses.KNOWN["MIT"][0]
     wrap = lambda t: re.sub(r"(.{50,70}) ", r"\1\n", t)

@@ -1,14 +1,19 @@
 """Operator 1: exact top-k inner products with a KD-tree per shard.
 
-Vectors are dealt over shards of bounded size by hash.  In each shard, distinct vectors
-form a tree of median splits with tight bounding boxes.  A query visits nodes best first
-by the largest inner product its box allows, and stops below the kth best score it has.
-A first pass searches one shard for each query and hands its kth score to all others as a bound.
+Distinct vectors are dealt over shards by space: the top splits of a KD-tree, fitted on a
+bounded sample, send each vector to a cell; a cell with too many vectors is dealt on by
+hash.  Each shard becomes one tree of median splits with tight bounding boxes, built and
+stored once.  A query first searches the shard whose box allows the largest product, and
+its kth score there is handed on as a bound: only shards whose box can reach it see the
+query at all.  Inside a tree, nodes are visited best first by their boxes' bounds, below
+which the kth best score so far ends the search.
 """
 
 from __future__ import annotations
 
 import heapq
+import io
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,31 +24,42 @@ from pyspark.sql import functions as F
 from tidepanel.llm.store import written
 
 LEAF = 256
+#: Bytes of boxes that are broadcast at once, and of vectors in one tree.
+BOX_BYTES, TREE_BYTES = 32 << 20, 16 << 20
 
 
 @dataclass
 class Tree:
+    """Points in leaf order; ``ids[at[p]:at[p + 1]]`` hold point p; a node covers ``span`` points inside ``low``..``high``."""
+
     points: np.ndarray
-    ids: list[np.ndarray]
+    ids: np.ndarray
+    at: np.ndarray
     low: np.ndarray
     high: np.ndarray
     left: np.ndarray
     right: np.ndarray
     span: np.ndarray
 
+    def packed(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, **self.__dict__)
+        return out.getvalue()
+
+    @staticmethod
+    def unpacked(data: bytes) -> Tree:
+        with np.load(io.BytesIO(data)) as found:
+            return Tree(**{name: found[name] for name in found.files})
 
-def build(vectors: np.ndarray, ids: np.ndarray, k: int) -> Tree:
-    """A tree over the distinct vectors; of equal ones the k + 1 smallest distinct ids, enough for any top k."""
+
+def build(vectors: np.ndarray, ids: np.ndarray) -> Tree:
+    """A tree over the distinct vectors, with all ids of each, ascending."""
     order = np.lexsort((ids, *vectors.T[::-1])) if vectors.shape[1] else np.argsort(ids, kind="stable")
     vectors, ids = vectors[order], ids[order]
     fresh = np.ones(len(vectors), bool)
     fresh[1:] = (vectors[1:] != vectors[:-1]).any(1)
-    once = fresh.copy()
-    once[1:] |= ids[1:] != ids[:-1]
-    vectors, ids, fresh = vectors[once], ids[once], fresh[once]
-    at = np.flatnonzero(fresh)
-    points = vectors[at]
-    same = [ids[a : min(a + k + 1, b)] for a, b in zip(at, np.append(at[1:], len(ids)), strict=True)]
+    starts = np.flatnonzero(fresh)
+    points, ends = vectors[starts], np.append(starts[1:], len(ids))
     perm = np.arange(len(points))
     low, high, left, right, span = [], [], [], [], []
 
@@ -64,14 +80,21 @@ def build(vectors: np.ndarray, ids: np.ndarray, k: int) -> Tree:
         return node
 
     grow(0, len(points))
-    return Tree(points[perm], [same[p] for p in perm], np.array(low), np.array(high), np.array(left), np.array(right), np.array(span))
+    by_leaf = np.concatenate([ids[starts[p] : ends[p]] for p in perm])
+    at = np.concatenate([[0], np.cumsum((ends - starts)[perm])])
+    return Tree(points[perm], by_leaf, at, np.array(low), np.array(high), np.array(left), np.array(right), np.array(span))
+
+
+def limits(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The largest inner product that each box allows with each query."""
+    return np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
 
 
 def search(tree: Tree, query: np.ndarray, own: int, k: int, bound: float) -> list[tuple[float, int]]:
     """Up to k (score, id), best first, none below ``bound``; each id once, at its best score; ties to smaller ids."""
-    limits = np.maximum(query, 0) @ tree.high.T + np.minimum(query, 0) @ tree.low.T
+    allowed = limits(query, tree.low, tree.high)
     best: list[tuple[float, int]] = []  # a heap of (score, -id)
-    queue = [(-limits[0], 0)]
+    queue = [(-allowed[0], 0)]
     while queue:
         limit, node = heapq.heappop(queue)
         floor = max(bound, best[0][0]) if len(best) == k else bound
@@ -79,8 +102,8 @@ def search(tree: Tree, query: np.ndarray, own: int, k: int, bound: float) -> lis
             break
         if tree.left[node] >= 0:
             for child in (int(tree.left[node]), int(tree.right[node])):
-                if limits[child] >= floor:
-                    heapq.heappush(queue, (-limits[child], child))
+                if allowed[child] >= floor:
+                    heapq.heappush(queue, (-allowed[child], child))
             continue
         a, b = tree.span[node]
         score = tree.points[a:b] @ query
@@ -88,7 +111,7 @@ def search(tree: Tree, query: np.ndarray, own: int, k: int, bound: float) -> lis
         for p in near[np.argsort(-score[near], kind="stable")]:
             if len(best) == k and score[p] < best[0][0]:
                 break
-            for i in tree.ids[a + p]:
+            for i in tree.ids[tree.at[a + p] : tree.at[a + p + 1]]:
                 entry = (float(score[p]), -int(i))
                 if i == own or len(best) == k and entry <= best[0]:
                     continue
@@ -107,50 +130,153 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), np.float64).reshape(len(column), -1)
 
 
+def _top_splits(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Axis and cut of the nodes of a complete tree; node n has the children 2n + 1 and 2n + 2."""
+    axis, cut = np.zeros(2**depth - 1, np.int64), np.zeros(2**depth - 1)
+
+    def split(node: int, rows: np.ndarray) -> None:
+        if node >= len(axis) or not len(rows):
+            return
+        axis[node] = int(np.argmax(rows.max(0) - rows.min(0)))
+        values = rows[:, axis[node]]
+        cut[node] = float(np.median(values))
+        split(2 * node + 1, rows[values <= cut[node]])
+        split(2 * node + 2, rows[values > cut[node]])
+
+    split(0, sample)
+    return axis, cut
+
+
+def _celled(splits):
+    """Vectors with the cell that the top splits of their length send them to (cell 0 for a length without splits)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            cell = np.zeros(len(f), np.int64)
+            for dim, rows in f.groupby("dim").indices.items():
+                if dim in splits.value:
+                    axis, cut = splits.value[dim]
+                    v, node = _matrix(f["v"].iloc[rows]), np.zeros(len(rows), np.int64)
+                    while len(axis) and node[0] < len(axis):
+                        node = 2 * node + 1 + (v[np.arange(len(v)), axis[node]] > cut[node])
+                    cell[rows] = node
+            yield f.assign(cell=cell)
+
+    return run
+
+
+def _grown(f: pd.DataFrame) -> pd.DataFrame:
+    tree = build(_matrix(f["v"]), f["id"].to_numpy(np.int64))
+    return pd.DataFrame({"shard": [f["shard"].iloc[0]], "dim": [f["dim"].iloc[0]], "low": [tree.low[0]], "high": [tree.high[0]], "tree": [tree.packed()]})
+
+
+def _reached(boxes, best_only: bool):
+    """Queries with the shards they may find something in: the most promising one, or all whose box reaches their bound."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, by_dim = boxes.value
+        for f in frames:
+            for dim, rows in f.groupby("dim").indices.items():
+                if dim not in by_dim:
+                    continue
+                place, low, high = by_dim[dim]
+                step = max(1, (1 << 21) // len(place))
+                for i in range(0, len(rows), step):
+                    part = f.iloc[rows[i : i + step]]
+                    allowed = limits(_matrix(part["v"]), low, high)
+                    if best_only:
+                        q, s = np.arange(len(part)), allowed.argmax(1)
+                    else:
+                        floor = part["bound"].fillna(-np.inf).to_numpy(np.float64)
+                        q, s = np.nonzero(allowed >= floor[:, None])
+                    out = part.iloc[q].assign(shard=names[place[s]], allowed=allowed[q, s])
+                    yield out if best_only else out[out["shard"] != out["home"]]
+
+    return run
+
+
 def _shard_search(k: int):
-    def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
-        if not len(vectors) or not len(queries):
-            return none
-        tree = build(_matrix(vectors["v"]), vectors["id"].to_numpy(np.int64), k)
+    def run(trees: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
-        bounds = queries["bound"].fillna(-np.inf).to_numpy(np.float64)
-        for query, own, bound in zip(_matrix(queries["v"]), queries["id"], bounds, strict=True):
-            out += [(own, i, int(s)) for s, i in search(tree, query, own, k, bound)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64") if out else none
+        if len(trees) and len(queries):
+            tree = Tree.unpacked(trees["tree"].iloc[0])
+            bounds = queries["bound"].fillna(-np.inf).to_numpy(np.float64)
+            for query, own, bound in zip(_matrix(queries["v"]), queries["id"], bounds, strict=True):
+                out += [(own, i, int(s)) for s, i in search(tree, query, own, k, bound)]
+        return pd.DataFrame(np.array(out, np.int64).reshape(-1, 3), columns=["query_id", "vec_id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 8192, query_rows: int = 4096) -> DataFrame:
+def _usable(rows: DataFrame) -> DataFrame:
+    return rows.where("id is not null and v is not null").select(F.col("id").cast("long").alias("id"), "v", F.size("v").alias("dim")).dropDuplicates(["id", "v"])
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 8192, query_rows: int = 4096, sample_rows: int = 20_000) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best inner products of each query, exactly.
 
     ``vectors`` and ``queries`` hold ``id`` long and ``v``, an array of whole numbers as doubles
     whose products sum below 2^53 (larger ones round).  A query does not find its own id.
     Ties go to smaller ids.  An id is found once: repeated rows count as one, and of different
     vectors with one id, or of different queries with one id, the best score holds.  Only vectors of a query's length are compared.  Null ids or vectors
-    take no part; fewer candidates give fewer rows; empty tables give none.  A block of
-    queries meets each shard once: the cost is queries x vectors, before pruning.
+    take no part; fewer candidates give fewer rows; empty tables give none; other columns are ignored.
+    About ``sample_rows`` vectors, drawn by hash, fit the splits that deal vectors over shards; that
+    bears on speed alone.  Boxes are broadcast ``BOX_BYTES`` at a time; a tree holds at most about
+    ``shard_rows`` vectors and ``TREE_BYTES``, and meets ``query_rows`` queries in a task.
     """
-    vectors = written(vectors.where("id is not null and v is not null").select("id", "v", F.size("v").alias("dim")).dropDuplicates(["id", "v"]), "vectors")
-    queries = written(queries.where("id is not null and v is not null").select("id", "v", F.size("v").alias("dim")).dropDuplicates(["id", "v"]), "asked")
-    n_shards = max(1, -(-vectors.count() // shard_rows))
+    spark = vectors.sparkSession
+    # Of equal vectors the k + 1 smallest ids are enough for any query; Spark prunes them before the shuffle.
+    place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    vectors = written(_usable(vectors).withColumn("_n", place).where(F.col("_n") <= k + 1).drop("_n"), "vectors")
+    queries = written(_usable(queries), "asked")
+    sizes = {r["dim"]: r["n"] for r in vectors.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    total, widest = sum(sizes.values()), max(sizes, default=1)
+    rows_each = max(1, min(shard_rows, TREE_BYTES // (8 * max(1, widest))))
+    drawn = vectors.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_rows / max(1, total))))
+    sample: dict[int, list] = {}
+    for r in drawn.select("dim", "v").toLocalIterator():
+        sample.setdefault(r["dim"], []).append(r["v"])
+    depth = lambda dim: max(0, (-(-sizes[dim] // rows_each) - 1).bit_length())
+    splits = spark.sparkContext.broadcast({dim: _top_splits(np.array(v, np.float64).reshape(len(v), dim), depth(dim)) for dim, v in sample.items()})
+    celled = written(vectors.mapInPandas(_celled(splits), "id long, v array<double>, dim int, cell long"), "celled")
+    # A row per cell, so about two per ``rows_each`` vectors.
+    cells = celled.groupBy("dim", "cell").agg(F.ceil(F.count("*") / rows_each).alias("parts"))
+    part = F.pmod(F.xxhash64("v"), F.col("parts"))
+    dealt = celled.join(cells.hint("shuffle_hash"), ["dim", "cell"]).withColumn("shard", F.concat_ws("-", "dim", "cell", part))
+    trees = written(dealt.select("id", "v", "dim", "shard").groupBy("shard").applyInPandas(_grown, "shard string, dim int, low array<double>, high array<double>, tree binary"), "trees")
+
+    boxes = trees.select("shard", "dim", "low", "high")
+    rounds = max(1, -(-trees.count() * 16 * max(1, widest) // BOX_BYTES))
+
+    def reached(asked: DataFrame, schema: str, best_only: bool) -> DataFrame:
+        out = None
+        for turn in range(rounds):
+            by_dim, names = {}, []
+            for r in boxes.where(F.pmod(F.xxhash64("shard"), F.lit(rounds)) == turn).toLocalIterator():
+                for kept, value in zip(by_dim.setdefault(r["dim"], ([], [], [])), (len(names), r["low"], r["high"]), strict=True):
+                    kept.append(value)
+                names.append(r["shard"])
+            arrays = {d: (np.array(p), np.array(lo, np.float64).reshape(len(p), d), np.array(hi, np.float64).reshape(len(p), d)) for d, (p, lo, hi) in by_dim.items()}
+            shared = spark.sparkContext.broadcast((np.array(names, object), arrays))
+            found = asked.mapInPandas(_reached(shared, best_only), schema)
+            out = found if out is None else out.unionByName(found)
+        return out
+
     n_blocks = max(1, -(-queries.count() // query_rows))
-    placed = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(n_shards)))
-    blocked = queries.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_blocks)))
-    spread = placed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    schema = "query_id long, vec_id long, score long"
-    keys = ["dim", "shard", "block"]
 
     def searched(asked: DataFrame) -> DataFrame:
-        found = spread.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_shard_search(k), schema)
+        asked = asked.select("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_blocks)).alias("block"), "id", "v", "bound")
+        needed = asked.select(F.col("shard").alias("_shard"), F.col("block").alias("_block")).distinct()
+        grown = trees.join(needed, F.col("shard") == F.col("_shard")).select(F.col("_shard").alias("shard"), F.col("_block").alias("block"), "tree")
+        found = grown.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(_shard_search(k), "query_id long, vec_id long, score long")
         return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
-    pilot = blocked.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(n_shards))).withColumn("bound", F.lit(None).cast("double"))
-    kth = searched(pilot).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("bound"))
-    known = blocked.join(kth.withColumnRenamed("query_id", "id"), "id", "left")
-    every = known.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))))
-    found = searched(every)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
+    kind = "id long, v array<double>, dim int"
+    best = reached(queries, f"{kind}, shard string, allowed double", True)
+    homes = written(best.groupBy("id", "v", "dim").agg(F.max_by("shard", F.struct("allowed", "shard")).alias("home")), "homes")
+    pilot = written(searched(homes.select("id", "v", F.col("home").alias("shard"), F.lit(None).cast("double").alias("bound"))), "pilot")
+    kth = pilot.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("bound"))
+    wide = written(reached(homes.join(kth, "id", "left"), f"{kind}, home string, bound double, shard string, allowed double", False), "pairs")
+    found = pilot.unionByName(searched(wide)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
