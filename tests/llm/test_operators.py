@@ -141,17 +141,64 @@ def test_base_secrets_and_redaction(spark, crf):
 
 
 def test_segment_decoding_is_whole_text_decoding(crf):
-    text = " ".join(words(300, 1)).replace("w", "word") + " password = 0123abcd4567ef89aa and then " + "x" * 40
-    tokens = [t.span() for t in secrets.TOKEN.finditer(text)]
-    active = {t for s in secrets.segments(text) for t in s}
-    emit = crf.scores([f for s in secrets.segments(text) for f in secrets.features(text, s, secrets.file_features(text))])
-    by_token = dict(zip([t for s in secrets.segments(text) for t in s], emit, strict=True))
-    held = np.array([by_token[t] if t in active else [-1e9, -1e9, 0.0] for t in tokens])
-    labels = dict(zip(tokens, secrets.viterbi(held, crf.move), strict=True))
-    for segment in secrets.segments(text):
-        own = secrets.viterbi(np.array([by_token[t] for t in segment]), crf.move)
-        assert sum(a != labels[t] for a, t in zip(own, segment, strict=True)) <= 1  # a held neighbour adds one transition at an edge
-    assert any(text[a:b].startswith("password") for a, b in secrets.crf_spans(text, crf))
+    rng = random.Random(3)
+    for k in range(6):
+        text = " ".join(words(200, k)).replace("w", "word") + " password = 0123abcd4567ef89aa and then " + "x" * 400 + "1" + " y" * (k % 3)
+        text += " ".join(secrets.drawn_lookalike(rng, ["some", "words"]) + " in a row of plain and quite ordinary words" * (k % 2) for _ in range(9))
+        text += f" end {secrets.drawn_secret(rng)[1]}"
+        tokens = [t.span() for t in secrets.TOKEN.finditer(text)]
+        found = list(secrets.segments(text))
+        assert all(t in set(tokens) for s in found for t in s)
+        of_whole = dict(zip(tokens, crf.scores(secrets.features(text, tokens, secrets.file_features(text))), strict=True))
+        active = {t for s in found for t in s}
+        held = np.array([of_whole[t] if t in active else [-1e9, -1e9, 0.0] for t in tokens])
+        labels, spans = secrets.viterbi(held, crf.move), []
+        for (a, b), y in zip(tokens, labels, strict=True):
+            if y == secrets.BEGIN or y == secrets.INSIDE and not spans:
+                spans.append((a, b))
+            elif y == secrets.INSIDE:
+                spans[-1] = (spans[-1][0], b) if before != secrets.OUTSIDE else spans[-1]
+                if before == secrets.OUTSIDE:
+                    spans.append((a, b))
+            before = y
+        assert secrets.crf_spans(text, crf) == [(a, a + len(text[a:b].rstrip("."))) for a, b in spans]
+        assert any("0123abcd4567ef89aa" in text[a:b] for a, b in spans)
+
+
+def test_model_finds_secrets_that_no_pattern_knows(spark, small, crf):
+    rng = random.Random(12345)
+    prose = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").where("length(text) > 300").orderBy("doc_id").limit(150).collect()]
+    prose = [t for t in prose if not secrets.base_spans(t)]
+    hits = asked = false = clean = 0
+    for t in prose:
+        clean += len(secrets.crf_spans(t, crf)) > 0
+        for _ in range(3):
+            at = t.index(" ", rng.randrange(len(t) // 2))
+            lead, value = secrets.drawn_secret(rng)
+            made = f"{t[:at]} {lead}{value} {t[at + 1 :]}"
+            start = at + 1 + len(lead)
+            if not secrets.base_spans(made):
+                asked += 1
+                hits += any(a <= start + 2 and b >= start + len(value) - 2 for a, b in secrets.crf_spans(made, crf))
+            false += len(secrets.crf_spans(f"{t[:at]} {secrets.drawn_lookalike(rng, ['abc', 'words'])} {t[at + 1 :]}", crf)) > 0
+    print("recall", hits, asked, "false", false, 3 * len(prose), "clean texts tagged", clean)
+    assert hits >= 0.9 * asked and false <= 0.03 * 3 * len(prose) and clean <= 0.01 * len(prose)
+
+
+def test_base_spans_by_an_independent_pass(spark, crf):
+    rng = random.Random(8)
+    bits = ["password", "Token", "api_key", "APIkey", " = ", ":", "\"", "'", "abc.d", "AKIA", "Z" * 16, "AB12" * 5, "0f" * 12, "é", " ", "\n", "secret=\"x+/y_=.-9\"", "passwd  :  ", "\t=", "a" * 24]
+    rows = [(k, "".join(rng.choice(bits) for _ in range(rng.randrange(40)))) for k in range(120)] + [(200, "z " * 60_000 + "token=abcdef1"), (7, None), (201, "x")]
+
+    def brute(text):
+        out = []
+        for kind, pattern, least, group in (("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6, 2), ("access", "AKIA[A-Z0-9]+", 20, 0), ("hex", "[0-9a-f]+", 24, 0)):
+            out += [(m.start(), ("assign", "access", "hex").index(kind), f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text) if len(m[group]) >= least]
+        return ",".join(x[2] for x in sorted(out))
+
+    table = docs(spark, rows).withColumn("n_hex", F.lit("clash")).withColumn("secret_spans", F.lit(1))
+    got = sorted((r.doc_id, r.base_spans, r.n_assign + r.n_access + r.n_hex) for r in secrets.scan(table, crf).collect())
+    assert got == sorted((i, brute(t or ""), brute(t or "").count(":") // 2) for i, t in rows)
 
 
 def test_every_trigger_extends_its_stretch():
