@@ -229,7 +229,7 @@ def test_boosted_trees_run_every_fold_and_score_its_test_rows(spark):
     assert {(r.fold, r.iteration) for r in rounds} == {(f, k) for f in names for k in range(1, 21)} and len(rounds) == 80
     scores = registry.boosted_test(spark, d).localCheckpoint()
     keys = ["fold", "signal_date", "security_id"]
-    test = registry.modelled(spark, d).where("role = 'test'").select(*keys)
+    test = registry.modelled(spark, d, registry.FEATURES).where("role = 'test'").select(*keys)
     assert scores.where("score is not null").count() == test.count() and scores.select(*keys).exceptAll(test).isEmpty()
     best = {f: min((-r.mean_rank_ic, r.iteration) for r in rounds if r.fold == f)[1] for f in names}
     assert {(r.fold, r.iteration) for r in scores.select("fold", "iteration").distinct().collect()} == set(best.items())

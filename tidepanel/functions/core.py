@@ -39,8 +39,12 @@ def frame(d: int, key: str = "security_id", date: str = "trade_date") -> WindowS
 
 
 def avg_rank(value: str, *by: str) -> Column:
-    """Average rank (1-based) of ``value`` among the rows of a group; NULLs must be filtered before."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
+    """Average rank (1-based) of ``value`` among the rows of a group; NULLs must be filtered before.
+
+    The mean of the least and the largest rank of equal values, both over one ordered window.
+    """
+    w = Window.partitionBy(*by).orderBy(value)
+    return (F.rank().over(w) + F.count("*").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))) / 2
 
 
 def rounded(df, digits: int, *keys: str):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -120,6 +121,47 @@ def artifacts_complete(manifest: DataFrame, required: list[str], found: DataFram
     return manifest.join(have, "run_id", "left").where(bad).select("run_id")
 
 
+def valid_horizons(horizons: tuple[int, ...]) -> None:
+    """Horizons are distinct positive whole numbers, one at least."""
+    if not horizons or len(set(horizons)) != len(horizons) or any(not isinstance(h, int) or isinstance(h, bool) or h < 1 for h in horizons):
+        raise ContractError(f"horizons must be distinct positive numbers: {horizons}")
+
+
+def valid_portfolio(h: int, top_k: int, q: int, bps: float) -> None:
+    """Holding period and top k are positive, there are two quantiles at least, costs are finite and not negative."""
+    valid_horizons((h,))
+    if not isinstance(top_k, int) or top_k < 1 or not isinstance(q, int) or q < 2:
+        raise ContractError(f"top_k must be positive and q at least 2: {top_k}, {q}")
+    if not (math.isfinite(bps) and bps >= 0):
+        raise ContractError(f"costs must be finite and not negative: {bps}")
+
+
+#: Fixed value: the form of run and factor ids.
+ID_PATTERN = r"^[A-Za-z0-9][A-Za-z0-9_-]*$"
+
+
+def unsafe_ids(df: DataFrame, column: str) -> DataFrame:
+    """Rows whose id is null or unfit for a path: anything but letters, digits, underscores and hyphens."""
+    return df.where(~F.coalesce(F.col(column).rlike(ID_PATTERN), F.lit(False)))
+
+
+def portfolio_panel(panel: DataFrame, numbers: list[str], dates: list[str], keys: tuple[str, str] = ("trade_date", "security_id")) -> DataFrame:
+    """The panel with numbers and dates cast, infinities null; null ids, unreadable dates and duplicate keys are refused.
+
+    Numbers that cannot be read become NULL.  One aggregate serves the checks of nulls, another the keys.
+    """
+    require_columns(panel, [*keys, *numbers, *dates])
+    cast = {c: F.expr(f"try_cast(`{c}` AS double)") for c in numbers}
+    cast = {c: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x) for c, x in cast.items()}
+    cast |= {c: F.expr(f"try_cast(`{c}` AS date)") for c in (keys[0], *dates)}
+    unread = [F.count_if(F.col(c).isNotNull() & cast[c].isNull()).alias(c) for c in (keys[0], *dates)]
+    nulls = [F.count_if(F.col(k).isNull()).alias(f"null {k}") for k in keys]
+    bad = {k: n for k, n in panel.agg(*unread, *nulls).first().asDict().items() if n}
+    if bad:
+        raise ContractError(f"unreadable dates or null keys: {bad}")
+    return require_unique(panel.withColumns(cast), list(keys))
+
+
 def violations(checks: dict[str, Column], df: DataFrame) -> DataFrame:
     """``contract, violations`` of many row predicates, in one scan."""
     none = F.lit(False)

@@ -1,51 +1,98 @@
 """Operators on one date's cross section.
 
-Statistics of a date are grouped aggregates joined back by date, so they combine map-side;
-windows are used where a rank is needed.
+Statistics of a date are windows over its rows, one level after another on the same
+partitioning: the input is read once and shuffled once by date, however many statistics follow.
+A cross section is some thousands of rows; windows spill where it is larger.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.core import avg_rank, clean, scorr, sdiv
+from tidepanel.operators.contracts import ContractError, valid_horizons
 
 #: The clip is 5 robust deviations; 1.4826 makes a MAD one.
 CLIP, MAD = 5.0, 1.4826
 
 
+#: More features than this are cleaned as one matrix a date: a plan with windows for each takes longer to compile than to run.
+WIDE = 24
+
+
 def preprocess(panel: DataFrame, names: list[str], date: str = "trade_date") -> DataFrame:
     """Each feature, per date: median fill, clip at 5 robust deviations (none if the MAD is 0), z-score.
 
-    A feature without values or variance on a date is 0 there.  Medians ignore NULLs.
+    A feature without values or variance on a date is 0 there.  Medians ignore NULLs.  One shuffle by date either way.
     """
-    rows = panel.select(*[clean(F.col(c)).alias(c) if c in names else F.col(c) for c in panel.columns])
-    med = rows.groupBy(date).agg(*(F.median(c).alias(f"m_{c}") for c in names))
-    rows = rows.join(med, date)
-    mads = rows.groupBy(date).agg(*(F.median(F.abs(F.coalesce(F.col(c), F.col(f"m_{c}")) - F.col(f"m_{c}"))).alias(f"s_{c}") for c in names))
-    rows = rows.join(mads, date)
+    if len(names) > WIDE:
+        rows = panel.select(*[F.col(c).cast("double").alias(c) if c in names else F.col(c) for c in panel.columns])
+        return rows.groupBy(date).applyInArrow(_cleaned_matrix(names), rows.schema)
+    w = Window.partitionBy(date)
+    rest = [c for c in panel.columns if c not in names]
+
+    def level(rows: DataFrame, *made: dict[str, Column]) -> DataFrame:
+        return rows.select(*rest, *(x.alias(n) for columns in made for n, x in columns.items()))
+
+    same = {c: F.col(c) for c in names}
+    rows = level(panel, {c: clean(F.col(c)) for c in names})
+    rows = level(rows, same, {f"m_{c}": F.median(c).over(w) for c in names})
+    rows = level(rows, {c: F.coalesce(F.col(c), F.col(f"m_{c}")) for c in names}, {f"m_{c}": F.col(f"m_{c}") for c in names})
+    rows = level(rows, same, {f"m_{c}": F.col(f"m_{c}") for c in names}, {f"s_{c}": F.median(F.abs(F.col(c) - F.col(f"m_{c}"))).over(w) for c in names})
 
     def clipped(c: str) -> Column:
-        x, m, s = F.coalesce(F.col(c), F.col(f"m_{c}")), F.col(f"m_{c}"), CLIP * MAD * F.col(f"s_{c}")
+        x, m, s = F.col(c), F.col(f"m_{c}"), CLIP * MAD * F.col(f"s_{c}")
         return F.when(F.col(f"s_{c}") * MAD <= 1e-12, x).otherwise(F.greatest(m - s, F.least(m + s, x)))
 
-    rows = rows.select(*[clipped(c).alias(c) if c in names else F.col(c) for c in panel.columns])
-    stats = rows.groupBy(date).agg(*(x for c in names for x in (F.avg(c).alias(f"a_{c}"), F.stddev_pop(c).alias(f"d_{c}"))))
+    rows = level(rows, {c: clipped(c) for c in names})
+    rows = level(rows, same, {f"a_{c}": F.avg(c).over(w) for c in names}, {f"d_{c}": F.stddev_pop(c).over(w) for c in names})
     z = lambda c: F.when(F.col(f"d_{c}") > 1e-12, (F.col(c) - F.col(f"a_{c}")) / F.col(f"d_{c}")).otherwise(0.0)
-    return rows.join(stats, date).select(*[z(c).alias(c) if c in names else F.col(c) for c in panel.columns])
+    return rows.select(*[z(c).alias(c) if c in names else F.col(c) for c in panel.columns])
+
+
+def _cleaned_matrix(names: list[str]):
+    """The same on the matrix of one date's names and features."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        x = np.stack([rows.column(c).combine_chunks().cast(pa.float64()).to_numpy(zero_copy_only=False) for c in names], 1).astype(float)
+        x[~np.isfinite(x)] = np.nan
+        known = ~np.isnan(x).all(0)
+        with np.errstate(all="ignore"):
+            m = np.zeros(len(names))
+            m[known] = np.nanmedian(x[:, known], 0)
+            x = np.where(np.isnan(x), m, x)
+            s = CLIP * MAD * np.median(np.abs(x - m), 0)
+            x = np.where(s <= CLIP * 1e-12, x, np.clip(x, m - s, m + s))
+            a, d = x.mean(0), x.std(0)
+            z = np.where(known & (d > 1e-12), (x - a) / d, 0.0)
+        for k, c in enumerate(names):
+            rows = rows.set_column(rows.schema.get_field_index(c), c, pa.array(z[:, k]))
+        return rows
+
+    return run
 
 
 def quality(panel: DataFrame, names: list[str], date: str = "trade_date") -> DataFrame:
     """Per (date, feature): rows, known, missing and infinite values, median, MAD, clipped count, flags."""
-    long = panel.select(date, *(F.col(n).cast("double").alias(n) for n in names)).unpivot(date, names, "feature", "raw").withColumn("x", clean(F.col("raw")))
     by = [date, "feature"]
-    med = long.groupBy(*by).agg(F.count("*").alias("n_rows"), F.count("x").alias("finite_before"), F.count_if(F.col("raw").isNull() | F.isnan("raw")).alias("missing_before"), F.count_if(F.abs("raw") == float("inf")).alias("infinite_before"), F.median("x").alias("median"))
-    filled = long.join(med, by).withColumn("x", F.coalesce("x", "median"))
-    mad = filled.groupBy(*by).agg(F.median(F.abs(F.col("x") - F.col("median"))).alias("mad"))
-    filled = filled.join(mad, by)
-    outside = (F.col("mad") * MAD > 1e-12) & (F.abs(F.col("x") - F.col("median")) > CLIP * MAD * F.col("mad"))
-    out = filled.groupBy(*by).agg(F.count_if(outside).alias("clipped_count"), F.first("n_rows").alias("n_rows"), F.first("finite_before").alias("finite_before"), F.first("missing_before").alias("missing_before"), F.first("infinite_before").alias("infinite_before"), F.first("median").alias("median"), F.first("mad").alias("mad"), F.coalesce(F.stddev_pop("x") <= 1e-12, F.lit(True)).alias("zero_variance"))
+    w = Window.partitionBy(*by)
+    long = panel.select(date, *(F.col(n).cast("double").alias(n) for n in names)).unpivot(date, names, "feature", "raw").withColumn("x", clean(F.col("raw")))
+    long = long.withColumn("median", F.median("x").over(w)).withColumn("filled", F.coalesce("x", "median"))
+    long = long.withColumn("mad", F.median(F.abs(F.col("filled") - F.col("median"))).over(w))
+    outside = (F.col("mad") * MAD > 1e-12) & (F.abs(F.col("filled") - F.col("median")) > CLIP * MAD * F.col("mad"))
+    out = long.groupBy(*by).agg(
+        F.count_if(outside).alias("clipped_count"),
+        F.count("*").alias("n_rows"),
+        F.count("x").alias("finite_before"),
+        F.count_if(F.col("raw").isNull() | F.isnan("raw")).alias("missing_before"),
+        F.count_if(F.abs("raw") == float("inf")).alias("infinite_before"),
+        F.first("median").alias("median"),
+        F.first("mad").alias("mad"),
+        F.coalesce(F.stddev_pop("filled") <= 1e-12, F.lit(True)).alias("zero_variance"),
+    )
     return out.withColumn("robust_scale", MAD * F.col("mad")).withColumn("all_null", F.col("finite_before") == 0)
 
 
@@ -55,22 +102,26 @@ def prepare_factor(raw: DataFrame, direction: str, date: str = "trade_date") ->
     A MAD of 0 clips everything to the median, so the z-score is NULL.  Fewer than two known values give NULL.
     Names whose factor is missing are imputed and keep a score; ``imputed`` marks them.
     """
+    w = Window.partitionBy(date)
     rows = raw.withColumn("raw_value", clean(F.col("raw_value")))
-    med = rows.groupBy(date).agg(F.median("raw_value").alias("_m"), F.count("raw_value").alias("_n"))
-    rows = rows.join(med, date).withColumn("_x", F.coalesce("raw_value", "_m"))
-    mad = rows.groupBy(date).agg(F.median(F.abs(F.col("_x") - F.col("_m"))).alias("_s"))
+    rows = rows.select("*", F.median("raw_value").over(w).alias("_m"), F.count("raw_value").over(w).alias("_n"))
+    rows = rows.withColumn("_x", F.coalesce("raw_value", "_m"))
+    rows = rows.withColumn("_s", F.median(F.abs(F.col("_x") - F.col("_m"))).over(w))
     bound = CLIP * MAD * F.col("_s")
-    rows = rows.join(mad, date).withColumn("winsorized_value", F.when(F.col("_n") >= 2, F.greatest(F.col("_m") - bound, F.least(F.col("_m") + bound, F.col("_x")))))
-    stats = rows.groupBy(date).agg(F.avg("winsorized_value").alias("_a"), F.stddev_pop("winsorized_value").alias("_d"))
+    rows = rows.withColumn("winsorized_value", F.when(F.col("_n") >= 2, F.greatest(F.col("_m") - bound, F.least(F.col("_m") + bound, F.col("_x")))))
+    rows = rows.select("*", F.avg("winsorized_value").over(w).alias("_a"), F.stddev_pop("winsorized_value").over(w).alias("_d"))
     z = F.when(F.col("_d") > 0, (F.col("winsorized_value") - F.col("_a")) / F.col("_d"))
     sign = 1.0 if direction == "positive" else -1.0
-    return rows.join(stats, date).select(*raw.columns, "winsorized_value", z.alias("zscore_value"), (z * sign).alias("directed_score"), F.col("raw_value").isNull().alias("imputed"))
+    return rows.select(*raw.columns, "winsorized_value", z.alias("zscore_value"), (z * sign).alias("directed_score"), F.col("raw_value").isNull().alias("imputed"))
 
 
-def zscore_label(panel: DataFrame, label: str, date: str) -> DataFrame:
-    """``label_z`` per date; NULL where a date has no variation."""
-    stats = panel.groupBy(date).agg(F.avg(label).alias("_a"), F.stddev_pop(label).alias("_d"))
-    return panel.join(stats, date).select(*panel.columns, F.when(F.col("_d") > 0, (F.col(label) - F.col("_a")) / F.col("_d")).alias("label_z"))
+def zscore_label(panel: DataFrame, label: str, date: str, fail: bool = False) -> DataFrame:
+    """``label_z`` per date; where a date has no variation NULL, or with ``fail`` an error."""
+    w = Window.partitionBy(date)
+    rows = panel.select("*", F.avg(label).over(w).alias("_a"), F.stddev_pop(label).over(w).alias("_d"))
+    if fail and (bad := rows.where("_d is null or _d <= 0").select(date).limit(1).collect()):
+        raise ContractError(f"the label has no variation on {bad[0][0]}")
+    return rows.select(*panel.columns, F.when(F.col("_d") > 0, (F.col(label) - F.col("_a")) / F.col("_d")).alias("label_z"))
 
 
 def equal_date_weights(panel: DataFrame, date: str) -> DataFrame:
@@ -81,21 +132,28 @@ def equal_date_weights(panel: DataFrame, date: str) -> DataFrame:
     return panel.join(each, date)
 
 
-def neutralize(panel: DataFrame, score: str, size: str = "size", industry: str = "industry", date: str = "trade_date") -> DataFrame:
-    """``neutral_score``: the residual of score on ln size and industry, per date; a null industry is one of its own."""
-    rows = panel.withColumn("_i", F.coalesce(industry, F.lit("Unknown"))).withColumn("_z", F.ln(size))
-    means = rows.groupBy(date, "_i").agg(F.avg(score).alias("_ms"), F.avg("_z").alias("_mz"))
-    rows = rows.join(means, [date, "_i"]).withColumn("_ds", F.col(score) - F.col("_ms")).withColumn("_dz", F.col("_z") - F.col("_mz"))
-    slopes = rows.groupBy(date).agg(sdiv(F.sum(F.col("_ds") * F.col("_dz")), F.sum(F.col("_dz") * F.col("_dz"))).alias("_b"))
-    return rows.join(slopes, date).select(*panel.columns, (F.col("_ds") - F.coalesce("_b", F.lit(0.0)) * F.col("_dz")).alias("neutral_score"))
+def neutralize(panel: DataFrame, score: str, size: str = "size", industry: str = "industry", date: str = "trade_date", out: str = "neutral_score", fail: bool = False) -> DataFrame:
+    """``out``: the residual of score on ln size and industry, per date; a null industry is one of its own.
+
+    A size without a finite logarithm gives NULL, or with ``fail`` an error.  One shuffle by date serves both levels.
+    """
+    log = clean(F.ln(size))
+    if fail and panel.where(log.isNull()).limit(1).count():
+        raise ContractError(f"{size} has no finite logarithm")
+    rows = panel.repartition(date).withColumn("_i", F.coalesce(industry, F.lit("Unknown"))).withColumn("_z", log)
+    group, day = Window.partitionBy(date, "_i"), Window.partitionBy(date)
+    rows = rows.withColumn("_ds", F.col(score) - F.avg(score).over(group)).withColumn("_dz", F.col("_z") - F.avg("_z").over(group))
+    slope = sdiv(F.sum(F.col("_ds") * F.col("_dz")).over(day), F.sum(F.col("_dz") * F.col("_dz")).over(day))
+    return rows.withColumn("_b", slope).select(*panel.columns, (F.col("_ds") - F.coalesce("_b", F.lit(0.0)) * F.col("_dz")).alias(out))
 
 
 def rank_ic(panel: DataFrame, score: str, label: str, date: str, *by: str) -> DataFrame:
     """Spearman correlation per date (and group): average ranks, then Pearson; NULL below two distinct values."""
-    known = panel.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    ranked = known.select(date, *by, avg_rank(score, date, *by).alias("_x"), avg_rank(label, date, *by).alias("_y"))
-    rows = panel.groupBy(date, *by).agg(F.count("*").alias("cross_section_rows"))
-    return rows.join(ranked.groupBy(date, *by).agg(scorr(F.col("_x"), F.col("_y")).alias("rank_ic")), [date, *by], "left")
+    known = F.col(score).isNotNull() & F.col(label).isNotNull()
+    rows = panel.select(date, *by, score, label, known.alias("_ok")).repartition(date, *by)
+    ranked = rows.select(date, *by, "_ok", avg_rank(score, date, *by, "_ok").alias("_x"), avg_rank(label, date, *by, "_ok").alias("_y"))
+    x, y = (F.when(F.col("_ok"), F.col(c)) for c in ("_x", "_y"))
+    return ranked.groupBy(date, *by).agg(F.count("*").alias("cross_section_rows"), scorr(x, y).alias("rank_ic"))
 
 
 def evaluate_ic(panel: DataFrame, horizons: tuple[int, ...] = (1, 5, 20), date: str = "trade_date") -> DataFrame:
@@ -103,16 +161,20 @@ def evaluate_ic(panel: DataFrame, horizons: tuple[int, ...] = (1, 5, 20), date:
 
     Pairs are finite score and label; below 3 names or 2 distinct values of a side the ICs are NULL, and the row stays.
     """
+    valid_horizons(horizons)
     basic = F.coalesce("basic_eligible", F.lit(False))
     kinds = F.explode(F.array(F.struct(F.lit("basic").alias("eligibility"), basic.alias("ok")), F.struct(F.lit("tradable").alias("eligibility"), (basic & F.coalesce("tradable_next_open", F.lit(False))).alias("ok"))))
-    long = panel.select(date, "directed_score", kinds.alias("e"), *(f"label_excess_o2o_{h}d" for h in horizons)).select(date, "directed_score", "e.*", F.explode(F.array(*(F.struct(F.lit(h).alias("horizon_days"), F.col(f"label_excess_o2o_{h}d").alias("label")) for h in horizons))).alias("h")).select(date, "directed_score", "eligibility", "ok", "h.*")
-    by = ["eligibility", "horizon_days"]
-    grid = long.groupBy(date, *by).agg(F.lit(1).alias("_g"))
-    pairs = long.where("ok").where(clean(F.col("directed_score")).isNotNull() & clean(F.col("label")).isNotNull())
-    ranked = pairs.select(date, *by, "directed_score", "label", avg_rank("directed_score", date, *by).alias("_x"), avg_rank("label", date, *by).alias("_y"))
-    enough = (F.count("*") >= 3) & (F.min("_x") < F.max("_x")) & (F.min("_y") < F.max("_y"))
-    ics = ranked.groupBy(date, *by).agg(F.count("*").alias("n"), F.when(enough, scorr(F.col("directed_score"), F.col("label"))).alias("pearson_ic"), F.when(enough, scorr(F.col("_x"), F.col("_y"))).alias("rank_ic"))
-    return grid.join(ics, [date, *by], "left").select(date, *by, "pearson_ic", "rank_ic", F.coalesce("n", F.lit(0)).cast("long").alias("n_names"))
+    names = [f"label_excess_o2o_{h}d" for h in horizons]
+    each = F.explode(F.array(*(F.struct(F.lit(h).alias("horizon_days"), F.col(n).alias("label")) for h, n in zip(horizons, names, strict=True))))
+    long = panel.select(date, "directed_score", kinds.alias("e"), *names).select(date, "directed_score", "e.*", each.alias("h")).select(date, "directed_score", "eligibility", "ok", "h.*")
+    by = [date, "eligibility", "horizon_days"]
+    usable = F.col("ok") & clean(F.col("directed_score")).isNotNull() & clean(F.col("label")).isNotNull()
+    rows = long.select(*by, "directed_score", "label", usable.alias("ok")).repartition(*by)
+    ranked = rows.select("*", avg_rank("directed_score", *by, "ok").alias("_x"), avg_rank("label", *by, "ok").alias("_y"))
+    at = lambda c: F.when(F.col("ok"), F.col(c))
+    x, y = at("_x"), at("_y")
+    enough = (F.count_if("ok") >= 3) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return ranked.groupBy(*by).agg(F.when(enough, scorr(at("directed_score"), at("label"))).alias("pearson_ic"), F.when(enough, scorr(x, y)).alias("rank_ic"), F.count_if("ok").alias("n_names"))
 
 
 def quintiles(panel: DataFrame, score: str, label: str, date: str, key: str = "security_id", q: int = 5) -> DataFrame:
@@ -121,19 +183,27 @@ def quintiles(panel: DataFrame, score: str, label: str, date: str, key: str = "s
     Buckets are quantile bins of first ranks: the bin of rank r of n is max(1, ceil((r - 1) q / (n - 1))).
     Dates with fewer than q names, or q distinct scores, give no rows.
     """
-    known = panel.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    enough = known.groupBy(date).agg(F.count("*").alias("_n"), F.countDistinct(score).alias("_u")).where(f"_n >= {q} and _u >= {q}").select(date, "_n")
-    rn = F.row_number().over(Window.partitionBy(date).orderBy(score, key))
-    binned = known.join(enough, date).withColumn("quintile", F.greatest(F.lit(1), F.ceil((rn - 1) * q / (F.col("_n") - 1))).cast("int"))
-    means = binned.groupBy(date, "quintile").agg(F.avg(label).alias("mean_return"), F.count("*").alias("n_names"))
-    at = lambda k, c: F.max(F.when(F.col("quintile") == k, F.col(c)))
-    spread = means.groupBy(date).agg(F.lit(q + 1).alias("quintile"), (at(q, "mean_return") - at(1, "mean_return")).alias("mean_return"), (at(q, "n_names") + at(1, "n_names")).alias("n_names"))
-    return means.unionByName(spread)
-
-
-def common_predictions(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Full outer join of two models' tables with suffixes; ``complete`` marks rows that both have."""
-    x = a.select(*keys, *(F.col(c).alias(f"{c}_a") for c in columns)).withColumn("_a", F.lit(True))
-    y = b.select(*keys, *(F.col(c).alias(f"{c}_b") for c in columns)).withColumn("_b", F.lit(True))
-    j = x.join(y, keys, "full")
-    return j.withColumn("complete", F.col("_a").isNotNull() & F.col("_b").isNotNull()).drop("_a", "_b")
+    known = panel.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(date, score, label, key)
+    day = Window.partitionBy(date)
+    rows = known.select("*", F.dense_rank().over(day.orderBy(score)).alias("_k"), F.row_number().over(day.orderBy(score, key)).alias("_rn"))
+    rows = rows.select("*", F.count("*").over(day).alias("_n"), F.max("_k").over(day).alias("_u")).where(f"_n >= {q} and _u >= {q}")
+    bucket = F.greatest(F.lit(1), F.ceil((F.col("_rn") - 1) * q / (F.col("_n") - 1))).cast("int")
+    means = rows.groupBy(date, bucket.alias("quintile")).agg(F.avg(label).alias("mean_return"), F.count("*").alias("n_names"))
+    listed = means.groupBy(date).agg(F.collect_list(F.struct("quintile", "mean_return", "n_names")).alias("b"))
+    top, bottom = F.get(F.filter("b", lambda x: x["quintile"] == q), 0), F.get(F.filter("b", lambda x: x["quintile"] == 1), 0)
+    spread = F.struct(F.lit(q + 1).alias("quintile"), (top["mean_return"] - bottom["mean_return"]).alias("mean_return"), (top["n_names"] + bottom["n_names"]).alias("n_names"))
+    return listed.select(date, F.explode(F.concat("b", F.array(spread))).alias("b")).select(date, "b.*")
+
+
+def common_predictions(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str], label: str | None = None) -> DataFrame:
+    """Full outer join of two models' tables with suffixes; ``complete`` marks rows that both have.
+
+    With ``label``, both tables must have it and agree on it wherever both have the row.
+    """
+    taken = [*columns, label] if label else columns
+    x = a.select(*keys, *(F.col(c).alias(f"{c}_a") for c in taken)).withColumn("_a", F.lit(True))
+    y = b.select(*keys, *(F.col(c).alias(f"{c}_b") for c in taken)).withColumn("_b", F.lit(True))
+    j = x.join(y, keys, "full").withColumn("complete", F.col("_a").isNotNull() & F.col("_b").isNotNull())
+    if label and j.where(f"complete and not coalesce(abs({label}_a - {label}_b) <= 1e-12, {label}_a is null and {label}_b is null)").limit(1).count():
+        raise ContractError(f"the tables disagree on {label}")
+    return j.drop("_a", "_b")

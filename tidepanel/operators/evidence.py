@@ -18,32 +18,37 @@ def upper_tail(t: pd.Series) -> pd.Series:
     return t.map(lambda x: None if x is None or x != x else 0.5 * math.erfc(x / math.sqrt(2)))
 
 
+def _listed(value: str, date: str, lag: Column | int) -> list[Column]:
+    """Aggregates of a series for ``_tested``: count, mean, wished lag, and the known values in order of date."""
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col(date).alias("d"), F.col(value).alias("v")))
+    return [F.count(value).alias("_n"), F.avg(value).alias("_mean"), F.first(F.lit(lag) if isinstance(lag, int) else lag).alias("_lag"), F.array_sort(F.collect_list(known)).alias("_s")]
+
+
+def _tested(series: DataFrame, kept: list[str], unbiased: bool) -> DataFrame:
+    """``kept, n, mean, se, t_stat`` from the aggregates of ``_listed``; all NULL but n for a series without values."""
+    rows = series.withColumn("_e", F.transform("_s", lambda x: x["v"] - F.col("_mean"))).withColumn("_l", F.least(F.col("_lag"), F.col("_n") - 1).cast("int"))
+
+    def term(k: Column) -> Column:
+        rest = F.size("_e") - k
+        products = F.zip_with(F.slice("_e", F.lit(1), rest), F.slice("_e", k + 1, rest), lambda x, y: x * y)
+        weight = F.when(k == 0, 1.0).otherwise(2 * (1 - k / (F.col("_l") + 1.0)))
+        return F.aggregate(products, F.lit(0.0), lambda x, y: x + y) / (F.col("_n") - k if unbiased else F.col("_n")) * weight
+
+    total = F.aggregate(F.transform(F.sequence(F.lit(0), F.col("_l")), term), F.lit(0.0), lambda x, y: x + y)
+    rows = rows.withColumn("se", F.when(F.col("_n") > 0, F.sqrt(F.greatest(total, F.lit(0.0)) / F.col("_n"))))
+    inf = F.when(F.col("_mean") > 0, F.lit(float("inf"))).when(F.col("_mean") < 0, F.lit(float("-inf")))
+    t = sdiv(F.col("_mean"), F.col("se"))
+    return rows.select(*kept, F.col("_n").alias("n"), F.col("_mean").alias("mean"), "se", (t if unbiased else F.when(F.col("se") == 0, inf).otherwise(t)).alias("t_stat"))
+
+
 def mean_test(series: DataFrame, value: str, by: list[str], date: str, lag: Column | int, unbiased: bool = False) -> DataFrame:
     """Mean of each series with a Bartlett-weighted long-run error: ``n, mean, se, t_stat``.
 
     ``lag`` is a number or a column of the group.  The default divides autocovariances by n and clamps the lag
-    to n - 1; ``unbiased`` takes means over n - k terms, needs lag < n, and has no t where the error is 0.
-    Series are per-date aggregates: thousands of rows each.
+    to n - 1; ``unbiased`` takes means over n - k terms and has no t where the error is 0.
+    A series has a value per date, thousands at most, so one list holds it and the input is read once.
     """
-    known = series.where(F.col(value).isNotNull()).withColumn("_lag", F.lit(lag) if isinstance(lag, int) else lag)
-    stats = known.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.first("_lag").alias("_l"))
-    order = Window.partitionBy(*by).orderBy(date)
-    e = known.join(stats, by).select(*by, "n", "mean", F.least(F.col("_l"), F.col("n") - 1).alias("_l"), (F.col(value) - F.col("mean")).alias("_e"), F.row_number().over(order).alias("_r"))
-    left = e.select(*by, "_l", "n", F.col("_e").alias("_x"), "_r", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_l").cast("bigint"))).alias("_k"))
-    right = e.select(*by, F.col("_e").alias("_y"), F.col("_r").alias("_q"))
-    cond = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
-    on = cond[0]
-    for c in cond[1:]:
-        on = on & c
-    pairs = left.alias("a").join(right.alias("b"), on & (F.col("a._r") - F.col("a._k") == F.col("b._q"))).select(*(F.col(f"a.{c}") for c in by), "_k", "_l", "n", (F.col("_x") * F.col("_y")).alias("_p"))
-    divisor = (F.first("n") - F.col("_k")) if unbiased else F.first("n")
-    weight = F.when(F.col("_k") == 0, 1.0).otherwise(2 * (1 - F.col("_k") / (F.first("_l") + 1.0)))
-    gammas = pairs.groupBy(*by, "_k").agg((F.sum("_p") / divisor * weight).alias("_g"))
-    lrv = gammas.groupBy(*by).agg(F.sum("_g").alias("_v"))
-    out = stats.join(lrv, by).select(*by, "n", "mean", F.sqrt(F.greatest("_v", F.lit(0.0)) / F.col("n")).alias("se"))
-    inf = F.when(F.col("mean") > 0, F.lit(float("inf"))).when(F.col("mean") < 0, F.lit(float("-inf")))
-    t = sdiv(F.col("mean"), F.col("se"))
-    return out.withColumn("t_stat", t if unbiased else F.when(F.col("se") == 0, inf).otherwise(t))
+    return _tested(series.where(F.col(value).isNotNull()).groupBy(*by).agg(*_listed(value, date, lag)), by, unbiased)
 
 
 def ic_statistics(series: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -66,16 +71,18 @@ def _half(c: str) -> list[Column]:
 
 
 def ic_summary(daily: DataFrame, overlap: bool = True, date: str = "trade_date") -> DataFrame:
-    """Pearson and rank statistics per eligibility and horizon, with the robust test of the rank IC's mean."""
+    """Pearson and rank statistics per eligibility and horizon, with the robust test of the rank IC's mean; one pass."""
     by = ["eligibility", "horizon_days"]
     lag = F.col("horizon_days") - 1 if overlap else 0
-    table = daily.groupBy(*by).agg(F.count("rank_ic").alias("n_observations"), *_half("pearson"), *_half("rank"))
-    test = mean_test(daily, "rank_ic", by, date, lag).select(*by, F.col("se").alias("hac_standard_error"), F.col("t_stat").alias("hac_t_stat"))
-    return table.join(test, by, "left").withColumn("hac_lag", (F.col("horizon_days") - 1 if overlap else F.lit(0)).cast("int"))
+    table = daily.groupBy(*by).agg(F.count("rank_ic").alias("n_observations"), *_half("pearson"), *_half("rank"), *_listed("rank_ic", date, lag))
+    names = [c for c in table.columns if not c.startswith("_")]
+    out = _tested(table, names, False).drop("n", "mean").withColumnsRenamed({"se": "hac_standard_error", "t_stat": "hac_t_stat"})
+    return out.withColumn("hac_lag", (F.col("horizon_days") - 1 if overlap else F.lit(0)).cast("int"))
 
 
 def with_p_value(summary: DataFrame, t: str = "hac_t_stat") -> DataFrame:
-    return summary.withColumn("one_sided_p", upper_tail(F.col(t)))
+    """The one-sided normal p-value of a statistic: a row per series, so a Python map serves."""
+    return summary.withColumn("hac_one_sided_p_value", upper_tail(F.col(t)))
 
 
 def ic_yearly(daily: DataFrame, date: str = "trade_date") -> DataFrame:
@@ -89,13 +96,14 @@ def every_hth(daily: DataFrame, date: str = "trade_date") -> DataFrame:
 
 
 def decide(daily: DataFrame, years: list[int], least: int = 500, date: str = "trade_date") -> DataFrame:
-    """One row: ``decision`` Admit, Review or Reject from the 1-day rank IC of the locked years."""
+    """One row: ``decision`` Admit, Review or Reject from the 1-day rank IC of the locked years; one pass over the series."""
     locked = daily.where((F.col("horizon_days") == 1) & F.year(date).isin(years))
-    s = with_p_value(ic_summary(locked, True, date))
-    at = lambda kind, c: F.max(F.when(F.col("eligibility") == kind, F.col(c)))
-    one = s.agg(at("basic", "n_observations").alias("n"), at("basic", "mean_rank_ic").alias("mean"), at("basic", "one_sided_p").alias("p"), at("tradable", "mean_rank_ic").alias("tradable_mean"))
-    good = ic_yearly(locked, date).where("eligibility = 'basic'").agg(F.count_if(F.col("mean_rank_ic") > 0).alias("good_years"))
-    j = one.crossJoin(good)
+    of_year = [F.avg(F.when(F.year(date) == y, F.col("rank_ic"))).alias(f"_y{y}") for y in years]
+    table = locked.groupBy("eligibility").agg(*_listed("rank_ic", date, 0), *of_year)
+    s = with_p_value(_tested(table, ["eligibility", *(f"_y{y}" for y in years)], False), "t_stat")
+    at = lambda kind, c: F.max(F.when(F.col("eligibility") == kind, c if isinstance(c, Column) else F.col(c)))
+    good = sum((F.coalesce(F.col(f"_y{y}") > 0, F.lit(False)).cast("long") for y in years), F.lit(0).cast("long"))
+    j = s.agg(at("basic", "n").alias("n"), at("basic", "mean").alias("mean"), at("basic", "t_stat").alias("t_stat"), at("basic", "hac_one_sided_p_value").alias("p"), at("tradable", "mean").alias("tradable_mean"), F.coalesce(at("basic", good), F.lit(0).cast("long")).alias("good_years"))
     admit = (F.col("p") < 0.05) & (F.col("good_years") >= 4) & (F.col("tradable_mean") > 0)
     decision = F.when(F.coalesce(F.col("n"), F.lit(0)) < least, "Reject").when(F.col("mean") < 0, "Reject").when(F.col("mean").isNull() | (F.col("mean") == 0), "Review").when(F.coalesce(admit, F.lit(False)), "Admit").otherwise("Review")
     return j.withColumn("decision", decision)
@@ -134,11 +142,27 @@ def tagged_union(tables: dict[str, DataFrame], tag: str) -> DataFrame:
     return out
 
 
-def scoreboard_row(summary: DataFrame, portfolios: DataFrame, run: list[str]) -> DataFrame:
-    """One wide row per run: IC metrics by eligibility and horizon, top-k metrics by horizon and return type."""
-    ic = summary.groupBy(*run).pivot("key", ["basic_1d", "basic_5d", "basic_20d", "tradable_1d", "tradable_5d", "tradable_20d"]).agg(F.first("mean_rank_ic").alias("mean_rank_ic"), F.first("rank_icir").alias("rank_icir"), F.first("hac_t_stat").alias("hac_t_stat"))
-    pf = portfolios.where("portfolio like 'top_%' and not is_diagnostic").withColumn("key", F.concat_ws("_", "return_type", F.concat("horizon_days", F.lit("d")))).groupBy(*run).pivot("key").agg(F.first("annualized_return").alias("annualized_return"), F.first("sharpe").alias("sharpe"), F.first("max_drawdown").alias("max_drawdown"), F.first("mean_turnover").alias("mean_turnover"))
-    return ic.join(pf, run, "left")
+#: The metrics that a scoreboard row holds.
+IC_METRICS = ("n_observations", "mean_pearson_ic", "pearson_icir", "mean_rank_ic", "rank_icir", "hac_t_stat", "hac_one_sided_p_value")
+PORTFOLIO_METRICS = ("annualized_return", "volatility", "sharpe", "max_drawdown", "n_periods", "n_evaluable_periods")
+
+
+def scoreboard_row(summary: DataFrame, portfolios: DataFrame, run: list[str], horizons: tuple[int, ...] = (1, 5, 20)) -> DataFrame:
+    """One wide row per run: IC metrics by eligibility and horizon, top-k metrics by return type and horizon, and turnover.
+
+    A horizon that the tables lack is NULL; gross and net rows share one turnover (``contracts.same_turnover`` tells).
+    """
+    at = lambda cond, c, name: F.max(F.when(cond, F.col(c))).alias(name)
+    ic = [
+        at((F.col("eligibility") == kind) & (F.col("horizon_days") == h), m, f"{prefix}{m}_{h}d")
+        for h in horizons for kind, prefix in (("basic", ""), ("tradable", "tradable_")) for m in IC_METRICS
+    ]
+    book = portfolios.where("portfolio_kind = 'top_k_long' and not is_diagnostic")
+    pf = [
+        at((F.col("return_type") == kind) & (F.col("horizon_days") == h), m, f"top_k_{kind}_{m}_{h}d")
+        for h in horizons for kind in ("gross", "net") for m in PORTFOLIO_METRICS
+    ] + [at(F.col("horizon_days") == h, "mean_turnover", f"top_k_mean_turnover_{h}d") for h in horizons]
+    return summary.groupBy(*run).agg(*ic).join(book.groupBy(*run).agg(*pf), run, "left")
 
 
 def latest_runs(scoreboard: DataFrame) -> DataFrame:

@@ -2,58 +2,101 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidepanel.operators.contracts import ContractError
 from tidepanel.operators.cross_section import rank_ic
 
 #: The Ridge penalties tried.
 ALPHAS = (0.1, 1.0, 10.0, 100.0)
 
 
+def _gram(n: int):
+    """Weighted Gram matrix of each fold in a partition, a row of it per output row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+            w, fold = batch.column("w").to_numpy(zero_copy_only=False), np.array(batch.column("fold").to_pylist(), object)
+            for f in set(fold.tolist()):
+                own = fold == f
+                sums[f] = sums.get(f, 0.0) + (x[own] * w[own, None]).T @ x[own]
+        for f, g in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([f] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array(list(g), pa.list_(pa.float64()))], names=["fold", "i", "g"])
+
+    return run
+
+
 def ridge(rows: DataFrame, features: list[str], label: str, weight: str, alphas: tuple[float, ...] = ALPHAS, by: str = "fold") -> DataFrame:
     """``by, alpha, feature, coefficient`` (with ``__intercept__``) of weighted Ridge, for all folds and alphas in one pass.
 
-    The weighted Gram matrix of each fold is one distributed aggregate of (features + 2)^2 / 2 sums; only it comes to
-    the driver, where each penalty is a small solve.  The intercept is not penalised.
+    Each partition makes the weighted Gram matrix of its rows, Spark adds those up row by row; one matrix of (features + 2)^2
+    sums per fold comes to the driver, where each penalty is a small solve.  The intercept is not penalised.  Rows with
+    a NULL in a feature, the label or the weight are left out; a fold whose weights sum to nothing is refused.
     """
-    cols = [F.lit(1.0), *(F.col(f).cast("double") for f in features), F.col(label).cast("double")]
-    n = len(cols)
-    w = F.col(weight).cast("double")
-    sums = [F.sum(w * cols[i] * cols[j]).alias(f"g{i}_{j}") for i in range(n) for j in range(i, n)]
-    known = reduce(lambda a, b: a & b, (c.isNotNull() for c in [*cols[1:], w]))
+    n = len(features) + 2
+    x = F.array(F.lit(1.0), *(F.col(f).cast("double") for f in features), F.col(label).cast("double"))
+    known = rows.select(F.col(by).cast("string").alias("fold"), F.col(weight).cast("double").alias("w"), x.alias("x")).where(F.col("w").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
+    parts = known.mapInArrow(_gram(n), "fold string, i int, g array<double>").select("fold", "i", array_to_vector("g").alias("g"))
+    grams: dict[str, np.ndarray] = {}
+    for r in parts.groupBy("fold", "i").agg(Summarizer.sum(F.col("g")).alias("g")).collect():
+        grams.setdefault(r["fold"], np.zeros((n, n)))[r["i"]] = r["g"].toArray()
     out = []
-    for row in rows.where(known).groupBy(by).agg(*sums).collect():
-        g = np.zeros((n, n))
-        for i in range(n):
-            for j in range(i, n):
-                g[i, j] = g[j, i] = row[f"g{i}_{j}"]
+    for fold, g in sorted(grams.items()):
+        if not g[0, 0] > 0:
+            raise ContractError(f"the weights of {fold} sum to {g[0, 0]}")
         mean = g[0, 1:] / g[0, 0]
         centred = g[1:, 1:] - np.outer(mean, mean) * g[0, 0]
         for alpha in alphas:
             beta = np.linalg.solve(centred[:-1, :-1] + alpha * np.eye(n - 2), centred[:-1, -1])
-            out.append((row[by], alpha, "__intercept__", float(mean[-1] - mean[:-1] @ beta)))
-            out += [(row[by], alpha, f, float(b)) for f, b in zip(features, beta, strict=True)]
-    return rows.sparkSession.createDataFrame(out, f"{by} {dict(rows.dtypes)[by]}, alpha double, feature string, coefficient double")
+            out.append((fold, alpha, "__intercept__", float(mean[-1] - mean[:-1] @ beta)))
+            out += [(fold, alpha, f, float(b)) for f, b in zip(features, beta, strict=True)]
+    made = rows.sparkSession.createDataFrame(out, "fold string, alpha double, feature string, coefficient double")
+    return made.select(F.col("fold").cast(dict(rows.dtypes)[by]).alias(by), "alpha", "feature", "coefficient")
 
 
 def predict_linear(rows: DataFrame, coefficients: DataFrame, features: list[str], by: str = "fold") -> DataFrame:
-    """``rows`` once per alpha with ``score``; the coefficient table is small and broadcast."""
-    wide = coefficients.groupBy(by, "alpha").pivot("feature", ["__intercept__", *features]).agg(F.first("coefficient"))
-    wide = wide.select(by, "alpha", *(F.col(c).alias(f"_b_{c}") for c in ["__intercept__", *features]))
-    score = reduce(lambda a, b: a + b, (F.col(f) * F.col(f"_b_{f}") for f in features), F.col("_b___intercept__"))
+    """``rows`` once per alpha with ``score``; the coefficients, a row per fold and alpha, are broadcast."""
+    wide = coefficients.groupBy(by, "alpha").agg(F.map_from_entries(F.collect_list(F.struct("feature", "coefficient"))).alias("_m"))
+    wide = wide.select(by, "alpha", F.element_at("_m", "__intercept__").alias("_b0"), F.array(*(F.element_at("_m", F.lit(f)) for f in features)).alias("_b"))
+    products = F.zip_with(F.array(*(F.col(f).cast("double") for f in features)), "_b", lambda x, b: x * b)
+    score = F.aggregate(products, F.col("_b0"), lambda x, y: x + y)
     return rows.join(F.broadcast(wide), by).select(*rows.columns, "alpha", score.alias("score"))
 
 
+#: The parameter set that is carried over unchanged, as one candidate.
+TRANSFER = {"loss": "mse", "colsample_bytree": 0.8879, "learning_rate": 0.2, "subsample": 0.8789, "lambda_l1": 205.6999, "lambda_l2": 580.9768, "max_depth": 8, "num_leaves": 210}
+
+
+def transfer_candidate(spark: SparkSession) -> DataFrame:
+    """The carried-over set as a table of one candidate; Spark's trees take its depth, step and row share, and have no counterpart for the rest."""
+    return spark.createDataFrame([(0, TRANSFER["max_depth"], TRANSFER["learning_rate"], TRANSFER["subsample"])], "candidate_id int, depth int, step double, share double")
+
+
+def best_tree_candidates(candidates: DataFrame, by: str = "fold") -> DataFrame:
+    """Per fold the candidate of highest mean IC and ICIR; of equals the one with fewest leaves, then most rows a leaf,
+    strongest penalty, largest step, smallest id.  Null statistics come last."""
+    down = ("mean_rank_ic", "rank_icir")
+    order = [F.desc_nulls_last(c) for c in down] + [F.asc("num_leaves"), F.desc("min_data_in_leaf"), F.desc("lambda_l2"), F.desc("learning_rate"), F.asc("candidate_id")]
+    return candidates.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where("_r = 1").drop("_r")
+
+
 def candidate_grid(spark: SparkSession, grid: dict[str, list]) -> DataFrame:
-    """All combinations of a parameter grid, numbered in order."""
-    frames = [spark.createDataFrame([(v,) for v in values], [name]) for name, values in grid.items()]
-    return reduce(lambda a, b: a.crossJoin(b), frames)
+    """All combinations of a parameter grid, numbered in order as ``candidate_id``; its size is the product of the lists given."""
+    rows = [(k, *values) for k, values in enumerate(itertools.product(*grid.values()))]
+    return spark.createDataFrame(rows, ["candidate_id", *grid])
 
 
 def boosted_trees(train: DataFrame, validation: DataFrame, features: list[str], label: str, weight: str, date: str, rounds: int = 20, depth: int = 4, step: float = 0.1, seed: int = 7):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.core import clean, sdiv
+from tidepanel.operators.contracts import ContractError, valid_portfolio
 
 #: Periods a year by horizon in days.
 PERIODS = {1: 252, 5: 52, 20: 12}
@@ -13,6 +16,10 @@ NAMES = ["portfolio", "portfolio_kind", "is_diagnostic"]
 
 
 def net_return(gross: Column, turnover: Column, bps: float) -> Column:
+    """Gross return less costs; a turnover that is not finite or below zero is an error at run time, costs are checked here."""
+    if not (math.isfinite(bps) and bps >= 0):
+        raise ContractError(f"costs must be finite and not negative: {bps}")
+    turnover = F.when(F.isnan(turnover) | (turnover < 0) | (turnover == float("inf")), F.raise_error("turnover must be finite and not negative").cast("double")).otherwise(turnover)
     return gross - turnover * bps / 10_000.0
 
 
@@ -49,11 +56,18 @@ def positions(panel: DataFrame, h: int, top_k: int, q: int, date: str = "trade_d
     return long.withColumn("weight", F.col("w") / side).drop("w")
 
 
+def _changes(held: DataFrame, *columns: str) -> DataFrame:
+    """Weight changes ``d`` per (seq, portfolio, security) since the last valid rebalance, and whether it is held now (``own``)."""
+    own = F.struct(F.col("seq").alias("seq"), F.col("weight").alias("w"), F.lit(True).alias("own"))
+    gone = F.struct((F.col("seq") + 1).alias("seq"), (-F.col("weight")).alias("w"), F.lit(False).alias("own"))
+    rows = held.select("portfolio", "security_id", *columns, F.explode(F.array(own, gone)).alias("x")).select("portfolio", "security_id", *columns, "x.*")
+    kept = [F.max(F.when(F.col("own"), F.col(c))).alias(c) for c in columns]
+    return rows.groupBy("seq", "portfolio", "security_id").agg(F.sum("w").alias("d"), F.max("own").alias("own"), F.sum(F.when(F.col("own"), F.col("w"))).alias("weight"), *kept)
+
+
 def turnovers(held: DataFrame) -> DataFrame:
     """``seq, portfolio, turnover``: half the sum of weight changes since the last valid rebalance."""
-    changes = held.select("seq", "portfolio", "security_id", F.col("weight").alias("d")).unionByName(held.select((F.col("seq") + 1).alias("seq"), "portfolio", "security_id", (-F.col("weight")).alias("d")))
-    net = changes.groupBy("seq", "portfolio", "security_id").agg(F.sum("d").alias("d"))
-    return net.groupBy("seq", "portfolio").agg((0.5 * F.sum(F.abs("d"))).alias("turnover"))
+    return _changes(held).groupBy("seq", "portfolio").agg((0.5 * F.sum(F.abs("d"))).alias("turnover"))
 
 
 def periods(panel: DataFrame, h: int, top_k: int, q: int, bps: float, date: str = "trade_date") -> DataFrame:
@@ -62,15 +76,24 @@ def periods(panel: DataFrame, h: int, top_k: int, q: int, bps: float, date: str
     A period is evaluable if all labels are finite and all names share entry and end dates.  Dates with too few
     names give placeholder rows that are not evaluable and leave the previous weights as they are.
     """
-    held = positions(panel, h, top_k, q, date)
-    one_date = lambda c: (F.count(c) == F.count("*")) & (F.min(c) == F.max(c))
-    finite = F.count(clean(F.col("label"))) == F.count("*")
-    made = held.groupBy("seq", date, *NAMES).agg(F.count("*").alias("n_names"), F.sum(F.col("weight") * F.col("label")).alias("_g"), F.coalesce(finite & one_date("entry_date") & one_date("label_end_date"), F.lit(False)).alias("is_evaluable"), F.when(one_date("label_end_date"), F.max("label_end_date")).alias("nav_date"))
-    made = made.join(turnovers(held), ["seq", "portfolio"])
+    valid_portfolio(h, top_k, q, bps)
+    names = _changes(positions(panel, h, top_k, q, date), date, "entry_date", "label_end_date", "label")
+    count = F.count_if("own")
+    at = lambda c: F.when(F.col("own"), F.col(c))
+    one_date = lambda c: (F.count(at(c)) == count) & (F.min(at(c)) == F.max(at(c)))
+    finite = F.count(F.when(F.col("own"), clean(F.col("label")))) == count
+    made = names.groupBy("seq", "portfolio").agg(
+        F.max(date).alias(date),
+        count.alias("n_names"),
+        F.sum(at("weight") * F.col("label")).alias("_g"),
+        F.coalesce(finite & one_date("entry_date") & one_date("label_end_date"), F.lit(False)).alias("is_evaluable"),
+        F.when(one_date("label_end_date"), F.max(at("label_end_date"))).alias("nav_date"),
+        (0.5 * F.sum(F.abs("d"))).alias("turnover"),
+    ).where("n_names > 0")
     spark = panel.sparkSession
     kinds = spark.createDataFrame([*((f"Q{i}", "quintile_long", False) for i in range(1, q + 1)), (f"top_{top_k}", "top_k_long", False), ("top_bottom", "diagnostic_long_short", True)], "portfolio string, portfolio_kind string, is_diagnostic boolean")
     grid = rebalances(panel, h, max(top_k, q), date).select(date).crossJoin(F.broadcast(kinds))
-    rows = grid.join(made.drop("portfolio_kind", "is_diagnostic", "seq"), [date, "portfolio"], "left")
+    rows = grid.join(made.drop("seq"), [date, "portfolio"], "left")
     gross = F.when(F.col("is_evaluable"), F.col("_g"))
     turnover = F.coalesce("turnover", F.lit(0.0))
     return rows.select(

@@ -28,26 +28,53 @@ def add(name: str, body: Query, oracle: str | None = None, digits: int | None =
 P = sources.panel
 
 
-def research(s: SparkSession, d: str) -> DataFrame:
-    p = P(s, d)
+def base(s: SparkSession, d: str) -> DataFrame:
+    """The derived panel as a stored table: lineitem is read once, however often a query needs the panel."""
+    return written(P(s, d), "panel")
+
+
+def research_of(p: DataFrame) -> DataFrame:
     return labels.research_panel(p, sources.membership(p), sources.tradability(p)).drop("is_member")
 
 
+def research(s: SparkSession, d: str) -> DataFrame:
+    return research_of(base(s, d))
+
+
 def marketed(s: SparkSession, d: str) -> DataFrame:
-    return sources.with_market_return(research(s, d), sources.benchmark(P(s, d)))
+    p = base(s, d)
+    return sources.with_market_return(research_of(p), sources.benchmark(p))
 
 
-def scored(s: SparkSession, d: str, factor: str = "REV5") -> DataFrame:
+def labelled(s: SparkSession, d: str, horizons: tuple[int, ...] = (1,)) -> DataFrame:
+    p = base(s, d)
+    return labels.forward_labels(research_of(p), sources.benchmark(p), horizons)
+
+
+def scored_of(p: DataFrame, factor: str = "REV5") -> DataFrame:
     """Labelled research panel with a factor's directed score: the single-factor run up to its evidence."""
-    rows = research(s, d)
+    rows = written(research_of(p), "research")
     prepared = cross_section.prepare_factor(factors.compute(factors.leak_free(rows), factor), factors.lookup(factor).direction)
-    return labels.forward_labels(rows, sources.benchmark(P(s, d)), HORIZONS).join(prepared.select(*labels.KEYS, "directed_score"), labels.KEYS, "left")
+    return labels.forward_labels(rows, sources.benchmark(p), HORIZONS).join(prepared.select(*labels.KEYS, "directed_score"), labels.KEYS, "left")
+
+
+def scored(s: SparkSession, d: str, factor: str = "REV5") -> DataFrame:
+    return scored_of(base(s, d), factor)
 
 
 def daily_ic(s: SparkSession, d: str) -> DataFrame:
     return cross_section.evaluate_ic(scored(s, d), HORIZONS)
 
 
+def simulated(s: SparkSession, d: str, h: int) -> tuple[DataFrame, DataFrame]:
+    return portfolio.simulate(written(scored(s, d), "scored"), h, 10)
+
+
+def on(body: Callable[[DataFrame], DataFrame]) -> Query:
+    """A query that uses the stored panel several times."""
+    return lambda s, d: body(base(s, d))
+
+
 def industries(s: SparkSession, d: str) -> DataFrame:
     return sources.with_size_and_industry(P(s, d), sources.scan(s, f"{d}/supplier.parquet"), sources.scan(s, f"{d}/nation.parquet"))
 
@@ -71,28 +98,28 @@ add("v3_positive_prices", lambda s, d: contracts.not_positive(P(s, d), ["adjuste
 add("v4_unparsable_dates", lambda s, d: contracts.unparsable_dates(sources.scan(s, f"{d}/orders.parquet"), "o_orderdate"), "SELECT count(*) FILTER (TRY_CAST(o_orderdate AS TIMESTAMP) IS NULL) AS violations FROM orders")
 add("v6_not_finite", lambda s, d: contracts.not_finite(rolling.rolling_features(P(s, d), ["roc"], (5, 60)), ["roc5", "roc60"]), f"WITH {sql.Q}, f AS (SELECT {sql.family('roc', 5)} AS a, {sql.family('roc', 60)} AS z FROM q) SELECT 'roc5' AS \"column\", count(*) FILTER (a IS NULL) AS violations FROM f UNION ALL SELECT 'roc60', count(*) FILTER (z IS NULL) FROM f")
 add("v7_all_members", lambda s, d: P(s, d).groupBy("trade_date").agg(F.bool_and("is_member").alias("all_members")), f"WITH {sql.P} SELECT trade_date, bool_and(is_member) AS all_members FROM p GROUP BY trade_date")
-add("v8_label_gap", lambda s, d: contracts.label_gap(P(s, d), P(s, d).where("is_member").withColumn("vwap", F.col("adjusted_close")), labels.KEYS, "vwap"), sql.rounded(sql.P, "SELECT max(abs(a.vwap - z.adjusted_close)) AS gap, count(*) FILTER (z.trade_date IS NULL) AS one_sided FROM p a LEFT JOIN (SELECT * FROM p WHERE is_member) z USING (trade_date, security_id)", ["gap"]))
+add("v8_label_gap", on(lambda p: contracts.label_gap(p, p.where("is_member").withColumn("vwap", F.col("adjusted_close")), labels.KEYS, "vwap")), sql.rounded(sql.P, "SELECT max(abs(a.vwap - z.adjusted_close)) AS gap, count(*) FILTER (z.trade_date IS NULL) AS one_sided FROM p a LEFT JOIN (SELECT * FROM p WHERE is_member) z USING (trade_date, security_id)", ["gap"]))
 add("v12_exactly_one", lambda s, d: contracts.exactly_one(sources.scan(s, f"{d}/orders.parquet"), ["o_custkey"]), "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) <> 1")
 add("v13_strict_cells", lambda s, d: contracts.strict_cells(sources.scan(s, f"{d}/lineitem.parquet").select(F.col("l_returnflag"), F.col("l_linestatus").cast("string").alias("l_linestatus"), F.col("l_quantity").cast("string").alias("q")), numbers=["q"], choices={"l_returnflag": ["A", "R"], "l_linestatus": ["O"]}), "SELECT 'q' AS \"column\", count(*) FILTER (TRY_CAST(CAST(l_quantity AS VARCHAR) AS DOUBLE) IS NULL) AS violations FROM lineitem UNION ALL SELECT 'l_returnflag', count(*) FILTER (NOT coalesce(l_returnflag IN ('A', 'R'), false)) FROM lineitem UNION ALL SELECT 'l_linestatus', count(*) FILTER (NOT coalesce(l_linestatus IN ('O'), false)) FROM lineitem")
 
 # Projections and joins
 add("p1_date_range", lambda s, d: P(s, d).where("trade_date between date'1997-01-01' and date'1998-12-31'").select(*labels.KEYS, "adjusted_close"), sql.rounded(sql.P, f"SELECT {KEYS}, adjusted_close FROM p WHERE trade_date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'", ["adjusted_close"]))
-add("p2_leak_free", lambda s, d: factors.leak_free(labels.forward_labels(research(s, d), sources.benchmark(P(s, d)), (1,)), "1999-12-31").select(*labels.KEYS, "adjusted_close"), sql.rounded(sql.RP, f"SELECT {KEYS}, adjusted_close FROM rp WHERE trade_date <= DATE '1999-12-31'", ["adjusted_close"]))
+add("p2_leak_free", lambda s, d: factors.leak_free(labelled(s, d), "1999-12-31").select(*labels.KEYS, "adjusted_close"), sql.rounded(sql.RP, f"SELECT {KEYS}, adjusted_close FROM rp WHERE trade_date <= DATE '1999-12-31'", ["adjusted_close"]))
 add("p5_history_start", lambda s, d: factors.history_start(P(s, d), "1998-01-01", 20), f"WITH {sql.P} SELECT min(trade_date) AS trade_date FROM (SELECT DISTINCT trade_date FROM p WHERE trade_date < DATE '1998-01-01' ORDER BY 1 DESC LIMIT 20)")
 add("p6_label_end", lambda s, d: factors.label_end(sources.benchmark(P(s, d)), "1998-01-01", 20), f"WITH {sql.B} SELECT max(trade_date) AS trade_date FROM (SELECT trade_date FROM b WHERE trade_date > DATE '1998-01-01' ORDER BY 1 LIMIT 21)")
 add("p8_every_5th_date", lambda s, d: portfolio.rebalances(scored(s, d), 5, 10).select("trade_date"), f"WITH {sql.RP} SELECT trade_date FROM (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS i FROM (SELECT DISTINCT trade_date FROM rp)) WHERE (i - 1) % 5 = 0")
 add("p9_melt", lambda s, d: rolling.rolling_features(P(s, d), ["ma", "roc"], (5,)).unpivot(labels.KEYS, ["ma5", "roc5"], "model", "score"), sql.rounded(sql.Q, f"SELECT {KEYS}, 'ma5' AS model, {sql.family('ma', 5)} AS score FROM q UNION ALL SELECT {KEYS}, 'roc5', {sql.family('roc', 5)} FROM q", ["score"]))
-add("j1_members", lambda s, d: P(s, d).join(sources.membership(P(s, d)), labels.KEYS, "left_semi").select(*labels.KEYS, "turnover"), f"WITH {sql.P} SELECT {KEYS}, turnover FROM p WHERE is_member")
-add("j2_tradable_default", lambda s, d: labels.research_panel(P(s, d), sources.membership(P(s, d)), sources.tradability(P(s, d)).where("tradable_next_open")).select(*labels.KEYS, "tradable_next_open"), f"WITH {sql.P} SELECT {KEYS}, tradable_next_open FROM p WHERE is_member")
+add("j1_members", on(lambda p: p.join(sources.membership(p), labels.KEYS, "left_semi").select(*labels.KEYS, "turnover")), f"WITH {sql.P} SELECT {KEYS}, turnover FROM p WHERE is_member")
+add("j2_tradable_default", on(lambda p: labels.research_panel(p, sources.membership(p), sources.tradability(p).where("tradable_next_open")).select(*labels.KEYS, "tradable_next_open")), f"WITH {sql.P} SELECT {KEYS}, tradable_next_open FROM p WHERE is_member")
 add("j3_benchmark", lambda s, d: marketed(s, d).select(*labels.KEYS, "market_return"), sql.rounded(sql.RP, f"SELECT {KEYS}, market_return FROM mp", ["market_return"]))
 add("j4_factor_on_panel", lambda s, d: scored(s, d).select(*labels.KEYS, "basic_eligible", "tradable_next_open", "directed_score"), sql.rounded(sql.EVAL, f"SELECT {KEYS}, basic_eligible, tradable_next_open, directed_score FROM ev", ["directed_score"]))
-add("j6_common_predictions", lambda s, d: cross_section.common_predictions(rolling.rolling_features(P(s, d), ["ma"], (5,)).withColumnRenamed("ma5", "score"), rolling.rolling_features(research(s, d), ["roc"], (5,)).withColumnRenamed("roc5", "score"), labels.KEYS, ["score"]), sql.rounded(sql.Q + f", q2 AS (SELECT trade_date, security_id, lag(adjusted_close, 5) OVER {sql.S} / adjusted_close AS z FROM p WHERE is_member)", f"SELECT a.trade_date, a.security_id, {sql.family('ma', 5).replace('security_id', 'a.security_id').replace('trade_date', 'a.trade_date')} AS score_a, z AS score_b, q2.trade_date IS NOT NULL AS complete FROM q a LEFT JOIN q2 ON a.trade_date = q2.trade_date AND a.security_id = q2.security_id", ["score_a", "score_b"]))
+add("j6_common_predictions", on(lambda p: cross_section.common_predictions(rolling.rolling_features(p, ["ma"], (5,)).withColumnRenamed("ma5", "score"), rolling.rolling_features(research_of(p), ["roc"], (5,)).withColumnRenamed("roc5", "score"), labels.KEYS, ["score"])), sql.rounded(sql.Q + f", q2 AS (SELECT trade_date, security_id, lag(adjusted_close, 5) OVER {sql.S} / adjusted_close AS z FROM p WHERE is_member)", f"SELECT a.trade_date, a.security_id, {sql.family('ma', 5).replace('security_id', 'a.security_id').replace('trade_date', 'a.trade_date')} AS score_a, z AS score_b, q2.trade_date IS NOT NULL AS complete FROM q a LEFT JOIN q2 ON a.trade_date = q2.trade_date AND a.security_id = q2.security_id", ["score_a", "score_b"]))
 
 # Row ratios and rolling features
 add("c1_c13_row_ratios", lambda s, d: P(s, d).select(*labels.KEYS, *(x.alias(n) for n, x in rolling.candles().items())), sql.rounded(sql.Q, f"SELECT {KEYS}, {', '.join(f'{x} AS {n}' for n, x in sql.CANDLES.items())} FROM q", list(sql.CANDLES)))
 for k, fam in enumerate(rolling.FAMILIES):
     add(f"r{k + 1}_{fam}", lambda s, d, fam=fam: rolling.rolling_features(P(s, d), [fam]), sql.rolling(fam))
-add("r_all_158_features", lambda s, d: rolling.all_features(P(s, d)))
+add("r_all_158_features", lambda s, d: rolling.all_features(P(s, d)), sql.all_features([*rolling.candles()], list(rolling.FAMILIES)))
 add("c19_canonical_json", lambda s, d: sources.scan(s, f"{d}/nation.parquet").select("n_nationkey", F.to_json(F.struct("n_name", "n_nationkey", "n_regionkey")).alias("j")), "SELECT n_nationkey, '{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}' AS j FROM nation")
 add("c20_year", lambda s, d: P(s, d).groupBy(F.year("trade_date").alias("year")).agg(F.count("*").alias("n")), f"WITH {sql.P} SELECT CAST(year(trade_date) AS INTEGER) AS year, count(*) AS n FROM p GROUP BY 1")
 
@@ -101,26 +128,16 @@ for k, name in enumerate(factors.FACTORS):
     add(f"f{k + 1}_{name.lower()}", lambda s, d, name=name: factors.compute(marketed(s, d), name), sql.factor(name), 9 if name == "AMIHUD20" else 6)
 
 # Cross sections
-PRE = ["roc5", "ma20", "std10"]
-_PRE = sql.Q + "," + f"""
-f0 AS (SELECT {KEYS}, {sql.family('roc', 5)} AS roc5, {sql.family('ma', 20)} AS ma20, {sql.family('std', 10)} AS std10 FROM q),
-f1 AS (UNPIVOT (SELECT * FROM f0) ON roc5, ma20, std10 INTO NAME feature VALUE x),
-f2 AS (SELECT {KEYS}, feature, x FROM (SELECT {KEYS}, unnest(['roc5', 'ma20', 'std10']) AS feature FROM f0) g LEFT JOIN f1 USING (trade_date, security_id, feature)),
-f3 AS (SELECT trade_date, feature, median(x) AS m, count(*) AS n_rows, count(x) AS finite_before FROM f2 GROUP BY ALL),
-f4 AS (SELECT f2.trade_date, security_id, f2.feature, m, coalesce(x, m) AS x, n_rows, finite_before FROM f2 JOIN f3 USING (trade_date, feature)),
-f5 AS (SELECT trade_date, feature, median(abs(x - m)) AS s FROM f4 GROUP BY ALL),
-f6 AS (SELECT f4.*, s, CASE WHEN s * 1.4826 <= 1e-12 THEN x ELSE greatest(m - 5 * 1.4826 * s, least(m + 5 * 1.4826 * s, x)) END AS w FROM f4 JOIN f5 USING (trade_date, feature)),
-f7 AS (SELECT trade_date, feature, avg(w) AS a, stddev_pop(w) AS d FROM f6 GROUP BY ALL),
-f8 AS (SELECT f6.trade_date, security_id, f6.feature, CASE WHEN d > 1e-12 THEN (w - a) / d ELSE 0 END AS z FROM f6 JOIN f7 USING (trade_date, feature))"""
-
-
-def _three(s: SparkSession, d: str) -> DataFrame:
-    p = P(s, d)
-    return rolling.rolling_features(p, ["roc"], (5,)).join(rolling.rolling_features(p, ["ma"], (20,)), labels.KEYS).join(rolling.rolling_features(p, ["std"], (10,)), labels.KEYS)
 
 
-add("x1_preprocess", lambda s, d: cross_section.preprocess(_three(s, d), PRE), sql.rounded(_PRE, f"SELECT {KEYS}, " + ", ".join(f"max(CASE WHEN feature = '{c}' THEN z END) AS {c}" for c in PRE) + f" FROM f8 GROUP BY {KEYS}", PRE))
-add("x2_quality", lambda s, d: cross_section.quality(_three(s, d), PRE).select("trade_date", "feature", "n_rows", "finite_before", "missing_before", "infinite_before", "median", "mad", "clipped_count", "all_null"), sql.rounded(_PRE, "SELECT trade_date, feature, any_value(n_rows) AS n_rows, any_value(finite_before) AS finite_before, any_value(n_rows - finite_before) AS missing_before, CAST(0 AS BIGINT) AS infinite_before, any_value(m) AS median, any_value(s) AS mad, count(*) FILTER (s * 1.4826 > 1e-12 AND abs(x - m) > 5 * 1.4826 * s) AS clipped_count, any_value(finite_before) = 0 AS all_null FROM f6 GROUP BY ALL", ["median", "mad"]))
+def _all_features(s: SparkSession, d: str) -> DataFrame:
+    """All 158 features as a stored table."""
+    return written(rolling.all_features(P(s, d)), "features")
+
+
+ALL = [*rolling.candles(), *(f"{f}{w}" for f in rolling.FAMILIES for w in rolling.WINDOWS)]
+add("x1_preprocess", lambda s, d: cross_section.preprocess(_all_features(s, d), ALL), sql.preprocessed(ALL))
+add("x2_quality", lambda s, d: cross_section.quality(_all_features(s, d), ALL).select("trade_date", "feature", "n_rows", "finite_before", "missing_before", "infinite_before", "median", "mad", "clipped_count", "all_null"), sql.quality(ALL))
 add("x3_factor_preparation", lambda s, d: cross_section.prepare_factor(factors.compute(research(s, d), "REV5"), "negative").drop("directed_score"), sql.rounded(sql.RP + sql.REV5_RAW + sql.PREP, "SELECT * FROM prep", ["raw_value", "winsorized_value", "zscore_value"]))
 add("x4_label_zscore", lambda s, d: cross_section.zscore_label(scored(s, d).select(*labels.KEYS, "label_excess_o2o_1d"), "label_excess_o2o_1d", "trade_date").select(*labels.KEYS, "label_z"), sql.rounded(sql.EVAL + ", zs AS (SELECT trade_date, avg(label_excess_o2o_1d) AS a, stddev_pop(label_excess_o2o_1d) AS d FROM ev GROUP BY trade_date)", f"SELECT {KEYS}, CASE WHEN d > 0 THEN (label_excess_o2o_1d - a) / d END AS label_z FROM ev JOIN zs USING (trade_date)", ["label_z"]))
 add("x5_date_weights", lambda s, d: cross_section.equal_date_weights(P(s, d).select(*labels.KEYS), "trade_date"), sql.rounded(sql.P, f"SELECT {KEYS}, (SELECT count(*) FROM p) / ((SELECT count(DISTINCT trade_date) FROM p) * count(*) OVER (PARTITION BY trade_date))::DOUBLE AS weight FROM p", ["weight"]))
@@ -141,11 +158,11 @@ add("x8_quintiles", lambda s, d: cross_section.quintiles(scored(s, d), "directed
 add("x9_x11_positions", lambda s, d: portfolio.positions(scored(s, d), 5, 10, 5).select("trade_date", "portfolio", "security_id", "weight"), sql.rounded(sql.portfolios(5, 10), "SELECT trade_date, portfolio, security_id, CAST(w AS DOUBLE) AS weight FROM hl", ["weight"]))
 
 # Labels, portfolios
-add("l1_forward_labels", lambda s, d: labels.forward_labels(research(s, d), sources.benchmark(P(s, d)), HORIZONS).select(*labels.KEYS, "basic_eligible", "entry_date", *(c for h in HORIZONS for c in (f"label_end_date_{h}d", f"label_excess_o2o_{h}d"))), sql.rounded(sql.RP + sql.labels(), f"SELECT {KEYS}, basic_eligible, entry_date, " + ", ".join(f"label_end_date_{h}d, label_excess_o2o_{h}d" for h in HORIZONS) + " FROM lab", [f"label_excess_o2o_{h}d" for h in HORIZONS]))
+add("l1_forward_labels", lambda s, d: labelled(s, d, HORIZONS).select(*labels.KEYS, "basic_eligible", "entry_date", *(c for h in HORIZONS for c in (f"label_end_date_{h}d", f"label_excess_o2o_{h}d"))), sql.rounded(sql.RP + sql.labels(), f"SELECT {KEYS}, basic_eligible, entry_date, " + ", ".join(f"label_end_date_{h}d, label_excess_o2o_{h}d" for h in HORIZONS) + " FROM lab", [f"label_excess_o2o_{h}d" for h in HORIZONS]))
 add("l3_research_panel", lambda s, d: research(s, d).select(*labels.KEYS, "adjusted_open", "tradable_next_open", "basic_eligible"), sql.rounded(sql.RP, f"SELECT {KEYS}, adjusted_open, tradable_next_open, basic_eligible FROM rp", ["adjusted_open"]))
-for h in (1, 5):
-    add(f"w1_w3_periods_{h}d", lambda s, d, h=h: portfolio.simulate(scored(s, d), h, 10)[0], sql.rounded(sql.portfolios(h, 10), "SELECT * FROM nav", sql.NAV_DOUBLES, 9), 9)
-    add(f"w4_w5_summary_{h}d", lambda s, d, h=h: portfolio.simulate(scored(s, d), h, 10)[1], sql.portfolio_summary(h, 10, portfolio.PERIODS[h]))
+for h in HORIZONS:
+    add(f"w1_w3_periods_{h}d", lambda s, d, h=h: simulated(s, d, h)[0], sql.rounded(sql.portfolios(h, 10), "SELECT * FROM nav", sql.NAV_DOUBLES, 9), 9)
+    add(f"w4_w5_summary_{h}d", lambda s, d, h=h: simulated(s, d, h)[1], sql.portfolio_summary(h, 10, portfolio.PERIODS[h]))
 add("j7_turnover", lambda s, d: portfolio.turnovers(portfolio.positions(scored(s, d), 5, 10, 5)), sql.rounded(sql.portfolios(5, 10), "SELECT CAST(seq AS BIGINT) AS seq, portfolio, CAST(turnover AS DOUBLE) AS turnover FROM tv", ["turnover"]))
 
 
@@ -162,10 +179,11 @@ def _ledger(s: SparkSession, d: str) -> DataFrame:
 
 def ledger_batch(s: SparkSession, d: str) -> DataFrame:
     """Every rebalance date of every long portfolio and horizon; the diagnostic one is short and needs borrowing."""
-    rows = written(scored(s, d), "scored")
+    daily = base(s, d)
+    rows = written(scored_of(daily), "scored")
     every = [portfolio.positions(rows, h, 10, 5).where("not is_diagnostic").select(F.concat("portfolio", F.lit(f"_{h}d")).alias("account"), "seq", "trade_date", "security_id", "weight") for h in HORIZONS]
     held = written(every[0].unionByName(every[1]).unionByName(every[2]), "held")
-    tables = portfolio.execution_tables(held, written(P(s, d), "daily"), written(research(s, d), "states"), 1_000_000.0)
+    tables = portfolio.execution_tables(held, daily, written(research_of(daily), "states"), 1_000_000.0)
     return portfolio.rebalance_ledger(**tables, bps=10.0, date="trade_date")
 
 
@@ -191,13 +209,14 @@ add("g8_ic_yearly", lambda s, d: evidence.ic_yearly(daily_ic(s, d)), sql.rounded
 NON = sql.IC + ", nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY eligibility, horizon_days ORDER BY trade_date) AS i FROM ic WHERE horizon_days > 1) WHERE (i - 1) % horizon_days = 0)"
 add("g9_non_overlapping", lambda s, d: evidence.ic_summary(evidence.every_hth(daily_ic(s, d)), overlap=False), sql.rounded(NON + sql.mean_test("nn", "rank_ic", "eligibility, horizon_days", "0"), _sum("nn", "0"), SUMMARY))
 add("g11_decision", lambda s, d: evidence.decide(daily_ic(s, d), [1996, 1997, 1998, 1999, 2000], least=30).select("n", "mean", "tradable_mean", "good_years"), sql.rounded(sql.IC + ", lk AS (SELECT * FROM ic WHERE horizon_days = 1 AND year(trade_date) BETWEEN 1996 AND 2000)", "SELECT (SELECT count(rank_ic) FROM lk WHERE eligibility = 'basic') AS n, (SELECT avg(rank_ic) FROM lk WHERE eligibility = 'basic') AS mean, (SELECT avg(rank_ic) FROM lk WHERE eligibility = 'tradable') AS tradable_mean, (SELECT count(*) FROM (SELECT avg(rank_ic) AS m FROM lk WHERE eligibility = 'basic' GROUP BY year(trade_date)) WHERE m > 0) AS good_years", ["mean", "tradable_mean"]))
-add("g11_decision_label", lambda s, d: evidence.decide(daily_ic(s, d), [1996, 1997, 1998, 1999, 2000], least=30).select("decision", "p"))
+add("g11_decision_label", lambda s, d: evidence.decide(daily_ic(s, d), [1996, 1997, 1998, 1999, 2000], least=30).select("decision", "t_stat"), sql.decision(1996, 2000, 30))
 add("g14_data_quality", lambda s, d: evidence.data_quality(research(s, d)), f"WITH {sql.RP} SELECT unnest(['rows', 'dates', 'securities', 'missing_open', 'missing_close', 'tradable_rows']) AS metric, unnest([count(*), count(DISTINCT trade_date), count(DISTINCT security_id), count(*) FILTER (adjusted_open IS NULL), count(*) FILTER (adjusted_close IS NULL), count(*) FILTER (tradable_next_open)]) AS value FROM rp")
 
 
 def _two_models(s: SparkSession, d: str) -> DataFrame:
-    y = labels.forward_labels(research(s, d), sources.benchmark(P(s, d)), (1,)).select(*labels.KEYS, "label_excess_o2o_1d")
-    x = rolling.rolling_features(P(s, d), ["ma", "rsv"], (5,)).unpivot(labels.KEYS, ["ma5", "rsv5"], "model", "score")
+    p = base(s, d)
+    y = labels.forward_labels(research_of(p), sources.benchmark(p), (1,)).select(*labels.KEYS, "label_excess_o2o_1d")
+    x = rolling.rolling_features(p, ["ma", "rsv"], (5,)).unpivot(labels.KEYS, ["ma5", "rsv5"], "model", "score")
     return cross_section.rank_ic(x.join(y, labels.KEYS), "score", "label_excess_o2o_1d", "trade_date", "model")
 
 
@@ -209,19 +228,35 @@ m2 AS (SELECT trade_date, model, rank() OVER (PARTITION BY trade_date, model ORD
 m3 AS (SELECT trade_date, model, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS rank_ic FROM m2 GROUP BY ALL),
 m4 AS (SELECT trade_date, 'ma5-rsv5' AS pair, max(CASE WHEN model = 'ma5' THEN rank_ic END) - max(CASE WHEN model = 'rsv5' THEN rank_ic END) AS difference FROM m3 GROUP BY trade_date)"""
 add("j8_g15_paired_difference", lambda s, d: evidence.paired_difference(_two_models(s, d), "model", "ma5", "rsv5", "rank_ic", "trade_date"), sql.rounded(PAIRED + sql.mean_test("m4", "difference", "pair", "4", unbiased=True), "SELECT * FROM ht", ["mean", "se", "t_stat"]))
-add("g16_combined_summary", lambda s, d: evidence.tagged_union({"overlapping": evidence.ic_summary(daily_ic(s, d)), "annual": evidence.ic_yearly(daily_ic(s, d))}, "sample").select("sample", "eligibility", "horizon_days", "year", "n_observations", "mean_rank_ic"), sql.rounded(sql.IC, "SELECT 'overlapping' AS sample, eligibility, horizon_days, CAST(NULL AS INTEGER) AS year, count(rank_ic) AS n_observations, avg(rank_ic) AS mean_rank_ic FROM ic GROUP BY ALL UNION ALL SELECT 'annual', eligibility, horizon_days, CAST(year(trade_date) AS INTEGER), count(rank_ic), avg(rank_ic) FROM ic GROUP BY ALL", ["mean_rank_ic"]))
-add("g17_portfolio_tables", lambda s, d: evidence.tagged_union({"summary": portfolio.simulate(scored(s, d), 5, 10)[1], "nav": portfolio.simulate(scored(s, d), 5, 10)[0]}, "table_kind").groupBy("table_kind", "portfolio").agg(F.count("*").alias("n"), F.count("net_nav").alias("with_nav")), f"WITH {sql.portfolios(5, 10).lstrip()} SELECT 'nav' AS table_kind, portfolio, count(*) AS n, count(net_nav) AS with_nav FROM nav GROUP BY ALL UNION ALL SELECT 'summary', portfolio, CAST(2 AS BIGINT), CAST(0 AS BIGINT) FROM (SELECT DISTINCT portfolio FROM nav)")
+SAMPLE = ["sample", "eligibility", "horizon_days", "year", "n_observations", *sql.HALF_NAMES]
+
+
+def _combined(s: SparkSession, d: str) -> DataFrame:
+    daily = written(daily_ic(s, d), "ic")
+    tables = {"overlapping": evidence.ic_summary(daily), "non_overlapping": evidence.ic_summary(evidence.every_hth(daily), overlap=False), "annual": evidence.ic_yearly(daily)}
+    return evidence.tagged_union(tables, "sample").select(*SAMPLE)
+
+
+def _portfolio_tables(s: SparkSession, d: str) -> DataFrame:
+    table, summary = simulated(s, d, 5)
+    return evidence.tagged_union({"summary": summary, "nav": table}, "table_kind").select("table_kind", "trade_date", "portfolio", "return_type", "n_periods", "annualized_return", "volatility", "max_drawdown", "gross_nav", "net_nav")
+
+
+add("g16_combined_summary", _combined, sql.combined())
+add("g17_portfolio_tables", _portfolio_tables, sql.portfolio_tables(5, 10, portfolio.PERIODS[5]))
 add("g18_cumulative_rank_ic", lambda s, d: evidence.cumulative_rank_ic(daily_ic(s, d)), sql.rounded(sql.IC, "SELECT trade_date, eligibility, horizon_days, sum(coalesce(rank_ic, 0)) OVER (PARTITION BY eligibility, horizon_days ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS cumulative_rank_ic FROM ic", ["cumulative_rank_ic"]))
-add("g19_top_k_nav", lambda s, d: portfolio.simulate(scored(s, d), 5, 10)[0].where("portfolio = 'top_10'").select("trade_date", "nav_date", "net_nav"), sql.rounded(sql.portfolios(5, 10), "SELECT trade_date, nav_date, net_nav FROM nav WHERE portfolio = 'top_10'", ["net_nav"]))
+add("g19_top_k_nav", lambda s, d: simulated(s, d, 5)[0].where("portfolio = 'top_10'").select("trade_date", "nav_date", "net_nav"), sql.rounded(sql.portfolios(5, 10), "SELECT trade_date, nav_date, net_nav FROM nav WHERE portfolio = 'top_10'", ["net_nav"]))
 
 
 def _board(s: SparkSession, d: str) -> DataFrame:
-    keyed = evidence.ic_summary(daily_ic(s, d)).withColumn("key", F.concat_ws("_", "eligibility", F.concat("horizon_days", F.lit("d")))).withColumn("factor_id", F.lit("REV5")).withColumn("run_id", F.lit("run"))
-    summary = portfolio.simulate(scored(s, d), 5, 10)[1].withColumn("factor_id", F.lit("REV5")).withColumn("run_id", F.lit("run"))
-    return evidence.scoreboard_row(keyed, summary, ["factor_id", "run_id"]).select("factor_id", "run_id", "basic_1d_mean_rank_ic", "tradable_20d_rank_icir", "net_5d_sharpe", "gross_5d_mean_turnover")
+    run = {"factor_id": F.lit("REV5"), "run_id": F.lit("run")}
+    rows = written(scored(s, d), "scored")
+    summary = evidence.with_p_value(evidence.ic_summary(cross_section.evaluate_ic(rows, HORIZONS))).withColumns(run)
+    books = [portfolio.simulate(rows, h, 10)[1].withColumns(run) for h in HORIZONS]
+    return evidence.scoreboard_row(summary, books[0].unionByName(books[1]).unionByName(books[2]), list(run), HORIZONS)
 
 
-add("g20_scoreboard_row", _board, sql.rounded(sql.portfolios(5, 10) + sql.IC[len(sql.EVAL):] + f", su AS (SELECT avg(turnover) AS tu, avg(net_return) / nullif(stddev_samp(net_return), 0) * sqrt(52) AS sh FROM nav WHERE portfolio = 'top_10')", "SELECT 'REV5' AS factor_id, 'run' AS run_id, (SELECT avg(rank_ic) FROM ic WHERE eligibility = 'basic' AND horizon_days = 1) AS basic_1d_mean_rank_ic, (SELECT avg(rank_ic) / stddev_samp(rank_ic) FROM ic WHERE eligibility = 'tradable' AND horizon_days = 20) AS tradable_20d_rank_icir, sh AS net_5d_sharpe, tu AS gross_5d_mean_turnover FROM su", ["basic_1d_mean_rank_ic", "tradable_20d_rank_icir", "net_5d_sharpe", "gross_5d_mean_turnover"]))
+add("g20_scoreboard_row", lambda s, d: (b := _board(s, d)).drop(*(c for c in b.columns if "p_value" in c)), sql.scoreboard(HORIZONS, 10, portfolio.PERIODS))
 
 # Models
 FOLDS = [(f"f{y}", y, y + 1, y + 2, y + 3) for y in range(1995, 1999)]
@@ -233,35 +268,60 @@ def folds(s: SparkSession) -> DataFrame:
 
 
 def assigned(s: SparkSession, d: str) -> DataFrame:
-    rows = labels.forward_labels(research(s, d), sources.benchmark(P(s, d)), (1,)).select(F.col("trade_date").alias("signal_date"), "security_id", F.col("label_end_date_1d").alias("label_end_date"), F.col("label_excess_o2o_1d").alias("y")).where("y is not null")
+    rows = labelled(s, d).select(F.col("trade_date").alias("signal_date"), "security_id", F.col("label_end_date_1d").alias("label_end_date"), F.col("label_excess_o2o_1d").alias("y")).where("y is not null")
     return labels.fold_assignments(rows, folds(s))
 
 
-def modelled(s: SparkSession, d: str) -> DataFrame:
-    x = cross_section.preprocess(rolling.rolling_features(P(s, d), ["ma", "roc", "std", "rsv"], (5, 10, 20)), ["ma5", "ma20", "roc5", "std10", "rsv5"]).withColumnRenamed("trade_date", "signal_date").select("signal_date", "security_id", *FEATURES)
+def modelled(s: SparkSession, d: str, names: list[str]) -> DataFrame:
+    """Fold rows with cleaned features."""
+    p = P(s, d)
+    raw = rolling.all_features(p) if len(names) > len(FEATURES) else rolling.rolling_features(p, ["ma", "roc", "std", "rsv"], (5, 10, 20))
+    x = cross_section.preprocess(raw.select(*labels.KEYS, *names), names).withColumnRenamed("trade_date", "signal_date")
     return assigned(s, d).join(x, ["signal_date", "security_id"])
 
 
-def ridge_coefficients(s: SparkSession, d: str) -> DataFrame:
-    train = modelled(s, d).where("role = 'train'")
-    return models.ridge(cross_section.equal_date_weights(train.withColumn("_k", F.struct("fold", "signal_date")), "_k"), FEATURES, "y", "weight")
+def _weighted(rows: DataFrame) -> DataFrame:
+    train = rows.where("role = 'train'")
+    return cross_section.equal_date_weights(train.withColumn("_k", F.struct("fold", "signal_date")), "_k")
 
 
-def ridge_validation(s: SparkSession, d: str) -> DataFrame:
-    scored_rows = models.predict_linear(modelled(s, d).where("role = 'validation'"), ridge_coefficients(s, d), FEATURES)
+def _coefficients(rows: DataFrame) -> DataFrame:
+    return models.ridge(_weighted(rows), ALL, "y", "weight")
+
+
+def _validated(rows: DataFrame, coefficients: DataFrame) -> DataFrame:
+    scored_rows = models.predict_linear(rows.where("role = 'validation'"), coefficients, ALL)
     ics = cross_section.rank_ic(scored_rows, "score", "y", "signal_date", "fold", "alpha")
     return evidence.ic_statistics(ics, "rank_ic", ["fold", "alpha"]).withColumnRenamed("mean", "mean_rank_ic").withColumnRenamed("icir", "rank_icir")
 
 
+def _wide_rows(s: SparkSession, d: str) -> DataFrame:
+    return written(modelled(s, d, ALL), "modelled")
+
+
+def ridge_coefficients(s: SparkSession, d: str) -> DataFrame:
+    """Ridge on all features, for every fold and penalty."""
+    return _coefficients(_wide_rows(s, d))
+
+
+def ridge_validation(s: SparkSession, d: str) -> DataFrame:
+    rows = _wide_rows(s, d)
+    return _validated(rows, _coefficients(rows))
+
+
 def ridge_test(s: SparkSession, d: str) -> DataFrame:
-    """Test rows of each fold scored once, by the penalty that validation chose."""
-    chosen = evidence.best_candidates(ridge_validation(s, d)).select("fold", "alpha")
-    rows = models.predict_linear(modelled(s, d).where("role = 'test'"), ridge_coefficients(s, d), FEATURES)
-    return rows.join(F.broadcast(chosen), ["fold", "alpha"]).select("fold", "signal_date", "security_id", "alpha", "y", "score")
+    """Test rows of each fold scored once, raw and neutralized, by the penalty that validation chose."""
+    rows = _wide_rows(s, d)
+    coefficients = _coefficients(rows)
+    chosen = evidence.best_candidates(_validated(rows, coefficients)).select("fold", "alpha")
+    found = models.predict_linear(rows.where("role = 'test'"), coefficients, ALL).join(F.broadcast(chosen), ["fold", "alpha"])
+    sizes = industries(s, d).select(F.col("trade_date").alias("signal_date"), "security_id", "size", "industry")
+    found = found.select("fold", "signal_date", "security_id", "alpha", "y", "score").join(sizes, ["signal_date", "security_id"], "left")
+    return cross_section.neutralize(found, "score", date="signal_date").select("fold", "signal_date", "security_id", "alpha", "y", "score", "neutral_score")
 
 
 def _fold_rows(s: SparkSession, d: str) -> DataFrame:
-    return written(modelled(s, d).withColumn("w", F.lit(1.0)), "folds")
+    return written(modelled(s, d, FEATURES).withColumn("w", F.lit(1.0)), "folds")
 
 
 def _rounds(rows: DataFrame) -> DataFrame:
@@ -310,13 +370,13 @@ def quarterly(s: SparkSession, d: str) -> DataFrame:
     return labels.signal_calendar(P(s, d), "quarter")
 
 
-add("z1_interval_members", lambda s, d: labels.intervals_members(P(s, d), P(s, d).where("is_member").groupBy("security_id").agg(F.min("trade_date").alias("since"), F.max("trade_date").alias("until"))).select(*labels.KEYS), f"WITH {sql.P}, sp AS (SELECT security_id, min(trade_date) AS since, max(trade_date) AS until FROM p WHERE is_member GROUP BY security_id) SELECT p.trade_date, p.security_id FROM p JOIN sp USING (security_id) WHERE trade_date >= since AND trade_date < until")
+add("z1_interval_members", on(lambda p: labels.intervals_members(p, p.where("is_member").groupBy("security_id").agg(F.min("trade_date").alias("since"), F.max("trade_date").alias("until"))).select(*labels.KEYS)), f"WITH {sql.P}, sp AS (SELECT security_id, min(trade_date) AS since, max(trade_date) AS until FROM p WHERE is_member GROUP BY security_id) SELECT p.trade_date, p.security_id FROM p JOIN sp USING (security_id) WHERE trade_date >= since AND trade_date < until")
 add("z2_signal_calendar", quarterly, f"WITH {SIG} SELECT * FROM sg")
-add("z3_period_labels", lambda s, d: labels.weekly_labels(P(s, d), quarterly(s, d), sources.benchmark(P(s, d))), sql.rounded(SIG, "SELECT signal_date, a.security_id, (z.adjusted_open / a.adjusted_open - 1) - (bz.adjusted_open / ba.adjusted_open - 1) AS target_excess_return FROM sg JOIN p a ON a.trade_date = entry_date JOIN p z ON z.trade_date = exit_date AND z.security_id = a.security_id JOIN b ba ON ba.trade_date = entry_date JOIN b bz ON bz.trade_date = exit_date", ["target_excess_return"]))
+add("z3_period_labels", on(lambda p: labels.weekly_labels(p, labels.signal_calendar(p, "quarter"), sources.benchmark(p))), sql.rounded(SIG, "SELECT signal_date, a.security_id, (z.adjusted_open / a.adjusted_open - 1) - (bz.adjusted_open / ba.adjusted_open - 1) AS target_excess_return FROM sg JOIN p a ON a.trade_date = entry_date JOIN p z ON z.trade_date = exit_date AND z.security_id = a.security_id JOIN b ba ON ba.trade_date = entry_date JOIN b bz ON bz.trade_date = exit_date", ["target_excess_return"]))
 add("z4_z10_as_of", lambda s, d: labels.as_of(research(s, d), quarterly(s, d), "traded_amount", 3).select("signal_date", "security_id", "age"), f"WITH {SIG}, nb AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS n FROM (SELECT DISTINCT trade_date FROM p WHERE is_member)) SELECT signal_date, security_id, CAST(min(s.n - r.n) AS INTEGER) AS age FROM sg JOIN nb s ON s.trade_date = signal_date JOIN (SELECT security_id, n FROM p JOIN nb USING (trade_date) WHERE is_member AND traded_amount IS NOT NULL) r ON r.n BETWEEN s.n - 3 AND s.n GROUP BY ALL")
 add("z5_enough_history", lambda s, d: labels.enough_history(P(s, d)).select(*labels.KEYS), f"WITH {sql.P} SELECT {KEYS} FROM (SELECT *, row_number() OVER {sql.S} AS i FROM p) WHERE i >= 61")
 add("z6_base_adjusted", lambda s, d: labels.base_adjusted(P(s, d)).drop("volume"), sql.rounded(sql.P, f"SELECT {KEYS}, " + ", ".join(f"adjusted_{c} / first_value(adjusted_close) OVER {sql.S} AS {c}" for c in ("open", "high", "low", "close")) + " FROM p", ["open", "high", "low", "close"]))
-add("z9_parity", lambda s, d: labels.parity(P(s, d), P(s, d).where("is_member").withColumn("vwap", F.col("adjusted_close")), labels.KEYS, "vwap"), f"WITH {sql.P} SELECT count(*) FILTER (is_member) AS both, count(*) FILTER (NOT is_member) AS left_only, CAST(0 AS BIGINT) AS right_only, count(*) FILTER (is_member AND abs(vwap - adjusted_close) > 1e-6) AS apart FROM p")
+add("z9_parity", on(lambda p: labels.parity(p, p.where("is_member").withColumn("vwap", F.col("adjusted_close")), labels.KEYS, "vwap")), f"WITH {sql.P} SELECT count(*) FILTER (is_member) AS both, count(*) FILTER (NOT is_member) AS left_only, CAST(0 AS BIGINT) AS right_only, count(*) FILTER (is_member AND abs(vwap - adjusted_close) > 1e-6) AS apart FROM p")
 add("z8_active_exposure", lambda s, d: portfolio.positions(scored(s, d), 5, 10, 5).where("portfolio = 'top_10'").join(industries(s, d).select(*labels.KEYS, "size", "industry"), labels.KEYS).groupBy("trade_date", "industry").agg(F.sum("weight").alias("weight"), F.sum(F.col("weight") * F.ln("size")).alias("log_size")), sql.rounded(sql.portfolios(5, 10) + IND[len(sql.P):], "SELECT hl.trade_date, industry, CAST(sum(w) AS DOUBLE) AS weight, sum(w * ln(size)) AS log_size FROM hl JOIN ind ON ind.trade_date = hl.trade_date AND ind.security_id = hl.security_id WHERE portfolio = 'top_10' GROUP BY ALL", ["weight", "log_size"]))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 WINDOWS = (5, 10, 20, 30, 60)
 S = "(PARTITION BY security_id ORDER BY trade_date)"
 
@@ -192,9 +194,100 @@ NAV_DOUBLES = ["gross_return", "turnover", "cost", "net_return", "gross_nav", "n
 SUMMARY_DOUBLES = ["annualized_return", "volatility", "sharpe", "max_drawdown", "mean_turnover"]
 
 
-def portfolio_summary(h: int, k: int, ppy: int) -> str:
-    one = lambda t: f"""SELECT portfolio, portfolio_kind, is_diagnostic, '{t}' AS return_type, {h} AS horizon_days, count(*) AS n_periods, count(*) FILTER (is_evaluable) AS n_evaluable_periods,
+def _summary_of(t: str, h: int, ppy: int) -> str:
+    return f"""SELECT portfolio, portfolio_kind, is_diagnostic, '{t}' AS return_type, {h} AS horizon_days, count(*) AS n_periods, count(*) FILTER (is_evaluable) AS n_evaluable_periods,
   CASE WHEN arg_max_null(fin, trade_date) > 0 THEN pow(arg_max_null(fin, trade_date), {ppy}.0 / count(*)) - 1 END AS annualized_return, stddev_samp({t}_return) * sqrt({ppy}) AS volatility,
   avg({t}_return) / nullif(stddev_samp({t}_return), 0) * sqrt({ppy}) AS sharpe, least(0, min(dd)) AS max_drawdown, avg(turnover) AS mean_turnover
-  FROM (SELECT *, {t}_nav AS fin, {t}_nav / greatest(1, max({t}_nav) OVER (PARTITION BY portfolio ORDER BY trade_date ROWS UNBOUNDED PRECEDING)) - 1 AS dd FROM nav) GROUP BY portfolio, portfolio_kind, is_diagnostic"""
-    return rounded(portfolios(h, k), f"{one('gross')} UNION ALL {one('net')}", SUMMARY_DOUBLES)
+  FROM (SELECT *, {t}_nav AS fin, {t}_nav / greatest(1, max({t}_nav) OVER (PARTITION BY portfolio ORDER BY trade_date ROWS UNBOUNDED PRECEDING)) - 1 AS dd FROM nav) GROUP BY portfolio, portfolio_kind, is_diagnostic"""
+
+
+def portfolio_summary(h: int, k: int, ppy: int) -> str:
+    return rounded(portfolios(h, k), f"{_summary_of('gross', h, ppy)} UNION ALL {_summary_of('net', h, ppy)}", SUMMARY_DOUBLES)
+
+
+def all_features(candles: list[str], families: list[str]) -> str:
+    """All features in one select; rank from the lists of its frames."""
+    cols = [*candles, *(f"{f}{d}" for f in families for d in WINDOWS)]
+    return rounded(features(candles, families), f"SELECT trade_date, security_id, {', '.join(cols)} FROM af", cols)
+
+
+def features(candles: list[str], families: list[str]) -> str:
+    """CTEs ending in ``af``."""
+    lists = ", ".join(f"list(c) {_w(d)} AS a{d}" for d in WINDOWS)
+    rank = lambda d: f"(len(list_filter(a{d}, lambda x: x < c)) + (len(list_filter(a{d}, lambda x: x = c)) + 1) / 2.0) / len(a{d})"
+    made = [f"{CANDLES[n]} AS {n}" for n in candles] + [f"{family(f, d)} AS {f}{d}" for f in families if f != "rank" for d in WINDOWS]
+    return Q + f""",
+fl AS (SELECT trade_date, security_id, c, {lists} FROM q),
+fr AS (SELECT trade_date, security_id, {", ".join(f"{rank(d)} AS rank{d}" for d in WINDOWS)} FROM fl),
+fm AS (SELECT trade_date, security_id, {", ".join(made)} FROM q),
+af AS (SELECT * FROM fm JOIN fr USING (trade_date, security_id))"""
+
+
+def _long(names: list[str]) -> str:
+    """CTEs ending in ``f8``: every feature of every row, cleaned as the preprocessing does."""
+    candles = [n for n in names if n in CANDLES]
+    families = list(dict.fromkeys(n.rstrip("0123456789") for n in names if n not in CANDLES))
+    return features(candles, families) + f""",
+f2 AS (SELECT trade_date, security_id, feature, x FROM (
+  SELECT trade_date, security_id, unnest([{", ".join(repr(n) for n in names)}]) AS feature, unnest([{", ".join(f"{n}::DOUBLE" for n in names)}]) AS x FROM af)),
+f3 AS (SELECT trade_date, feature, median(x) AS m, count(*) AS n_rows, count(x) AS finite_before FROM f2 GROUP BY ALL),
+f4 AS (SELECT f2.trade_date, security_id, f2.feature, m, coalesce(x, m) AS x, n_rows, finite_before FROM f2 JOIN f3 USING (trade_date, feature)),
+f5 AS (SELECT trade_date, feature, median(abs(x - m)) AS s FROM f4 GROUP BY ALL),
+f6 AS (SELECT f4.*, s, CASE WHEN s * 1.4826 <= 1e-12 THEN x ELSE greatest(m - 5 * 1.4826 * s, least(m + 5 * 1.4826 * s, x)) END AS w FROM f4 JOIN f5 USING (trade_date, feature)),
+f7 AS (SELECT trade_date, feature, avg(w) AS a, stddev_pop(w) AS d FROM f6 GROUP BY ALL),
+f8 AS (SELECT f6.trade_date, security_id, f6.feature, CASE WHEN d > 1e-12 THEN (w - a) / d ELSE 0 END AS z FROM f6 JOIN f7 USING (trade_date, feature))"""
+
+
+def preprocessed(names: list[str]) -> str:
+    wide = ", ".join(f"max(CASE WHEN feature = '{c}' THEN z END) AS {c}" for c in names)
+    return rounded(_long(names), f"SELECT trade_date, security_id, {wide} FROM f8 GROUP BY trade_date, security_id", names)
+
+
+def quality(names: list[str]) -> str:
+    final = """SELECT trade_date, feature, any_value(n_rows) AS n_rows, any_value(finite_before) AS finite_before, any_value(n_rows - finite_before) AS missing_before,
+  CAST(0 AS BIGINT) AS infinite_before, any_value(m) AS median, any_value(s) AS mad,
+  count(*) FILTER (s * 1.4826 > 1e-12 AND abs(x - m) > 5 * 1.4826 * s) AS clipped_count, any_value(finite_before) = 0 AS all_null FROM f6 GROUP BY ALL"""
+    return rounded(_long(names), final, ["median", "mad"])
+
+
+def decision(first: int, last: int, least: int) -> str:
+    """Admission from the t statistic: one-sided p below 0.05 is t above the normal 0.95 quantile."""
+    return f"""WITH {IC.lstrip()},
+lk AS (SELECT * FROM ic WHERE horizon_days = 1 AND year(trade_date) BETWEEN {first} AND {last}),
+ds AS (SELECT eligibility, count(rank_ic) AS n, avg(rank_ic) AS mean, avg(rank_ic) / sqrt(var_pop(rank_ic) / count(rank_ic)) AS t FROM lk GROUP BY eligibility),
+gy AS (SELECT count(*) AS good FROM (SELECT avg(rank_ic) AS m FROM lk WHERE eligibility = 'basic' GROUP BY year(trade_date)) WHERE m > 0)
+SELECT CASE WHEN n < {least} OR mean < 0 THEN 'Reject' WHEN mean IS NULL OR mean = 0 THEN 'Review'
+  WHEN t > 1.6448536269514722 AND good >= 4 AND (SELECT mean FROM ds WHERE eligibility = 'tradable') > 0 THEN 'Admit' ELSE 'Review' END AS decision, round(t, 6) AS t_stat
+FROM ds, gy WHERE eligibility = 'basic'"""
+
+
+def combined() -> str:
+    non = "nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY eligibility, horizon_days ORDER BY trade_date) AS i FROM ic WHERE horizon_days > 1) WHERE (i - 1) % horizon_days = 0)"
+    one = lambda tag, src, year: f"SELECT '{tag}' AS sample, eligibility, horizon_days, {year} AS year, count(rank_ic) AS n_observations, {HALVES} FROM {src} GROUP BY ALL"
+    none, of_date = "CAST(NULL AS INTEGER)", "CAST(year(trade_date) AS INTEGER)"
+    return rounded(f"{IC}, {non}", " UNION ALL ".join((one("overlapping", "ic", none), one("non_overlapping", "nn", none), one("annual", "ic", of_date))), HALF_NAMES)
+
+
+def portfolio_tables(h: int, k: int, ppy: int) -> str:
+    summary = " UNION ALL ".join(_summary_of(t, h, ppy) for t in ("gross", "net"))
+    empty = "CAST(NULL AS DATE) AS trade_date"
+    final = f"""SELECT 'summary' AS table_kind, {empty}, portfolio, return_type, n_periods, annualized_return, volatility, max_drawdown, CAST(NULL AS DOUBLE) AS gross_nav, CAST(NULL AS DOUBLE) AS net_nav FROM ({summary})
+UNION ALL SELECT 'nav', trade_date, portfolio, NULL, NULL, NULL, NULL, NULL, gross_nav, net_nav FROM nav"""
+    return rounded(portfolios(h, k), final, ["annualized_return", "volatility", "max_drawdown", "gross_nav", "net_nav"])
+
+
+IC_METRICS = ("n_observations", "mean_pearson_ic", "pearson_icir", "mean_rank_ic", "rank_icir", "hac_t_stat")
+BOOK_METRICS = ("annualized_return", "volatility", "sharpe", "max_drawdown", "n_periods", "n_evaluable_periods")
+
+
+def scoreboard(horizons: tuple[int, ...], k: int, ppy: dict[int, int]) -> str:
+    names = r"\b(el|cal|rnk|hl|tv|pr|pt|nav|wn)\b"
+    books = "".join(re.sub(names, rf"\1_{h}", portfolios(h, k)[len(EVAL) :]) for h in horizons)
+    bs = ",\nbs AS (" + " UNION ALL ".join(re.sub(names, rf"\1_{h}", _summary_of(t, h, ppy[h])) for h in horizons for t in ("gross", "net")) + ")"
+    sm = f",\nsm AS (SELECT s.*, t_stat AS hac_t_stat FROM (SELECT eligibility, horizon_days, count(rank_ic) AS n_observations, {HALVES} FROM ic GROUP BY ALL) s LEFT JOIN ht USING (eligibility, horizon_days))"
+    at = lambda src, where, c, name: f"(SELECT max({c}) FROM {src} WHERE {where}) AS {name}"
+    cols = [at("sm", f"eligibility = '{e}' AND horizon_days = {h}", m, f"{p}{m}_{h}d") for h in horizons for e, p in (("basic", ""), ("tradable", "tradable_")) for m in IC_METRICS]
+    cols += [at("bs", f"portfolio = 'top_{k}' AND return_type = '{t}' AND horizon_days = {h}", m, f"top_k_{t}_{m}_{h}d") for h in horizons for t in ("gross", "net") for m in BOOK_METRICS]
+    cols += [at("bs", f"portfolio = 'top_{k}' AND horizon_days = {h}", "mean_turnover", f"top_k_mean_turnover_{h}d") for h in horizons]
+    doubles = [c.rsplit(" AS ", 1)[1] for c in cols if not c.startswith("(SELECT max(n_")]
+    return rounded(IC + mean_test("ic", "rank_ic", "eligibility, horizon_days", "horizon_days - 1") + books + bs + sm, "SELECT 'REV5' AS factor_id, 'run' AS run_id, " + ", ".join(cols), doubles)
