@@ -345,11 +345,12 @@ def brute_contamination(rows, items, n, slop):
     for i, text in rows:
         w = item_words(text)
         hit, found, near = set(), set(), set()
-        for q, names in windows.items():
-            for s in range(len(w) - len(q) + 1):
-                if tuple(w[s : s + len(q)]) == q:
-                    hit |= set(range(s, s + len(q)))
+        for length in {len(q) for q in windows}:
+            for s in range(len(w) - length + 1):
+                if names := windows.get(tuple(w[s : s + length])):
+                    hit |= set(range(s, s + length))
                     found |= names
+        for q, names in windows.items() if slop >= 0 else ():
             rarest = {x for x in q if count[x] == min(count[y] for y in q)}
             reach = len(q) + slop
             if any(x in rarest and set(q) <= set(w[max(0, s - reach) : s + reach + 1]) for s, x in enumerate(w)):
@@ -461,6 +462,108 @@ def test_pipeline_keeps_and_drops(spark, small):
     assert [n for n, _ in pipeline.STAGES][-1] == "mixing"
 
 
+def brute_language(text, model):
+    """Lang and score of one text, character by character."""
+    text = (text or "").lower()
+    if not any(map(str.isalpha, text)):
+        return "und", 0.0
+    codes = [ord(c) if "a" <= c <= "z" or ord(c) >= 0xC0 else 32 for c in text]
+    joint = list(model.prior)
+    for i in range(len(codes)):
+        h = None
+        for n in range(min(language.ORDERS, len(codes) - i)):
+            x = codes[i + n] * 0x9E3779B1
+            h = x % 2**32 if h is None else ((h ^ h >> 15) * 0x85EBCA6B + x) % 2**32
+            bucket = ((h ^ h >> 13) * 0xC2B2AE35 % 2**32) >> 17
+            for k in range(len(joint)):
+                joint[k] += float(model.log_p[k, n * language.BUCKETS + bucket])
+    best = max(range(len(joint)), key=lambda k: joint[k])
+    return model.languages[best], 1 / sum(np.exp(x - joint[best]) for x in joint)
+
+
+def test_language_scores_by_brute_force(spark):
+    rows = [(k, text, lang) for k, (text, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("le chat et le chien", "fr")] * 3)]
+    model = language.fit(docs(spark, [*rows, (50, None, "en"), (51, "x", None)]))
+    asked = [(1, "the dog"), (2, "und die"), (3, "LE CHIEN, é!"), (4, "zz"), (5, None), (6, "7"), (7, "a"), (1, "the dog"), (8, "le der the " * 20_000)]
+    table = docs(spark, asked).withColumn("lang_pred", F.lit(0)).withColumn("score", F.lit("clash"))
+    got = sorted((r.doc_id, r.lang_pred, r.score) for r in language.predict(table, model).collect())
+    want = sorted((i, *brute_language(x, model)) for i, x in asked if i != 8)
+    assert [r[:2] for r in got if r[0] != 8] == [r[:2] for r in want]
+    assert [r[2] for r in got if r[0] != 8] == pytest.approx([r[2] for r in want], abs=1e-5)
+    tie = language.Model(("a", "b"), np.zeros((2, language.ORDERS * language.BUCKETS), np.float32), np.log([0.5, 0.5]))
+    assert [(r.lang_pred, r.score) for r in language.predict(docs(spark, [(1, "word")]), tie).collect()] == [("a", 0.5)]
+
+
+def brute_mix(rows, weights=(5, 2, 1), share=1.5, epochs=2):
+    """(id, source, target, copies) of each row of (id, text, source)."""
+    size = Counter()
+    for _, text, source in rows:
+        size[source] += len((text or "").split())
+    order, capped, level = [*sorted(s for s in size if s is not None), *([None] if None in size else [])], set(), 0
+    weight = {s: weights[k % 3] for k, s in enumerate(order)}
+    while len(capped) < len(order):
+        level = (share * sum(size.values()) - epochs * sum(size[s] for s in capped)) / sum(weight[s] for s in order if s not in capped)
+        more = {s for s in order if s not in capped and level * weight[s] > epochs * size[s]}
+        if not more:
+            break
+        capped |= more
+    out = []
+    for s in order:
+        target = epochs * size[s] if s in capped else level * weight[s]
+        rep, before = target / size[s] if size[s] else 0.0, 0
+        for i, text, _ in sorted((r for r in rows if r[2] == s), key=lambda r: hashlib.md5(f"mix:{r[0]}".encode()).hexdigest()):
+            n = len((text or "").split())
+            extra = (rep - int(rep)) * size[s]
+            out.append((i, s, target, int(rep) + (before + n / 2 <= extra and extra > 0)))
+            before += n
+    return out
+
+
+def test_pipeline_against_brute_force(spark, small):
+    import corpus_pipeline as pipeline
+
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    model = language.fit(table.where(~language.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    rows = {r.doc_id: {**r.asDict(), "lang": lang} for r in table.collect() if (lang := brute_language(r.text, model)[0]) != "und"}
+    groups = brute_groups([(i, r["text"]) for i, r in rows.items()], 5, 80)
+    rows = {i: r for i, r in rows.items() if groups[i][1] == i}
+    hits = {i: (n_words, n_hit) for i, n_words, n_hit, _, _ in brute_contamination([(i, r["text"]) for i, r in rows.items()], bench, 13, -1)}
+    rows = {i: r for i, r in rows.items() if not (hits[i][1] > 0 and 20 * hits[i][1] >= hits[i][0])}
+    crf = secrets.fit(spark.createDataFrame(list(rows.values()), table.schema))
+    for r in rows.values():
+        done, at = [], 0
+        for a, _, b in secrets.all_spans(r["text"] or "", crf)[1]:
+            if a >= at:
+                done += [r["text"][at:a], "[SECRET]"]
+            at = max(at, b)
+        r["text"] = "".join(done) + (r["text"] or "")[at:] if r["text"] is not None else None
+        r["n_chars"] = len(r["text"]) if r["text"] is not None else None
+    mixed = {i: (target, copies) for i, _, target, copies in brute_mix([(i, r["text"], r["source"]) for i, r in rows.items()]) if copies}
+    found = {r.doc_id: r for r in pipeline.run(spark, small).collect()}
+    assert found.keys() == mixed.keys()
+    for i, r in found.items():
+        assert (r.text, r.lang, r.source, r.n_chars) == tuple(rows[i][c] for c in ("text", "lang", "source", "n_chars"))
+        assert r.copies == mixed[i][1] and r.target == pytest.approx(mixed[i][0]) and r.taken == r.copies * len(r.text.split())
+
+
+def test_pipeline_stages_alone(spark, small):
+    import corpus_pipeline as pipeline
+
+    base = words(60, 3)
+    item = spark.read.parquet(f"{small}/benchmark.parquet").where("length(text) > 200").first().text
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:-1], "odd"])), (3, None), (None, " ".join(base)), (4, item), (5, "clean words here"), (6, "")]
+    table = docs(spark, rows).drop("size")
+    left = pipeline.drop_near_duplicates(spark, table, small)
+    assert left.columns == table.columns and sorted(str(r.doc_id) for r in left.collect()) == ["1", "3", "4", "5", "6", "None"]
+    left = pipeline.drop_contaminated(spark, table, small)
+    assert left.columns == table.columns and sorted(str(r.doc_id) for r in left.collect()) == ["1", "2", "3", "5", "6", "None"]
+    mixed = pipeline.mix_sources(spark, table, small)
+    assert {"text", "lang", "source", "copies", "taken"} <= set(mixed.columns) and mixed.where("copies < 1").count() == 0 < mixed.count()
+    none = table.limit(0)
+    assert all(stage(spark, none, small).count() == 0 for _, stage in pipeline.STAGES)
+
+
 def test_sieve(spark):
     ids = spark.createDataFrame([(i * 7,) for i in range(500)] + [(None,)], "doc_id long")
     table = spark.createDataFrame([(i, str(i)) for i in range(4000)] + [(None, "x"), (7, "7")], "doc_id long, text string")
