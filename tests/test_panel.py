@@ -278,3 +278,110 @@ def test_stream_appends_each_key_once(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/in")
     ingest.append_daily(ingest.daily_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 1
+    timed = rows.withColumn("at", F.to_timestamp(F.lit("2024-01-01")))
+    timed.write.parquet(f"{tmp_path}/timed")
+    stream = ingest.daily_stream(spark, f"{tmp_path}/timed", timed.schema)
+    ingest.append_daily(stream, f"{tmp_path}/out2", f"{tmp_path}/ck2", event_time="at").awaitTermination()
+    assert [r.at is not None for r in spark.read.parquet(f"{tmp_path}/out2").collect()] == [True]
+
+
+def test_both_forms_of_preprocessing_agree(spark):
+    rng = np.random.default_rng(6)
+    names = [f"f{k}" for k in range(30)]
+    values = rng.normal(size=(40, 30)) * 10.0 ** rng.integers(-2, 3, 30)
+    values[3], values[:20, 4], values[:, 7] = 1e6, np.nan, 5.0
+    values[rng.random((40, 30)) < 0.1] = np.nan
+    values[0, 1] = np.inf
+    rows = [(DAY if k < 20 else days(2)[1], str(k), *(None if np.isnan(x) else float(x) for x in v)) for k, v in enumerate(values)]
+    p = spark.createDataFrame(rows, f"trade_date date, security_id string, {', '.join(f'{n} double' for n in names)}")
+    wide = {r.security_id: r for r in cross_section.preprocess(p, names).collect()}
+    for part in (names[:15], names[15:]):
+        for r in cross_section.preprocess(p, part).collect():
+            assert [wide[r.security_id][n] for n in part] == pytest.approx([r[n] for n in part], abs=1e-9)
+    assert all(wide[str(k)].f4 == 0 for k in range(20))
+
+
+def test_plans_read_their_input_once(spark):
+    p = book(spark, [[0.1, 0.2]]).withColumn("raw_value", F.col("directed_score"))
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+    assert scans(p) == 1
+    for df in (
+        cross_section.preprocess(p, ["raw_value"]), cross_section.quality(p, ["raw_value"]), cross_section.prepare_factor(p.select("trade_date", "security_id", "raw_value"), "positive"),
+        cross_section.quintiles(p, "directed_score", "label_excess_o2o_1d", "trade_date"), cross_section.rank_ic(p, "directed_score", "label_excess_o2o_1d", "trade_date"),
+        evidence.mean_test(p, "raw_value", ["security_id"], "trade_date", 3), portfolio.turnovers(p.select(F.lit(1).alias("seq"), F.lit("a").alias("portfolio"), "security_id", F.lit(1.0).alias("weight"))),
+    ):
+        assert scans(df) == 1
+
+
+def test_refusals(spark):
+    p = book(spark, [[0.1, 0.2]])
+    bad = lambda f, *a, **k: pytest.raises(contracts.ContractError, f, *a, **k)
+    for h in ((), (1, 1), (0,), (True,)):
+        bad(contracts.valid_horizons, h)
+    for args in ((1, 0, 5, 10.0), (1, 5, 1, 10.0), (1, 5, 5, -1.0), (1, 5, 5, float("nan"))):
+        bad(contracts.valid_portfolio, *args)
+    bad(portfolio.net_return, F.lit(0.1), F.lit(0.5), float("inf"))
+    bad(cross_section.zscore_label, p.withColumn("y", F.lit(1.0)), "y", "trade_date", fail=True)
+    bad(cross_section.neutralize, p.withColumn("size", F.lit(0.0)).withColumn("industry", F.lit("a")), "directed_score", fail=True)
+    bad(cross_section.common_predictions, p, p.withColumn("label_excess_o2o_1d", F.lit(9.0)), ["trade_date", "security_id"], ["directed_score"], "label_excess_o2o_1d")
+    raw = spark.createDataFrame([("2024-01-01", "A", "1.5"), ("2024-01-02", "A", "x")], "trade_date string, security_id string, n string")
+    assert [(str(r.trade_date), r.n) for r in contracts.portfolio_panel(raw, ["n"], []).orderBy("trade_date").collect()] == [("2024-01-01", 1.5), ("2024-01-02", None)]
+    bad(contracts.portfolio_panel, raw.union(raw), ["n"], [])
+    bad(contracts.portfolio_panel, raw.union(spark.createDataFrame([("soon", "B", "1")], raw.schema)), ["n"], [])
+    bad(contracts.portfolio_panel, raw.union(spark.createDataFrame([("2024-01-01", None, "1")], raw.schema)), ["n"], [])
+    ids = spark.createDataFrame([("REV5",), ("../x",), (None,), ("a b",), ("_a",), ("a-b_1",)], "id string")
+    assert {r.id for r in contracts.unsafe_ids(ids, "id").collect()} == {"../x", None, "a b", "_a"}
+
+
+def test_decision_and_p_value(spark):
+    rows = [(dt.date(2000 + k % 5, 1 + k // 5 % 12, 1 + k // 60), kind, 1, 0.1 + 0.01 * ((k * 7) % 11)) for k in range(600) for kind in ("basic", "tradable")]
+    daily = spark.createDataFrame(rows, "trade_date date, eligibility string, horizon_days int, rank_ic double")
+    r = evidence.decide(daily, [2000, 2001, 2002, 2003, 2004]).first()
+    v = np.array([x[3] for x in rows if x[1] == "basic"])
+    t = v.mean() / (v.std() / math.sqrt(len(v)))
+    assert r.decision == "Admit" and r.good_years == 5 and r.t_stat == pytest.approx(t) and r.p == pytest.approx(0.5 * math.erfc(t / math.sqrt(2)))
+    assert evidence.decide(daily, [2000]).first().decision == "Reject"
+    assert evidence.decide(daily.withColumn("rank_ic", F.lit(0.0)), [2000, 2001, 2002, 2003, 2004]).first().decision == "Review"
+
+
+def test_candidates(spark):
+    grid = models.candidate_grid(spark, {"num_leaves": [31, 63], "learning_rate": [0.1, 0.2]})
+    assert sorted((r.candidate_id, r.num_leaves, r.learning_rate) for r in grid.collect()) == [(0, 31, 0.1), (1, 31, 0.2), (2, 63, 0.1), (3, 63, 0.2)]
+    base = {"fold": "f", "candidate_id": 5, "mean_rank_ic": 0.1, "rank_icir": 0.5, "num_leaves": 31, "min_data_in_leaf": 50, "lambda_l2": 1.0, "learning_rate": 0.1}
+    for better in ({"mean_rank_ic": 0.2}, {"rank_icir": 0.6}, {"num_leaves": 15}, {"min_data_in_leaf": 90}, {"lambda_l2": 2.0}, {"learning_rate": 0.2}, {"candidate_id": 1}):
+        pair = spark.createDataFrame([base, {**base, "candidate_id": 9, **better}])
+        best = models.best_tree_candidates(pair).first()
+        assert all(best[k] == v for k, v in better.items())
+    assert models.transfer_candidate(spark).count() == 1
+    ties = spark.createDataFrame([("f", 1.0, 0.1, 0.5), ("f", 10.0, 0.1, 0.5), ("f", 0.1, 0.1, 0.4), ("g", 1.0, 0.2, 0.1)], "fold string, alpha double, mean_rank_ic double, rank_icir double")
+    assert {(r.fold, r.alpha) for r in evidence.best_candidates(ties).collect()} == {("f", 10.0), ("g", 1.0)}
+    bad = spark.createDataFrame([("f", 1.0, 1.0, 0.0)], "fold string, a double, y double, w double")
+    with pytest.raises(contracts.ContractError):
+        models.ridge(bad, ["a"], "y", "w")
+
+
+def test_small_contracts(spark, tmp_path):
+    folds = spark.createDataFrame([("a", [1, 2, 3, 4, 5], 6, 7), ("b", [1, 2, 3, 4, 6], 6, 7)], "fold string, train array<int>, validation int, test int")
+    assert {r.fold: r.chronological for r in contracts.chronological(folds).collect()} == {"a": True, "b": False}
+    flags = spark.createDataFrame([(True,), (None,)], "ok boolean")
+    assert not contracts.all_true(flags, "ok") and contracts.all_true(flags.where("ok"), "ok")
+    assert {r.contract: r.violations for r in contracts.violations({"known": F.col("ok").isNotNull()}, flags).collect()} == {"known": 1}
+    summary = spark.createDataFrame([(1, "t", "gross", 0.5), (1, "t", "net", 0.6), (5, "t", "gross", 0.5), (5, "t", "net", 0.5)], "horizon_days int, portfolio string, return_type string, mean_turnover double")
+    assert [r.horizon_days for r in contracts.same_turnover(summary).collect()] == [1]
+    manifest = spark.createDataFrame([("r1", ["a", "b"]), ("r2", ["a", "b"])], "run_id string, artifacts array<string>")
+    found = spark.createDataFrame([("r1", "a"), ("r1", "b"), ("r2", "a")], "run_id string, artifact string")
+    assert [r.run_id for r in contracts.artifacts_complete(manifest, ["a", "b"], found).collect()] == ["r2"]
+    runs = spark.createDataFrame([("F", "r1", "formal", 1), ("F", "r2", "formal", 1), ("F", "r3", "experimental", 9)], "factor_id string, run_id string, run_type string, created_at int")
+    assert [r.run_id for r in evidence.latest_runs(runs).collect()] == ["r2"]
+    sinks.write_json_stable(runs.limit(1), f"{tmp_path}/j")
+    sinks.write_json_stable(runs.limit(1), f"{tmp_path}/j")
+    with pytest.raises(contracts.ContractError):
+        sinks.write_json_stable(runs.where("run_id = 'r3'"), f"{tmp_path}/j")
+    sinks.mirror(runs, "runs")
+    assert spark.sql("select count(*) as n from runs").first().n == 3
+    runs.coalesce(1).write.csv(f"{tmp_path}/c", header=True)
+    assert panel.scan_csv(spark, f"{tmp_path}/c", "factor_id string, run_id string, run_type string, created_at int").count() == 3
+    assert panel.scan_summaries(spark, f"{tmp_path}/j", "run_id string").where("run_id is not null and file is not null").count() == 1
+    assert all(len(r.sha256) == 64 for r in panel.file_digests(spark, f"{tmp_path}/c").collect())
+    runs.withColumn("year", F.lit(2024)).write.partitionBy("year").parquet(f"{tmp_path}/y")
+    assert panel.scan(spark, f"{tmp_path}/y").where("year = 2023").count() == 0

@@ -86,42 +86,134 @@ KEYS = "trade_date, security_id"
 PANEL_DOUBLES = ["adjusted_open", "adjusted_high", "adjusted_low", "adjusted_close", "vwap"]
 
 # Scans
-add("s1_daily_panel", lambda s, d: P(s, d).select(*labels.KEYS, *PANEL_DOUBLES, "turnover", "is_member", "tradable_next_open"), sql.rounded(sql.P, f"SELECT {KEYS}, {', '.join(PANEL_DOUBLES)}, turnover, is_member, tradable_next_open FROM p", PANEL_DOUBLES))
+add(
+    "s1_daily_panel",
+    lambda s, d: P(s, d).select(*labels.KEYS, *PANEL_DOUBLES, "turnover", "is_member", "tradable_next_open"),
+    sql.rounded(sql.P, f"SELECT {KEYS}, {', '.join(PANEL_DOUBLES)}, turnover, is_member, tradable_next_open FROM p", PANEL_DOUBLES),
+)
 add("s2_membership", lambda s, d: sources.membership(P(s, d)), f"WITH {sql.P} SELECT {KEYS} FROM p WHERE is_member")
 add("s3_tradability", lambda s, d: sources.tradability(P(s, d)), f"WITH {sql.P} SELECT {KEYS}, tradable_next_open FROM p")
 add("s4_benchmark", lambda s, d: sources.benchmark(P(s, d)), sql.rounded(sql.B, "SELECT * FROM b", ["adjusted_open", "adjusted_close"]))
 add("s7_session_dates", lambda s, d: P(s, d).select("trade_date").distinct(), f"WITH {sql.P} SELECT DISTINCT trade_date FROM p")
 
 # Contracts
-add("v2_duplicate_keys", lambda s, d: contracts.duplicate_keys(sources.scan(s, f"{d}/lineitem.parquet"), ["l_orderkey", "l_linenumber"]), "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
-add("v3_positive_prices", lambda s, d: contracts.not_positive(P(s, d), ["adjusted_open", "adjusted_close", "volume"]), f"WITH {sql.P} SELECT 'adjusted_open' AS \"column\", count(*) FILTER (NOT coalesce(adjusted_open > 0, false)) AS violations FROM p UNION ALL SELECT 'adjusted_close', count(*) FILTER (NOT coalesce(adjusted_close > 0, false)) FROM p UNION ALL SELECT 'volume', count(*) FILTER (NOT coalesce(volume > 0, false)) FROM p")
-add("v4_unparsable_dates", lambda s, d: contracts.unparsable_dates(sources.scan(s, f"{d}/orders.parquet"), "o_orderdate"), "SELECT count(*) FILTER (TRY_CAST(o_orderdate AS TIMESTAMP) IS NULL) AS violations FROM orders")
-add("v6_not_finite", lambda s, d: contracts.not_finite(rolling.rolling_features(P(s, d), ["roc"], (5, 60)), ["roc5", "roc60"]), f"WITH {sql.Q}, f AS (SELECT {sql.family('roc', 5)} AS a, {sql.family('roc', 60)} AS z FROM q) SELECT 'roc5' AS \"column\", count(*) FILTER (a IS NULL) AS violations FROM f UNION ALL SELECT 'roc60', count(*) FILTER (z IS NULL) FROM f")
-add("v7_all_members", lambda s, d: P(s, d).groupBy("trade_date").agg(F.bool_and("is_member").alias("all_members")), f"WITH {sql.P} SELECT trade_date, bool_and(is_member) AS all_members FROM p GROUP BY trade_date")
-add("v8_label_gap", on(lambda p: contracts.label_gap(p, p.where("is_member").withColumn("vwap", F.col("adjusted_close")), labels.KEYS, "vwap")), sql.rounded(sql.P, "SELECT max(abs(a.vwap - z.adjusted_close)) AS gap, count(*) FILTER (z.trade_date IS NULL) AS one_sided FROM p a LEFT JOIN (SELECT * FROM p WHERE is_member) z USING (trade_date, security_id)", ["gap"]))
-add("v12_exactly_one", lambda s, d: contracts.exactly_one(sources.scan(s, f"{d}/orders.parquet"), ["o_custkey"]), "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) <> 1")
-add("v13_strict_cells", lambda s, d: contracts.strict_cells(sources.scan(s, f"{d}/lineitem.parquet").select(F.col("l_returnflag"), F.col("l_linestatus").cast("string").alias("l_linestatus"), F.col("l_quantity").cast("string").alias("q")), numbers=["q"], choices={"l_returnflag": ["A", "R"], "l_linestatus": ["O"]}), "SELECT 'q' AS \"column\", count(*) FILTER (TRY_CAST(CAST(l_quantity AS VARCHAR) AS DOUBLE) IS NULL) AS violations FROM lineitem UNION ALL SELECT 'l_returnflag', count(*) FILTER (NOT coalesce(l_returnflag IN ('A', 'R'), false)) FROM lineitem UNION ALL SELECT 'l_linestatus', count(*) FILTER (NOT coalesce(l_linestatus IN ('O'), false)) FROM lineitem")
+add(
+    "v2_duplicate_keys",
+    lambda s, d: contracts.duplicate_keys(sources.scan(s, f"{d}/lineitem.parquet"), ["l_orderkey", "l_linenumber"]),
+    "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
+)
+add(
+    "v3_positive_prices",
+    lambda s, d: contracts.not_positive(P(s, d), ["adjusted_open", "adjusted_close", "volume"]),
+    f"WITH {sql.P} SELECT 'adjusted_open' AS \"column\", count(*) FILTER (NOT coalesce(adjusted_open > 0, false)) AS violations FROM p UNION ALL SELECT 'adjusted_close', count(*) FILTER (NOT coalesce(adjusted_close > 0, false)) FROM p UNION ALL SELECT 'volume', count(*) FILTER (NOT coalesce(volume > 0, false)) FROM p",
+)
+add(
+    "v4_unparsable_dates",
+    lambda s, d: contracts.unparsable_dates(sources.scan(s, f"{d}/orders.parquet"), "o_orderdate"),
+    "SELECT count(*) FILTER (TRY_CAST(o_orderdate AS TIMESTAMP) IS NULL) AS violations FROM orders",
+)
+add(
+    "v6_not_finite",
+    lambda s, d: contracts.not_finite(rolling.rolling_features(P(s, d), ["roc"], (5, 60)), ["roc5", "roc60"]),
+    f"WITH {sql.Q}, f AS (SELECT {sql.family('roc', 5)} AS a, {sql.family('roc', 60)} AS z FROM q) SELECT 'roc5' AS \"column\", count(*) FILTER (a IS NULL) AS violations FROM f UNION ALL SELECT 'roc60', count(*) FILTER (z IS NULL) FROM f",
+)
+add(
+    "v7_all_members",
+    lambda s, d: P(s, d).groupBy("trade_date").agg(F.bool_and("is_member").alias("all_members")),
+    f"WITH {sql.P} SELECT trade_date, bool_and(is_member) AS all_members FROM p GROUP BY trade_date",
+)
+add(
+    "v8_label_gap",
+    on(lambda p: contracts.label_gap(p, p.where("is_member").withColumn("vwap", F.col("adjusted_close")), labels.KEYS, "vwap")),
+    sql.rounded(sql.P, "SELECT max(abs(a.vwap - z.adjusted_close)) AS gap, count(*) FILTER (z.trade_date IS NULL) AS one_sided FROM p a LEFT JOIN (SELECT * FROM p WHERE is_member) z USING (trade_date, security_id)", ["gap"]),
+)
+add(
+    "v12_exactly_one",
+    lambda s, d: contracts.exactly_one(sources.scan(s, f"{d}/orders.parquet"), ["o_custkey"]),
+    "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) <> 1",
+)
+add(
+    "v13_strict_cells",
+    lambda s, d: contracts.strict_cells(sources.scan(s, f"{d}/lineitem.parquet").select(F.col("l_returnflag"), F.col("l_linestatus").cast("string").alias("l_linestatus"), F.col("l_quantity").cast("string").alias("q")), numbers=["q"], choices={"l_returnflag": ["A", "R"], "l_linestatus": ["O"]}),
+    "SELECT 'q' AS \"column\", count(*) FILTER (TRY_CAST(CAST(l_quantity AS VARCHAR) AS DOUBLE) IS NULL) AS violations FROM lineitem UNION ALL SELECT 'l_returnflag', count(*) FILTER (NOT coalesce(l_returnflag IN ('A', 'R'), false)) FROM lineitem UNION ALL SELECT 'l_linestatus', count(*) FILTER (NOT coalesce(l_linestatus IN ('O'), false)) FROM lineitem",
+)
 
 # Projections and joins
-add("p1_date_range", lambda s, d: P(s, d).where("trade_date between date'1997-01-01' and date'1998-12-31'").select(*labels.KEYS, "adjusted_close"), sql.rounded(sql.P, f"SELECT {KEYS}, adjusted_close FROM p WHERE trade_date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'", ["adjusted_close"]))
-add("p2_leak_free", lambda s, d: factors.leak_free(labelled(s, d), "1999-12-31").select(*labels.KEYS, "adjusted_close"), sql.rounded(sql.RP, f"SELECT {KEYS}, adjusted_close FROM rp WHERE trade_date <= DATE '1999-12-31'", ["adjusted_close"]))
-add("p5_history_start", lambda s, d: factors.history_start(P(s, d), "1998-01-01", 20), f"WITH {sql.P} SELECT min(trade_date) AS trade_date FROM (SELECT DISTINCT trade_date FROM p WHERE trade_date < DATE '1998-01-01' ORDER BY 1 DESC LIMIT 20)")
-add("p6_label_end", lambda s, d: factors.label_end(sources.benchmark(P(s, d)), "1998-01-01", 20), f"WITH {sql.B} SELECT max(trade_date) AS trade_date FROM (SELECT trade_date FROM b WHERE trade_date > DATE '1998-01-01' ORDER BY 1 LIMIT 21)")
-add("p8_every_5th_date", lambda s, d: portfolio.rebalances(scored(s, d), 5, 10).select("trade_date"), f"WITH {sql.RP} SELECT trade_date FROM (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS i FROM (SELECT DISTINCT trade_date FROM rp)) WHERE (i - 1) % 5 = 0")
-add("p9_melt", lambda s, d: rolling.rolling_features(P(s, d), ["ma", "roc"], (5,)).unpivot(labels.KEYS, ["ma5", "roc5"], "model", "score"), sql.rounded(sql.Q, f"SELECT {KEYS}, 'ma5' AS model, {sql.family('ma', 5)} AS score FROM q UNION ALL SELECT {KEYS}, 'roc5', {sql.family('roc', 5)} FROM q", ["score"]))
-add("j1_members", on(lambda p: p.join(sources.membership(p), labels.KEYS, "left_semi").select(*labels.KEYS, "turnover")), f"WITH {sql.P} SELECT {KEYS}, turnover FROM p WHERE is_member")
-add("j2_tradable_default", on(lambda p: labels.research_panel(p, sources.membership(p), sources.tradability(p).where("tradable_next_open")).select(*labels.KEYS, "tradable_next_open")), f"WITH {sql.P} SELECT {KEYS}, tradable_next_open FROM p WHERE is_member")
-add("j3_benchmark", lambda s, d: marketed(s, d).select(*labels.KEYS, "market_return"), sql.rounded(sql.RP, f"SELECT {KEYS}, market_return FROM mp", ["market_return"]))
-add("j4_factor_on_panel", lambda s, d: scored(s, d).select(*labels.KEYS, "basic_eligible", "tradable_next_open", "directed_score"), sql.rounded(sql.EVAL, f"SELECT {KEYS}, basic_eligible, tradable_next_open, directed_score FROM ev", ["directed_score"]))
-add("j6_common_predictions", on(lambda p: cross_section.common_predictions(rolling.rolling_features(p, ["ma"], (5,)).withColumnRenamed("ma5", "score"), rolling.rolling_features(research_of(p), ["roc"], (5,)).withColumnRenamed("roc5", "score"), labels.KEYS, ["score"])), sql.rounded(sql.Q + f", q2 AS (SELECT trade_date, security_id, lag(adjusted_close, 5) OVER {sql.S} / adjusted_close AS z FROM p WHERE is_member)", f"SELECT a.trade_date, a.security_id, {sql.family('ma', 5).replace('security_id', 'a.security_id').replace('trade_date', 'a.trade_date')} AS score_a, z AS score_b, q2.trade_date IS NOT NULL AS complete FROM q a LEFT JOIN q2 ON a.trade_date = q2.trade_date AND a.security_id = q2.security_id", ["score_a", "score_b"]))
+add(
+    "p1_date_range",
+    lambda s, d: P(s, d).where("trade_date between date'1997-01-01' and date'1998-12-31'").select(*labels.KEYS, "adjusted_close"),
+    sql.rounded(sql.P, f"SELECT {KEYS}, adjusted_close FROM p WHERE trade_date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'", ["adjusted_close"]),
+)
+add(
+    "p2_leak_free",
+    lambda s, d: factors.leak_free(labelled(s, d), "1999-12-31").select(*labels.KEYS, "adjusted_close"),
+    sql.rounded(sql.RP, f"SELECT {KEYS}, adjusted_close FROM rp WHERE trade_date <= DATE '1999-12-31'", ["adjusted_close"]),
+)
+add(
+    "p5_history_start",
+    lambda s, d: factors.history_start(P(s, d), "1998-01-01", 20),
+    f"WITH {sql.P} SELECT min(trade_date) AS trade_date FROM (SELECT DISTINCT trade_date FROM p WHERE trade_date < DATE '1998-01-01' ORDER BY 1 DESC LIMIT 20)",
+)
+add(
+    "p6_label_end",
+    lambda s, d: factors.label_end(sources.benchmark(P(s, d)), "1998-01-01", 20),
+    f"WITH {sql.B} SELECT max(trade_date) AS trade_date FROM (SELECT trade_date FROM b WHERE trade_date > DATE '1998-01-01' ORDER BY 1 LIMIT 21)",
+)
+add(
+    "p8_every_5th_date",
+    lambda s, d: portfolio.rebalances(scored(s, d), 5, 10).select("trade_date"),
+    f"WITH {sql.RP} SELECT trade_date FROM (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS i FROM (SELECT DISTINCT trade_date FROM rp)) WHERE (i - 1) % 5 = 0",
+)
+add(
+    "p9_melt",
+    lambda s, d: rolling.rolling_features(P(s, d), ["ma", "roc"], (5,)).unpivot(labels.KEYS, ["ma5", "roc5"], "model", "score"),
+    sql.rounded(sql.Q, f"SELECT {KEYS}, 'ma5' AS model, {sql.family('ma', 5)} AS score FROM q UNION ALL SELECT {KEYS}, 'roc5', {sql.family('roc', 5)} FROM q", ["score"]),
+)
+add(
+    "j1_members",
+    on(lambda p: p.join(sources.membership(p), labels.KEYS, "left_semi").select(*labels.KEYS, "turnover")),
+    f"WITH {sql.P} SELECT {KEYS}, turnover FROM p WHERE is_member",
+)
+add(
+    "j2_tradable_default",
+    on(lambda p: labels.research_panel(p, sources.membership(p), sources.tradability(p).where("tradable_next_open")).select(*labels.KEYS, "tradable_next_open")),
+    f"WITH {sql.P} SELECT {KEYS}, tradable_next_open FROM p WHERE is_member",
+)
+add(
+    "j3_benchmark",
+    lambda s, d: marketed(s, d).select(*labels.KEYS, "market_return"),
+    sql.rounded(sql.RP, f"SELECT {KEYS}, market_return FROM mp", ["market_return"]),
+)
+add(
+    "j4_factor_on_panel",
+    lambda s, d: scored(s, d).select(*labels.KEYS, "basic_eligible", "tradable_next_open", "directed_score"),
+    sql.rounded(sql.EVAL, f"SELECT {KEYS}, basic_eligible, tradable_next_open, directed_score FROM ev", ["directed_score"]),
+)
+add(
+    "j6_common_predictions",
+    on(lambda p: cross_section.common_predictions(rolling.rolling_features(p, ["ma"], (5,)).withColumnRenamed("ma5", "score"), rolling.rolling_features(research_of(p), ["roc"], (5,)).withColumnRenamed("roc5", "score"), labels.KEYS, ["score"])),
+    sql.rounded(sql.Q + f", q2 AS (SELECT trade_date, security_id, lag(adjusted_close, 5) OVER {sql.S} / adjusted_close AS z FROM p WHERE is_member)", f"SELECT a.trade_date, a.security_id, {sql.family('ma', 5).replace('security_id', 'a.security_id').replace('trade_date', 'a.trade_date')} AS score_a, z AS score_b, q2.trade_date IS NOT NULL AS complete FROM q a LEFT JOIN q2 ON a.trade_date = q2.trade_date AND a.security_id = q2.security_id", ["score_a", "score_b"]),
+)
 
 # Row ratios and rolling features
-add("c1_c13_row_ratios", lambda s, d: P(s, d).select(*labels.KEYS, *(x.alias(n) for n, x in rolling.candles().items())), sql.rounded(sql.Q, f"SELECT {KEYS}, {', '.join(f'{x} AS {n}' for n, x in sql.CANDLES.items())} FROM q", list(sql.CANDLES)))
+add(
+    "c1_c13_row_ratios",
+    lambda s, d: P(s, d).select(*labels.KEYS, *(x.alias(n) for n, x in rolling.candles().items())),
+    sql.rounded(sql.Q, f"SELECT {KEYS}, {', '.join(f'{x} AS {n}' for n, x in sql.CANDLES.items())} FROM q", list(sql.CANDLES)),
+)
 for k, fam in enumerate(rolling.FAMILIES):
     add(f"r{k + 1}_{fam}", lambda s, d, fam=fam: rolling.rolling_features(P(s, d), [fam]), sql.rolling(fam))
 add("r_all_158_features", lambda s, d: rolling.all_features(P(s, d)), sql.all_features([*rolling.candles()], list(rolling.FAMILIES)))
-add("c19_canonical_json", lambda s, d: sources.scan(s, f"{d}/nation.parquet").select("n_nationkey", F.to_json(F.struct("n_name", "n_nationkey", "n_regionkey")).alias("j")), "SELECT n_nationkey, '{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}' AS j FROM nation")
-add("c20_year", lambda s, d: P(s, d).groupBy(F.year("trade_date").alias("year")).agg(F.count("*").alias("n")), f"WITH {sql.P} SELECT CAST(year(trade_date) AS INTEGER) AS year, count(*) AS n FROM p GROUP BY 1")
+add(
+    "c19_canonical_json",
+    lambda s, d: sources.scan(s, f"{d}/nation.parquet").select("n_nationkey", F.to_json(F.struct("n_name", "n_nationkey", "n_regionkey")).alias("j")),
+    "SELECT n_nationkey, '{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}' AS j FROM nation",
+)
+add(
+    "c20_year",
+    lambda s, d: P(s, d).groupBy(F.year("trade_date").alias("year")).agg(F.count("*").alias("n")),
+    f"WITH {sql.P} SELECT CAST(year(trade_date) AS INTEGER) AS year, count(*) AS n FROM p GROUP BY 1",
+)
 
 # Factors
 for k, name in enumerate(factors.FACTORS):
@@ -137,33 +229,82 @@ def _all_features(s: SparkSession, d: str) -> DataFrame:
 
 ALL = [*rolling.candles(), *(f"{f}{w}" for f in rolling.FAMILIES for w in rolling.WINDOWS)]
 add("x1_preprocess", lambda s, d: cross_section.preprocess(_all_features(s, d), ALL), sql.preprocessed(ALL))
-add("x2_quality", lambda s, d: cross_section.quality(_all_features(s, d), ALL).select("trade_date", "feature", "n_rows", "finite_before", "missing_before", "infinite_before", "median", "mad", "clipped_count", "all_null"), sql.quality(ALL))
-add("x3_factor_preparation", lambda s, d: cross_section.prepare_factor(factors.compute(research(s, d), "REV5"), "negative").drop("directed_score"), sql.rounded(sql.RP + sql.REV5_RAW + sql.PREP, "SELECT * FROM prep", ["raw_value", "winsorized_value", "zscore_value"]))
-add("x4_label_zscore", lambda s, d: cross_section.zscore_label(scored(s, d).select(*labels.KEYS, "label_excess_o2o_1d"), "label_excess_o2o_1d", "trade_date").select(*labels.KEYS, "label_z"), sql.rounded(sql.EVAL + ", zs AS (SELECT trade_date, avg(label_excess_o2o_1d) AS a, stddev_pop(label_excess_o2o_1d) AS d FROM ev GROUP BY trade_date)", f"SELECT {KEYS}, CASE WHEN d > 0 THEN (label_excess_o2o_1d - a) / d END AS label_z FROM ev JOIN zs USING (trade_date)", ["label_z"]))
-add("x5_date_weights", lambda s, d: cross_section.equal_date_weights(P(s, d).select(*labels.KEYS), "trade_date"), sql.rounded(sql.P, f"SELECT {KEYS}, (SELECT count(*) FROM p) / ((SELECT count(DISTINCT trade_date) FROM p) * count(*) OVER (PARTITION BY trade_date))::DOUBLE AS weight FROM p", ["weight"]))
-add("n1_neutralize", lambda s, d: cross_section.neutralize(industries(s, d).withColumn("score", sdiv(F.col("adjusted_close"), F.col("vwap"))), "score").select(*labels.KEYS, "neutral_score"), sql.rounded(IND + """,
+add(
+    "x2_quality",
+    lambda s, d: cross_section.quality(_all_features(s, d), ALL).select("trade_date", "feature", "n_rows", "finite_before", "missing_before", "infinite_before", "median", "mad", "clipped_count", "all_null"),
+    sql.quality(ALL),
+)
+add(
+    "x3_factor_preparation",
+    lambda s, d: cross_section.prepare_factor(factors.compute(research(s, d), "REV5"), "negative").drop("directed_score"),
+    sql.rounded(sql.RP + sql.REV5_RAW + sql.PREP, "SELECT * FROM prep", ["raw_value", "winsorized_value", "zscore_value"]),
+)
+add(
+    "x4_label_zscore",
+    lambda s, d: cross_section.zscore_label(scored(s, d).select(*labels.KEYS, "label_excess_o2o_1d"), "label_excess_o2o_1d", "trade_date").select(*labels.KEYS, "label_z"),
+    sql.rounded(sql.EVAL + ", zs AS (SELECT trade_date, avg(label_excess_o2o_1d) AS a, stddev_pop(label_excess_o2o_1d) AS d FROM ev GROUP BY trade_date)", f"SELECT {KEYS}, CASE WHEN d > 0 THEN (label_excess_o2o_1d - a) / d END AS label_z FROM ev JOIN zs USING (trade_date)", ["label_z"]),
+)
+add(
+    "x5_date_weights",
+    lambda s, d: cross_section.equal_date_weights(P(s, d).select(*labels.KEYS), "trade_date"),
+    sql.rounded(sql.P, f"SELECT {KEYS}, (SELECT count(*) FROM p) / ((SELECT count(DISTINCT trade_date) FROM p) * count(*) OVER (PARTITION BY trade_date))::DOUBLE AS weight FROM p", ["weight"]),
+)
+add(
+    "n1_neutralize",
+    lambda s, d: cross_section.neutralize(industries(s, d).withColumn("score", sdiv(F.col("adjusted_close"), F.col("vwap"))), "score").select(*labels.KEYS, "neutral_score"),
+    sql.rounded(IND + """,
 n0 AS (SELECT *, adjusted_close / vwap AS score, ln(size) AS z, coalesce(industry, 'Unknown') AS i FROM ind),
-n1 AS (SELECT *, score - avg(score) OVER (PARTITION BY trade_date, i) AS ds, z - avg(z) OVER (PARTITION BY trade_date, i) AS dz FROM n0)""", f"SELECT {KEYS}, ds - coalesce(sum(ds * dz) OVER (PARTITION BY trade_date) / nullif(sum(dz * dz) OVER (PARTITION BY trade_date), 0), 0) * dz AS neutral_score FROM n1", ["neutral_score"]))
-add("x6_rank_ic", lambda s, d: cross_section.rank_ic(scored(s, d), "directed_score", "label_excess_o2o_1d", "trade_date"), sql.rounded(sql.EVAL + """,
+n1 AS (SELECT *, score - avg(score) OVER (PARTITION BY trade_date, i) AS ds, z - avg(z) OVER (PARTITION BY trade_date, i) AS dz FROM n0)""", f"SELECT {KEYS}, ds - coalesce(sum(ds * dz) OVER (PARTITION BY trade_date) / nullif(sum(dz * dz) OVER (PARTITION BY trade_date), 0), 0) * dz AS neutral_score FROM n1", ["neutral_score"]),
+)
+add(
+    "x6_rank_ic",
+    lambda s, d: cross_section.rank_ic(scored(s, d), "directed_score", "label_excess_o2o_1d", "trade_date"),
+    sql.rounded(sql.EVAL + """,
 k1 AS (SELECT *, rank() OVER (PARTITION BY trade_date ORDER BY directed_score) + (count(*) OVER (PARTITION BY trade_date, directed_score) - 1) / 2.0 AS x,
   rank() OVER (PARTITION BY trade_date ORDER BY label_excess_o2o_1d) + (count(*) OVER (PARTITION BY trade_date, label_excess_o2o_1d) - 1) / 2.0 AS y FROM ev WHERE directed_score IS NOT NULL AND label_excess_o2o_1d IS NOT NULL),
-k2 AS (SELECT trade_date, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS rank_ic FROM k1 GROUP BY trade_date)""", "SELECT trade_date, count(*) AS cross_section_rows, any_value(rank_ic) AS rank_ic FROM ev LEFT JOIN k2 USING (trade_date) GROUP BY trade_date", ["rank_ic"]))
+k2 AS (SELECT trade_date, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS rank_ic FROM k1 GROUP BY trade_date)""", "SELECT trade_date, count(*) AS cross_section_rows, any_value(rank_ic) AS rank_ic FROM ev LEFT JOIN k2 USING (trade_date) GROUP BY trade_date", ["rank_ic"]),
+)
 add("x7_daily_ic", daily_ic, sql.rounded(sql.IC, "SELECT * FROM ic", ["pearson_ic", "rank_ic"]))
 QUINTILES = sql.EVAL + """,
 u0 AS (SELECT trade_date, security_id, directed_score, label_excess_o2o_1d AS y FROM ev WHERE directed_score IS NOT NULL AND label_excess_o2o_1d IS NOT NULL),
 u1 AS (SELECT u0.*, n, row_number() OVER (PARTITION BY trade_date ORDER BY directed_score, security_id) AS rn FROM u0 JOIN (SELECT trade_date, count(*) AS n FROM u0 GROUP BY trade_date HAVING count(*) >= 5 AND count(DISTINCT directed_score) >= 5) USING (trade_date)),
 u2 AS (SELECT trade_date, CAST(greatest(1, ((rn - 1) * 5 + n - 2) // (n - 1)) AS INTEGER) AS quintile, avg(y) AS mean_return, count(*) AS n_names FROM u1 GROUP BY ALL),
 u3 AS (SELECT * FROM u2 UNION ALL SELECT trade_date, 6, max(CASE WHEN quintile = 5 THEN mean_return END) - max(CASE WHEN quintile = 1 THEN mean_return END), max(CASE WHEN quintile = 5 THEN n_names END) + max(CASE WHEN quintile = 1 THEN n_names END) FROM u2 GROUP BY trade_date)"""
-add("x8_quintiles", lambda s, d: cross_section.quintiles(scored(s, d), "directed_score", "label_excess_o2o_1d", "trade_date"), sql.rounded(QUINTILES, "SELECT * FROM u3", ["mean_return"]))
-add("x9_x11_positions", lambda s, d: portfolio.positions(scored(s, d), 5, 10, 5).select("trade_date", "portfolio", "security_id", "weight"), sql.rounded(sql.portfolios(5, 10), "SELECT trade_date, portfolio, security_id, CAST(w AS DOUBLE) AS weight FROM hl", ["weight"]))
+add(
+    "x8_quintiles",
+    lambda s, d: cross_section.quintiles(scored(s, d), "directed_score", "label_excess_o2o_1d", "trade_date"),
+    sql.rounded(QUINTILES, "SELECT * FROM u3", ["mean_return"]),
+)
+add(
+    "x9_x11_positions",
+    lambda s, d: portfolio.positions(scored(s, d), 5, 10, 5).select("trade_date", "portfolio", "security_id", "weight"),
+    sql.rounded(sql.portfolios(5, 10), "SELECT trade_date, portfolio, security_id, CAST(w AS DOUBLE) AS weight FROM hl", ["weight"]),
+)
 
 # Labels, portfolios
-add("l1_forward_labels", lambda s, d: labelled(s, d, HORIZONS).select(*labels.KEYS, "basic_eligible", "entry_date", *(c for h in HORIZONS for c in (f"label_end_date_{h}d", f"label_excess_o2o_{h}d"))), sql.rounded(sql.RP + sql.labels(), f"SELECT {KEYS}, basic_eligible, entry_date, " + ", ".join(f"label_end_date_{h}d, label_excess_o2o_{h}d" for h in HORIZONS) + " FROM lab", [f"label_excess_o2o_{h}d" for h in HORIZONS]))
-add("l3_research_panel", lambda s, d: research(s, d).select(*labels.KEYS, "adjusted_open", "tradable_next_open", "basic_eligible"), sql.rounded(sql.RP, f"SELECT {KEYS}, adjusted_open, tradable_next_open, basic_eligible FROM rp", ["adjusted_open"]))
+add(
+    "l1_forward_labels",
+    lambda s, d: labelled(s, d, HORIZONS).select(*labels.KEYS, "basic_eligible", "entry_date", *(c for h in HORIZONS for c in (f"label_end_date_{h}d", f"label_excess_o2o_{h}d"))),
+    sql.rounded(sql.RP + sql.labels(), f"SELECT {KEYS}, basic_eligible, entry_date, " + ", ".join(f"label_end_date_{h}d, label_excess_o2o_{h}d" for h in HORIZONS) + " FROM lab", [f"label_excess_o2o_{h}d" for h in HORIZONS]),
+)
+add(
+    "l3_research_panel",
+    lambda s, d: research(s, d).select(*labels.KEYS, "adjusted_open", "tradable_next_open", "basic_eligible"),
+    sql.rounded(sql.RP, f"SELECT {KEYS}, adjusted_open, tradable_next_open, basic_eligible FROM rp", ["adjusted_open"]),
+)
 for h in HORIZONS:
-    add(f"w1_w3_periods_{h}d", lambda s, d, h=h: simulated(s, d, h)[0], sql.rounded(sql.portfolios(h, 10), "SELECT * FROM nav", sql.NAV_DOUBLES, 9), 9)
+    add(
+        f"w1_w3_periods_{h}d",
+        lambda s, d, h=h: simulated(s, d, h)[0],
+        sql.rounded(sql.portfolios(h, 10), "SELECT * FROM nav", sql.NAV_DOUBLES, 9),
+        9,
+    )
     add(f"w4_w5_summary_{h}d", lambda s, d, h=h: simulated(s, d, h)[1], sql.portfolio_summary(h, 10, portfolio.PERIODS[h]))
-add("j7_turnover", lambda s, d: portfolio.turnovers(portfolio.positions(scored(s, d), 5, 10, 5)), sql.rounded(sql.portfolios(5, 10), "SELECT CAST(seq AS BIGINT) AS seq, portfolio, CAST(turnover AS DOUBLE) AS turnover FROM tv", ["turnover"]))
+add(
+    "j7_turnover",
+    lambda s, d: portfolio.turnovers(portfolio.positions(scored(s, d), 5, 10, 5)),
+    sql.rounded(sql.portfolios(5, 10), "SELECT CAST(seq AS BIGINT) AS seq, portfolio, CAST(turnover AS DOUBLE) AS turnover FROM tv", ["turnover"]),
+)
 
 
 def _ledger(s: SparkSession, d: str) -> DataFrame:
@@ -188,29 +329,74 @@ def ledger_batch(s: SparkSession, d: str) -> DataFrame:
 
 
 add("w7_ledger_batch", ledger_batch)
-add("w6_w7_rebalance_ledger", _ledger, sql.rounded(sql.P + """,
+add(
+    "w6_w7_rebalance_ledger",
+    _ledger,
+    sql.rounded(sql.P + """,
 g0 AS (SELECT security_id % 5 AS account, security_id AS code, adjusted_close AS price, turnover * 10 AS qty, tradable_next_open FROM p WHERE trade_date = DATE '2001-06-01'),
 g1 AS (SELECT account, 1000.0 + sum(CASE WHEN code % 3 = 0 THEN qty * price ELSE 0 END) AS nav, count(*) FILTER (code % 2 = 0) AS n FROM g0 GROUP BY account),
 g2 AS (SELECT g0.*, nav, CASE WHEN code % 3 = 0 THEN qty ELSE 0 END AS have, CASE WHEN code % 2 = 0 THEN 1.0 / n ELSE 0 END * nav / price AS want FROM g0 JOIN g1 USING (account) WHERE code % 3 = 0 OR code % 2 = 0),
 g3 AS (SELECT *, CASE WHEN want - have < -1e-12 THEN 'sell' ELSE 'buy' END AS side, abs(want - have) * price AS intended FROM g2 WHERE abs(want - have) > 1e-12),
 g4 AS (SELECT *, CASE WHEN code % 11 = 0 THEN 'unknown' WHEN code % 7 = 0 THEN 'suspended' WHEN side = 'buy' AND NOT tradable_next_open THEN 'limit_up' WHEN side = 'sell' AND code % 5 = 0 THEN 'limit_down' END AS reason FROM g3),
 g5 AS (SELECT *, 1000.0 + coalesce(sum(CASE WHEN side = 'sell' AND reason IS NULL THEN intended * 0.999 END) OVER (PARTITION BY account), 0) AS money, sum(CASE WHEN side = 'buy' AND reason IS NULL THEN intended * 1.001 END) OVER (PARTITION BY account) AS need FROM g4),
-g6 AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 0 WHEN side = 'sell' THEN intended ELSE intended * least(1, money / need) END AS filled FROM g5)""", "SELECT account, code, side, intended AS intended_notional, filled AS filled_notional, filled * 0.001 AS trading_cost, reason AS block_reason, have + CASE WHEN side = 'buy' THEN filled ELSE -filled END / price AS shares_after, greatest(0, money - coalesce(sum(CASE WHEN side = 'buy' THEN filled * 1.001 END) OVER (PARTITION BY account), 0)) AS cash_after FROM g6", ["intended_notional", "filled_notional", "trading_cost", "shares_after", "cash_after"], 4), 4)
+g6 AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 0 WHEN side = 'sell' THEN intended ELSE intended * least(1, money / need) END AS filled FROM g5)""", "SELECT account, code, side, intended AS intended_notional, filled AS filled_notional, filled * 0.001 AS trading_cost, reason AS block_reason, have + CASE WHEN side = 'buy' THEN filled ELSE -filled END / price AS shares_after, greatest(0, money - coalesce(sum(CASE WHEN side = 'buy' THEN filled * 1.001 END) OVER (PARTITION BY account), 0)) AS cash_after FROM g6", ["intended_notional", "filled_notional", "trading_cost", "shares_after", "cash_after"], 4),
+    4,
+)
 
 # Evidence
-add("g1_g2_ic_by_year", lambda s, d: evidence.ic_by_year(daily_ic(s, d), "rank_ic", "trade_date", ["eligibility", "horizon_days"]), sql.rounded(sql.IC, "SELECT eligibility, horizon_days, CAST(year(trade_date) AS INTEGER) AS year, count(*) AS n, avg(rank_ic) AS mean, stddev_samp(rank_ic) AS std, avg(CASE WHEN rank_ic > 0 THEN 1.0 ELSE 0 END) AS positive_ratio, avg(rank_ic) / nullif(stddev_samp(rank_ic), 0) AS icir FROM ic WHERE rank_ic IS NOT NULL GROUP BY GROUPING SETS ((eligibility, horizon_days), (eligibility, horizon_days, year(trade_date)))", ["mean", "std", "positive_ratio", "icir"]))
-add("g3_quintile_summary", lambda s, d: cross_section.quintiles(scored(s, d), "directed_score", "label_excess_o2o_1d", "trade_date").groupBy("quintile").agg(F.count("*").alias("n"), F.avg("mean_return").alias("mean"), F.stddev_samp("mean_return").alias("std")), sql.rounded(QUINTILES, "SELECT quintile, count(*) AS n, avg(mean_return) AS mean, stddev_samp(mean_return) AS std FROM u3 GROUP BY quintile", ["mean", "std"]))
-add("g4_newey_west", lambda s, d: evidence.mean_test(daily_ic(s, d), "rank_ic", ["eligibility", "horizon_days"], "trade_date", 4, unbiased=True), sql.rounded(sql.IC + sql.mean_test("ic", "rank_ic", "eligibility, horizon_days", "4", unbiased=True), "SELECT * FROM ht", ["mean", "se", "t_stat"]))
-add("g5_hac", lambda s, d: evidence.mean_test(daily_ic(s, d), "rank_ic", ["eligibility", "horizon_days"], "trade_date", F.col("horizon_days") - 1), sql.rounded(sql.IC + sql.mean_test("ic", "rank_ic", "eligibility, horizon_days", "horizon_days - 1"), "SELECT * FROM ht", ["mean", "se", "t_stat"]))
+add(
+    "g1_g2_ic_by_year",
+    lambda s, d: evidence.ic_by_year(daily_ic(s, d), "rank_ic", "trade_date", ["eligibility", "horizon_days"]),
+    sql.rounded(sql.IC, "SELECT eligibility, horizon_days, CAST(year(trade_date) AS INTEGER) AS year, count(*) AS n, avg(rank_ic) AS mean, stddev_samp(rank_ic) AS std, avg(CASE WHEN rank_ic > 0 THEN 1.0 ELSE 0 END) AS positive_ratio, avg(rank_ic) / nullif(stddev_samp(rank_ic), 0) AS icir FROM ic WHERE rank_ic IS NOT NULL GROUP BY GROUPING SETS ((eligibility, horizon_days), (eligibility, horizon_days, year(trade_date)))", ["mean", "std", "positive_ratio", "icir"]),
+)
+add(
+    "g3_quintile_summary",
+    lambda s, d: cross_section.quintiles(scored(s, d), "directed_score", "label_excess_o2o_1d", "trade_date").groupBy("quintile").agg(F.count("*").alias("n"), F.avg("mean_return").alias("mean"), F.stddev_samp("mean_return").alias("std")),
+    sql.rounded(QUINTILES, "SELECT quintile, count(*) AS n, avg(mean_return) AS mean, stddev_samp(mean_return) AS std FROM u3 GROUP BY quintile", ["mean", "std"]),
+)
+add(
+    "g4_newey_west",
+    lambda s, d: evidence.mean_test(daily_ic(s, d), "rank_ic", ["eligibility", "horizon_days"], "trade_date", 4, unbiased=True),
+    sql.rounded(sql.IC + sql.mean_test("ic", "rank_ic", "eligibility, horizon_days", "4", unbiased=True), "SELECT * FROM ht", ["mean", "se", "t_stat"]),
+)
+add(
+    "g5_hac",
+    lambda s, d: evidence.mean_test(daily_ic(s, d), "rank_ic", ["eligibility", "horizon_days"], "trade_date", F.col("horizon_days") - 1),
+    sql.rounded(sql.IC + sql.mean_test("ic", "rank_ic", "eligibility, horizon_days", "horizon_days - 1"), "SELECT * FROM ht", ["mean", "se", "t_stat"]),
+)
 SUMMARY = ["hac_standard_error", "hac_t_stat", *sql.HALF_NAMES]
 _sum = lambda src, lag: f"SELECT s.*, se AS hac_standard_error, t_stat AS hac_t_stat, CAST({lag} AS INTEGER) AS hac_lag FROM (SELECT eligibility, horizon_days, count(rank_ic) AS n_observations, {sql.HALVES} FROM {src} GROUP BY ALL) s LEFT JOIN ht USING (eligibility, horizon_days)"
-add("g7_ic_summary", lambda s, d: evidence.ic_summary(daily_ic(s, d)), sql.rounded(sql.IC + sql.mean_test("ic", "rank_ic", "eligibility, horizon_days", "horizon_days - 1"), _sum("ic", "horizon_days - 1").replace("n, mean", "mean"), SUMMARY))
-add("g8_ic_yearly", lambda s, d: evidence.ic_yearly(daily_ic(s, d)), sql.rounded(sql.IC, f"SELECT eligibility, horizon_days, CAST(year(trade_date) AS INTEGER) AS year, count(rank_ic) AS n_observations, {sql.HALVES} FROM ic GROUP BY ALL", sql.HALF_NAMES))
+add(
+    "g7_ic_summary",
+    lambda s, d: evidence.ic_summary(daily_ic(s, d)),
+    sql.rounded(sql.IC + sql.mean_test("ic", "rank_ic", "eligibility, horizon_days", "horizon_days - 1"), _sum("ic", "horizon_days - 1").replace("n, mean", "mean"), SUMMARY),
+)
+add(
+    "g8_ic_yearly",
+    lambda s, d: evidence.ic_yearly(daily_ic(s, d)),
+    sql.rounded(sql.IC, f"SELECT eligibility, horizon_days, CAST(year(trade_date) AS INTEGER) AS year, count(rank_ic) AS n_observations, {sql.HALVES} FROM ic GROUP BY ALL", sql.HALF_NAMES),
+)
 NON = sql.IC + ", nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY eligibility, horizon_days ORDER BY trade_date) AS i FROM ic WHERE horizon_days > 1) WHERE (i - 1) % horizon_days = 0)"
-add("g9_non_overlapping", lambda s, d: evidence.ic_summary(evidence.every_hth(daily_ic(s, d)), overlap=False), sql.rounded(NON + sql.mean_test("nn", "rank_ic", "eligibility, horizon_days", "0"), _sum("nn", "0"), SUMMARY))
-add("g11_decision", lambda s, d: evidence.decide(daily_ic(s, d), [1996, 1997, 1998, 1999, 2000], least=30).select("n", "mean", "tradable_mean", "good_years"), sql.rounded(sql.IC + ", lk AS (SELECT * FROM ic WHERE horizon_days = 1 AND year(trade_date) BETWEEN 1996 AND 2000)", "SELECT (SELECT count(rank_ic) FROM lk WHERE eligibility = 'basic') AS n, (SELECT avg(rank_ic) FROM lk WHERE eligibility = 'basic') AS mean, (SELECT avg(rank_ic) FROM lk WHERE eligibility = 'tradable') AS tradable_mean, (SELECT count(*) FROM (SELECT avg(rank_ic) AS m FROM lk WHERE eligibility = 'basic' GROUP BY year(trade_date)) WHERE m > 0) AS good_years", ["mean", "tradable_mean"]))
-add("g11_decision_label", lambda s, d: evidence.decide(daily_ic(s, d), [1996, 1997, 1998, 1999, 2000], least=30).select("decision", "t_stat"), sql.decision(1996, 2000, 30))
-add("g14_data_quality", lambda s, d: evidence.data_quality(research(s, d)), f"WITH {sql.RP} SELECT unnest(['rows', 'dates', 'securities', 'missing_open', 'missing_close', 'tradable_rows']) AS metric, unnest([count(*), count(DISTINCT trade_date), count(DISTINCT security_id), count(*) FILTER (adjusted_open IS NULL), count(*) FILTER (adjusted_close IS NULL), count(*) FILTER (tradable_next_open)]) AS value FROM rp")
+add(
+    "g9_non_overlapping",
+    lambda s, d: evidence.ic_summary(evidence.every_hth(daily_ic(s, d)), overlap=False),
+    sql.rounded(NON + sql.mean_test("nn", "rank_ic", "eligibility, horizon_days", "0"), _sum("nn", "0"), SUMMARY),
+)
+add(
+    "g11_decision",
+    lambda s, d: evidence.decide(daily_ic(s, d), [1996, 1997, 1998, 1999, 2000], least=30).select("n", "mean", "tradable_mean", "good_years"),
+    sql.rounded(sql.IC + ", lk AS (SELECT * FROM ic WHERE horizon_days = 1 AND year(trade_date) BETWEEN 1996 AND 2000)", "SELECT (SELECT count(rank_ic) FROM lk WHERE eligibility = 'basic') AS n, (SELECT avg(rank_ic) FROM lk WHERE eligibility = 'basic') AS mean, (SELECT avg(rank_ic) FROM lk WHERE eligibility = 'tradable') AS tradable_mean, (SELECT count(*) FROM (SELECT avg(rank_ic) AS m FROM lk WHERE eligibility = 'basic' GROUP BY year(trade_date)) WHERE m > 0) AS good_years", ["mean", "tradable_mean"]),
+)
+add(
+    "g11_decision_label",
+    lambda s, d: evidence.decide(daily_ic(s, d), [1996, 1997, 1998, 1999, 2000], least=30).select("decision", "t_stat"),
+    sql.decision(1996, 2000, 30),
+)
+add(
+    "g14_data_quality",
+    lambda s, d: evidence.data_quality(research(s, d)),
+    f"WITH {sql.RP} SELECT unnest(['rows', 'dates', 'securities', 'missing_open', 'missing_close', 'tradable_rows']) AS metric, unnest([count(*), count(DISTINCT trade_date), count(DISTINCT security_id), count(*) FILTER (adjusted_open IS NULL), count(*) FILTER (adjusted_close IS NULL), count(*) FILTER (tradable_next_open)]) AS value FROM rp",
+)
 
 
 def _two_models(s: SparkSession, d: str) -> DataFrame:
@@ -227,7 +413,11 @@ m1 AS (SELECT {KEYS}, 'ma5' AS model, ma5 AS score FROM m0 UNION ALL SELECT {KEY
 m2 AS (SELECT trade_date, model, rank() OVER (PARTITION BY trade_date, model ORDER BY score) + (count(*) OVER (PARTITION BY trade_date, model, score) - 1) / 2.0 AS x, rank() OVER (PARTITION BY trade_date, model ORDER BY label_excess_o2o_1d) + (count(*) OVER (PARTITION BY trade_date, model, label_excess_o2o_1d) - 1) / 2.0 AS y FROM m1 JOIN lab USING (trade_date, security_id) WHERE score IS NOT NULL AND label_excess_o2o_1d IS NOT NULL),
 m3 AS (SELECT trade_date, model, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS rank_ic FROM m2 GROUP BY ALL),
 m4 AS (SELECT trade_date, 'ma5-rsv5' AS pair, max(CASE WHEN model = 'ma5' THEN rank_ic END) - max(CASE WHEN model = 'rsv5' THEN rank_ic END) AS difference FROM m3 GROUP BY trade_date)"""
-add("j8_g15_paired_difference", lambda s, d: evidence.paired_difference(_two_models(s, d), "model", "ma5", "rsv5", "rank_ic", "trade_date"), sql.rounded(PAIRED + sql.mean_test("m4", "difference", "pair", "4", unbiased=True), "SELECT * FROM ht", ["mean", "se", "t_stat"]))
+add(
+    "j8_g15_paired_difference",
+    lambda s, d: evidence.paired_difference(_two_models(s, d), "model", "ma5", "rsv5", "rank_ic", "trade_date"),
+    sql.rounded(PAIRED + sql.mean_test("m4", "difference", "pair", "4", unbiased=True), "SELECT * FROM ht", ["mean", "se", "t_stat"]),
+)
 SAMPLE = ["sample", "eligibility", "horizon_days", "year", "n_observations", *sql.HALF_NAMES]
 
 
@@ -244,8 +434,16 @@ def _portfolio_tables(s: SparkSession, d: str) -> DataFrame:
 
 add("g16_combined_summary", _combined, sql.combined())
 add("g17_portfolio_tables", _portfolio_tables, sql.portfolio_tables(5, 10, portfolio.PERIODS[5]))
-add("g18_cumulative_rank_ic", lambda s, d: evidence.cumulative_rank_ic(daily_ic(s, d)), sql.rounded(sql.IC, "SELECT trade_date, eligibility, horizon_days, sum(coalesce(rank_ic, 0)) OVER (PARTITION BY eligibility, horizon_days ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS cumulative_rank_ic FROM ic", ["cumulative_rank_ic"]))
-add("g19_top_k_nav", lambda s, d: simulated(s, d, 5)[0].where("portfolio = 'top_10'").select("trade_date", "nav_date", "net_nav"), sql.rounded(sql.portfolios(5, 10), "SELECT trade_date, nav_date, net_nav FROM nav WHERE portfolio = 'top_10'", ["net_nav"]))
+add(
+    "g18_cumulative_rank_ic",
+    lambda s, d: evidence.cumulative_rank_ic(daily_ic(s, d)),
+    sql.rounded(sql.IC, "SELECT trade_date, eligibility, horizon_days, sum(coalesce(rank_ic, 0)) OVER (PARTITION BY eligibility, horizon_days ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS cumulative_rank_ic FROM ic", ["cumulative_rank_ic"]),
+)
+add(
+    "g19_top_k_nav",
+    lambda s, d: simulated(s, d, 5)[0].where("portfolio = 'top_10'").select("trade_date", "nav_date", "net_nav"),
+    sql.rounded(sql.portfolios(5, 10), "SELECT trade_date, nav_date, net_nav FROM nav WHERE portfolio = 'top_10'", ["net_nav"]),
+)
 
 
 def _board(s: SparkSession, d: str) -> DataFrame:
@@ -256,7 +454,11 @@ def _board(s: SparkSession, d: str) -> DataFrame:
     return evidence.scoreboard_row(summary, books[0].unionByName(books[1]).unionByName(books[2]), list(run), HORIZONS)
 
 
-add("g20_scoreboard_row", lambda s, d: (b := _board(s, d)).drop(*(c for c in b.columns if "p_value" in c)), sql.scoreboard(HORIZONS, 10, portfolio.PERIODS))
+add(
+    "g20_scoreboard_row",
+    lambda s, d: (b := _board(s, d)).drop(*(c for c in b.columns if "p_value" in c)),
+    sql.scoreboard(HORIZONS, 10, portfolio.PERIODS),
+)
 
 # Models
 FOLDS = [(f"f{y}", y, y + 1, y + 2, y + 3) for y in range(1995, 1999)]
@@ -353,9 +555,21 @@ def boosted_test(s: SparkSession, d: str) -> DataFrame:
 
 
 _FOLD = sql.RP + sql.labels((1,)) + ",\nfs AS (SELECT 'f' || y AS fold, y AS a, y + 1 AS z, y + 2 AS v, y + 3 AS t FROM range(1995, 1999) t(y)),\nfa AS (SELECT fold, trade_date AS signal_date, security_id, label_end_date_1d AS label_end_date, CASE WHEN year(trade_date) BETWEEN a AND z THEN 'train' WHEN year(trade_date) = v THEN 'validation' WHEN year(trade_date) = t THEN 'test' END AS role, v, t FROM lab JOIN fs ON year(trade_date) BETWEEN a AND t WHERE label_excess_o2o_1d IS NOT NULL),\nfb AS (SELECT * FROM fa WHERE (role = 'train' AND year(label_end_date) < v) OR (role = 'validation' AND year(label_end_date) < t) OR role = 'test')"
-add("j5_z7_fold_rows", lambda s, d: assigned(s, d).select("fold", "role", "signal_date", "security_id", "label_end_date"), f"WITH {_FOLD} SELECT fold, role, signal_date, security_id, label_end_date FROM fb")
-add("v9_purge_gates", lambda s, d: contracts.purge_gaps(assigned(s, d)), f"WITH {_FOLD}, gg AS (SELECT fold, max(label_end_date) FILTER (role = 'train') AS train_end, min(signal_date) FILTER (role = 'validation') AS validation_start, max(label_end_date) FILTER (role = 'validation') AS validation_end, min(signal_date) FILTER (role = 'test') AS test_start FROM fb GROUP BY fold) SELECT *, train_end < validation_start AND validation_end < test_start AS purged FROM gg")
-add("v10_fold_years", lambda s, d: assigned(s, d).where("role = 'test'").groupBy("fold").agg(F.countDistinct(F.year("signal_date")).alias("years"), F.countDistinct("signal_date").alias("dates")), f"WITH {_FOLD} SELECT fold, count(DISTINCT year(signal_date)) AS years, count(DISTINCT signal_date) AS dates FROM fb WHERE role = 'test' GROUP BY fold")
+add(
+    "j5_z7_fold_rows",
+    lambda s, d: assigned(s, d).select("fold", "role", "signal_date", "security_id", "label_end_date"),
+    f"WITH {_FOLD} SELECT fold, role, signal_date, security_id, label_end_date FROM fb",
+)
+add(
+    "v9_purge_gates",
+    lambda s, d: contracts.purge_gaps(assigned(s, d)),
+    f"WITH {_FOLD}, gg AS (SELECT fold, max(label_end_date) FILTER (role = 'train') AS train_end, min(signal_date) FILTER (role = 'validation') AS validation_start, max(label_end_date) FILTER (role = 'validation') AS validation_end, min(signal_date) FILTER (role = 'test') AS test_start FROM fb GROUP BY fold) SELECT *, train_end < validation_start AND validation_end < test_start AS purged FROM gg",
+)
+add(
+    "v10_fold_years",
+    lambda s, d: assigned(s, d).where("role = 'test'").groupBy("fold").agg(F.countDistinct(F.year("signal_date")).alias("years"), F.countDistinct("signal_date").alias("dates")),
+    f"WITH {_FOLD} SELECT fold, count(DISTINCT year(signal_date)) AS years, count(DISTINCT signal_date) AS dates FROM fb WHERE role = 'test' GROUP BY fold",
+)
 add("m3_m7_ridge_coefficients", ridge_coefficients)
 add("g12_m1_ridge_validation", ridge_validation)
 add("m6_ridge_test_scores", ridge_test)
@@ -370,14 +584,42 @@ def quarterly(s: SparkSession, d: str) -> DataFrame:
     return labels.signal_calendar(P(s, d), "quarter")
 
 
-add("z1_interval_members", on(lambda p: labels.intervals_members(p, p.where("is_member").groupBy("security_id").agg(F.min("trade_date").alias("since"), F.max("trade_date").alias("until"))).select(*labels.KEYS)), f"WITH {sql.P}, sp AS (SELECT security_id, min(trade_date) AS since, max(trade_date) AS until FROM p WHERE is_member GROUP BY security_id) SELECT p.trade_date, p.security_id FROM p JOIN sp USING (security_id) WHERE trade_date >= since AND trade_date < until")
+add(
+    "z1_interval_members",
+    on(lambda p: labels.intervals_members(p, p.where("is_member").groupBy("security_id").agg(F.min("trade_date").alias("since"), F.max("trade_date").alias("until"))).select(*labels.KEYS)),
+    f"WITH {sql.P}, sp AS (SELECT security_id, min(trade_date) AS since, max(trade_date) AS until FROM p WHERE is_member GROUP BY security_id) SELECT p.trade_date, p.security_id FROM p JOIN sp USING (security_id) WHERE trade_date >= since AND trade_date < until",
+)
 add("z2_signal_calendar", quarterly, f"WITH {SIG} SELECT * FROM sg")
-add("z3_period_labels", on(lambda p: labels.weekly_labels(p, labels.signal_calendar(p, "quarter"), sources.benchmark(p))), sql.rounded(SIG, "SELECT signal_date, a.security_id, (z.adjusted_open / a.adjusted_open - 1) - (bz.adjusted_open / ba.adjusted_open - 1) AS target_excess_return FROM sg JOIN p a ON a.trade_date = entry_date JOIN p z ON z.trade_date = exit_date AND z.security_id = a.security_id JOIN b ba ON ba.trade_date = entry_date JOIN b bz ON bz.trade_date = exit_date", ["target_excess_return"]))
-add("z4_z10_as_of", lambda s, d: labels.as_of(research(s, d), quarterly(s, d), "traded_amount", 3).select("signal_date", "security_id", "age"), f"WITH {SIG}, nb AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS n FROM (SELECT DISTINCT trade_date FROM p WHERE is_member)) SELECT signal_date, security_id, CAST(min(s.n - r.n) AS INTEGER) AS age FROM sg JOIN nb s ON s.trade_date = signal_date JOIN (SELECT security_id, n FROM p JOIN nb USING (trade_date) WHERE is_member AND traded_amount IS NOT NULL) r ON r.n BETWEEN s.n - 3 AND s.n GROUP BY ALL")
-add("z5_enough_history", lambda s, d: labels.enough_history(P(s, d)).select(*labels.KEYS), f"WITH {sql.P} SELECT {KEYS} FROM (SELECT *, row_number() OVER {sql.S} AS i FROM p) WHERE i >= 61")
-add("z6_base_adjusted", lambda s, d: labels.base_adjusted(P(s, d)).drop("volume"), sql.rounded(sql.P, f"SELECT {KEYS}, " + ", ".join(f"adjusted_{c} / first_value(adjusted_close) OVER {sql.S} AS {c}" for c in ("open", "high", "low", "close")) + " FROM p", ["open", "high", "low", "close"]))
-add("z9_parity", on(lambda p: labels.parity(p, p.where("is_member").withColumn("vwap", F.col("adjusted_close")), labels.KEYS, "vwap")), f"WITH {sql.P} SELECT count(*) FILTER (is_member) AS both, count(*) FILTER (NOT is_member) AS left_only, CAST(0 AS BIGINT) AS right_only, count(*) FILTER (is_member AND abs(vwap - adjusted_close) > 1e-6) AS apart FROM p")
-add("z8_active_exposure", lambda s, d: portfolio.positions(scored(s, d), 5, 10, 5).where("portfolio = 'top_10'").join(industries(s, d).select(*labels.KEYS, "size", "industry"), labels.KEYS).groupBy("trade_date", "industry").agg(F.sum("weight").alias("weight"), F.sum(F.col("weight") * F.ln("size")).alias("log_size")), sql.rounded(sql.portfolios(5, 10) + IND[len(sql.P):], "SELECT hl.trade_date, industry, CAST(sum(w) AS DOUBLE) AS weight, sum(w * ln(size)) AS log_size FROM hl JOIN ind ON ind.trade_date = hl.trade_date AND ind.security_id = hl.security_id WHERE portfolio = 'top_10' GROUP BY ALL", ["weight", "log_size"]))
+add(
+    "z3_period_labels",
+    on(lambda p: labels.weekly_labels(p, labels.signal_calendar(p, "quarter"), sources.benchmark(p))),
+    sql.rounded(SIG, "SELECT signal_date, a.security_id, (z.adjusted_open / a.adjusted_open - 1) - (bz.adjusted_open / ba.adjusted_open - 1) AS target_excess_return FROM sg JOIN p a ON a.trade_date = entry_date JOIN p z ON z.trade_date = exit_date AND z.security_id = a.security_id JOIN b ba ON ba.trade_date = entry_date JOIN b bz ON bz.trade_date = exit_date", ["target_excess_return"]),
+)
+add(
+    "z4_z10_as_of",
+    lambda s, d: labels.as_of(research(s, d), quarterly(s, d), "traded_amount", 3).select("signal_date", "security_id", "age"),
+    f"WITH {SIG}, nb AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS n FROM (SELECT DISTINCT trade_date FROM p WHERE is_member)) SELECT signal_date, security_id, CAST(min(s.n - r.n) AS INTEGER) AS age FROM sg JOIN nb s ON s.trade_date = signal_date JOIN (SELECT security_id, n FROM p JOIN nb USING (trade_date) WHERE is_member AND traded_amount IS NOT NULL) r ON r.n BETWEEN s.n - 3 AND s.n GROUP BY ALL",
+)
+add(
+    "z5_enough_history",
+    lambda s, d: labels.enough_history(P(s, d)).select(*labels.KEYS),
+    f"WITH {sql.P} SELECT {KEYS} FROM (SELECT *, row_number() OVER {sql.S} AS i FROM p) WHERE i >= 61",
+)
+add(
+    "z6_base_adjusted",
+    lambda s, d: labels.base_adjusted(P(s, d)).drop("volume"),
+    sql.rounded(sql.P, f"SELECT {KEYS}, " + ", ".join(f"adjusted_{c} / first_value(adjusted_close) OVER {sql.S} AS {c}" for c in ("open", "high", "low", "close")) + " FROM p", ["open", "high", "low", "close"]),
+)
+add(
+    "z9_parity",
+    on(lambda p: labels.parity(p, p.where("is_member").withColumn("vwap", F.col("adjusted_close")), labels.KEYS, "vwap")),
+    f"WITH {sql.P} SELECT count(*) FILTER (is_member) AS both, count(*) FILTER (NOT is_member) AS left_only, CAST(0 AS BIGINT) AS right_only, count(*) FILTER (is_member AND abs(vwap - adjusted_close) > 1e-6) AS apart FROM p",
+)
+add(
+    "z8_active_exposure",
+    lambda s, d: portfolio.positions(scored(s, d), 5, 10, 5).where("portfolio = 'top_10'").join(industries(s, d).select(*labels.KEYS, "size", "industry"), labels.KEYS).groupBy("trade_date", "industry").agg(F.sum("weight").alias("weight"), F.sum(F.col("weight") * F.ln("size")).alias("log_size")),
+    sql.rounded(sql.portfolios(5, 10) + IND[len(sql.P):], "SELECT hl.trade_date, industry, CAST(sum(w) AS DOUBLE) AS weight, sum(w * ln(size)) AS log_size FROM hl JOIN ind ON ind.trade_date = hl.trade_date AND ind.security_id = hl.security_id WHERE portfolio = 'top_10' GROUP BY ALL", ["weight", "log_size"]),
+)
 
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
