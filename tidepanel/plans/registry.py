@@ -203,7 +203,7 @@ add(
 )
 for k, fam in enumerate(rolling.FAMILIES):
     add(f"r{k + 1}_{fam}", lambda s, d, fam=fam: rolling.rolling_features(P(s, d), [fam]), sql.rolling(fam))
-add("r_all_158_features", lambda s, d: rolling.all_features(P(s, d)), sql.all_features([*rolling.candles()], list(rolling.FAMILIES)))
+add("r_all_158_features", lambda s, d: rolling.all_features(P(s, d)), sql.all_features([*sql.CANDLES], list(rolling.FAMILIES)))
 add(
     "c19_canonical_json",
     lambda s, d: sources.scan(s, f"{d}/nation.parquet").select("n_nationkey", F.to_json(F.struct("n_name", "n_nationkey", "n_regionkey")).alias("j")),
@@ -227,7 +227,7 @@ def _all_features(s: SparkSession, d: str) -> DataFrame:
     return written(rolling.all_features(P(s, d)), "features")
 
 
-ALL = [*rolling.candles(), *(f"{f}{w}" for f in rolling.FAMILIES for w in rolling.WINDOWS)]
+ALL = [*sql.CANDLES, *(f"{f}{w}" for f in rolling.FAMILIES for w in rolling.WINDOWS)]
 add("x1_preprocess", lambda s, d: cross_section.preprocess(_all_features(s, d), ALL), sql.preprocessed(ALL))
 add(
     "x2_quality",
