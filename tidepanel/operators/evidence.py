@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepanel.functions.core import sdiv
+from tidepanel.functions.core import clean, sdiv
 
 
 @F.pandas_udf(T.DoubleType())
@@ -128,6 +128,14 @@ def data_quality(panel: DataFrame, date: str = "trade_date") -> DataFrame:
     return panel.agg(*(x.cast("long").alias(n) for n, x in checks.items())).unpivot([], list(checks), "metric", "value")
 
 
+def run_quality(panel: DataFrame, horizons: tuple[int, ...], date: str = "trade_date") -> DataFrame:
+    """``metric, value`` of a run's evidence panel: rows, dates, securities, eligibility, finite scores and labels; one scan."""
+    checks = {"panel_rows": F.count("*"), "signal_dates": F.countDistinct(date), "security_ids": F.countDistinct("security_id"), "basic_eligible_rows": F.count_if("basic_eligible"), "tradable_next_open_rows": F.count_if("tradable_next_open")}
+    checks |= {"finite_directed_score_rows": F.count(clean(F.col("directed_score")))}
+    checks |= {f"finite_label_{h}d_rows": F.count(clean(F.col(f"label_excess_o2o_{h}d"))) for h in horizons}
+    return panel.agg(*(x.cast("long").alias(n) for n, x in checks.items())).unpivot([], list(checks), "metric", "value")
+
+
 def cumulative_rank_ic(daily: DataFrame, date: str = "trade_date") -> DataFrame:
     w = Window.partitionBy("eligibility", "horizon_days").orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
     return daily.select(date, "eligibility", "horizon_days", F.sum(F.coalesce("rank_ic", F.lit(0.0))).over(w).alias("cumulative_rank_ic"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.core import rounded, sdiv
 from tidepanel.operators import contracts, cross_section, evidence, factors, labels, models, portfolio, rolling
+from tidepanel.plans import single_factor
 from tidepanel.plans import sqltext as sql
 from tidepanel.sources import panel as sources
 from tidepanel.sources.sinks import written
@@ -460,6 +461,26 @@ add(
     sql.scoreboard(HORIZONS, 10, portfolio.PERIODS),
 )
 
+
+def single_run(s: SparkSession, d: str) -> single_factor.Run:
+    """A whole run of REV5 over the derived panel; its dates enclose all of the tables'."""
+    p = base(s, d)
+    inputs = single_factor.Inputs(p, sources.membership(p), sources.tradability(p), sources.benchmark(p))
+    profile = single_factor.Profile("1995-01-01", "2001-12-31", HORIZONS, top_k=10, locked_years=(1996, 1997, 1998, 1999, 2000), least=30)
+    return single_factor.single_factor(inputs, "REV5", profile, "run", "2002-01-01T00:00:00Z")
+
+
+add(
+    "g22_g23_run_manifest",
+    lambda s, d: single_run(s, d).manifest.select("factor_id", "run_id", "run_type", "decision", "n_daily_rows"),
+    f"SELECT 'REV5' AS factor_id, 'run' AS run_id, 'experimental' AS run_type, decision, (SELECT count(*) FROM (SELECT DISTINCT l_suppkey, date_trunc('month', l_shipdate) FROM lineitem)) AS n_daily_rows FROM ({sql.decision(1996, 2000, 30)})",
+)
+add(
+    "g14_run_quality",
+    lambda s, d: single_run(s, d).tables["data_quality"],
+    f"WITH {sql.EVAL} SELECT unnest(['panel_rows', 'signal_dates', 'security_ids', 'basic_eligible_rows', 'tradable_next_open_rows', 'finite_directed_score_rows', 'finite_label_1d_rows', 'finite_label_5d_rows', 'finite_label_20d_rows']) AS metric, unnest([count(*), count(DISTINCT trade_date), count(DISTINCT security_id), count(*) FILTER (basic_eligible), count(*) FILTER (tradable_next_open), count(directed_score), count(label_excess_o2o_1d), count(label_excess_o2o_5d), count(label_excess_o2o_20d)]) AS value FROM ev",
+)
+
 # Models
 FOLDS = [(f"f{y}", y, y + 1, y + 2, y + 3) for y in range(1995, 1999)]
 FEATURES = ["ma5", "ma20", "roc5", "std10", "rsv5"]

@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 from tidepanel.functions.core import sdiv, series
 
 DAILY = T.StructType([T.StructField("trade_date", T.DateType()), T.StructField("security_id", T.StringType()), T.StructField("adjusted_open", T.DoubleType()), T.StructField("adjusted_close", T.DoubleType())])
-REGISTRY = "factor_id string, direction string, required_fields string, formula string, factor_family string, status string, note string"
 
 
 def scan(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -31,6 +30,16 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
+def fingerprint(df: DataFrame) -> DataFrame:
+    """One row ``n, fingerprint``: rows, and the sum of their 64-bit hashes, which no order or partitioning changes.
+
+    Unlike a digest of files it is one distributed scan, whatever their size.
+    """
+    columns = [F.col(f"`{c}`") for c in sorted(df.columns)]
+    row = F.xxhash64(*columns, *(c.isNull() for c in columns)).cast("decimal(20,0)")
+    return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row), F.lit(0)).cast("string").alias("fingerprint"))
+
+
 def derived_panel(lines: DataFrame) -> DataFrame:
     """Monthly panel per supplier from ``lineitem``: one shuffle, partial aggregates, no sort of lines.
 

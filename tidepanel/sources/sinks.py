@@ -7,7 +7,7 @@ import uuid
 from functools import lru_cache
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,19 +44,49 @@ def write_json_stable(df: DataFrame, path: str) -> None:
         raise ContractError(f"{path} holds another audit row")
 
 
-def write_bundle(tables: dict[str, DataFrame], root: str, run_id: str) -> None:
-    """Evidence tables as CSV under ``run_id=``; all are written before the manifest that exposes the run."""
+def write_bundle(tables: dict[str, DataFrame], root: str, run_id: str, manifest: DataFrame | None = None, required: tuple[str, ...] = ()) -> None:
+    """Evidence tables as CSV for one run; each is read back in full before the manifest that exposes the run.
+
+    The tables go to a folder of this attempt, which the manifest names.  An attempt that fails leaves no manifest,
+    so no reader sees it and the next attempt goes through; a run that has a manifest is refused.
+    ``manifest`` is one row of further columns.
+    """
+    if sorted(required or tables) != sorted(tables):
+        raise ContractError(f"artifacts {sorted(tables)} are not the required {sorted(required)}")
     spark = next(iter(tables.values())).sparkSession
+    home, attempt = f"{root}/run_id={run_id}", uuid.uuid4().hex
+    if _existing(spark, f"{home}/manifest", "json") is not None:
+        raise ContractError(f"run {run_id} is published already")
     for name, table in tables.items():
-        table.write.csv(f"{root}/run_id={run_id}/{name}", header=True)
-    spark.createDataFrame([(run_id, sorted(tables))], "run_id string, artifacts array<string>").coalesce(1).write.json(f"{root}/run_id={run_id}/manifest")
+        path, seen = f"{home}/attempt={attempt}/{name}", Observation()
+        table.observe(seen, F.count(F.lit(1)).alias("n")).write.csv(path, header=True)
+        back = spark.read.csv(path, header=True, schema=table.schema, multiLine=True).count()
+        if back != seen.get["n"]:
+            raise ContractError(f"{name} has {back} rows where {seen.get['n']} were written")
+    row = manifest if manifest is not None else spark.range(1).select(F.lit(run_id).alias("run_id"))
+    row = row.withColumns({"artifacts": F.array(*map(F.lit, sorted(tables))), "attempt": F.lit(attempt)})
+    row.coalesce(1).write.json(f"{home}/manifest", ignoreNullFields=False)
+
+
+def read_artifact(spark: SparkSession, root: str, run_id: str, name: str, schema: T.StructType) -> DataFrame:
+    """A table of a published run, by way of its manifest."""
+    found = _existing(spark, f"{root}/run_id={run_id}/manifest", "json")
+    row = found.select("artifacts", "attempt").first() if found is not None else None
+    if row is None or name not in row.artifacts:
+        raise ContractError(f"run {run_id} has not published {name}")
+    return spark.read.csv(f"{root}/run_id={run_id}/attempt={row.attempt}/{name}", header=True, schema=schema, multiLine=True)
+
+
+def refuse_known_runs(rows: DataFrame, path: str, keys: list[str]) -> None:
+    """Refuse rows that repeat a key, among themselves or in the scoreboard."""
+    old = _existing(rows.sparkSession, path)
+    if rows.groupBy(*keys).count().where("count > 1").limit(1).count() or (old is not None and rows.join(old.select(*keys), keys, "left_semi").limit(1).count()):
+        raise ContractError("the scoreboard has this run already")
 
 
 def append_run(rows: DataFrame, path: str, keys: tuple[str, ...] = ("factor_id", "run_id")) -> None:
     """Append to the scoreboard; a (factor, run) that it has is refused."""
-    old = _existing(rows.sparkSession, path)
-    if rows.groupBy(*keys).count().where("count > 1").limit(1).count() or (old is not None and rows.join(old.select(*keys), list(keys), "left_semi").limit(1).count()):
-        raise ContractError("the scoreboard has this run already")
+    refuse_known_runs(rows, path, list(keys))
     rows.write.mode("append").parquet(path)
 
 
