@@ -132,6 +132,18 @@ def test_portfolio_turnover_and_halted_nav(spark):
     assert got["top_bottom", DAY].gross_return == pytest.approx(0.1) and got["top_bottom", DAY].turnover == 1.0
 
 
+def test_active_metrics_by_cost_and_year(spark):
+    table = portfolio.simulate(book(spark, [[0.1, 0.2], [0.1, None], [0.1, 0.3]]), 1, 1, 2, 10.0)[0].withColumn("trade_date", F.when(F.col("trade_date") == days(3)[2], dt.date(2025, 1, 1)).otherwise(F.col("trade_date")))
+    got = {(r.cost_bps, r.year): r for r in portfolio.active_metrics(table, 1).where("portfolio = 'top_1'").collect()}
+    assert set(got) == {(c, y) for c in (0.0, 10.0, 20.0) for y in (None, 2024, 2025)}
+    r = np.array([0.2 - 0.5 * 0.002, 0.3])  # the second date cannot be evaluated; the name held does not change
+    assert got[20.0, None].n_periods == 2 and got[20.0, None].annualized_excess_return == pytest.approx(r.mean() * 252)
+    assert got[20.0, None].information_ratio == pytest.approx(r.mean() / r.std(ddof=1) * math.sqrt(252)) and got[20.0, 2024].information_ratio is None
+    assert got[20.0, None].compounded_return == pytest.approx(1.199 * 1.3 - 1) and got[10.0, 2024].trading_cost == pytest.approx(0.0005) and got[0.0, 2025].compounded_return == pytest.approx(0.3)
+    with pytest.raises(contracts.ContractError):
+        portfolio.active_metrics(table, 1, (-1.0,))
+
+
 def test_too_few_names_leave_a_placeholder(spark):
     table, summary = portfolio.simulate(book(spark, [[0.1]]), 1, 2, 2, 10.0)
     assert {(r.portfolio, r.n_names, r.is_evaluable, r.turnover) for r in table.collect()} == {(x, 0, False, 0.0) for x in ("Q1", "Q2", "top_2", "top_bottom")}

@@ -126,6 +126,24 @@ def summarize(table: DataFrame, h: int, date: str = "trade_date") -> DataFrame:
     )
 
 
+def active_metrics(table: DataFrame, h: int, scenarios: tuple[float, ...] = (0.0, 10.0, 20.0), date: str = "trade_date") -> DataFrame:
+    """Per portfolio and one-way cost, over the full sample (``year`` NULL) and each year, in one pass.
+
+    Period returns are means of labels in excess of the benchmark, so their mean is the excess return and their ratio to
+    the deviation the information ratio.  Periods that cannot be evaluated take no part; one period alone has no ratio.
+    """
+    ppy = float(PERIODS[h])
+    for bps in scenarios:
+        net_return(F.lit(0.0), F.lit(0.0), bps)
+    known = table.where("is_evaluable").withColumn("year", F.year(date)).withColumn("cost_bps", F.explode(F.array(*map(F.lit, scenarios))))
+    rows = known.withColumn("_cost", F.col("turnover") * F.col("cost_bps") / 10_000.0).withColumn("_r", F.col("gross_return") - F.col("_cost"))
+    by = ["portfolio", "cost_bps"]
+    return rows.groupingSets([[*map(F.col, by)], [*map(F.col, by), F.col("year")]], *by, "year").agg(
+        F.count("*").alias("n_periods"), (F.avg("_r") * ppy).alias("annualized_excess_return"), (sdiv(F.avg("_r"), F.stddev_samp("_r")) * F.sqrt(F.lit(ppy))).alias("information_ratio"),
+        (F.product(1 + F.col("_r")) - 1).alias("compounded_return"), F.sum("_cost").alias("trading_cost"), F.avg("turnover").alias("mean_turnover"),
+    )
+
+
 def simulate(panel: DataFrame, h: int, top_k: int, q: int = 5, bps: float = 10.0, date: str = "trade_date") -> tuple[DataFrame, DataFrame]:
     """Periods with NAV, and their summary."""
     table = with_nav(periods(panel, h, top_k, q, bps, date), date)

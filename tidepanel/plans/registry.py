@@ -642,6 +642,18 @@ add(
     sql.rounded(sql.portfolios(5, 10) + IND[len(sql.P):], "SELECT hl.trade_date, industry, CAST(sum(w) AS DOUBLE) AS weight, sum(w * ln(size)) AS log_size FROM hl JOIN ind ON ind.trade_date = hl.trade_date AND ind.security_id = hl.security_id WHERE portfolio = 'top_10' GROUP BY ALL", ["weight", "log_size"]),
 )
 
+ACTIVE = ["annualized_excess_return", "information_ratio", "log_compounded_return", "trading_cost", "mean_turnover"]
+add(
+    "z8_active_metrics",
+    lambda s, d: portfolio.active_metrics(simulated(s, d, 1)[0], 1).withColumn("log_compounded_return", F.when(F.col("compounded_return") > -1, F.log1p("compounded_return"))).drop("compounded_return"),
+    sql.rounded(
+        sql.portfolios(1, 10) + """,
+az AS (SELECT portfolio, CAST(year(trade_date) AS INTEGER) AS year, CAST(c AS DOUBLE) AS cost_bps, turnover, turnover * c / 10000.0 AS cost, gross_return - turnover * c / 10000.0 AS r FROM nav, (SELECT unnest([0, 10, 20]) AS c) WHERE is_evaluable)""",
+        f"SELECT portfolio, cost_bps, year, count(*) AS n_periods, avg(r) * {portfolio.PERIODS[1]} AS annualized_excess_return, avg(r) / nullif(stddev_samp(r), 0) * sqrt({portfolio.PERIODS[1]}) AS information_ratio, CASE WHEN product(1 + r) > 0 THEN ln(product(1 + r)) END AS log_compounded_return, sum(cost) AS trading_cost, CAST(avg(turnover) AS DOUBLE) AS mean_turnover FROM az GROUP BY GROUPING SETS ((portfolio, cost_bps), (portfolio, cost_bps, year))",
+        ACTIVE,
+    ),
+)
+
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """Mean rank IC of 5-session reversal per horizon and eligibility, with its robust test."""
