@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import language, licenses, mixing, secrets, urlfilter
+from tidepanel.llm import language, licenses, mixing, secrets, spelling, urlfilter, vectorcodes
 from tidepanel.llm.kdtree import top_k
 from tidepanel.llm.near_dup import NearDup, near_duplicates
 from tidepanel.llm.positional import contaminated, contamination
@@ -109,8 +109,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of at least 7 letters and 2 occurrences, each with its form and root; null and empty texts have none, repeated rows count each."""
+    return spelling.group_variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A code per usable vector; null, holed and non-finite vectors are left out, no vectors give no rows."""
+    codes, books = vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_top_k, op2_licenses, op2_license_blocks, op3_secrets, op4_url_filter, op5_language, op6_substring_dedup, op7_near_dup, op8_decontamination, op9_token_counts, op10_mixing)}
+    return {f.__name__: f for f in (op1_top_k, op2_licenses, op2_license_blocks, op3_secrets, op4_url_filter, op5_language, op6_substring_dedup, op7_near_dup, op8_decontamination, op9_token_counts, op10_mixing, op11_spelling, op13_vector_codes)}
 
 
 OP2 = r"""
