@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import language, licenses, mixing, secrets, spelling, urlfilter, vectorcodes
+from tidepanel.llm import language, licenses, mixing, quality, secrets, spelling, urlfilter, vectorcodes
 from tidepanel.llm.kdtree import top_k
 from tidepanel.llm.near_dup import NearDup, near_duplicates
 from tidepanel.llm.positional import contaminated, contamination
@@ -114,6 +114,12 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document, learned from trusted labels of rows that are not held out; null and empty texts are scored too."""
+    found, _ = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A code per usable vector; null, holed and non-finite vectors are left out, no vectors give no rows."""
     codes, books = vectorcodes.compress(table(spark, sf_dir, "embeddings"))
@@ -121,7 +127,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_top_k, op2_licenses, op2_license_blocks, op3_secrets, op4_url_filter, op5_language, op6_substring_dedup, op7_near_dup, op8_decontamination, op9_token_counts, op10_mixing, op11_spelling, op13_vector_codes)}
+    return {f.__name__: f for f in (op1_top_k, op2_licenses, op2_license_blocks, op3_secrets, op4_url_filter, op5_language, op6_substring_dedup, op7_near_dup, op8_decontamination, op9_token_counts, op10_mixing, op11_spelling, op12_quality, op13_vector_codes)}
 
 
 OP2 = r"""
