@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import language, licenses, mixing, quality, secrets, spelling, urlfilter, vectorcodes
+from tidepanel.llm import language, licenses, mixing, quality, secrets, spelling, twins, urlfilter, vectorcodes
 from tidepanel.llm.kdtree import top_k
 from tidepanel.llm.near_dup import NearDup, near_duplicates
 from tidepanel.llm.positional import contaminated, contamination
@@ -178,4 +178,5 @@ def oracle_sql() -> dict[str, str]:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     known = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, texts in licenses.KNOWN.items() for text in texts)
     digests = ", ".join(f"('{name}', '{x}')" for name, values in licenses.DIGESTS.items() for x in values)
-    return {"op2_licenses": OP2.replace("{known}", known).replace("{digests}", digests).replace("{c_text}", _canonical_sql("text")), "op4_url_filter": OP4, "op10_mixing": mixing.ORACLE}
+    found = {"op11_spelling": twins.OP11, "op13_vector_codes": twins.vector_codes()}
+    return found | {"op2_licenses": OP2.replace("{known}", known).replace("{digests}", digests).replace("{c_text}", _canonical_sql("text")), "op4_url_filter": OP4, "op10_mixing": mixing.ORACLE}

@@ -49,7 +49,7 @@ def integers(vector: Column, scale: int) -> Column:
 
 def _first_change(rows: np.ndarray) -> np.ndarray:
     """For each of the sorted distinct rows the first component that differs from the row before; 0 for the first."""
-    return np.concatenate([[0], (rows[1:] != rows[:-1]).argmax(1)]) if len(rows) else np.zeros(0, np.int64)
+    return np.concatenate([np.zeros(min(1, len(rows)), np.int64), (rows[1:] != rows[:-1]).argmax(1)])
 
 
 def nearest(rows: np.ndarray, book: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -60,8 +60,10 @@ def nearest(rows: np.ndarray, book: np.ndarray, block: int = BLOCK) -> tuple[np.
     """
     n, depth = rows.shape
     entry, error = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    if not depth:
+        return entry, error
     most = int(max(np.abs(rows).max(initial=0), np.abs(book).max(initial=0)))
-    kind = np.float64 if max(1, depth) * (2 * most) ** 2 < 1 << 53 else np.int64  # both exact
+    kind = np.float64 if depth * (2 * most) ** 2 < 1 << 53 else np.int64  # both exact
     rows, book, fresh = rows.astype(kind), np.ascontiguousarray(book.T.astype(kind)), _first_change(rows)
     # a frame: depth, first rows of its nodes, row after the last, sums of the nodes one depth above, each node's parent
     stack = [(0, np.zeros(min(n, 1), np.int64), n, np.zeros((1, book.shape[1]), kind), np.zeros(min(n, 1), np.int64))]
