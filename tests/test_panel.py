@@ -231,22 +231,33 @@ def test_ridge_matches_the_closed_form(spark):
     assert [got[1.0, "a"], got[1.0, "b"]] == pytest.approx(list(beta))
 
 
-def test_boosted_trees_run_every_fold_and_score_its_test_rows(spark):
-    from tidepanel.operators import models
-    from tidepanel.plans import registry
+def test_tree_track_searches_all_candidates_and_scores_test_rows_once(spark, small):
+    from tidepanel.operators import models, trees
+    from tidepanel.plans import registry, tree_track
 
-    d = "/root/testdata/sf0.01"
     names = {f[0] for f in registry.FOLDS}
-    rounds = registry._rounds(registry._fold_rows(spark, d)).collect()
-    assert {(r.fold, r.iteration) for r in rounds} == {(f, k) for f in names for k in range(1, 21)} and len(rounds) == 80
-    scores = registry.boosted_test(spark, d).localCheckpoint()
-    keys = ["fold", "signal_date", "security_id"]
-    test = registry.modelled(spark, d, registry.FEATURES).where("role = 'test'").select(*keys)
-    assert scores.where("score is not null").count() == test.count() and scores.select(*keys).exceptAll(test).isEmpty()
-    best = {f: min((-r.mean_rank_ic, r.iteration) for r in rounds if r.fold == f)[1] for f in names}
-    assert {(r.fold, r.iteration) for r in scores.select("fold", "iteration").distinct().collect()} == set(best.items())
-    tied = spark.createDataFrame([("a", 1, 0.1), ("a", 2, 0.3), ("a", 3, 0.3), ("b", 1, None), ("b", 2, None)], "fold string, iteration int, mean_rank_ic double")
-    assert {(r.fold, r.iteration) for r in models.best_iterations(tied).collect()} == {("a", 2), ("b", 2)}
+    found = registry.candidate_search(spark, small).collect()
+    assert {(r.fold, r.candidate_id) for r in found} == {(f, k) for f in names for k in range(16)} and len(found) == 64
+    assert len({(r.num_leaves, r.learning_rate, r.min_data_in_leaf, r.lambda_l2) for r in found}) == 16
+    chosen = {r.fold: r for r in found if r.chosen}
+    assert set(chosen) == names
+    for r in found:  # min_data 300 leaves a single leaf on so few rows, which has no rank IC
+        best = chosen[r.fold]
+        assert r.mean_rank_ic is None or (r.mean_rank_ic, r.rank_icir) <= (best.mean_rank_ic, best.rank_icir)
+    n = len(tree_track._FITTED)
+    scores = registry.chosen_test(spark, small).collect()
+    assert len(tree_track._FITTED) == n  # fitted once
+    keys = {(r.fold, r.signal_date, r.security_id) for r in scores}
+    test = {tuple(r) for r in registry.assigned(spark, small).where("role = 'test'").select("fold", "signal_date", "security_id").collect()}
+    assert len(scores) == len(keys) and keys == test
+    assert all(r.score is not None and (r.candidate_id, r.best_iteration) == (chosen[r.fold].candidate_id, chosen[r.fold].best_iteration) for r in scores)
+    shares = registry.split_counts(spark, small).collect()
+    assert len(shares) == 4 * 158 and all((r.split_importance > 0) == (r.gain_importance > 0) for r in shares)
+    tied = spark.createDataFrame([("a", 0, 1, 0.1), ("a", 0, 2, 0.3), ("a", 0, 3, 0.3), ("b", 0, 1, None), ("b", 0, 2, None)], "fold string, candidate_id int, iteration int, mean_rank_ic double")
+    assert {(r.fold, r.best_iteration) for r in trees.best_rounds(tied).collect()} == {("a", 2), ("b", 2)}
+    rows = spark.createDataFrame([("f", "train", "d1"), ("f", "train", "d1"), ("f", "train", "d2"), ("g", "train", "d1"), ("f", "test", "d1")], "fold string, role string, signal_date string")
+    assert sorted(map(tuple, tree_track.date_weights(rows).collect())) == [("f", "test", "d1", 1.0), ("f", "train", "d1", 0.75), ("f", "train", "d1", 0.75), ("f", "train", "d2", 1.5), ("g", "train", "d1", 1.0)]
+    assert set(models.TRANSFER) <= set(trees.DEFAULTS)
 
 
 def test_contracts(spark):
@@ -364,7 +375,6 @@ def test_candidates(spark):
         pair = spark.createDataFrame([base, {**base, "candidate_id": 9, **better}])
         best = models.best_tree_candidates(pair).first()
         assert all(best[k] == v for k, v in better.items())
-    assert models.transfer_candidate(spark).count() == 1
     ties = spark.createDataFrame([("f", 1.0, 0.1, 0.5), ("f", 10.0, 0.1, 0.5), ("f", 0.1, 0.1, 0.4), ("g", 1.0, 0.2, 0.1)], "fold string, alpha double, mean_rank_ic double, rank_icir double")
     assert {(r.fold, r.alpha) for r in evidence.best_candidates(ties).collect()} == {("f", 10.0), ("g", 1.0)}
     bad = spark.createDataFrame([("f", 1.0, 1.0, 0.0)], "fold string, a double, y double, w double")

@@ -1,22 +1,18 @@
-"""Purged rolling-fold models on Spark ML: pooled weighted Ridge and boosted trees."""
+"""Purged rolling-fold models: pooled weighted Ridge, parameter grids and the choice among tree candidates (grown in ``trees``)."""
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepanel.operators.contracts import ContractError
-from tidepanel.operators.cross_section import rank_ic
 
 #: The Ridge penalties tried.
 ALPHAS = (0.1, 1.0, 10.0, 100.0)
@@ -76,13 +72,8 @@ def predict_linear(rows: DataFrame, coefficients: DataFrame, features: list[str]
     return rows.join(F.broadcast(wide), by).select(*rows.columns, "alpha", score.alias("score"))
 
 
-#: The parameter set that is carried over unchanged, as one candidate.
-TRANSFER = {"loss": "mse", "colsample_bytree": 0.8879, "learning_rate": 0.2, "subsample": 0.8789, "lambda_l1": 205.6999, "lambda_l2": 580.9768, "max_depth": 8, "num_leaves": 210}
-
-
-def transfer_candidate(spark: SparkSession) -> DataFrame:
-    """The carried-over set as a table of one candidate; Spark's trees take its depth, step and row share, and have no counterpart for the rest."""
-    return spark.createDataFrame([(0, TRANSFER["max_depth"], TRANSFER["learning_rate"], TRANSFER["subsample"])], "candidate_id int, depth int, step double, share double")
+#: The parameter set that is carried over unchanged, as one candidate; losses are squared.
+TRANSFER = {"feature_fraction": 0.8879, "learning_rate": 0.2, "bagging_fraction": 0.8789, "lambda_l1": 205.6999, "lambda_l2": 580.9768, "max_depth": 8, "num_leaves": 210, "seed": 42}
 
 
 def best_tree_candidates(candidates: DataFrame, by: str = "fold") -> DataFrame:
@@ -97,47 +88,3 @@ def candidate_grid(spark: SparkSession, grid: dict[str, list]) -> DataFrame:
     """All combinations of a parameter grid, numbered in order as ``candidate_id``; its size is the product of the lists given."""
     rows = [(k, *values) for k, values in enumerate(itertools.product(*grid.values()))]
     return spark.createDataFrame(rows, ["candidate_id", *grid])
-
-
-def boosted_trees(train: DataFrame, validation: DataFrame, features: list[str], label: str, weight: str, date: str, rounds: int = 20, depth: int = 4, step: float = 0.1, seed: int = 7):
-    """Boosted trees stopped at the iteration of highest mean validation rank IC: model, and IC per iteration.
-
-    Spark's trees have no leaf count or leaf penalty, so results differ from leaf-wise libraries.
-    """
-    pack = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
-    trees = GBTRegressor(featuresCol="_x", labelCol=label, weightCol=weight, maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed, subsamplingRate=0.8)
-    model = trees.fit(pack.transform(train))
-    scored = pack.transform(validation)
-    total = F.lit(0.0)
-    for k, (tree, w) in enumerate(zip(model.trees, model.treeWeights, strict=True)):
-        tree.setPredictionCol(f"_p{k}").setFeaturesCol("_x")
-        scored = tree.transform(scored).drop(f"_{k}")
-        total = total + F.col(f"_p{k}") * w
-        scored = scored.withColumn(f"_s{k}", total)
-    names = [f"_s{k}" for k in range(len(model.trees))]
-    long = scored.select(date, label, *names).unpivot([date, label], names, "iteration", "score")
-    ics = rank_ic(long.withColumn("iteration", F.substring("iteration", 3, 9).cast("int") + 1), "score", label, date, "iteration")
-    return model, ics.groupBy("iteration").agg(F.avg("rank_ic").alias("mean_rank_ic"))
-
-
-def refit_scores(train: DataFrame, test: DataFrame, features: list[str], label: str, weight: str, iterations: int, depth: int = 4, step: float = 0.1, seed: int = 7) -> DataFrame:
-    """``test`` with ``score``, by trees fitted anew on ``train`` alone for a fixed number of iterations."""
-    pack = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
-    trees = GBTRegressor(featuresCol="_x", labelCol=label, weightCol=weight, predictionCol="score", maxIter=iterations, maxDepth=depth, stepSize=step, seed=seed, subsamplingRate=0.8)
-    return trees.fit(pack.transform(train)).transform(pack.transform(test)).drop("_x")
-
-
-def best_iterations(rounds: DataFrame, fold: str = "fold") -> DataFrame:
-    """Per fold the iteration of highest mean validation rank IC, the earliest of equals; without a known IC the last."""
-    order = Window.partitionBy(fold).orderBy(F.desc_nulls_last("mean_rank_ic"), F.when(F.col("mean_rank_ic").isNull(), -F.col("iteration")).otherwise(F.col("iteration")))
-    return rounds.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
-
-
-def importances(spark: SparkSession, model, features: list[str]) -> DataFrame:
-    """``feature, gain, splits``."""
-    splits = dict.fromkeys(range(len(features)), 0)
-    for tree in model.trees:
-        for line in tree.toDebugString.splitlines():
-            if "If (feature " in line:
-                splits[int(line.split("feature ")[1].split()[0])] += 1
-    return spark.createDataFrame([(f, float(model.featureImportances[k]), splits[k]) for k, f in enumerate(features)], "feature string, gain double, splits int")

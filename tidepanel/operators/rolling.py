@@ -174,6 +174,11 @@ def rolling_features(panel: DataFrame, families: list[str] | None = None, window
     return rows.select(*keys, *(clean(F.col(n)).alias(n) for n in made))
 
 
+def feature_names() -> list[str]:
+    """The 158 features in catalog order."""
+    return [*candles(), *(f"{f}{d}" for f in FAMILIES for d in WINDOWS)]
+
+
 def all_features(panel: DataFrame) -> DataFrame:
     """The whole set: 13 row ratios and 145 rolling features, with one shuffle by security."""
     ratios = {n: clean(x) for n, x in candles().items()}

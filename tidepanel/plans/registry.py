@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.core import rounded, sdiv
-from tidepanel.operators import contracts, cross_section, evidence, factors, labels, models, portfolio, rolling
-from tidepanel.plans import single_factor
+from tidepanel.operators import contracts, cross_section, evidence, factors, labels, models, portfolio, rolling, trees
+from tidepanel.plans import single_factor, tree_track
 from tidepanel.plans import sqltext as sql
 from tidepanel.sources import panel as sources
 from tidepanel.sources.sinks import written
@@ -543,36 +543,58 @@ def ridge_test(s: SparkSession, d: str) -> DataFrame:
     return cross_section.neutralize(found, "score", date="signal_date").select("fold", "signal_date", "security_id", "alpha", "y", "score", "neutral_score")
 
 
-def _fold_rows(s: SparkSession, d: str) -> DataFrame:
-    return written(modelled(s, d, FEATURES).withColumn("w", F.lit(1.0)), "folds")
+def _tree_rows(s: SparkSession, d: str, z_labels: bool = False) -> DataFrame:
+    """Fold rows with a byte per feature; ``z_labels``: train labels as z-scores of their date."""
+    p = base(s, d)
+    rows = labels.forward_labels(research_of(p), sources.benchmark(p), (1,)).select(F.col("trade_date").alias("signal_date"), "security_id", F.col("label_end_date_1d").alias("label_end_date"), F.col("label_excess_o2o_1d").alias("y")).where("y is not null")
+    rows = labels.fold_assignments(rows, folds(s))
+    if z_labels:
+        train = cross_section.zscore_label(rows.where("role = 'train'").withColumn("_k", F.struct("fold", "signal_date")), "y", "_k").withColumn("y", F.col("label_z")).drop("_k", "label_z")
+        rows = train.where("y is not null").unionByName(rows.where("role <> 'train'"))
+    return written(tree_track.fold_rows(p, rows), "fold-rows")
 
 
-def _rounds(rows: DataFrame) -> DataFrame:
-    out = None
-    for name in sorted(f[0] for f in FOLDS):
-        own = rows.where(F.col("fold") == name)
-        train, validation = own.where("role = 'train'"), own.where("role = 'validation'")
-        if train.isEmpty() or validation.isEmpty():  # a fold outside the table's years
-            continue
-        ics = models.boosted_trees(train, validation, FEATURES, "y", "w", "signal_date")[1].select(F.lit(name).alias("fold"), "iteration", "mean_rank_ic")
-        out = ics if out is None else out.unionByName(ics)
-    return rows.sparkSession.createDataFrame([], "fold string, iteration int, mean_rank_ic double") if out is None else out
+def boosted(s: SparkSession, d: str) -> DataFrame:
+    """Validation rank IC of every fold and round, by one candidate on all features."""
+    return tree_track.fitted(s, d, _tree_rows(s, d), [tree_track.SINGLE]).rounds.select("fold", "iteration", "mean_rank_ic", "rank_icir", "n")
 
 
-def boosted(s: SparkSession, d: str) -> DataFrame:
-    """Validation rank IC of every fold and round."""
-    return _rounds(_fold_rows(s, d))
+def _single_scores(rows: DataFrame, found: trees.Fitted) -> DataFrame:
+    best = trees.best_rounds(found.rounds)
+    scores = tree_track.scored(rows, trees.upto(found.trees, best)).join(F.broadcast(best.select("fold", F.col("best_iteration").alias("iteration"))), "fold")
+    return scores.select("fold", "signal_date", "security_id", "iteration", "y", "score")
 
 
 def boosted_test(s: SparkSession, d: str) -> DataFrame:
-    """Test rows of each fold scored once, by trees refitted for the iterations that validation chose."""
-    rows = _fold_rows(s, d)
-    out = rows.where("false").select("fold", "signal_date", "security_id", F.lit(0).alias("iteration"), "y", F.lit(0.0).alias("score"))
-    for name, best in sorted((r.fold, r.iteration) for r in models.best_iterations(_rounds(rows)).collect()):
-        own = rows.where(F.col("fold") == name)
-        found = models.refit_scores(own.where("role = 'train'"), own.where("role = 'test'"), FEATURES, "y", "w", best)
-        out = out.unionByName(found.select("fold", "signal_date", "security_id", F.lit(best).alias("iteration"), "y", "score"))
-    return out
+    """Test rows of each fold scored once, by the trees of the rounds that validation chose."""
+    rows = _tree_rows(s, d)
+    return _single_scores(rows, tree_track.fitted(s, d, rows, [tree_track.SINGLE]))
+
+
+def transfer_test(s: SparkSession, d: str) -> DataFrame:
+    """The carried-over parameter set, trained on labels standardised per date; rounds chosen on validation, test rows scored once."""
+    rows = _tree_rows(s, d, z_labels=True)
+    return _single_scores(rows, tree_track.fitted(s, d, rows, [models.TRANSFER]))
+
+
+def candidate_search(s: SparkSession, d: str) -> DataFrame:
+    """Every candidate of the grid for every fold, and the choice of each fold."""
+    return tree_track.candidates(s, d, _tree_rows(s, d))
+
+
+def chosen_test(s: SparkSession, d: str) -> DataFrame:
+    """Test rows scored once by each fold's chosen candidate, raw and neutralized."""
+    rows = _tree_rows(s, d)
+    picked, nodes = tree_track.chosen_trees(s, d, rows)
+    found = tree_track.scored(rows, nodes).join(F.broadcast(picked.select("fold", "candidate_id", "best_iteration")), "fold")
+    sizes = industries(s, d).select(F.col("trade_date").alias("signal_date"), "security_id", "size", "industry")
+    found = found.join(sizes, ["signal_date", "security_id"], "left").withColumn("day", F.struct("fold", "signal_date"))
+    return cross_section.neutralize(found, "score", date="day").select("fold", "signal_date", "security_id", "candidate_id", "best_iteration", "y", "score", "neutral_score")
+
+
+def split_counts(s: SparkSession, d: str) -> DataFrame:
+    """Gain and split importances of each fold's chosen candidate, for all features."""
+    return trees.importances(tree_track.chosen_trees(s, d, _tree_rows(s, d))[1], ALL)
 
 
 _FOLD = sql.RP + sql.labels((1,)) + ",\nfs AS (SELECT 'f' || y AS fold, y AS a, y + 1 AS z, y + 2 AS v, y + 3 AS t FROM range(1995, 1999) t(y)),\nfa AS (SELECT fold, trade_date AS signal_date, security_id, label_end_date_1d AS label_end_date, CASE WHEN year(trade_date) BETWEEN a AND z THEN 'train' WHEN year(trade_date) = v THEN 'validation' WHEN year(trade_date) = t THEN 'test' END AS role, v, t FROM lab JOIN fs ON year(trade_date) BETWEEN a AND t WHERE label_excess_o2o_1d IS NOT NULL),\nfb AS (SELECT * FROM fa WHERE (role = 'train' AND year(label_end_date) < v) OR (role = 'validation' AND year(label_end_date) < t) OR role = 'test')"
@@ -596,6 +618,10 @@ add("g12_m1_ridge_validation", ridge_validation)
 add("m6_ridge_test_scores", ridge_test)
 add("m4_boosted_tree_rounds", boosted)
 add("m5_boosted_test_scores", boosted_test)
+add("m2_g13_candidate_search", candidate_search)
+add("m6_tree_test_scores", chosen_test)
+add("m7_tree_importances", split_counts)
+add("m8_transfer_test_scores", transfer_test)
 
 # Specified operators
 SIG = sql.B + ", ss AS (SELECT trade_date, lead(trade_date) OVER (ORDER BY trade_date) AS entry_date FROM b), sg AS (SELECT signal_date, entry_date, lead(entry_date) OVER (ORDER BY signal_date) AS exit_date FROM (SELECT max(trade_date) AS signal_date, arg_max_null(entry_date, trade_date) AS entry_date FROM ss GROUP BY date_trunc('quarter', trade_date)))"
