@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.operators import contracts, cross_section, evidence, factors, labels
 from tidepanel.plans import single_factor
-from tidepanel.sources import panel, sinks
+from tidepanel.sources import audit, panel, sinks
 
 PROFILE = single_factor.Profile("1997-01-01", "1998-12-31", (1, 5), top_k=5, locked_years=(1997, 1998), least=5)
 LAST = "1998-12-31"
@@ -46,19 +46,20 @@ def test_run_is_published_once_and_readable(spark, inputs, tmp_path):
     run = single_factor.single_factor(inputs, "REV5", PROFILE, "r1", "2024-01-01T00:00:00Z", baseline=PROFILE)
     root, board = f"{tmp_path}/runs", f"{tmp_path}/board"
     single_factor.publish(run, root, board)
-    row = spark.read.json(f"{root}/run_id=r1/manifest").first()
+    row = spark.read.json(f"{root}/factor_id=REV5/run_id=r1/manifest").first()
     assert row.artifacts == sorted(single_factor.ARTIFACTS) and row.run_type == "formal" and row.factor_id == "REV5"
     assert row.registry.direction == factors.lookup("REV5").direction and row.date_range.start == "1997-01-01"
     assert row.n_daily_rows == inputs.daily.count() and set(row.inputs.asDict()) == {"daily", "members", "tradable", "bench"}
     for name, table in run.tables.items():
-        assert sinks.read_artifact(spark, root, "r1", name, table.schema).count() == table.count()
+        assert sinks.read_artifact(spark, f"{root}/factor_id=REV5", "r1", name, table.schema).count() == table.count()
     latest = evidence.latest_runs(spark.read.parquet(board)).first()
     daily = run.tables["ic_daily"].where("eligibility = 'basic' and horizon_days = 5").agg(F.avg("rank_ic")).first()[0]
     assert latest.run_id == "r1" and latest.decision == row.decision and latest.mean_rank_ic_5d == pytest.approx(daily)
     with pytest.raises(contracts.ContractError):
         single_factor.publish(run, root, board)
     with pytest.raises(contracts.ContractError):
-        sinks.write_bundle(run.tables, root, "r1")
+        sinks.write_bundle(run.tables, f"{root}/factor_id=REV5", "r1")
+    audit.require_complete(spark, root, single_factor.ARTIFACTS)
     assert spark.read.parquet(board).count() == 1
 
 

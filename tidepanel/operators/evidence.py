@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepanel.functions.core import clean, sdiv
+from tidepanel.operators.contracts import ContractError
 
 
 @F.pandas_udf(T.DoubleType())
@@ -174,6 +176,24 @@ def scoreboard_row(summary: DataFrame, portfolios: DataFrame, run: list[str], ho
 
 
 def latest_runs(scoreboard: DataFrame) -> DataFrame:
-    """The latest formal run of each factor; ties by run id."""
-    order = Window.partitionBy("factor_id").orderBy(F.desc("created_at"), F.desc("run_id"))
-    return scoreboard.where("run_type = 'formal'").withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    """The latest formal run of each factor; ties by run id.  A formal run whose ``created_at`` is no time is refused."""
+    formal = scoreboard.where("run_type = 'formal'").withColumn("_t", F.expr("try_cast(created_at AS timestamp)"))
+    if bad := formal.where("_t is null").select("factor_id", "run_id", "created_at").limit(1).collect():
+        raise ContractError(f"no time of creation: {bad[0]}")
+    order = Window.partitionBy("factor_id").orderBy(F.desc("_t"), F.desc("run_id"))
+    return formal.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r", "_t")
+
+
+def factor_cards(scoreboard: DataFrame) -> DataFrame:
+    """The tables of each factor's card: its latest formal run as ``factor_id, run_id, part, horizon_days, kind, metric, value``.
+
+    The wide row is turned by the rule of its names: ``[tradable_]<metric>_<h>d`` is part ``ic`` of kind basic or tradable,
+    ``top_k_<gross or net>_<metric>_<h>d`` part ``portfolio``, ``top_k_<metric>_<h>d`` part ``portfolio`` of kind both.  Other columns are left out.
+    """
+    latest = latest_runs(scoreboard)
+    found = {c: m for c in latest.columns if (m := re.fullmatch(r"(top_k_)?(gross_|net_|tradable_)?(.+)_(\d+)d", c))}
+    turned = []
+    for c, m in found.items():
+        kind = (m[2] or ("both_" if m[1] else "basic_"))[:-1]
+        turned.append(F.struct(F.lit("portfolio" if m[1] else "ic").alias("part"), F.lit(int(m[4])).alias("horizon_days"), F.lit(kind).alias("kind"), F.lit(m[3]).alias("metric"), F.col(c).cast("double").alias("value")))
+    return latest.select("factor_id", "run_id", F.explode(F.array(*turned)).alias("c")).select("factor_id", "run_id", "c.*")

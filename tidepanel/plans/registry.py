@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidepanel.functions.canonical import canonical_json
 from tidepanel.functions.core import rounded, sdiv
-from tidepanel.operators import contracts, cross_section, evidence, factors, labels, models, portfolio, rolling, trees
+from tidepanel.operators import contracts, cross_section, evidence, factors, labels, models, portfolio, rolling, trees, user_factors
 from tidepanel.plans import single_factor, tree_track
 from tidepanel.plans import sqltext as sql
+from tidepanel.sources import audit, layout, sinks
 from tidepanel.sources import panel as sources
 from tidepanel.sources.sinks import written
 
@@ -205,10 +208,26 @@ add(
 for k, fam in enumerate(rolling.FAMILIES):
     add(f"r{k + 1}_{fam}", lambda s, d, fam=fam: rolling.rolling_features(P(s, d), [fam]), sql.rolling(fam))
 add("r_all_158_features", lambda s, d: rolling.all_features(P(s, d)), sql.all_features([*sql.CANDLES], list(rolling.FAMILIES)))
+
+
+def canonical_nations(s: SparkSession, d: str) -> DataFrame:
+    """Canonical JSON of flat and of nested values: maps, lists, nulls, escapes and large numbers."""
+    rows = sources.scan(s, f"{d}/nation.parquet")
+    flat = F.struct("n_regionkey", "n_nationkey", "n_name")
+    key, name, region = (F.col(c) for c in ("n_nationkey", "n_name", "n_regionkey"))
+    inner = F.struct(F.concat(name, F.lit("\n")).alias("z"), F.when(key % 2 == 0, True).alias("a"))
+    by = F.create_map(name, F.array(key, F.lit(None), region), F.lit("all"), F.array().cast("array<bigint>"))
+    nested = F.struct(((key + 1) * 1e7).alias("wide"), (key / 4).alias("share"), inner.alias("key"), by.alias("by"))
+    made = rows.select("n_nationkey", flat.alias("flat"), nested.alias("nested"))
+    return made.select("n_nationkey", *(canonical_json(F.col(c), made.schema[c].dataType).alias(n) for c, n in (("flat", "j"), ("nested", "nested"))))
+
+
 add(
     "c19_canonical_json",
-    lambda s, d: sources.scan(s, f"{d}/nation.parquet").select("n_nationkey", F.to_json(F.struct("n_name", "n_nationkey", "n_regionkey")).alias("j")),
-    "SELECT n_nationkey, '{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}' AS j FROM nation",
+    canonical_nations,
+    """SELECT n_nationkey, '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' AS j,
+  '{"by":{"' || n_name || '":[' || n_nationkey || ',null,' || n_regionkey || '],"all":[]},"key":{"a":' || CASE WHEN n_nationkey % 2 = 0 THEN 'true' ELSE 'null' END
+  || ',"z":"' || n_name || '\\n' || '"},"share":' || CAST(n_nationkey / 4.0::DOUBLE AS VARCHAR) || ',"wide":' || (n_nationkey + 1) || '0000000.0}' AS nested FROM nation""",
 )
 add(
     "c20_year",
@@ -220,6 +239,66 @@ add(
 for k, name in enumerate(factors.FACTORS):
     add(f"f{k + 1}_{name.lower()}", lambda s, d, name=name: factors.compute(marketed(s, d), name), sql.factor(name), 9 if name == "AMIHUD20" else 6)
 
+
+def _reversal(rows):
+    close = rows["adjusted_close"]
+    return rows.assign(raw_value=close / close.shift(5) - 1)[["trade_date", "security_id", "raw_value"]]
+
+
+def user_factor(s: SparkSession, d: str) -> DataFrame:
+    """A user's function bound to a row of a registry table."""
+    table = s.createDataFrame([("MINE", "negative", "adjusted_close", "close[t] / close[t-5] - 1")], user_factors.REGISTRY)
+    return user_factors.compute(marketed(s, d), table, "MINE", {"MINE": user_factors.UserFactor(_reversal)})
+
+
+add("f11_f12_user_factor", user_factor, sql.factor("REV5"))
+
+
+def year_panel(s: SparkSession, d: str) -> DataFrame:
+    """The panel saved by year and security, its last years read back for a rolling mean and the range of each security; the table goes again."""
+    table = f"panel_{uuid.uuid4().hex}"
+    layout.save_panel(P(s, d), table, 8)
+    late = layout.read_panel(s, table, since=1998)
+    out = written(rolling.rolling_features(late, ["ma"], (5,)), "late")
+    s.sql(f"DROP TABLE {table}")
+    return out
+
+
+add("s5_year_panel", year_panel, sql.rounded(sql.P, "SELECT trade_date, security_id, avg(adjusted_close) OVER (PARTITION BY security_id ORDER BY trade_date ROWS 4 PRECEDING) / adjusted_close AS ma5 FROM p WHERE year(trade_date) >= 1998", ["ma5"]))
+
+AUDITED = {"REV5": (), "MOM20": ("raw",), "VOL20": (), "TURN20": (), "CLOSE_POS5": ()}
+
+
+def audited_runs(s: SparkSession, d: str) -> DataFrame:
+    """Bundles of five factors in one folder: whole, without an artifact, with one more, under a foreign factor, without a manifest; and what the audit finds."""
+    root = f"{sinks.shared_dir(s).rstrip('/')}/runs-{uuid.uuid4().hex}"
+    rows = written(marketed(s, d), "marketed")
+    for k, name in enumerate(AUDITED):
+        raw = factors.compute(rows, name)
+        tables = {"raw": raw, "quality": raw.agg(F.count("*").alias("n"), F.count("raw_value").alias("known"))}
+        tables = {n: t for n, t in tables.items() if n not in AUDITED[name]} | ({"notes": raw.limit(0)} if name == "VOL20" else {})
+        row = s.createDataFrame([("REV5" if name == "TURN20" else name, f"r{k}")], "factor_id string, run_id string")
+        sinks.write_bundle(tables, f"{root}/factor_id={name}", f"r{k}", row)
+        if name == "CLOSE_POS5":
+            sinks.remove(s, f"{root}/factor_id={name}/run_id=r{k}/manifest")
+    found = audit.run_audit(s, root, ("quality", "raw"))
+    sizes = found.join(audit.listing(s, root).where("length > 0").groupBy("factor_id", "run_id").agg(F.countDistinct("artifact").alias("n_artifacts")), ["factor_id", "run_id"], "left")
+    text = [F.array_join(c, ",").alias(c) for c in ("missing", "extra")]
+    out = written(sizes.select("factor_id", "run_id", "n_manifests", *text, "undeclared", "foreign", "unsafe", "complete", "n_artifacts"), "audit")
+    sinks.remove(s, root)
+    return out
+
+
+add(
+    "v12a_run_audit",
+    audited_runs,
+    f"""WITH {sql.P}, told(factor_id, run_id, n_manifests, missing, extra, undeclared, "foreign", complete, n) AS (VALUES
+  ('REV5', 'r0', 1, '', '', false, false, true, 2), ('MOM20', 'r1', 1, 'raw', '', true, false, false, 1), ('VOL20', 'r2', 1, '', 'notes', true, false, false, 3),
+  ('TURN20', 'r3', 1, '', '', false, true, false, 2), ('CLOSE_POS5', 'r4', 0, 'quality,raw', '', true, true, false, 2))
+SELECT factor_id, run_id, n_manifests, missing, extra, undeclared, "foreign", false AS unsafe, complete, CASE WHEN (SELECT count(*) FROM p WHERE is_member) > 0 THEN n ELSE 0 END AS n_artifacts FROM told""",
+    None,
+)
+
 # Cross sections
 
 
@@ -462,6 +541,24 @@ add(
 )
 
 
+def factor_card(s: SparkSession, d: str) -> DataFrame:
+    """The card of the latest of three runs; an experimental run and an earlier one are beside it."""
+    b = written(_board(s, d).drop("run_id"), "board")
+    runs = s.createDataFrame([("r1", "formal", "2024-01-01T00:00:00Z"), ("r2", "formal", "2024-02-01T00:00:00Z"), ("r3", "experimental", "2024-03-01T00:00:00Z")], "run_id string, run_type string, created_at string")
+    return evidence.factor_cards(b.crossJoin(F.broadcast(runs))).where("metric not like '%p_value%'")
+
+
+_NAMES = r"^(top_k_)?(gross_|net_|tradable_)?(.+)_(\d+)d$"
+add(
+    "g21_factor_card",
+    factor_card,
+    f"""SELECT factor_id, 'r2' AS run_id, CASE WHEN name LIKE 'top_k_%' THEN 'portfolio' ELSE 'ic' END AS part, CAST(regexp_extract(name, '{_NAMES}', 4) AS INTEGER) AS horizon_days,
+  CASE WHEN name LIKE 'top_k_gross_%' THEN 'gross' WHEN name LIKE 'top_k_net_%' THEN 'net' WHEN name LIKE 'top_k_%' THEN 'both' WHEN name LIKE 'tradable_%' THEN 'tradable' ELSE 'basic' END AS kind,
+  regexp_extract(name, '{_NAMES}', 3) AS metric, value
+FROM (SELECT factor_id, CAST(COLUMNS(* EXCLUDE (factor_id, run_id)) AS DOUBLE) FROM ({sql.scoreboard(HORIZONS, 10, portfolio.PERIODS)})) UNPIVOT INCLUDE NULLS (value FOR name IN (COLUMNS(* EXCLUDE (factor_id))))""",
+)
+
+
 def single_run(s: SparkSession, d: str) -> single_factor.Run:
     """A whole run of REV5 over the derived panel; its dates enclose all of the tables'."""
     p = base(s, d)

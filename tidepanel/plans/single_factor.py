@@ -142,6 +142,6 @@ def manifest(inputs: Inputs, factor_id: str, profile: Profile, run_id: str, crea
 def publish(run: Run, root: str, scoreboard: str) -> None:
     """Bundle first, verified before its manifest; the scoreboard row last, refused if the run is there already."""
     sinks.refuse_known_runs(run.board, scoreboard, RUN)
-    run_id = run.manifest.first().run_id
-    sinks.write_bundle(run.tables, root, run_id, run.manifest, ARTIFACTS)
+    row = run.manifest.first()
+    sinks.write_bundle(run.tables, f"{root.rstrip('/')}/factor_id={row.factor_id}", row.run_id, run.manifest, ARTIFACTS)
     sinks.append_run(run.board, scoreboard, tuple(RUN))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepanel.operators.contracts import ContractError, require_columns
+from tidepanel.operators.contracts import ID_PATTERN, ContractError, require_columns
 
 
 def _existing(spark: SparkSession, path: str, kind: str = "parquet", **options) -> DataFrame | None:
@@ -84,10 +86,82 @@ def refuse_known_runs(rows: DataFrame, path: str, keys: list[str]) -> None:
         raise ContractError("the scoreboard has this run already")
 
 
+def _path(spark: SparkSession, path: str):
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def claim(spark: SparkSession, path: str) -> bool:
+    """Create an empty marker file if it is not there: of any number of writers one gets True.
+
+    Creation is a single step of the file system: exclusive creation on a mounted folder, creation without overwriting elsewhere.
+    """
+    place, fs = _path(spark, path)
+    fs.mkdirs(place.getParent())
+    try:
+        if fs.getScheme() == "file":
+            java = spark.sparkContext._jvm.java
+            java.nio.file.Files.createFile(java.io.File(place.toUri().getPath()).toPath(), spark.sparkContext._gateway.new_array(java.nio.file.attribute.FileAttribute, 0))
+        else:
+            fs.create(place, False).close()
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Give a claim back."""
+    place, fs = _path(spark, path)
+    fs.delete(place, False)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder."""
+    place, fs = _path(spark, path)
+    fs.delete(place, True)
+
+
+def _add_file(rows: DataFrame, path: str) -> None:
+    """Few rows as one more file of the table ``path``: written beside it, then renamed into it."""
+    spark, name = rows.sparkSession, uuid.uuid4().hex
+    staged = f"{path.rstrip('/')}_staged/{name}"
+    try:
+        rows.coalesce(1).write.parquet(staged)
+        place, fs = _path(spark, staged)
+        into, _ = _path(spark, path)
+        fs.mkdirs(into)
+        for k, found in enumerate(f.getPath() for f in fs.listStatus(place) if f.getPath().getName().startswith("part-")):
+            if not fs.rename(found, _path(spark, f"{path.rstrip('/')}/part-{k:05d}-{name}.parquet")[0]):
+                raise ContractError(f"{found.toString()} could not be moved to {path}")
+    finally:
+        remove(spark, staged)
+
+
 def append_run(rows: DataFrame, path: str, keys: tuple[str, ...] = ("factor_id", "run_id")) -> None:
-    """Append to the scoreboard; a (factor, run) that it has is refused."""
+    """Append to the scoreboard; a (factor, run) that it has, or that another writer is adding, is refused.
+
+    Each key is claimed by a marker beside the table before its row is written, so of several writers one adds it; rows come
+    into the table as one file by a rename, as writers to one folder remove each other's unfinished files.  Claims of an append that fails are given back; those of a writer that dies stay until ``release``.
+    """
+    spark = rows.sparkSession
     refuse_known_runs(rows, path, list(keys))
-    rows.write.mode("append").parquet(path)
+    found = [tuple(r) for r in rows.select(*keys).collect()]  # a row per run that is appended now
+    if any(not isinstance(x, str) or not re.match(ID_PATTERN, x) for k in found for x in k):
+        raise ContractError(f"ids are letters, digits, underscores and hyphens: {found}")
+    taken: list[str] = []
+    try:
+        for key in found:
+            marker = f"{path.rstrip('/')}_claims/{'/'.join(key)}"
+            if not claim(spark, marker):
+                raise ContractError(f"another writer has claimed {'/'.join(key)}")
+            taken.append(marker)
+        _add_file(rows, path)
+    except BaseException:
+        for marker in taken:
+            release(spark, marker)
+        raise
 
 
 def load_scoreboard(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -99,9 +173,19 @@ def load_scoreboard(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return old.select(*schema.names)
 
 
-def mirror(df: DataFrame, name: str) -> None:
-    """The table under a name for SQL."""
-    df.createOrReplaceTempView(name)
+def mirror(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The stored table under a name of the catalog, for SQL of every session that shares it; its rows stay where they are.
+
+    The files are listed anew, so rows appended since are seen.  A name that stands for another place is refused.
+    """
+    if not spark.catalog.tableExists(name):
+        spark.catalog.createTable(name, path=path, source="parquet")
+    at = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").first()
+    place, fs = _path(spark, path)
+    if at is None or at.data_type.rstrip("/") != fs.makeQualified(place).toString().rstrip("/"):
+        raise ContractError(f"{name} is another table")
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
 
 
 @lru_cache(maxsize=1)
@@ -136,6 +220,4 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def discard(table: DataFrame) -> None:
     """Delete what ``written`` wrote, once nothing to come reads it."""
-    spark = table.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.stored_at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(table.sparkSession, table.stored_at)
