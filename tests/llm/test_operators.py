@@ -340,7 +340,6 @@ def brute_contamination(rows, items, n, slop):
         if i is not None and w:
             for s in range(max(1, len(w) - n + 1)):
                 windows.setdefault(tuple(w[s : s + n]), set()).add(str(i))
-    count = Counter(x for _, text in rows for x in item_words(text))
     out = []
     for i, text in rows:
         w = item_words(text)
@@ -350,35 +349,63 @@ def brute_contamination(rows, items, n, slop):
                 if names := windows.get(tuple(w[s : s + length])):
                     hit |= set(range(s, s + length))
                     found |= names
-        for q, names in windows.items() if slop >= 0 else ():
-            rarest = {x for x in q if count[x] == min(count[y] for y in q)}
-            reach = len(q) + slop
-            if any(x in rarest and set(q) <= set(w[max(0, s - reach) : s + reach + 1]) for s, x in enumerate(w)):
+        for q, names in windows.items() if slop >= 0 and len(w) < 5000 else ():
+            if set(q) <= set(w) and any(Counter(q) <= Counter(w[max(0, s) : s + len(q) + slop]) for s in range(1 - len(q) - slop, len(w))):
                 near |= names
         out.append((i, len(w), len(hit), tuple(sorted(found)), tuple(sorted(near))))
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("at_once", [1000, 3])
-def test_contamination(spark, at_once):
+@pytest.mark.parametrize("at_once, terms_at_once", [(1000, 1000), (3, 1000), (3, 20)])
+def test_contamination(spark, at_once, terms_at_once):
     item = words(30, 5, 200)
     items = [(1, " ".join(item)), (2, "Short Item!"), (3, None), (4, "..."), (5, " ".join(item[:19])), (None, " ".join(item)), (6, "alpha beta")]
     rows = [(1, "a b c " + ", ".join(item[4:22]).upper() + " tail"), (2, "x short-item y short item"), (3, None), (4, " ".join(item[:12])), (5, " ".join(words(400, 6, 200))), (1, "no hit")]
     rows += [(6, "one two alpha"), (7, "beta three"), (8, " ".join(item[:6] + ["odd"] + item[6:13])), (None, "short item"), (9, "filler " * 30_000 + "alpha beta"), (10, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = positional.contamination(docs(spark, rows), bench, slop=4, at_once=at_once).collect()
+    got = positional.contamination(docs(spark, rows), bench, slop=4, at_once=at_once, terms_at_once=terms_at_once).collect()
     got = sorted(((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), tuple(r.near_items)) for r in got), key=str)
     want = brute_contamination(rows, items, 13, 4)
-    assert [x[:4] for x in got] == [x[:4] for x in want]
+    long = [x for x in got if x[0] == 9]
+    assert [x for x in got if x[0] != 9] == [x for x in want if x[0] != 9]
+    assert [x[:4] for x in long] == [x[:4] for x in want if x[0] == 9] and long[0][4] == ("6",)
     near = {x[0]: x[4] for x in got}
-    assert near[6] == near[7] == () and near[8] == ("1", "5") and near[9] == ("6",)
-    if at_once == 1000:  # distinct counts decide the rarest term, so equal ones may differ between rounds
-        assert {x[0] for x in got if x[4]} <= {x[0] for x in want if x[4]}
+    assert near[6] == near[7] == () and near[8] == ("1", "5")
     assert all(set(x[3]) <= set(x[4]) for x in got)
     exact = positional.contamination(docs(spark, rows), bench, at_once=at_once).collect()
     assert not any(r.near_items for r in exact)
 
 
+def test_proximity_is_a_matter_of_the_text_alone(spark):
+    item = spark.createDataFrame([(1, "alpha beta gamma", 0), (2, "beta beta", 0)], "item_id long, text string, near_items int")
+    asked = [(1, "alpha f f f f f beta gamma"), (2, "alpha f f f beta gamma"), (3, "gamma f beta f f alpha"), (4, "beta f f f f beta"), (5, "beta f f f beta f f f f beta"), (6, "beta gamma"), (7, "gamma alpha beta")]
+    others = [[], ["alpha " * 5], ["beta gamma " * 9], ["alpha beta " * 7, "gamma " * 30]]
+    for more in others:
+        rows = asked + [(100 + k, t) for k, t in enumerate(more)]
+        got = {r.doc_id: r.near_items for r in positional.contamination(docs(spark, rows), item, slop=3).collect()}
+        assert [got[k] for k in range(1, 8)] == [[], ["1"], ["1"], [], ["2"], [], ["1"]], more
+
+
+def test_proximity_of_generated_texts(spark):
+    rng = random.Random(10)
+    items = [(k, " ".join(words(rng.randrange(1, 7), 900 + k, 12))) for k in range(15)]
+    rows = [(k, " ".join(words(rng.randrange(0, 40), 950 + k, 12))) for k in range(40)]
+    for slop in (0, 2):
+        got = positional.contamination(docs(spark, rows).repartition(1), spark.createDataFrame(items, "item_id long, text string"), n=4, slop=slop).collect()
+        got = sorted(((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), tuple(r.near_items)) for r in got), key=str)
+        assert got == brute_contamination(rows, items, 4, slop) and any(len(x[4]) > len(x[3]) for x in got)
+
+
+def test_op8_digests_against_brute_force(spark, small):
+    from tidepanel.llm import queries
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+    items = [tuple(r) for r in spark.read.parquet(f"{small}/benchmark.parquet").select("item_id", "text").collect()]
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in queries.op8_decontamination(spark, small).collect()))
+    want = [(i, n, hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), hit > 0 and 20 * hit >= n) for i, n, hit, found, _ in brute_contamination(rows, items, 13, -1)]
+    assert got == sorted(want) and any(x[5] for x in got)
+
+
 def test_contamination_of_generated_texts(spark):
     rng = random.Random(9)
     items = [(k, " ".join(words(rng.randrange(1, 12), 700 + k, 30))) for k in range(12)]

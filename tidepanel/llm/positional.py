@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm import textcodes as tc
-from tidepanel.llm.store import small_batches, written
+from tidepanel.llm.store import discard, small_batches, written
 
 INDEX = "block string, ids array<long>, first array<int>, terms array<long>, lists array<int>, postings binary"
 #: Test windows searched at once; more are searched in further rounds.
 WINDOWS_AT_ONCE = 200_000
+#: Different terms of test windows that one index covers: 32 MB of hashes.
+TERMS_AT_ONCE = 4_000_000
 
 
 def _indexed(vocabulary, size: int):
@@ -128,8 +130,12 @@ def _matches(q: _Queries, lists: np.ndarray, ends: np.ndarray, postings: np.ndar
 
 
 def _near(q: _Queries, lists: np.ndarray, ends: np.ndarray, postings: np.ndarray, first: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows, and the texts in which all of their terms stand within n + slop words of one place of the rarest."""
-    n_words, many = int(first[-1]), ends - lists
+    """Windows, and the texts that have a stretch of at most n + slop words with every term as often as the window has it.
+
+    Such a stretch holds the rarest term, so it lies around one of its places; places without all terms in reach fall out list by
+    list, and at those that stay every stretch around them is counted.
+    """
+    n_words, many, span = int(first[-1]), ends - lists, q.n + slop
     alive = np.flatnonzero(many[q.places].min(axis=1) > 0)
     width = np.int64(n_words + 1)
     keys = np.repeat(np.arange(len(many), dtype=np.int64), many) * width + postings
@@ -138,15 +144,29 @@ def _near(q: _Queries, lists: np.ndarray, ends: np.ndarray, postings: np.ndarray
     window = np.repeat(alive, size)
     at = postings[np.repeat(lists[places], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)]
     text = np.searchsorted(first, at, "right") - 1
-    low, high = np.maximum(at - q.n - slop, first[text]), np.minimum(at + q.n + slop, first[text + 1] - 1)
+    low, high = np.maximum(at - span + 1, first[text]), np.minimum(at + span - 1, first[text + 1] - 1)
     for k in range(1, q.n):
         if not len(window):
             break
         base = q.places[window, q.order[window, k]] * width
         found = np.searchsorted(keys, base + low)
         keep = (found < len(keys)) & (keys[np.minimum(found, len(keys) - 1)] <= base + high)
-        window, text, low, high = window[keep], text[keep], low[keep], high[keep]
-    return window, text
+        window, text, at, low, high = window[keep], text[keep], at[keep], low[keep], high[keep]
+    hits = []
+    for i in range(0, len(window), 4096):
+        own = slice(i, i + 4096)
+        terms = q.places[window[own]]
+        need = (terms[:, :, None] == terms[:, None, :]).sum(2)
+        one = np.repeat(np.arange(len(terms)), span)
+        start = (at[own, None] - np.arange(span)).reshape(-1)
+        for k in range(q.n):
+            base, t = terms[one, k] * width, text[own][one]
+            count = np.searchsorted(keys, base + np.minimum(start + span, first[t + 1])) - np.searchsorted(keys, base + np.maximum(start, first[t]))
+            keep = count >= need[one, k]
+            one, start = one[keep], start[keep]
+        hits.append(i + np.unique(one))
+    hit = np.concatenate(hits) if hits else np.zeros(0, np.int64)
+    return window[hit], text[hit]
 
 
 def _searched(asked, slop: int):
@@ -158,9 +178,13 @@ def _searched(asked, slop: int):
                 first = np.asarray(block["first"], np.int64)
                 post = np.frombuffer(block["postings"], np.int32).astype(np.int64)
                 lists, ends = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64)
-                have = np.searchsorted(wanted, np.asarray(block["terms"], np.int64).view(np.uint64))
+                terms = np.asarray(block["terms"], np.int64).view(np.uint64)
+                have = np.minimum(np.searchsorted(wanted, terms), len(wanted) - 1)
+                own = wanted[have] == terms  # the index may hold terms of other rounds
                 bounds = np.asarray(block["lists"], np.int64)
-                lists[have], ends[have] = bounds[:-1], bounds[1:]
+                post = post[np.repeat(own, np.diff(bounds))]
+                size = np.diff(bounds)[own]
+                lists[have[own]], ends[have[own]] = np.cumsum(size) - size, np.cumsum(size)
                 n_words = int(first[-1])
                 change, exact, near = np.zeros(n_words + 1, np.int64), {}, {}
                 for q in queries:
@@ -209,12 +233,12 @@ def _vocabulary(windows: DataFrame) -> np.ndarray:
     return np.unique(np.append(found.view(np.uint64), np.uint64(0)))
 
 
-def _round(docs: DataFrame, windows: DataFrame, slop: int, id_col: str, text_col: str) -> DataFrame:
-    spark = docs.sparkSession
+def _round(index: DataFrame, windows: DataFrame, slop: int) -> DataFrame:
+    """What one round's windows find in a stored index."""
     vocabulary = _vocabulary(windows)
-    index = build_index(docs, vocabulary, id_col, text_col)
     size = F.arrays_zip("terms", F.transform(F.slice("lists", 2, F.size("terms")), lambda x, i: x - F.get("lists", i)).alias("n"))
-    df = index.select(F.explode(size).alias("z")).groupBy("z.terms").agg(F.sum("z.n").alias("n")).toPandas()
+    terms = windows.select(F.explode("terms").alias("terms")).distinct()
+    df = index.select(F.explode(size).alias("z")).groupBy("z.terms").agg(F.sum("z.n").alias("n")).join(terms, "terms", "left_semi").toPandas()
     total = np.zeros(len(vocabulary), np.int64)
     total[np.searchsorted(vocabulary, df["terms"].to_numpy(np.int64).view(np.uint64))] = df["n"].to_numpy(np.int64)
     by_length: dict[int, tuple[list, list]] = {}
@@ -223,7 +247,7 @@ def _round(docs: DataFrame, windows: DataFrame, slop: int, id_col: str, text_col
         have[0].append(terms)
         have[1].append(number)
     made = [(np.asarray(t, np.int64), np.asarray(i, np.int64)) for t, i in by_length.values()]
-    context = spark.sparkContext
+    context = index.sparkSession.sparkContext
     return index.mapInArrow(_searched(context.broadcast((made, vocabulary, total)), slop), FOUND)
 
 
@@ -235,44 +259,64 @@ def _merged(runs):
     return F.aggregate(ordered, zero, step)["n"]
 
 
-def _named(hits: DataFrame, windows: DataFrame) -> DataFrame:
-    """``row, items, near_items``: the items behind the window numbers of rows that have some; no item list is broadcast."""
+def _named(hits: DataFrame, windows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``row, items, near_items``: the items behind the window numbers of rows that have some; no item list is broadcast.
+
+    Windows of the same items share one number of their set, so a row meets each set of items once, as a list.
+    """
     kind = lambda c, exact: F.transform(c, lambda w: F.struct(w.alias("number"), F.lit(exact).alias("is_exact")))
     asked = hits.select("row", F.explode(F.concat(kind("exact", True), kind("near", False))).alias("w")).select("row", "w.*")
-    named = asked.join(windows.select("number", F.explode("item_ids").alias("item")).hint("merge"), "number")
-    ids = lambda exact: F.array_sort(F.collect_set(F.when(F.col("is_exact") == exact, F.col("item"))))
+    asked = asked.join(windows.select("number", "set").hint("merge"), "number").select("row", "set", "is_exact").distinct()
+    named = asked.join(sets.hint("merge"), "set")
+    ids = lambda exact: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("is_exact") == exact, F.col("item_ids"))))))
     return named.groupBy("row").agg(ids(True).alias("items"), ids(False).alias("near_items"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", slop: int = -1, at_once: int = WINDOWS_AT_ONCE) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", slop: int = -1, at_once: int = WINDOWS_AT_ONCE, terms_at_once: int = TERMS_AT_ONCE) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_hit, items, near_items``.
 
     A word is hit if it stands inside an occurrence of a window of n item words; an item of
     fewer words is one window; an item or text without words (or null) has none.  With
-    ``slop`` of 0 or more, ``near_items`` are the items of windows all of whose terms stand, in any
-    order, within n + slop words of one place of their rarest term in the same text.  Test
-    windows are searched ``at_once`` at a time, so what is broadcast is bounded: terms and numbers
-    of windows; item ids are joined to the matches.  Repeated rows stay; null item ids take no part; extra columns are
+    ``slop`` of 0 or more, ``near_items`` are the items of windows of which the text holds all terms, in any
+    order and each as often as the window, inside one stretch of at most n + slop words (n: the window's own length).  That is a matter of the text
+    alone.  The corpus is indexed once for all windows, which are searched ``at_once`` at a time, so what is broadcast is
+    bounded: terms and numbers of windows; item ids are joined to the matches.  Windows of more than about ``terms_at_once`` different
+    terms are indexed in several parts.  Repeated rows stay; null item ids take no part; extra columns are
     ignored; empty tables give no hits, or no rows.
     """
-    windows = written(phrase_windows(items, n).withColumn("number", F.monotonically_increasing_id()), "phrases")
+    plain = written(phrase_windows(items, n).withColumn("number", F.monotonically_increasing_id()), "windows")
+    sets = written(plain.groupBy("item_ids").agg(F.min("number").alias("set")), "item-sets")
+    windows = written(plain.join(sets, "item_ids").select("terms", "number", "set"), "phrases")
+    discard(plain)
     many = windows.count()
-    rounds = max(1, -(-many // at_once))
-    part = F.pmod(F.xxhash64("terms"), F.lit(rounds))
+    n_terms = windows.select(F.explode("terms").alias("t")).distinct().count()
+    parts = max(1, -(-n_terms // terms_at_once))
+    rounds = max(1, -(-many // (at_once * parts)))
+    part = F.pmod(F.xxhash64("terms"), F.lit(parts * rounds))
     none = F.array().cast("array<string>")
-    if rounds == 1:
-        found = written(_round(docs, windows, slop, id_col, text_col), "found")
-    else:
-        keyed = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id()), "rows")
-        parts = [_round(keyed, windows.where(part == k), slop, "row", "text").drop("row") for k in range(rounds)]
-        both = parts[0]
-        for p in parts[1:]:
-            both = both.unionByName(p)
-        both = both.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("runs", "exact", "near")))
-        both = both.withColumnRenamed("doc_id", "row").join(keyed.select("row", F.col("id").alias("doc_id")), "row")
-        found = written(both.withColumn("row", F.col("row").cast("string")), "found")
+    rows, key = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id"
+    if parts > 1:  # rows of several indexes meet by a number of their own
+        rows, key = written(rows.withColumn("own", F.monotonically_increasing_id()), "rows"), "own"
+    found, indexes = [], []
+    for p in range(parts):
+        of_part = windows.where(F.pmod(part, F.lit(parts)) == p)
+        index = build_index(rows, _vocabulary(of_part), key, "text")
+        indexes.append(index)
+        for k in range(rounds):
+            hit = _round(index, windows.where(part == p + k * parts), slop)
+            found.append(hit if parts == 1 else hit.withColumn("row", F.col("doc_id").cast("string")))
+    both = found[0]
+    for more in found[1:]:
+        both = both.unionByName(more)
+    if len(found) > 1:
+        both = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("runs", "exact", "near")))
+    if parts > 1:
+        both = both.withColumnRenamed("doc_id", "own").join(rows.select("own", "doc_id"), "own").drop("own")
+    found = written(both, "found")
+    for index in indexes:
+        discard(index)
     hit = (F.size("exact") > 0) | (F.size("near") > 0)
-    hits = found.where(hit).join(_named(found.where(hit), windows), "row", "left")
+    hits = found.where(hit).join(_named(found.where(hit), windows, sets), "row", "left")
     every = hits.unionByName(found.where(~hit).select("*", none.alias("items"), none.alias("near_items")))
     return every.select("doc_id", "n_words", _merged(F.col("runs")).alias("n_hit"), "items", "near_items")
 
