@@ -161,33 +161,58 @@ def test_ledger_sells_first_and_scales_buys(spark):
 
 def one_step(shares, cash, weights, opens, states, nav, rate):
     """Ledger rows by code and cash after, a loop over names."""
-    reason = lambda c, side: "missing_price" if not opens.get(c) else "unknown" if c not in states else "suspended" if states[c][0] else "limit_up" if side == "buy" and states[c][1] else "limit_down" if side == "sell" and states[c][2] else None
+    reason = lambda c, side: "missing_open_price" if not opens.get(c) else "unknown_blocked" if c not in states else "suspended" if states[c][0] else "limit_up" if side == "buy" and states[c][1] else "limit_down" if side == "sell" and states[c][2] else None
     out, buys = {}, {}
     for c in sorted({*shares, *weights}):
         p = opens.get(c) or 0.0
         gap = (weights.get(c, 0.0) * nav / p if p else 0.0) - shares.get(c, 0.0)
         if gap < -1e-12:
             filled = 0.0 if reason(c, "sell") else -gap * p
-            out[c] = ("sell", -gap * p, filled, reason(c, "sell"))
+            out[c, "sell"] = ("sell", -gap * p, filled, reason(c, "sell"))
             cash += filled * (1 - rate)
-        elif gap > 1e-12 or c in weights and not p:
-            out[c] = ("buy", max(gap, 0.0) * p, 0.0, reason(c, "buy"))
-            if not out[c][3]:
+        if c in weights and (not p or gap > 1e-12):
+            out[c, "buy"] = ("buy", max(gap, 0.0) * p, 0.0, reason(c, "buy"))
+            if not out[c, "buy"][3]:
                 buys[c] = gap * p
     need = sum(buys.values()) * (1 + rate)
     scale = min(1.0, cash / need) if need else 0.0
     for c, x in buys.items():
-        out[c] = ("buy", x, x * scale, None)
+        out[c, "buy"] = ("buy", x, x * scale, None)
         cash -= x * scale * (1 + rate)
     return out, max(cash, 0.0)
 
 
+def test_ledger_blocks_by_fixed_reasons_and_refuses_bad_accounts(spark):
+    holdings = spark.createDataFrame([("a", c, 2.0) for c in "pqrs"] + [("a", "both", 3.0)], "account string, code string, shares double")
+    targets = spark.createDataFrame([("a", c, 0.1) for c in ("u", "v", "w", "both")], "account string, code string, weight double")
+    accounts = spark.createDataFrame([("a", 5.0, 100.0)], "account string, cash double, nav double")
+    prices = spark.createDataFrame([("p", 1.0), ("q", 1.0), ("r", 1.0), ("s", float("nan")), ("u", 1.0), ("v", 1.0), ("w", float("inf"))], "code string, price double")
+    flags = "code string, suspended boolean, limit_up boolean, limit_down boolean, unknown_blocked boolean"
+    state = spark.createDataFrame([("p", True, True, True, False), ("q", None, True, True, False), ("r", False, False, False, None), ("s", True, True, True, True), ("u", False, True, False, False), ("w", False, False, False, False), ("both", False, False, False, False)], flags)
+    got = {(r.code, r.side): (r.block_reason, r.intended_notional, r.filled_notional) for r in portfolio.rebalance_ledger(holdings, targets, accounts, prices, state, 10.0).collect()}
+    assert got == {
+        ("p", "sell"): ("suspended", 2.0, 0.0), ("q", "sell"): ("limit_down", 2.0, 0.0), ("r", "sell"): ("unknown_blocked", 2.0, 0.0), ("s", "sell"): ("missing_open_price", 0.0, 0.0),
+        ("u", "buy"): ("limit_up", 10.0, 0.0), ("v", "buy"): ("unknown_blocked", 10.0, 0.0), ("w", "buy"): ("missing_open_price", 0.0, 0.0),
+        ("both", "sell"): ("missing_open_price", 0.0, 0.0), ("both", "buy"): ("missing_open_price", 0.0, 0.0),
+    }
+    money = lambda cash, nav: spark.createDataFrame([("a", 1.0, 1.0), ("b", cash, nav)], "account string, cash double, nav double")
+    for bad in (money(-0.1, 5.0), money(0.0, 0.0), money(1.0, -3.0), money(None, 5.0), money(1.0, float("nan"))):
+        with pytest.raises(contracts.ContractError, match="cash below 0"):
+            portfolio.rebalance_ledger(holdings, targets, bad, prices, state, 10.0)
+    for bps in (-1.0, float("nan"), float("inf")):
+        with pytest.raises(contracts.ContractError, match="costs"):
+            portfolio.rebalance_ledger(holdings, targets, accounts, prices, state, bps)
+    with pytest.raises(contracts.ContractError, match="borrowing"):
+        portfolio.rebalance_ledger(holdings, targets.withColumn("weight", F.lit(0.3)), accounts, prices, state, 10.0)
+    portfolio.checked_accounts(targets.withColumn("weight", F.lit(0.25)), money(-1e-10, 1.0), 0.0, ["account"])
+
+
 def test_ledger_batch_has_every_account_and_date(spark):
     from tidepanel.plans import registry
 
     small, got = "/root/testdata/sf0.01", {}
     for r in registry.QUERIES["w7_ledger_batch"](spark, small).collect():
-        got.setdefault((r.account, r.trade_date), {})[r.code] = r
+        got.setdefault((r.account, r.trade_date), {})[r.code, r.side] = r
     daily = {(r.trade_date, r.security_id): r for r in registry.P(spark, small).collect()}
     known = {(r.trade_date, r.security_id): r for r in registry.research(spark, small).collect()}
     days = sorted({t for t, _ in daily})
@@ -211,7 +236,7 @@ def test_ledger_batch_has_every_account_and_date(spark):
             nav = cash + sum(n * opens.get(c, paid[c]) for c, n in shares.items())
             want[account, day] = one_step(shares, cash, weights, opens, states, nav, 0.001)
     assert len({day for _, day in got}) > 10 and {a for a, _ in got} == {a for a, _ in want} and len({a for a, _ in got}) > 6
-    assert {x.block_reason for v in got.values() for x in v.values()} >= {None, "missing_price", "suspended", "unknown"}
+    assert {x.block_reason for v in got.values() for x in v.values()} >= {None, "missing_open_price", "suspended", "unknown_blocked"}
     assert got.keys() == {k for k, (ledger, _) in want.items() if ledger}
     for key, step in got.items():
         ledger, cash = want[key]

@@ -150,34 +150,55 @@ def simulate(panel: DataFrame, h: int, top_k: int, q: int = 5, bps: float = 10.0
     return table, summarize(table, h, date)
 
 
+#: Why an order cannot fill, in order of precedence.
+REASONS = ("missing_open_price", "unknown_blocked", "suspended", "limit_up", "limit_down")
+
+
 def block_reason(side: Column, price: Column) -> Column:
-    """Why an order cannot fill, first cause first; NULL if it can.  A row without state is blocked."""
+    """Why an order cannot fill, first cause first; NULL if it can.  A row without state, or with an unknown ``unknown_blocked``, is blocked."""
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
-    return (
-        F.when(price.isNull() | ~(price > 0), "missing_price").when(F.col("has_state").isNull() | flag("unknown_blocked"), "unknown").when(flag("suspended"), "suspended")
-        .when((side == "buy") & flag("limit_up"), "limit_up").when((side == "sell") & flag("limit_down"), "limit_down")
-    )
+    unpriced = price.isNull() | ~(price > 0) | F.isnan(price) | (price == float("inf"))
+    unknown = F.col("has_state").isNull() | F.coalesce("unknown_blocked", F.lit(True))
+    causes = (unpriced, unknown, flag("suspended"), (side == "buy") & flag("limit_up"), (side == "sell") & flag("limit_down"))
+    return F.coalesce(*(F.when(c, r) for c, r in zip(causes, REASONS, strict=True)))
+
+
+def checked_accounts(targets: DataFrame, accounts: DataFrame, bps: float, keys: list[str]) -> None:
+    """Refuse negative cash, a value that is not above 0, negative costs, and target weights that sum above 1."""
+    if not (math.isfinite(bps) and bps >= 0):
+        raise ContractError(f"costs must be finite and not negative: {bps}")
+    poor = F.coalesce((F.col("cash") >= -1e-9) & (F.col("nav") > 0) & ~F.isnan("cash") & ~F.isnan("nav"), F.lit(False))
+    if bad := accounts.where(~poor).limit(1).collect():
+        raise ContractError(f"cash below 0 or a value not above 0: {bad[0]}")
+    heavy = targets.where("weight > 1e-12").groupBy(*keys).agg(F.sum("weight").alias("weight")).where(F.col("weight") > 1 + 1e-10)
+    if bad := heavy.limit(1).collect():
+        raise ContractError(f"target weights above 1 need borrowing: {bad[0]}")
 
 
 def rebalance_ledger(holdings: DataFrame, targets: DataFrame, accounts: DataFrame, prices: DataFrame, state: DataFrame, bps: float, date: str | None = None) -> DataFrame:
     """One step for many accounts: sells first, then buys scaled to the cash there is; no borrowing.
 
-    With ``date`` every table has that column too, and each (account, date) is a step of its own.
+    With ``date`` every table has that column too, and each (account, date) is a step of its own.  Accounts and targets that
+    ``checked_accounts`` refuses are refused before any order.
 
     ``holdings(account, code, shares)``, ``targets(account, code, weight)``, ``accounts(account, cash, nav)``,
     ``prices(code, price)``, ``state(code, suspended, limit_up, limit_down, unknown_blocked)`` give
     ``account, code, side, intended_notional, filled_notional, trading_cost, block_reason, shares_after, cash_after``.
+    A name that is held and wanted but has no price has a blocked sell and a blocked buy.
     """
     rate = bps / 10_000.0
     on = [date] if date else []
+    checked_accounts(targets, accounts, bps, ["account", *on])
     both = holdings.where("shares > 1e-12").join(targets.where("weight > 1e-12"), ["account", *on, "code"], "full").join(accounts, ["account", *on]).join(prices, [*on, "code"], "left").join(state.withColumn("has_state", F.lit(True)), [*on, "code"], "left")
     have, weight = F.coalesce("shares", F.lit(0.0)), F.coalesce("weight", F.lit(0.0))
-    want = F.when(F.col("price") > 0, weight * F.col("nav") / F.col("price"))
-    rows = both.select("account", *on, "code", "cash", "price", have.alias("have"), want.alias("want"), "has_state", "suspended", "limit_up", "limit_down", "unknown_blocked", (weight > 0).alias("wanted"))
+    priced = (F.col("price") > 0) & (F.col("price") < float("inf")) & ~F.isnan("price")
+    want = F.when(priced, weight * F.col("nav") / F.col("price"))
+    rows = both.select("account", *on, "code", "cash", F.when(priced, F.col("price")).alias("price"), have.alias("have"), want.alias("want"), "has_state", "suspended", "limit_up", "limit_down", "unknown_blocked", (weight > 0).alias("wanted"))
     gap = F.coalesce(F.col("want"), F.lit(0.0)) - F.col("have")
+    order = lambda when, side, amount: F.when(when, F.struct(F.lit(side).alias("side"), amount.alias("gap")))
     unpriced_buy = F.col("want").isNull() & F.col("wanted")
-    side = F.when(gap < -1e-12, "sell").when((gap > 1e-12) | unpriced_buy, "buy")
-    rows = rows.withColumn("gap", gap).withColumn("side", side).where("side is not null")
+    orders = F.array_compact(F.array(order(gap < -1e-12, "sell", gap), order(F.coalesce(F.when(~unpriced_buy, gap > 1e-12), F.lit(False)), "buy", gap), order(unpriced_buy, "buy", F.lit(0.0))))
+    rows = rows.withColumn("o", F.explode(orders)).select("*", "o.*").drop("o")
     rows = rows.withColumn("block_reason", block_reason(F.col("side"), F.col("price"))).withColumn("intended_notional", F.abs("gap") * F.coalesce("price", F.lit(0.0)))
     open_ = F.col("block_reason").isNull()
     account = Window.partitionBy("account", *on)

@@ -408,7 +408,7 @@ def ledger_batch(s: SparkSession, d: str) -> DataFrame:
     return portfolio.rebalance_ledger(**tables, bps=10.0, date="trade_date")
 
 
-add("w7_ledger_batch", ledger_batch)
+add("w7_ledger_batch", ledger_batch, sql.ledger_batch(HORIZONS, 10, 1_000_000.0, 10.0), 4)
 add(
     "w6_w7_rebalance_ledger",
     _ledger,
@@ -417,7 +417,7 @@ g0 AS (SELECT security_id % 5 AS account, security_id AS code, adjusted_close AS
 g1 AS (SELECT account, 1000.0 + sum(CASE WHEN code % 3 = 0 THEN qty * price ELSE 0 END) AS nav, count(*) FILTER (code % 2 = 0) AS n FROM g0 GROUP BY account),
 g2 AS (SELECT g0.*, nav, CASE WHEN code % 3 = 0 THEN qty ELSE 0 END AS have, CASE WHEN code % 2 = 0 THEN 1.0 / n ELSE 0 END * nav / price AS want FROM g0 JOIN g1 USING (account) WHERE code % 3 = 0 OR code % 2 = 0),
 g3 AS (SELECT *, CASE WHEN want - have < -1e-12 THEN 'sell' ELSE 'buy' END AS side, abs(want - have) * price AS intended FROM g2 WHERE abs(want - have) > 1e-12),
-g4 AS (SELECT *, CASE WHEN code % 11 = 0 THEN 'unknown' WHEN code % 7 = 0 THEN 'suspended' WHEN side = 'buy' AND NOT tradable_next_open THEN 'limit_up' WHEN side = 'sell' AND code % 5 = 0 THEN 'limit_down' END AS reason FROM g3),
+g4 AS (SELECT *, CASE WHEN code % 11 = 0 THEN 'unknown_blocked' WHEN code % 7 = 0 THEN 'suspended' WHEN side = 'buy' AND NOT tradable_next_open THEN 'limit_up' WHEN side = 'sell' AND code % 5 = 0 THEN 'limit_down' END AS reason FROM g3),
 g5 AS (SELECT *, 1000.0 + coalesce(sum(CASE WHEN side = 'sell' AND reason IS NULL THEN intended * 0.999 END) OVER (PARTITION BY account), 0) AS money, sum(CASE WHEN side = 'buy' AND reason IS NULL THEN intended * 1.001 END) OVER (PARTITION BY account) AS need FROM g4),
 g6 AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 0 WHEN side = 'sell' THEN intended ELSE intended * least(1, money / need) END AS filled FROM g5)""", "SELECT account, code, side, intended AS intended_notional, filled AS filled_notional, filled * 0.001 AS trading_cost, reason AS block_reason, have + CASE WHEN side = 'buy' THEN filled ELSE -filled END / price AS shares_after, greatest(0, money - coalesce(sum(CASE WHEN side = 'buy' THEN filled * 1.001 END) OVER (PARTITION BY account), 0)) AS cash_after FROM g6", ["intended_notional", "filled_notional", "trading_cost", "shares_after", "cash_after"], 4),
     4,

@@ -291,3 +291,36 @@ def scoreboard(horizons: tuple[int, ...], k: int, ppy: dict[int, int]) -> str:
     cols += [at("bs", f"portfolio = 'top_{k}' AND horizon_days = {h}", "mean_turnover", f"top_k_mean_turnover_{h}d") for h in horizons]
     doubles = [c.rsplit(" AS ", 1)[1] for c in cols if not c.startswith("(SELECT max(n_")]
     return rounded(IC + mean_test("ic", "rank_ic", "eligibility, horizon_days", "horizon_days - 1") + books + bs + sm, "SELECT 'REV5' AS factor_id, 'run' AS run_id, " + ", ".join(cols), doubles)
+
+
+def ledger_batch(horizons: tuple[int, ...], k: int, nav: float, bps: float) -> str:
+    """One rebalance step for every (account, date) of the long portfolios at all horizons."""
+    names, rate = r"\b(el|cal|rnk|hl|tv|pr|pt|nav|wn)\b", bps / 10_000
+    books = "".join(re.sub(names, rf"\1_{h}", portfolios(h, k)[len(EVAL) :]) for h in horizons)
+    held = " UNION ALL ".join(f"SELECT portfolio || '_{h}d' AS account, seq, trade_date, security_id AS code, CAST(w AS DOUBLE) AS weight FROM hl_{h} WHERE portfolio <> 'top_bottom'" for h in horizons)
+    body = f""",
+sess AS (SELECT * FROM (SELECT trade_date, lead(trade_date) OVER (ORDER BY trade_date) AS entry FROM (SELECT DISTINCT trade_date FROM p)) WHERE entry IS NOT NULL),
+ent AS (SELECT sess.trade_date, security_id AS code, CASE WHEN adjusted_open > 0 THEN adjusted_open END AS price, adjusted_high = adjusted_low AS single FROM p JOIN sess ON p.trade_date = sess.entry),
+live AS (SELECT hd.* FROM ({held}) hd JOIN sess USING (trade_date)),
+steps AS (SELECT DISTINCT account, seq, trade_date FROM live),
+bought AS (SELECT account, seq + 1 AS seq, code, weight * {nav} / price AS shares, price AS paid FROM live JOIN ent USING (trade_date, code) WHERE price > 0),
+hold AS (SELECT b.account, s.trade_date, b.code, shares, paid, price FROM bought b JOIN steps s ON s.account = b.account AND s.seq = b.seq LEFT JOIN ent ON ent.trade_date = s.trade_date AND ent.code = b.code),
+acc AS (SELECT s.account, s.trade_date, greatest({nav} - coalesce(spent, 0), 0) AS cash, {nav} - coalesce(spent, 0) + coalesce(worth, 0) AS value
+  FROM steps s LEFT JOIN (SELECT account, trade_date, sum(shares * paid) AS spent, sum(shares * coalesce(price, paid)) AS worth FROM hold GROUP BY ALL) w ON w.account = s.account AND w.trade_date = s.trade_date),
+st AS (SELECT rp.trade_date, security_id AS code, NOT tradable_next_open AS suspended, single AND price > adjusted_close AS up, single AND price < adjusted_close AS down, tradable_next_open IS NULL AS unknown
+  FROM rp LEFT JOIN ent ON ent.trade_date = rp.trade_date AND ent.code = rp.security_id),
+both_ AS (SELECT coalesce(h.account, t.account) AS account, coalesce(h.trade_date, t.trade_date) AS trade_date, coalesce(h.code, t.code) AS code, coalesce(shares, 0) AS have, coalesce(weight, 0) AS weight
+  FROM (SELECT * FROM hold WHERE shares > 1e-12) h FULL JOIN (SELECT * FROM live WHERE weight > 1e-12) t ON t.account = h.account AND t.trade_date = h.trade_date AND t.code = h.code),
+pos AS (SELECT b.*, acc.cash, ent.price, weight * acc.value / ent.price AS want, st.code IS NOT NULL AS known, suspended, up, down, unknown
+  FROM both_ b JOIN acc ON acc.account = b.account AND acc.trade_date = b.trade_date LEFT JOIN ent ON ent.trade_date = b.trade_date AND ent.code = b.code LEFT JOIN st ON st.trade_date = b.trade_date AND st.code = b.code),
+ords AS (SELECT *, 'sell' AS side, coalesce(want, 0) - have AS gap FROM pos WHERE coalesce(want, 0) - have < -1e-12
+  UNION ALL SELECT *, 'buy', CASE WHEN want IS NULL THEN 0 ELSE want - have END FROM pos WHERE weight > 0 AND (want IS NULL OR want - have > 1e-12)),
+why AS (SELECT *, abs(gap) * coalesce(price, 0) AS intended, CASE WHEN price IS NULL THEN 'missing_open_price' WHEN NOT known OR coalesce(unknown, true) THEN 'unknown_blocked' WHEN suspended THEN 'suspended'
+  WHEN side = 'buy' AND up THEN 'limit_up' WHEN side = 'sell' AND down THEN 'limit_down' END AS reason FROM ords),
+tot AS (SELECT *, cash + coalesce(sum(CASE WHEN side = 'sell' AND reason IS NULL THEN intended * {1 - rate} END) OVER w, 0) AS money, sum(CASE WHEN side = 'buy' AND reason IS NULL THEN intended * {1 + rate} END) OVER w AS need
+  FROM why WINDOW w AS (PARTITION BY account, trade_date)),
+fil AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 0 WHEN side = 'sell' THEN intended ELSE intended * least(1, money / need) END AS filled FROM tot)"""
+    final = f"""SELECT account, trade_date, code, side, intended AS intended_notional, filled AS filled_notional, filled * {rate} AS trading_cost, reason AS block_reason,
+  have + coalesce(CASE WHEN side = 'buy' THEN filled ELSE -filled END / price, 0) AS shares_after,
+  greatest(0, money - coalesce(sum(CASE WHEN side = 'buy' THEN filled * {1 + rate} END) OVER (PARTITION BY account, trade_date), 0)) AS cash_after FROM fil"""
+    return rounded(EVAL + books + body, final, ["intended_notional", "filled_notional", "trading_cost", "shares_after", "cash_after"], 4)
