@@ -1,15 +1,18 @@
 """Rolling features per security: 13 ratios of one row, and 29 families over five windows.
 
-All columns share one partitioning and order, so one ``select`` costs one shuffle and one sort.
+All columns share one partitioning and order, so the whole set costs one shuffle and one sort.
 Partial frames give values; a NULL result stands for every non-finite one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepanel.functions.core import EPS, clean, frame, sdiv, series
 
@@ -67,25 +70,6 @@ def _regression(d: int, w: Frames, what: str) -> Column:
     return sdiv(F.when(enough & c.isNotNull(), c - (w("level", d, F.regr_intercept(c, rn)) + slope * rn)), c)
 
 
-def _listed(column: str, d: int, w: Frames) -> Column:
-    """The frame's values in order, NULLs among them."""
-    return F.transform(w(f"rows_{column}", d, F.collect_list(F.struct(F.col(column).alias("x")))), lambda r: r["x"])
-
-
-def _place(d: int, w: Frames, column: str, top: bool) -> Column:
-    """1-based position of the first extreme in the frame, over d; a NULL in the frame is the extreme."""
-    values = _listed(column, d, w)
-    best = w(f"max_{column}", d, F.max(column)) if top else w(f"min_{column}", d, F.min(column))
-    missing = F.array_position(F.transform(values, lambda x: x.isNull()), F.lit(True))
-    return F.when(missing > 0, missing).otherwise(F.array_position(values, best)).cast("double") / d
-
-
-def _rank(d: int, w: Frames) -> Column:
-    known = w("known_close", d, F.collect_list("close"))
-    below, equal = F.size(F.filter(known, lambda x: x < F.col("close"))), F.size(F.filter(known, lambda x: x == F.col("close")))
-    return F.when(F.col("close").isNotNull(), (below + (equal + 1) / 2) / F.size(known))
-
-
 def _corr(d: int, w: Frames, name: str, x: str, y: str) -> Column:
     """Pearson correlation over rows where both are known; NULL for fewer than two or a constant side."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
@@ -128,7 +112,8 @@ def _low(d: int, w: Frames) -> Column:
     return w("min_low", d, F.min("low"))
 
 
-FAMILIES: dict[str, Callable[[int, Frames], Column]] = {
+#: In catalog order; those without a column come from ``order_statistics``.
+FAMILIES: dict[str, Callable[[int, Frames], Column] | None] = {
     "roc": lambda d, w: sdiv(w("lag_close", d, F.lag("close", d), series()), _c()),
     "ma": lambda d, w: sdiv(_mean("close", d, w), _c()),
     "std": lambda d, w: sdiv(_std("close", d, w), _c()),
@@ -137,13 +122,13 @@ FAMILIES: dict[str, Callable[[int, Frames], Column]] = {
     "resi": lambda d, w: _regression(d, w, "rest"),
     "max": lambda d, w: sdiv(_high(d, w), _c()),
     "min": lambda d, w: sdiv(_low(d, w), _c()),
-    "qtlu": lambda d, w: sdiv(w("p80_close", d, F.percentile("close", 0.8)), _c()),
-    "qtld": lambda d, w: sdiv(w("p20_close", d, F.percentile("close", 0.2)), _c()),
-    "rank": _rank,
+    "qtlu": None,
+    "qtld": None,
+    "rank": None,
     "rsv": lambda d, w: sdiv(_c() - _low(d, w), _high(d, w) - _low(d, w) + EPS),
-    "imax": lambda d, w: _place(d, w, "high", True),
-    "imin": lambda d, w: _place(d, w, "low", False),
-    "imxd": lambda d, w: _place(d, w, "high", True) - _place(d, w, "low", False),
+    "imax": None,
+    "imin": None,
+    "imxd": None,
     "corr": lambda d, w: _corr(d, w, "corr", "close", "lv"),
     "cord": lambda d, w: _corr(d, w, "cord", "cr", "vr"),
     "cntp": lambda d, w: _mean("up", d, w),
@@ -161,17 +146,94 @@ FAMILIES: dict[str, Callable[[int, Frames], Column]] = {
 }
 
 
+def _frames(x: np.ndarray, place: np.ndarray, d: int) -> np.ndarray:
+    """The frames of the last rows as rows of a matrix, the latest value last; NaN before a series starts.
+
+    ``x`` has d - 1 rows more than ``place``, before them.
+    """
+    frames = np.lib.stride_tricks.sliding_window_view(x, d)
+    return np.where(np.arange(d) < (d - np.minimum(place, d))[:, None], np.nan, frames)
+
+
+def _quantile(ordered: np.ndarray, known: np.ndarray, share: float) -> np.ndarray:
+    """Linear interpolation in rows sorted with NaN last."""
+    at = share * np.maximum(known - 1, 0)
+    low, row = np.floor(at).astype(np.int64), np.arange(len(ordered))
+    a, b = ordered[row, low], ordered[row, np.ceil(at).astype(np.int64)]
+    return a + (at - low) * (b - a)
+
+
+def _extreme(frames: np.ndarray, place: np.ndarray, top: bool) -> np.ndarray:
+    """1-based place of the first extreme in each frame; a NaN in the frame is the extreme."""
+    d = frames.shape[1]
+    before = d - np.minimum(place, d)
+    filled = np.where(np.arange(d) < before[:, None], -np.inf if top else np.inf, frames)
+    return (filled.argmax(1) if top else filled.argmin(1)) - before + 1.0
+
+
+def order_statistics(close: np.ndarray, high: np.ndarray, low: np.ndarray, place: np.ndarray, families: list[str], d: int) -> dict[str, np.ndarray]:
+    """The families that need the order of a frame's values, for rows side by side in order of (series, date); NaN is missing.
+
+    ``place`` is each row's number in its series; the values have d - 1 rows more, before these.  Frames are sorted once for both quantiles.
+    """
+    own, frames, made = close[d - 1 :], _frames(close, place, d), {}
+    known = (~np.isnan(frames)).sum(1)
+    if {"qtlu", "qtld"} & set(families):
+        ordered = np.sort(frames, 1)
+        made |= {"qtlu": _quantile(ordered, known, 0.8) / own, "qtld": _quantile(ordered, known, 0.2) / own}
+    if "rank" in families:
+        made["rank"] = np.where(np.isnan(own), np.nan, ((frames < own[:, None]).sum(1) + ((frames == own[:, None]).sum(1) + 1) / 2) / known)
+    if {"imax", "imin", "imxd"} & set(families):
+        top, bottom = _extreme(_frames(high, place, d), place, True), _extreme(_frames(low, place, d), place, False)
+        made |= {"imax": top / d, "imin": bottom / d, "imxd": (top - bottom) / d}
+    return {f: made[f] for f in families}
+
+
+def _ordered(families: list[str], windows: tuple[int, ...], names: list[str]):
+    """Batches of rows in order of (security, date) with those families; the last rows of a batch are kept for the next one's frames."""
+    reach = max(windows) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail, last = np.full((3, reach), np.nan), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("close", "high", "low")])
+            place = batch.column("rn").to_numpy().astype(np.int64)
+            if not ((place == 1) | (place == np.concatenate([[last], place[:-1]]) + 1)).all():
+                raise ValueError("rows are not in order of (security, date)")
+            x, last, new = np.concatenate([tail, x], 1), int(place[-1]), {}
+            with np.errstate(all="ignore"):
+                for d in windows:
+                    values = x[:, reach - d + 1 :]
+                    new |= {f"{f}{d}": v for f, v in order_statistics(*values, place, families, d).items()}
+            tail = x[:, x.shape[1] - reach :]
+            made = {n: pa.array(np.where(np.isfinite(v), v, np.nan), from_pandas=True) for n, v in new.items()}
+            yield pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(n) for n in names], names=names)
+
+    return run
+
+
 def rolling_features(panel: DataFrame, families: list[str] | None = None, windows: tuple[int, ...] = WINDOWS, carry: tuple[str, ...] = ()) -> DataFrame:
     """``trade_date, security_id``, the columns to ``carry``, and ``<family><d>`` for each family and window, in catalog order.
 
     A window of nothing but one row has no deviation, slope or correlation (NULL).  On a
-    constant window CORR and CORD are NULL.  Keys must be unique per security.
+    constant window CORR and CORD are NULL.  Keys must be unique per security.  Quantiles, ranks and places of extremes are taken
+    from sorted frames in Arrow batches, in the order that the windows leave (and that is checked); the rest are window columns.
     """
     w, keys = Frames(), ("trade_date", "security_id", *carry)
-    made = {f"{f}{d}": FAMILIES[f](d, w) for f in families or FAMILIES for d in windows}
+    chosen = list(families or FAMILIES)
+    by_order = [f for f in chosen if FAMILIES[f] is None]
+    made = {f"{f}{d}": FAMILIES[f](d, w) for f in chosen for d in windows if f not in by_order}
+    base = ("close", "high", "low", "rn") if by_order else ()
     rows = prepared(panel, *carry).select("*", *(x.alias(n) for n, x in w.made.items()))
-    rows = rows.select(*keys, *(x.alias(n) for n, x in made.items()))
-    return rows.select(*keys, *(clean(F.col(n)).alias(n) for n in made))
+    rows = rows.select(*keys, *base, *(x.alias(n) for n, x in made.items()))
+    rows = rows.select(*keys, *base, *(clean(F.col(n)).alias(n) for n in made))
+    if not by_order:
+        return rows
+    names = [*keys, *(f"{f}{d}" for f in chosen for d in windows)]
+    schema = T.StructType([rows.schema[n] if n in rows.columns else T.StructField(n, T.DoubleType()) for n in names])
+    return rows.mapInArrow(_ordered(by_order, windows, names), schema)
 
 
 def feature_names() -> list[str]:
