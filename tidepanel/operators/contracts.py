@@ -66,13 +66,15 @@ def all_true(df: DataFrame, flag: str) -> bool:
 
 
 def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join that must keep every row of both sides once."""
-    require_unique(left, keys)
-    require_unique(right, keys)
-    joined = left.join(right, keys)
-    if not left.count() == right.count() == joined.count():
-        raise ContractError("the join is not one to one")
-    return joined
+    """Inner join that must keep every row of both sides once; a NULL in a key meets nothing and is refused.
+
+    One pass counts both sides' rows by key.
+    """
+    count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    both = count(left, "_l").join(count(right, "_r"), keys, "full")
+    if bad := both.where("coalesce(_l, 0) <> 1 or coalesce(_r, 0) <> 1").limit(1).collect():
+        raise ContractError(f"the join is not one to one: {bad[0]}")
+    return left.join(right, keys)
 
 
 def label_gap(a: DataFrame, b: DataFrame, keys: list[str], label: str) -> DataFrame:

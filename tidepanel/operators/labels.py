@@ -84,9 +84,10 @@ def as_of(panel: DataFrame, calendar: DataFrame, value: str, sessions: int) -> D
     order = Window.orderBy("trade_date")
     numbered = panel.select("trade_date").distinct().withColumn("n", F.row_number().over(order))
     rows = panel.where(F.col(value).isNotNull()).join(F.broadcast(numbered), "trade_date").select("security_id", "n", value)
-    reach = F.explode(F.sequence(F.col("n"), F.col("n") + sessions)).alias("at")
     signals = calendar.select(F.col("signal_date").alias("trade_date")).join(numbered, "trade_date").select(F.col("trade_date").alias("signal_date"), F.col("n").alias("at"))
-    found = rows.select("security_id", "n", value, reach).join(F.broadcast(signals), "at")
+    # a row per signal and session in its reach: rows that no signal reaches fall out, none is copied but for signals that it serves
+    reach = signals.select("signal_date", "at", F.explode(F.sequence(F.col("at") - sessions, F.col("at"))).alias("n"))
+    found = rows.join(F.broadcast(reach), "n")
     return found.groupBy("signal_date", "security_id").agg(F.max_by(value, "n").alias(value), (F.first("at") - F.max("n")).alias("age"))
 
 

@@ -606,8 +606,8 @@ def modelled(s: SparkSession, d: str, names: list[str]) -> DataFrame:
 
 
 def _weighted(rows: DataFrame) -> DataFrame:
-    train = rows.where("role = 'train'")
-    return cross_section.equal_date_weights(train.withColumn("_k", F.struct("fold", "signal_date")), "_k")
+    """Train rows with ``weight``, whose mean is 1 in each fold."""
+    return tree_track.date_weights(rows.where("role = 'train'")).withColumnRenamed("w", "weight")
 
 
 def _coefficients(rows: DataFrame) -> DataFrame:
