@@ -256,10 +256,12 @@ def test_ridge_matches_the_closed_form(spark):
     assert [got[1.0, "a"], got[1.0, "b"]] == pytest.approx(list(beta))
 
 
-def test_tree_track_searches_all_candidates_and_scores_test_rows_once(spark, small):
+def test_tree_track_searches_all_candidates_and_scores_test_rows_once(spark, small, monkeypatch):
     from tidepanel.operators import models, trees
     from tidepanel.plans import registry, tree_track
 
+    monkeypatch.setattr(tree_track, "ROUNDS", 2)
+
     names = {f[0] for f in registry.FOLDS}
     found = registry.candidate_search(spark, small).collect()
     assert {(r.fold, r.candidate_id) for r in found} == {(f, k) for f in names for k in range(16)} and len(found) == 64

@@ -40,7 +40,7 @@ def _stamp(s: SparkSession, d: str) -> tuple:
 
 def fitted(s: SparkSession, d: str, rows: DataFrame, candidates: list[dict]) -> trees.Fitted:
     """Trees of the candidates for every fold; a session fits the same candidates on the same files once."""
-    key = (_stamp(s, d), repr(candidates))
+    key = (_stamp(s, d), repr(candidates), ROUNDS, PATIENCE)
     if key not in _FITTED:
         names = feature_names()
         _FITTED[key] = trees.fit(rows, names, candidates, trees.normal_cuts(len(names)), ROUNDS, PATIENCE)
