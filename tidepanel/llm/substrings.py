@@ -49,32 +49,36 @@ def anchors(words: tc.Words, short: np.ndarray, window: int, level: int) -> np.n
     return np.flatnonzero((best == short) & (best > 0))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in tc.slices(batches):
-        n, sha = [], []
-        for text in batch.column("text").to_pylist():
-            words = (text or "").encode().split()
-            n.append(len(words))
-            sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t1"), batch.column("t2"), pa.array(n, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "t1", "t2", "n_words", "sha"])
+def _read(window: int, level: int, double: int):
+    """Per text its word count, the digest of its words and its anchors, all from one pass."""
 
-
-def _anchored(window: int, level: int, double: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tc.slices(batches):
+            n, sha = [], []
+            for text in batch.column("text"):
+                words = (text.as_py() or "").encode().split()
+                n.append(len(words))
+                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
+                del words
             data, offsets = tc.buffers(batch.column("text"))
-            ids, t1 = batch.column("doc_id"), batch.column("t1")
+            counts, found = [np.zeros(1, np.int64)], []
             for i, j, part, offs in tc.chunked(data, offsets):
                 words = tc.Words(part, offs, tc.SPACES)
-                h = words.hashes()
-                made = tc.grams(h, [level, double])
+                made = tc.grams(words.hashes(), [level, double])
                 at = anchors(words, made[level], window, level)
                 text = np.searchsorted(words.first, at, "right") - 1
+                counts.append(np.bincount(text, minlength=j - i))
                 last = len(made[double]) - 1
                 right = made[double][np.minimum(at, last)] if last >= 0 else at.astype(np.uint64)
                 left = made[double][np.clip(at - (double - level), 0, last)] if last >= 0 else at.astype(np.uint64)
-                take = pa.array(i + text)
-                yield pa.RecordBatch.from_arrays([ids.take(take), t1.take(take), pa.array((at - words.first[text]).astype(np.int32)), pa.array(tc.signed(made[level][at])), pa.array(tc.signed(right)), pa.array(tc.signed(left))], names=["doc_id", "t1", "pos", "h", "right", "left"])
+                found.append(((at - words.first[text]).astype(np.int32), tc.signed(made[level][at]), tc.signed(right), tc.signed(left)))
+            columns = [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)]
+            runs = pa.StructArray.from_arrays(columns, names=["pos", "h", "right", "left"])
+            runs = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)).astype(np.int32)), runs)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("t1"), batch.column("t2"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), runs],
+                names=["doc_id", "t1", "t2", "n_words", "sha", "runs"],
+            )
 
     return run
 
@@ -146,10 +150,13 @@ def repeated_windows(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     level, double = max(1, (window + 3) // 4), max(1, window // 2)
     text = F.col(text_col)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.hash(text).alias("t2"))
-    counted = written(base.mapInArrow(_counted, "doc_id long, t1 long, t2 int, n_words long, sha string"), "counted")
+    kind = "doc_id long, t1 long, t2 int, n_words long, sha string, runs array<struct<pos:int,h:long,right:long,left:long>>"
+    both = written(base.mapInArrow(_read(window, level, double), kind), "read")
+    counted = both.drop("runs")
     reps = written(counted.where(f"n_words >= {window} and doc_id is not null").groupBy("t1", "t2").agg(F.min("doc_id").alias("rep")), "reps")
 
-    first = written(_repeated(base.where("doc_id is not null").mapInArrow(_anchored(window, level, double), "doc_id long, t1 long, pos int, h long, right long, left long"), "h"), "level1")
+    runs = both.where("doc_id is not null").select("doc_id", "t1", F.explode("runs").alias("r")).select("doc_id", "t1", "r.*")
+    first = written(_repeated(runs, "h"), "level1")
     half = window - double
     sides = F.array(
         F.struct(F.col("right").alias("h"), (F.col("pos") - half).alias("lo"), F.col("pos").alias("hi")),
