@@ -3,10 +3,12 @@
 Distinct vectors are dealt over shards by space: the top splits of a KD-tree, fitted on a
 bounded sample, send each vector to a cell; a cell with too many vectors is dealt on by
 hash.  Each shard becomes one tree of median splits with tight bounding boxes, built and
-stored once.  A query first searches the shard whose box allows the largest product, and
-its kth score there is handed on as a bound: only shards whose box can reach it see the
-query at all.  Inside a tree, nodes are visited best first by their boxes' bounds, below
-which the kth best score so far ends the search.
+stored once.  Up to ``GROUP`` shards of neighbouring cells form a group.  A query first
+searches the group with the shard whose box allows the largest product, and its kth score
+there is handed on as a bound: only groups with a shard whose box can reach it see the
+query, one row each with a bit per shard.  In a group shards are walked in the order of
+their boxes' bounds, each taking over the kth score of those before; inside a tree, nodes
+are visited best first, and the kth best score so far ends the search.
 """
 
 from __future__ import annotations
@@ -25,7 +27,10 @@ from tidepanel.llm.store import written
 
 LEAF = 256
 #: Bytes of boxes that are broadcast at once, and of vectors in one tree.
-BOX_BYTES, TREE_BYTES = 32 << 20, 16 << 20
+BOX_BYTES, TREE_BYTES = 32 << 20, 4 << 20
+#: Neighbouring cells, and parts of a cell, whose shards form a group; a group has at most their product.
+GROUP_CELLS, GROUP_PARTS = 8, 2
+GROUP = GROUP_CELLS * GROUP_PARTS
 
 
 @dataclass
@@ -167,42 +172,75 @@ def _celled(splits):
 
 def _grown(f: pd.DataFrame) -> pd.DataFrame:
     tree = build(_matrix(f["v"]), f["id"].to_numpy(np.int64))
-    return pd.DataFrame({"shard": [f["shard"].iloc[0]], "dim": [f["dim"].iloc[0]], "low": [tree.low[0]], "high": [tree.high[0]], "tree": [tree.packed()]})
+    return f.iloc[:1][["team", "slot", "dim"]].assign(low=[tree.low[0]], high=[tree.high[0]], tree=[tree.packed()])
 
 
-def _reached(boxes, best_only: bool):
-    """Queries with the shards they may find something in: the most promising one, or all whose box reaches their bound."""
+def _homed(boxes):
+    """Queries with the group of the shard whose box allows the largest product."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, by_dim = boxes.value
         for f in frames:
-            for dim, rows in f.groupby("dim").indices.items():
-                if dim not in by_dim:
-                    continue
-                place, low, high = by_dim[dim]
-                step = max(1, (1 << 21) // len(place))
-                for i in range(0, len(rows), step):
-                    part = f.iloc[rows[i : i + step]]
-                    allowed = limits(_matrix(part["v"]), low, high)
-                    if best_only:
-                        q, s = np.arange(len(part)), allowed.argmax(1)
-                    else:
-                        floor = part["bound"].fillna(-np.inf).to_numpy(np.float64)
-                        q, s = np.nonzero(allowed >= floor[:, None])
-                    out = part.iloc[q].assign(shard=names[place[s]], allowed=allowed[q, s])
-                    yield out if best_only else out[out["shard"] != out["home"]]
+            for part, allowed, (team, _, names) in _allowed(f, boxes.value):
+                best = allowed.argmax(1)
+                yield part.assign(team=names[team[best]], allowed=allowed[np.arange(len(part)), best])
+
+    return run
+
+
+def _reached(boxes):
+    """Queries with each other group they may find something in, and a bit for each of its shards whose box reaches their bound."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for part, allowed, (team, slot, names) in _allowed(f, boxes.value):
+                floor = part["bound"].fillna(-np.inf).to_numpy(np.float64)
+                q, s = np.nonzero(allowed >= floor[:, None])
+                # Boxes come ordered by group, so the shards of one query and group are neighbours here.
+                pair = q * len(names) + team[s]
+                at = np.flatnonzero(np.diff(pair, prepend=-1))
+                if len(at):
+                    out = part.iloc[q[at]].assign(team=names[team[s[at]]], mask=np.bitwise_or.reduceat(np.left_shift(1, slot[s]), at))
+                    yield out[out["team"] != out["home"]]
 
     return run
 
 
-def _shard_search(k: int):
-    def run(trees: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+def _allowed(f: pd.DataFrame, by_dim: dict):
+    """Parts of the frame by vector length, with what each box allows, and the boxes' groups, slots and group names."""
+    for dim, rows in f.groupby("dim").indices.items():
+        if dim in by_dim:
+            *named, low, high = by_dim[dim]
+            step = max(1, (1 << 21) // len(low))
+            for i in range(0, len(rows), step):
+                part = f.iloc[rows[i : i + step]]
+                yield part, limits(_matrix(part["v"]), low, high), named
+
+
+def walk(trees: list[Tree], query: np.ndarray, own: int, k: int, bound: float) -> list[tuple[float, int]]:
+    """Up to k (score, id) over several trees, best bound first; the kth score is handed on from tree to tree."""
+    best: dict[int, float] = {}
+    roots = [float(limits(query, t.low[:1], t.high[:1])[0]) for t in trees]
+    for place in sorted(range(len(trees)), key=lambda t: -roots[t]):
+        if roots[place] < bound:
+            break
+        for score, i in search(trees[place], query, own, k, bound):
+            best[i] = max(score, best.get(i, score))
+        ranked = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
+        best = dict(ranked)
+        if len(ranked) == k:
+            bound = max(bound, ranked[-1][1])
+    return [(s, i) for i, s in best.items()]
+
+
+def _group_search(k: int):
+    def run(shards: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(trees) and len(queries):
-            tree = Tree.unpacked(trees["tree"].iloc[0])
+        if len(shards) and len(queries):
+            trees = {int(slot): Tree.unpacked(tree) for slot, tree in zip(shards["slot"], shards["tree"], strict=True)}
             bounds = queries["bound"].fillna(-np.inf).to_numpy(np.float64)
-            for query, own, bound in zip(_matrix(queries["v"]), queries["id"], bounds, strict=True):
-                out += [(own, i, int(s)) for s, i in search(tree, query, own, k, bound)]
+            for query, own, bound, mask in zip(_matrix(queries["v"]), queries["id"], bounds, queries["mask"], strict=True):
+                wanted = [tree for slot, tree in trees.items() if mask >> slot & 1]
+                out += [(own, i, int(s)) for s, i in walk(wanted, query, own, k, bound)]
         return pd.DataFrame(np.array(out, np.int64).reshape(-1, 3), columns=["query_id", "vec_id", "score"])
 
     return run
@@ -222,7 +260,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     take no part; fewer candidates give fewer rows; empty tables give none; other columns are ignored.
     About ``sample_rows`` vectors, drawn by hash, fit the splits that deal vectors over shards; that
     bears on speed alone.  Boxes are broadcast ``BOX_BYTES`` at a time; a tree holds at most about
-    ``shard_rows`` vectors and ``TREE_BYTES``, and meets ``query_rows`` queries in a task.
+    ``shard_rows`` vectors and ``TREE_BYTES``, and ``GROUP`` trees meet ``query_rows`` queries in a task.
     """
     spark = vectors.sparkSession
     # Of equal vectors the k + 1 smallest ids are enough for any query; Spark prunes them before the shuffle.
@@ -242,41 +280,47 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     # A row per cell, so about two per ``rows_each`` vectors.
     cells = celled.groupBy("dim", "cell").agg(F.ceil(F.count("*") / rows_each).alias("parts"))
     part = F.pmod(F.xxhash64("v"), F.col("parts"))
-    dealt = celled.join(cells.hint("shuffle_hash"), ["dim", "cell"]).withColumn("shard", F.concat_ws("-", "dim", "cell", part))
-    trees = written(dealt.select("id", "v", "dim", "shard").groupBy("shard").applyInPandas(_grown, "shard string, dim int, low array<double>, high array<double>, tree binary"), "trees")
+    dealt = celled.join(cells.hint("shuffle_hash"), ["dim", "cell"]).withColumn("part", part)
+    team = F.concat_ws("-", "dim", F.floor(F.col("cell") / GROUP_CELLS), F.floor(F.col("part") / GROUP_PARTS))
+    slot = (F.pmod("cell", F.lit(GROUP_CELLS)) * GROUP_PARTS + F.pmod("part", F.lit(GROUP_PARTS))).cast("int")
+    dealt = dealt.select("id", "v", "dim", team.alias("team"), slot.alias("slot"))
+    trees = written(dealt.groupBy("team", "slot").applyInPandas(_grown, "team string, slot int, dim int, low array<double>, high array<double>, tree binary"), "trees")
 
-    boxes = trees.select("shard", "dim", "low", "high")
+    boxes = trees.select("team", "slot", "dim", "low", "high")
     rounds = max(1, -(-trees.count() * 16 * max(1, widest) // BOX_BYTES))
 
-    def reached(asked: DataFrame, schema: str, best_only: bool) -> DataFrame:
+    def met(asked: DataFrame, schema: str, kernel) -> DataFrame:
+        """What the kernel finds for the queries in the boxes, a bounded share of the groups at a time."""
         out = None
         for turn in range(rounds):
-            by_dim, names = {}, []
-            for r in boxes.where(F.pmod(F.xxhash64("shard"), F.lit(rounds)) == turn).toLocalIterator():
-                for kept, value in zip(by_dim.setdefault(r["dim"], ([], [], [])), (len(names), r["low"], r["high"]), strict=True):
-                    kept.append(value)
-                names.append(r["shard"])
-            arrays = {d: (np.array(p), np.array(lo, np.float64).reshape(len(p), d), np.array(hi, np.float64).reshape(len(p), d)) for d, (p, lo, hi) in by_dim.items()}
-            shared = spark.sparkContext.broadcast((np.array(names, object), arrays))
-            found = asked.mapInPandas(_reached(shared, best_only), schema)
-            out = found if out is None else out.unionByName(found)
+            by_dim: dict[int, list] = {}
+            for r in boxes.where(F.pmod(F.xxhash64("team"), F.lit(rounds)) == turn).toLocalIterator():
+                by_dim.setdefault(r["dim"], []).append((r["team"], r["slot"], r["low"], r["high"]))
+            arrays = {}
+            for dim, found in by_dim.items():
+                found.sort(key=lambda x: x[:2])
+                names, place = np.unique(np.array([x[0] for x in found], object), return_inverse=True)
+                low, high = (np.array([x[n] for x in found], np.float64).reshape(len(found), dim) for n in (2, 3))
+                arrays[dim] = (place, np.array([x[1] for x in found], np.int64), names, low, high)
+            part = asked.mapInPandas(kernel(spark.sparkContext.broadcast(arrays)), schema)
+            out = part if out is None else out.unionByName(part)
         return out
 
     n_blocks = max(1, -(-queries.count() // query_rows))
 
     def searched(asked: DataFrame) -> DataFrame:
-        asked = asked.select("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_blocks)).alias("block"), "id", "v", "bound")
-        needed = asked.select(F.col("shard").alias("_shard"), F.col("block").alias("_block")).distinct()
-        grown = trees.join(needed, F.col("shard") == F.col("_shard")).select(F.col("_shard").alias("shard"), F.col("_block").alias("block"), "tree")
-        found = grown.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(_shard_search(k), "query_id long, vec_id long, score long")
+        asked = asked.select("team", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_blocks)).alias("block"), "id", "v", "bound", "mask")
+        needed = asked.select(F.col("team").alias("_team"), F.col("block").alias("_block")).distinct()
+        grown = trees.join(needed, F.col("team") == F.col("_team")).select("team", F.col("_block").alias("block"), "slot", "tree")
+        found = grown.groupBy("team", "block").cogroup(asked.groupBy("team", "block")).applyInPandas(_group_search(k), "query_id long, vec_id long, score long")
         return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
     kind = "id long, v array<double>, dim int"
-    best = reached(queries, f"{kind}, shard string, allowed double", True)
-    homes = written(best.groupBy("id", "v", "dim").agg(F.max_by("shard", F.struct("allowed", "shard")).alias("home")), "homes")
-    pilot = written(searched(homes.select("id", "v", F.col("home").alias("shard"), F.lit(None).cast("double").alias("bound"))), "pilot")
+    best = met(queries, f"{kind}, team string, allowed double", _homed)
+    homes = written(best.groupBy("id", "v", "dim").agg(F.max_by("team", F.struct("allowed", "team")).alias("home")), "homes")
+    pilot = written(searched(homes.select("id", "v", F.col("home").alias("team"), F.lit(None).cast("double").alias("bound"), F.lit((1 << GROUP) - 1).cast("long").alias("mask"))), "pilot")
     kth = pilot.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("bound"))
-    wide = written(reached(homes.join(kth, "id", "left"), f"{kind}, home string, bound double, shard string, allowed double", False), "pairs")
+    wide = written(met(homes.join(kth, "id", "left"), f"{kind}, home string, bound double, team string, mask long", _reached), "reached")
     found = pilot.unionByName(searched(wide)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
