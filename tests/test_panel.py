@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.operators import contracts, cross_section, evidence, factors, labels, models, portfolio, rolling
+from tidepanel.operators import catalog, contracts, cross_section, evidence, factors, labels, models, portfolio, rolling
 from tidepanel.sources import panel, sinks
 
 DAY = dt.date(2024, 1, 1)
@@ -70,7 +70,18 @@ def test_rolling_families_against_numpy(spark):
         assert got[i].rank5 == pytest.approx(((w < c[i]).sum() + 1) / len(w))
         assert got[i].qtlu5 == pytest.approx(np.quantile(w, 0.8) / c[i])
     assert got[9].imax5 == pytest.approx(3 / 5)  # the missing high is the first extreme of its frame
-    assert rolling.catalog(spark).count() == 158
+
+
+def test_catalog_describes_every_feature(spark):
+    rows = catalog.catalog(spark).orderBy("position").collect()
+    assert [r.name.lower() for r in rows] == rolling.feature_names() and [r.position for r in rows] == list(range(1, 159))
+    by_name = {r.name: r for r in rows}
+    assert by_name["QTLU30"].expression == "Quantile($close, 30, 0.8)/$close" and by_name["QTLU30"].window == 30
+    assert (by_name["MIN5"].operator, by_name["LOW0"].operator) == ("LOW", "LOW_PRICE")
+    assert by_name["RSV60"].required_inputs == "close,high,low" and by_name["KMID"].economic_interpretation == "intraday body return"
+    assert not any("<d>" in x for r in rows for x in r if isinstance(x, str)) and all(x is not None for r in rows for x in r)
+    counts = spark.createDataFrame([("roc5", 3), ("other", 1)], "column string, violations long")
+    assert {r.column: (r.violations, r.operator) for r in catalog.described(counts).collect()} == {"roc5": (3, "ROC"), "other": (1, None)}
 
 
 def test_factor_preparation_clips_and_imputes(spark):

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -245,12 +245,3 @@ def all_features(panel: DataFrame) -> DataFrame:
     """The whole set: 13 row ratios and 145 rolling features, with one shuffle by security."""
     ratios = {n: clean(x) for n, x in candles().items()}
     return rolling_features(panel.withColumns(ratios), carry=tuple(ratios))
-
-
-def catalog(spark: SparkSession) -> DataFrame:
-    """``position, name, family, window, inputs``: one row per feature."""
-    inputs = {"max": "high,close", "min": "low,close", "rsv": "high,low,close", "imax": "high", "imin": "low", "imxd": "high,low", "corr": "close,volume", "cord": "close,volume", "vma": "volume", "vstd": "volume", "wvma": "close,volume", "vsump": "volume", "vsumn": "volume", "vsumd": "volume"}
-    rows = [(n, n, 0, "open,high,low,close" if n != "vwap0" else "vwap,close") for n in candles()]
-    rows += [(f"{f}{d}", f, d, inputs.get(f, "close")) for f in FAMILIES for d in WINDOWS]
-    assert len({r[0] for r in rows}) == 158
-    return spark.createDataFrame([(k + 1, *r) for k, r in enumerate(rows)], "position int, name string, family string, window int, inputs string")

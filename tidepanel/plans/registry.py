@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.canonical import canonical_json
 from tidepanel.functions.core import rounded, sdiv
-from tidepanel.operators import contracts, cross_section, evidence, factors, labels, models, portfolio, rolling, trees, user_factors
+from tidepanel.operators import catalog, contracts, cross_section, evidence, factors, labels, models, portfolio, rolling, trees, user_factors
 from tidepanel.plans import single_factor, tree_track
 from tidepanel.plans import sqltext as sql
 from tidepanel.sources import audit, layout, sinks
@@ -116,10 +116,15 @@ add(
     lambda s, d: contracts.unparsable_dates(sources.scan(s, f"{d}/orders.parquet"), "o_orderdate"),
     "SELECT count(*) FILTER (TRY_CAST(o_orderdate AS TIMESTAMP) IS NULL) AS violations FROM orders",
 )
+def missing_values(s: SparkSession, d: str) -> DataFrame:
+    return contracts.not_finite(rolling.all_features(P(s, d)), rolling.feature_names())
+
+
+add("v6_not_finite", missing_values, sql.not_finite([*sql.CANDLES], list(rolling.FAMILIES)))
 add(
-    "v6_not_finite",
-    lambda s, d: contracts.not_finite(rolling.rolling_features(P(s, d), ["roc"], (5, 60)), ["roc5", "roc60"]),
-    f"WITH {sql.Q}, f AS (SELECT {sql.family('roc', 5)} AS a, {sql.family('roc', 60)} AS z FROM q) SELECT 'roc5' AS \"column\", count(*) FILTER (a IS NULL) AS violations FROM f UNION ALL SELECT 'roc60', count(*) FILTER (z IS NULL) FROM f",
+    "r30_feature_catalog",
+    lambda s, d: catalog.described(missing_values(s, d)),
+    sql.described([*sql.CANDLES], list(rolling.FAMILIES), catalog.FEATURES),
 )
 add(
     "v7_all_members",
@@ -237,7 +242,7 @@ add(
 
 # Factors
 for k, name in enumerate(factors.FACTORS):
-    add(f"f{k + 1}_{name.lower()}", lambda s, d, name=name: factors.compute(marketed(s, d), name), sql.factor(name), 9 if name == "AMIHUD20" else 6)
+    add(f"f{k + 1}_{name.lower()}", lambda s, d, name=name: factors.compute(marketed(s, d), name), sql.factor(name), sql.factor_digits(name))
 
 
 def _reversal(rows):
@@ -761,8 +766,9 @@ add(
 )
 add(
     "z6_base_adjusted",
-    lambda s, d: labels.base_adjusted(P(s, d)).drop("volume"),
-    sql.rounded(sql.P, f"SELECT {KEYS}, " + ", ".join(f"adjusted_{c} / first_value(adjusted_close) OVER {sql.S} AS {c}" for c in ("open", "high", "low", "close")) + " FROM p", ["open", "high", "low", "close"]),
+    # Adjusted volumes are large, so their logarithm is compared.
+    lambda s, d: labels.base_adjusted(P(s, d)).withColumn("ln_volume", F.ln("volume")).drop("volume"),
+    sql.base_adjusted(KEYS),
 )
 add(
     "z9_parity",

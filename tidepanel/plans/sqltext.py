@@ -160,8 +160,13 @@ FACTORS = {
 }
 
 
+def factor_digits(name: str) -> int:
+    """Decimals that are compared; values near 1e-6 need more."""
+    return 14 if name == "AMIHUD20" else 6
+
+
 def factor(name: str) -> str:
-    return rounded(RP, f"SELECT trade_date, security_id, {FACTORS[name]} AS raw_value FROM mp", ["raw_value"], 9 if name == "AMIHUD20" else 6)
+    return rounded(RP, f"SELECT trade_date, security_id, {FACTORS[name]} AS raw_value FROM mp", ["raw_value"], factor_digits(name))
 
 
 def portfolios(h: int, k: int, q: int = 5, bps: float = 10.0) -> str:
@@ -325,3 +330,28 @@ fil AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 0 WHEN side = 'sell' THEN in
   have + coalesce(CASE WHEN side = 'buy' THEN filled ELSE -filled END / price, 0) AS shares_after,
   greatest(0, money - coalesce(sum(CASE WHEN side = 'buy' THEN filled * {1 + rate} END) OVER (PARTITION BY account, trade_date), 0)) AS cash_after FROM fil"""
     return rounded(EVAL + books + body, final, ["intended_notional", "filled_notional", "trading_cost", "shares_after", "cash_after"], 4)
+
+
+def not_finite(candles: list[str], families: list[str]) -> str:
+    """Missing values of each feature."""
+    cols = [*candles, *(f"{f}{d}" for f in families for d in WINDOWS)]
+    counts = ", ".join(f"count(*) FILTER ({c} IS NULL OR NOT isfinite({c})) AS {c}" for c in cols)
+    return f"WITH {features(candles, families).lstrip().lstrip(',')}, n AS (SELECT {counts} FROM af) UNPIVOT n ON COLUMNS(*) INTO NAME \"column\" VALUE violations"
+
+
+def described(candles: list[str], families: list[str], lines: str) -> str:
+    """Missing values of each feature beside the lines of the catalog, which DuckDB expands over the windows by itself."""
+    values = ", ".join(f"({k}, '{line}')" for k, line in enumerate(lines.strip().splitlines()))
+    return f"""WITH v AS ({not_finite(candles, families)}),
+t AS (SELECT * FROM (VALUES {values}) x(k, line)),
+e AS (SELECT k, w, string_split(replace(line, '<d>', w::VARCHAR), ' | ') AS x FROM t, (SELECT unnest({list(WINDOWS)}) AS w) WHERE contains(line, '<d>') OR w = {WINDOWS[0]}),
+c AS (SELECT CAST(row_number() OVER (ORDER BY k, w) AS INTEGER) AS position, x[1] AS name, x[2] AS expression, x[3] AS operator, x[4] AS family,
+  CAST(x[5] AS INTEGER) AS window, x[6] AS required_inputs, x[7] AS economic_interpretation, 'not_preassigned' AS expected_direction FROM e)
+SELECT "column", violations, c.* FROM v LEFT JOIN c ON lower(name) = "column\""""
+
+
+def base_adjusted(keys: str) -> str:
+    """Prices over the first close of the series, and the logarithm of volume times it."""
+    first, prices = f"first_value(adjusted_close) OVER {S}", ("open", "high", "low", "close")
+    columns = ", ".join(f"adjusted_{c} / {first} AS {c}" for c in prices)
+    return rounded(P, f"SELECT {keys}, {columns}, CASE WHEN volume * {first} > 0 THEN ln(volume * {first}) END AS ln_volume FROM p", [*prices, "ln_volume"])
