@@ -26,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best integer inner products of each vec_id divisible by 50, ties to smaller vec_id.
+
+    Null vectors and those with null or non-finite components take no part; an id is found once, repeated rows count as one;
+    other columns are ignored; no vectors, no rows.  Scores below 2^53 are exact, larger ones round.
+    """
     rows = table(spark, sf_dir, "embeddings")
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(~F.coalesce(bad, F.lit(True)))
@@ -50,6 +55,10 @@ def op2_license_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the base spans, and all spans, of every document.
+
+    Null and empty texts have none; repeated rows get a row each; a null id stays null; other columns are ignored; an empty table gives none.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan(docs, secrets.fit(docs))
     joined = F.concat_ws(",", F.transform("secret_spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
@@ -73,6 +82,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A language for every document, learned from rows that are not held out.
+
+    Null texts and texts without letters are ``und`` with score 0, as all are if no row has a language; a null id is not held out;
+    ties go to the smaller code; repeated rows get a row each; other columns are ignored; an empty table gives none.
+    """
     docs = table(spark, sf_dir, "documents")
     held = language.held_out(F.col("doc_id"))
     model = language.fit(docs.where(~held).select("doc_id", "text", "lang"))
@@ -81,14 +95,17 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document, how many of them go as repeats of a smaller doc_id, and the digest of the rest; edges as in ``substring_dedup``."""
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component and shingle count of every document; edges as in ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "documents"), NearDup(shingle=3, percent=85, bands=22))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark hits of every document; edges as in ``contamination``."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=NEAR_SLOP)
     return found.select(
         "doc_id",
@@ -102,10 +119,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy token counts of every document; edges as in ``token_counts``."""
     return token_counts(table(spark, sf_dir, "documents"), read_vocabulary(VOCABULARY))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document; edges as in ``mix``."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
