@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-SOME = ("s1_daily_panel", "v2_duplicate_keys", "c1_c13_row_ratios", "r5_rsqr", "r13_imax", "f5_idiovol20", "x1_preprocess", "x7_daily_ic", "w1_w3_periods_1d", "g18_cumulative_rank_ic", "w6_w7_rebalance_ledger", "g22_g23_run_manifest", "g14_run_quality")
+SOME = ("s1_daily_panel", "v2_duplicate_keys", "c1_c13_row_ratios", "r5_rsqr", "r13_imax", "f5_idiovol20", "x1_preprocess", "x7_daily_ic", "w1_w3_periods_1d", "g18_cumulative_rank_ic", "w6_w7_rebalance_ledger", "g22_g23_run_manifest", "g14_run_quality", "z6_base_adjusted", "f8_amihud20")
 
 
 def plain(v):
