@@ -1,6 +1,6 @@
 """Rolling features per security: 13 ratios of one row, and 29 families over five windows.
 
-All columns share one partitioning and order, so the whole set costs one shuffle and one sort.
+All columns share one partitioning and order, so the whole set costs one shuffle and one sort; frames are evaluated in Arrow batches.
 Partial frames give values; a NULL result stands for every non-finite one.
 """
 
@@ -10,11 +10,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepanel.functions.core import EPS, clean, frame, sdiv, series
+from tidepanel.functions.core import EPS, clean, sdiv, series
 
 #: Window lengths, and the least sample deviation for which a fit is meaningful.
 WINDOWS = (5, 10, 20, 30, 60)
@@ -32,17 +32,6 @@ def candles() -> dict[str, Column]:
     }
 
 
-class Frames:
-    """Windowed columns by name; each is computed once, whatever the number of features that use it."""
-
-    def __init__(self) -> None:
-        self.made: dict[str, Column] = {}
-
-    def __call__(self, name: str, d: int, x: Column, w: WindowSpec | None = None) -> Column:
-        self.made.setdefault(f"{name}_{d}", x.over(frame(d) if w is None else w))
-        return F.col(f"{name}_{d}")
-
-
 def prepared(panel: DataFrame, *carry: str) -> DataFrame:
     """Base fields with what several families need of the row before; ``carry`` names columns to keep."""
     s = series()
@@ -58,91 +47,138 @@ def prepared(panel: DataFrame, *carry: str) -> DataFrame:
     )
 
 
-def _regression(d: int, w: Frames, what: str) -> Column:
-    """Slope, fit or residual of close on row position; NULL for fewer than two points."""
-    c, rn = F.col("close"), F.col("rn")
-    enough = w("n_close", d, F.count("close")) >= 2
-    if what == "fit":
-        return F.when(enough & (w("std_close", d, F.stddev_samp("close")) > LEAST_STD), w("r2", d, F.regr_r2(c, rn)))
-    slope = w("slope", d, F.regr_slope(c, rn))
-    if what == "slope":
-        return sdiv(F.when(enough, slope), c)
-    return sdiv(F.when(enough & c.isNotNull(), c - (w("level", d, F.regr_intercept(c, rn)) + slope * rn)), c)
-
-
-def _corr(d: int, w: Frames, name: str, x: str, y: str) -> Column:
-    """Pearson correlation over rows where both are known; NULL for fewer than two or a constant side."""
-    both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
-    return sdiv(w(f"{name}_xy", d, F.covar_pop(a, b)), w(f"{name}_x", d, F.stddev_pop(a)) * w(f"{name}_y", d, F.stddev_pop(b)))
+class Sums:
+    """Sums over the last d rows of each row's series, for rows side by side in order of (series, date).
 
+    ``values`` have ``reach`` rows more than ``place``, before them; ``known`` tells which are not NULL.  A frame's values meet lag after lag,
+    so that one walk over the lags serves all windows.  They are taken as differences from the latest known value, which
+    is one of the frame's own: a constant frame has a deviation of exactly 0, and means far from 0 cost no digits.
+    """
 
-def _mean(column: str, d: int, w: Frames) -> Column:
-    return w(f"avg_{column}", d, F.avg(column))
+    def __init__(self, values: dict[str, np.ndarray], known: dict[str, np.ndarray], place: np.ndarray, windows: tuple[int, ...], reach: int) -> None:
+        self.values, self.known, self.place, self.windows, self.reach = values, known, place, windows, reach
+        self.made: dict[tuple, dict[int, np.ndarray]] = {}
+
+    def at(self, x: np.ndarray, lag: int) -> np.ndarray:
+        return x[self.reach - lag : self.reach - lag + len(self.place)]
+
+    def own(self, name: str) -> np.ndarray:
+        return np.where(self.at(self.known[name], 0), self.at(self.values[name], 0), np.nan)
+
+    def before(self, name: str, d: int) -> np.ndarray:
+        """The value d rows before."""
+        return np.where(self.at(self.known[name], d) & (self.place > d), self.at(self.values[name], d), np.nan)
+
+    def latest(self, name: str, known: np.ndarray) -> np.ndarray:
+        """The last known value up to each row; of no account where the frame has none."""
+        last = np.maximum.accumulate(np.where(known, np.arange(len(known)), 0))
+        return self.at(self.values[name][last], 0)
+
+    def walk(self, key: tuple, start: float, step: Callable[[np.ndarray, int], np.ndarray]) -> dict[int, np.ndarray]:
+        """``step(total, lag)`` from lag 0 on; the totals of each window."""
+        if key not in self.made:
+            total, out = np.full(len(self.place), start), {}
+            for lag in range(max(self.windows)):
+                total = step(total, lag)
+                if lag + 1 in self.windows:
+                    out[lag + 1] = total
+            self.made[key] = out
+        return self.made[key]
+
+    def total(self, name: str, d: int, what: str = "") -> np.ndarray:
+        """Sum of the known values, of their rises, falls or amounts; NaN without any."""
+        part = {"": lambda x: x, "rise": lambda x: np.maximum(x, 0.0), "fall": lambda x: np.maximum(-x, 0.0), "amount": np.abs}[what]
+        x, k = part(self.values[name]), self.known[name]
+        found = self.walk((name, what), 0.0, lambda t, lag: t + np.where(self.at(k, lag) & (self.place > lag), self.at(x, lag), 0.0))
+        return np.where(self.moments(name, d)["n"] > 0, found[d], np.nan)
+
+    def extreme(self, name: str, d: int, top: bool) -> np.ndarray:
+        pick, none = (np.maximum, -np.inf) if top else (np.minimum, np.inf)
+        x, k = self.values[name], self.known[name]
+        found = self.walk((name, top), none, lambda t, lag: pick(t, np.where(self.at(k, lag) & (self.place > lag), self.at(x, lag), none)))
+        return found[d]
+
+    def moments(self, a: str, d: int, b: str | None = None) -> dict[str, np.ndarray]:
+        """Rows ``n`` where all is known, means ``ma, mb``, sums of squared deviations ``aa, bb`` and of products ``ab``; without ``b``, that is the row's position."""
+        if (a, b) not in self.made:
+            known = self.known[a] if b is None else self.known[a] & self.known[b]
+            x, x0 = self.values[a], self.latest(a, known)
+            y, y0 = (None, None) if b is None else (self.values[b], self.latest(b, known))
+            sums, out = [np.zeros(len(self.place)) for _ in range(6)], {}
+            for lag in range(max(self.windows)):
+                inside = self.at(known, lag) & (self.place > lag)
+                p = np.where(inside, self.at(x, lag) - x0, 0.0)
+                q = np.where(inside, -float(lag) if b is None else self.at(y, lag) - y0, 0.0)
+                for total, part in zip(sums, (inside, p, q, p * p, q * q, p * q), strict=True):
+                    total += part
+                if lag + 1 in self.windows:
+                    n, sp, sq, pp, qq, pq = (total.copy() for total in sums)
+                    out[lag + 1] = {"n": n, "ma": x0 + sp / n, "mb": sq / n, "shift": sp / n, "aa": np.maximum(pp - sp * sp / n, 0.0), "bb": np.maximum(qq - sq * sq / n, 0.0), "ab": pq - sp * sq / n}
+            self.made[a, b] = out
+        return self.made[a, b][d]
+
+    def std(self, name: str, d: int) -> np.ndarray:
+        m = self.moments(name, d)
+        return np.where(m["n"] >= 2, np.sqrt(m["aa"] / (m["n"] - 1)), np.nan)
+
+
+def _regression(s: Sums, d: int, what: str) -> np.ndarray:
+    """Slope, fit or residual of close on row position; missing for fewer than two points."""
+    m, c = s.moments("close", d), s.own("close")
+    slope = np.where(m["n"] >= 2, m["ab"] / m["bb"], np.nan)
+    if what == "fit":
+        return np.where(s.std("close", d) > LEAST_STD, slope * m["ab"] / m["aa"], np.nan)
+    # positions count from the row itself, closes from its own close
+    return (slope if what == "slope" else slope * m["mb"] - m["shift"]) / c
 
 
-def _std(column: str, d: int, w: Frames) -> Column:
-    return w(f"std_{column}", d, F.stddev_samp(column))
+def _corr(s: Sums, d: int, x: str, y: str) -> np.ndarray:
+    """Pearson correlation over rows where both are known; missing for fewer than two or a constant side."""
+    m = s.moments(x, d, y)
+    return m["ab"] / (np.sqrt(m["aa"]) * np.sqrt(m["bb"]))
 
 
-def _moved(x: str, d: int, w: Frames, sign: int) -> Column:
-    gain = F.when(F.col(x).isNotNull(), F.greatest(sign * F.col(x), F.lit(0.0)))
-    return w(f"{'rise' if sign > 0 else 'fall'}_{x}", d, F.sum(gain))
+def _share(s: Sums, d: int, name: str) -> np.ndarray:
+    return s.total(name, d) / np.minimum(s.place, d)
 
 
-def _balance(x: str, d: int, w: Frames, sign: int) -> Column:
+def _balance(s: Sums, d: int, x: str, sign: int) -> np.ndarray:
     """Share of rises (1), falls (-1), or their difference (0) in all movement."""
-    total = w(f"moved_{x}", d, F.sum(F.abs(x))) + EPS
-    return sdiv(_moved(x, d, w, sign) if sign else _moved(x, d, w, 1) - _moved(x, d, w, -1), total)
-
-
-def _c() -> Column:
-    return F.col("close")
-
-
-def _v() -> Column:
-    return F.col("v") + EPS
-
-
-def _high(d: int, w: Frames) -> Column:
-    return w("max_high", d, F.max("high"))
-
-
-def _low(d: int, w: Frames) -> Column:
-    return w("min_low", d, F.min("low"))
-
-
-#: In catalog order; those without a column come from ``order_statistics``.
-FAMILIES: dict[str, Callable[[int, Frames], Column] | None] = {
-    "roc": lambda d, w: sdiv(w("lag_close", d, F.lag("close", d), series()), _c()),
-    "ma": lambda d, w: sdiv(_mean("close", d, w), _c()),
-    "std": lambda d, w: sdiv(_std("close", d, w), _c()),
-    "beta": lambda d, w: _regression(d, w, "slope"),
-    "rsqr": lambda d, w: _regression(d, w, "fit"),
-    "resi": lambda d, w: _regression(d, w, "rest"),
-    "max": lambda d, w: sdiv(_high(d, w), _c()),
-    "min": lambda d, w: sdiv(_low(d, w), _c()),
+    rise, fall = s.total(x, d, "rise"), s.total(x, d, "fall")
+    return (rise if sign > 0 else fall if sign < 0 else rise - fall) / (s.total(x, d, "amount") + EPS)
+
+
+#: In catalog order; those without a function come from ``order_statistics``.
+FAMILIES: dict[str, Callable[[Sums, int], np.ndarray] | None] = {
+    "roc": lambda s, d: s.before("close", d) / s.own("close"),
+    "ma": lambda s, d: s.moments("close", d)["ma"] / s.own("close"),
+    "std": lambda s, d: s.std("close", d) / s.own("close"),
+    "beta": lambda s, d: _regression(s, d, "slope"),
+    "rsqr": lambda s, d: _regression(s, d, "fit"),
+    "resi": lambda s, d: _regression(s, d, "rest"),
+    "max": lambda s, d: s.extreme("high", d, True) / s.own("close"),
+    "min": lambda s, d: s.extreme("low", d, False) / s.own("close"),
     "qtlu": None,
     "qtld": None,
     "rank": None,
-    "rsv": lambda d, w: sdiv(_c() - _low(d, w), _high(d, w) - _low(d, w) + EPS),
+    "rsv": lambda s, d: (s.own("close") - s.extreme("low", d, False)) / (s.extreme("high", d, True) - s.extreme("low", d, False) + EPS),
     "imax": None,
     "imin": None,
     "imxd": None,
-    "corr": lambda d, w: _corr(d, w, "corr", "close", "lv"),
-    "cord": lambda d, w: _corr(d, w, "cord", "cr", "vr"),
-    "cntp": lambda d, w: _mean("up", d, w),
-    "cntn": lambda d, w: _mean("down", d, w),
-    "cntd": lambda d, w: _mean("up", d, w) - _mean("down", d, w),
-    "sump": lambda d, w: _balance("dc", d, w, 1),
-    "sumn": lambda d, w: _balance("dc", d, w, -1),
-    "sumd": lambda d, w: _balance("dc", d, w, 0),
-    "vma": lambda d, w: sdiv(_mean("v", d, w), _v()),
-    "vstd": lambda d, w: sdiv(_std("v", d, w), _v()),
-    "wvma": lambda d, w: sdiv(_std("wv", d, w), _mean("wv", d, w) + EPS),
-    "vsump": lambda d, w: _balance("dv", d, w, 1),
-    "vsumn": lambda d, w: _balance("dv", d, w, -1),
-    "vsumd": lambda d, w: _balance("dv", d, w, 0),
+    "corr": lambda s, d: _corr(s, d, "close", "lv"),
+    "cord": lambda s, d: _corr(s, d, "cr", "vr"),
+    "cntp": lambda s, d: _share(s, d, "up"),
+    "cntn": lambda s, d: _share(s, d, "down"),
+    "cntd": lambda s, d: _share(s, d, "up") - _share(s, d, "down"),
+    "sump": lambda s, d: _balance(s, d, "dc", 1),
+    "sumn": lambda s, d: _balance(s, d, "dc", -1),
+    "sumd": lambda s, d: _balance(s, d, "dc", 0),
+    "vma": lambda s, d: s.moments("v", d)["ma"] / (s.own("v") + EPS),
+    "vstd": lambda s, d: s.std("v", d) / (s.own("v") + EPS),
+    "wvma": lambda s, d: s.std("wv", d) / (s.moments("wv", d)["ma"] + EPS),
+    "vsump": lambda s, d: _balance(s, d, "dv", 1),
+    "vsumn": lambda s, d: _balance(s, d, "dv", -1),
+    "vsumd": lambda s, d: _balance(s, d, "dv", 0),
 }
 
 
@@ -189,25 +225,32 @@ def order_statistics(close: np.ndarray, high: np.ndarray, low: np.ndarray, place
     return {f: made[f] for f in families}
 
 
-def _ordered(families: list[str], windows: tuple[int, ...], names: list[str]):
+#: What the families are made of.
+BASE = ("close", "high", "low", "v", "lv", "cr", "vr", "dc", "dv", "wv", "up", "down")
+
+
+def _rolled(families: list[str], windows: tuple[int, ...], names: list[str]):
     """Batches of rows in order of (security, date) with those families; the last rows of a batch are kept for the next one's frames."""
-    reach = max(windows) - 1
+    reach = max(windows)
+    by_order = [f for f in families if FAMILIES[f] is None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail, last = np.full((3, reach), np.nan), 0
+        tail, seen, last = np.full((len(BASE), reach), np.nan), np.zeros((len(BASE), reach), bool), 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("close", "high", "low")])
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in BASE])
+            known = np.stack([batch.column(c).is_valid().to_numpy(zero_copy_only=False) for c in BASE])
             place = batch.column("rn").to_numpy().astype(np.int64)
             if not ((place == 1) | (place == np.concatenate([[last], place[:-1]]) + 1)).all():
                 raise ValueError("rows are not in order of (security, date)")
-            x, last, new = np.concatenate([tail, x], 1), int(place[-1]), {}
+            x, known, last, new = np.concatenate([tail, x], 1), np.concatenate([seen, known], 1), int(place[-1]), {}
+            sums = Sums(dict(zip(BASE, x, strict=True)), dict(zip(BASE, known, strict=True)), place, windows, reach)
             with np.errstate(all="ignore"):
                 for d in windows:
-                    values = x[:, reach - d + 1 :]
-                    new |= {f"{f}{d}": v for f, v in order_statistics(*values, place, families, d).items()}
-            tail = x[:, x.shape[1] - reach :]
+                    new |= {f"{f}{d}": FAMILIES[f](sums, d) for f in families if f not in by_order}
+                    new |= {f"{f}{d}": v for f, v in order_statistics(*x[:3, reach - d + 1 :], place, by_order, d).items()}
+            tail, seen = x[:, x.shape[1] - reach :], known[:, x.shape[1] - reach :]
             made = {n: pa.array(np.where(np.isfinite(v), v, np.nan), from_pandas=True) for n, v in new.items()}
             yield pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(n) for n in names], names=names)
 
@@ -218,22 +261,15 @@ def rolling_features(panel: DataFrame, families: list[str] | None = None, window
     """``trade_date, security_id``, the columns to ``carry``, and ``<family><d>`` for each family and window, in catalog order.
 
     A window of nothing but one row has no deviation, slope or correlation (NULL).  On a
-    constant window CORR and CORD are NULL.  Keys must be unique per security.  Quantiles, ranks and places of extremes are taken
-    from sorted frames in Arrow batches, in the order that the windows leave (and that is checked); the rest are window columns.
+    constant window CORR and CORD are NULL.  Keys must be unique per security.  Spark shuffles and sorts the rows; frames are summed and
+    sorted in Arrow batches, in the order that the windows leave (and that is checked): a window column sums each frame anew, with
+    125 rows a column of five windows.
     """
-    w, keys = Frames(), ("trade_date", "security_id", *carry)
-    chosen = list(families or FAMILIES)
-    by_order = [f for f in chosen if FAMILIES[f] is None]
-    made = {f"{f}{d}": FAMILIES[f](d, w) for f in chosen for d in windows if f not in by_order}
-    base = ("close", "high", "low", "rn") if by_order else ()
-    rows = prepared(panel, *carry).select("*", *(x.alias(n) for n, x in w.made.items()))
-    rows = rows.select(*keys, *base, *(x.alias(n) for n, x in made.items()))
-    rows = rows.select(*keys, *base, *(clean(F.col(n)).alias(n) for n in made))
-    if not by_order:
-        return rows
+    keys, chosen = ("trade_date", "security_id", *carry), list(families or FAMILIES)
+    rows = prepared(panel, *carry).select(*keys, "rn", *BASE)
     names = [*keys, *(f"{f}{d}" for f in chosen for d in windows)]
     schema = T.StructType([rows.schema[n] if n in rows.columns else T.StructField(n, T.DoubleType()) for n in names])
-    return rows.mapInArrow(_ordered(by_order, windows, names), schema)
+    return rows.mapInArrow(_rolled(chosen, windows, names), schema)
 
 
 def feature_names() -> list[str]:
