@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidepanel.operators import rolling
+from tidepanel.operators import cross_section, rolling, wide
 
 
 def _series(rng, n):
@@ -62,3 +62,54 @@ def test_no_window_sums_its_frames_anew(spark):
     p = spark.createDataFrame(rows, "trade_date date, security_id string, adjusted_open double, adjusted_high double, adjusted_low double, adjusted_close double, vwap double, volume double")
     plan = rolling.all_features(p)._jdf.queryExecution().executedPlan().toString()
     assert "regr" not in plan and "covar_pop" not in plan and "specifiedwindowframe(RowFrame, -" not in plan.replace("-1, -1", "")
+
+
+def _cleaning_rows(spark, n, k):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(n, k)) * 10.0 ** rng.integers(-2, 3, k)
+    x[:, 1], x[:, 2] = np.round(x[:, 1] / np.abs(x[:, 1]).max() * 2), 7.0  # ties, and no variance
+    x[: n // 2, 3] = np.nan  # no value on the first date
+    x[rng.random((n, k)) < 0.05] = np.nan
+    x[5, 4], x[6, 4] = np.inf, -np.inf
+    rows = [(dt.date(2024, 1, 1 + (i >= n // 2)), str(i), *(None if np.isnan(v) else float(v) for v in row)) for i, row in enumerate(x)]
+    names = [f"f{j}" for j in range(k)]
+    return names, spark.createDataFrame(rows, f"trade_date date, security_id string, {', '.join(f'{c} double' for c in names)}").repartition(5, "security_id")
+
+
+def test_a_date_is_cleaned_without_bringing_its_rows_together(spark, monkeypatch):
+    monkeypatch.setattr(wide, "DRAWN", 60)  # brackets that hold a part of the rows
+    names, p = _cleaning_rows(spark, 800, 30)
+    many = cross_section.preprocess(p, names)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "trade_date" not in "".join(line for line in plan.splitlines() if "hashpartitioning" in line)
+    got = {r.security_id: r for r in many.collect()}
+    for part in (names[:15], names[15:]):
+        for r in cross_section.preprocess(p, part).collect():
+            assert [got[r.security_id][c] for c in part] == pytest.approx([r[c] for c in part], abs=1e-9)
+
+
+def test_a_bracket_that_misses_its_median_is_opened(spark, monkeypatch):
+    names, p = _cleaning_rows(spark, 120, 26)
+    asked = []
+
+    def astray(shared, names, date):
+        asked.append(1)
+        return lambda rows: pa.table({"at": pa.array([shared.value.dates[rows.column(date)[0].as_py()]], pa.int64()), "low": [np.full(len(names), 1e9).tobytes()], "high": [np.full(len(names), 2e9).tobytes()]})
+
+    want = {(r.trade_date, r.security_id): r for r in cross_section.preprocess(p, names).collect()}
+    monkeypatch.setattr(wide, "_brackets", astray)
+    got = cross_section.preprocess(p, names).collect()
+    assert asked and all(list(r)[2:] == pytest.approx(list(want[r.trade_date, r.security_id])[2:], abs=1e-12) for r in got)
+
+
+def test_quality_of_many_features_equals_that_of_few(spark):
+    names, p = _cleaning_rows(spark, 400, 30)
+    few = [r for part in (names[:15], names[15:]) for r in cross_section.quality(p, part).collect()]
+    found = cross_section.quality(p, names)
+    got = {(r.trade_date, r.feature): r for r in found.collect()}
+    assert len(got) == len(few) == 60 and "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    for r in few:
+        own = got[r.trade_date, r.feature].asDict()
+        for c, v in r.asDict().items():
+            assert own[c] == (pytest.approx(v, abs=1e-9) if isinstance(v, float) else v), (r.feature, c)
+    assert cross_section.preprocess(p.limit(0), names).count() == 0 and cross_section.quality(p.limit(0), names).count() == 0

@@ -7,30 +7,30 @@ A cross section is some thousands of rows; windows spill where it is larger.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.core import avg_rank, clean, scorr, sdiv
+from tidepanel.operators import wide
 from tidepanel.operators.contracts import ContractError, valid_horizons
+from tidepanel.operators.wide import CLIP, MAD
 
-#: The clip is 5 robust deviations; 1.4826 makes a MAD one.
-CLIP, MAD = 5.0, 1.4826
+#: More features than this are cleaned by broadcast numbers of each date: a plan with windows for each takes longer to compile than to run.
+WIDE = 24
 
 
-#: More features than this are cleaned as one matrix a date: a plan with windows for each takes longer to compile than to run.
-WIDE = 24
+def _doubles(panel: DataFrame, names: list[str]) -> DataFrame:
+    return panel.select(*[F.col(c).cast("double").alias(c) if c in names else F.col(c) for c in panel.columns])
 
 
 def preprocess(panel: DataFrame, names: list[str], date: str = "trade_date") -> DataFrame:
     """Each feature, per date: median fill, clip at 5 robust deviations (none if the MAD is 0), z-score.
 
-    A feature without values or variance on a date is 0 there.  Medians ignore NULLs.  One shuffle by date either way.
+    A feature without values or variance on a date is 0 there.  Medians ignore NULLs.  Few features cost one shuffle by date; of
+    many, rows are not shuffled but read five times (see ``wide``), so they should be stored.
     """
     if len(names) > WIDE:
-        rows = panel.select(*[F.col(c).cast("double").alias(c) if c in names else F.col(c) for c in panel.columns])
-        return rows.groupBy(date).applyInArrow(_cleaned_matrix(names), rows.schema)
+        return wide.preprocess(_doubles(panel, names), names, date)
     w = Window.partitionBy(date)
     rest = [c for c in panel.columns if c not in names]
 
@@ -53,47 +53,29 @@ def preprocess(panel: DataFrame, names: list[str], date: str = "trade_date") ->
     return rows.select(*[z(c).alias(c) if c in names else F.col(c) for c in panel.columns])
 
 
-def _cleaned_matrix(names: list[str]):
-    """The same on the matrix of one date's names and features."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        x = np.stack([rows.column(c).combine_chunks().cast(pa.float64()).to_numpy(zero_copy_only=False) for c in names], 1).astype(float)
-        x[~np.isfinite(x)] = np.nan
-        known = ~np.isnan(x).all(0)
-        with np.errstate(all="ignore"):
-            m = np.zeros(len(names))
-            m[known] = np.nanmedian(x[:, known], 0)
-            x = np.where(np.isnan(x), m, x)
-            s = CLIP * MAD * np.median(np.abs(x - m), 0)
-            x = np.where(s <= CLIP * 1e-12, x, np.clip(x, m - s, m + s))
-            a, d = x.mean(0), x.std(0)
-            z = np.where(known & (d > 1e-12), (x - a) / d, 0.0)
-        for k, c in enumerate(names):
-            rows = rows.set_column(rows.schema.get_field_index(c), c, pa.array(z[:, k]))
-        return rows
-
-    return run
-
-
 def quality(panel: DataFrame, names: list[str], date: str = "trade_date") -> DataFrame:
     """Per (date, feature): what its cleaning met and left.
 
     Rows, finite values before, missing ones (infinite ones among them) and infinite ones, median, MAD, robust scale, the bounds of the clip, values
     beyond them, mean and deviation of the z-scores, finite values after, and flags for no variance and no value.
-    The z-scores are those of ``preprocess``; all levels share one partitioning.
+    The z-scores are those of ``preprocess``; all levels share one partitioning, or, for many features, come from five passes without a shuffle of rows.
     """
     by = [date, "feature"]
+    scale = MAD * F.col("mad")
+    lower, upper = F.col("median") - CLIP * scale, F.col("median") + CLIP * scale
+    derived = {"robust_scale": scale, "winsor_lower": lower, "winsor_upper": upper, "missing_before": F.col("n_rows") - F.col("finite_before"), "all_null": F.col("finite_before") == 0}
+    if len(names) > WIDE:
+        return wide.quality(_doubles(panel.select(date, *names), names), names, date).withColumns(derived)
     w = Window.partitionBy(*by)
     long = panel.select(date, *(F.col(n).cast("double").alias(n) for n in names)).unpivot(date, names, "feature", "raw").withColumn("x", clean(F.col("raw")))
     long = long.withColumn("median", F.median("x").over(w)).withColumn("filled", F.coalesce("x", "median"))
     long = long.withColumn("mad", F.median(F.abs(F.col("filled") - F.col("median"))).over(w))
-    scale = MAD * F.col("mad")
-    lower, upper, wide = F.col("median") - CLIP * scale, F.col("median") + CLIP * scale, scale > 1e-12
-    long = long.withColumn("held", F.when(wide, F.greatest(lower, F.least(upper, F.col("filled")))).otherwise(F.col("filled")))
+    spread = scale > 1e-12
+    long = long.withColumn("held", F.when(spread, F.greatest(lower, F.least(upper, F.col("filled")))).otherwise(F.col("filled")))
     long = long.withColumn("_a", F.avg("held").over(w)).withColumn("_d", F.stddev_pop("held").over(w))
     long = long.withColumn("z", F.when(F.col("_d") > 1e-12, (F.col("held") - F.col("_a")) / F.col("_d")).otherwise(0.0))
     out = long.groupBy(*by).agg(
-        F.count_if(wide & ((F.col("filled") < lower) | (F.col("filled") > upper))).alias("clipped_count"),
+        F.count_if(spread & ((F.col("filled") < lower) | (F.col("filled") > upper))).alias("clipped_count"),
         F.count("*").alias("n_rows"),
         F.count("x").alias("finite_before"),
         F.count_if(F.abs("raw") == float("inf")).alias("infinite_before"),
@@ -104,8 +86,7 @@ def quality(panel: DataFrame, names: list[str], date: str = "trade_date") -> Dat
         F.stddev_pop("z").alias("post_std"),
         F.count(clean(F.col("z"))).alias("finite_after"),
     )
-    out = out.withColumns({"robust_scale": scale, "winsor_lower": lower, "winsor_upper": upper})
-    return out.withColumns({"missing_before": F.col("n_rows") - F.col("finite_before"), "all_null": F.col("finite_before") == 0})
+    return out.withColumns(derived)
 
 
 def prepare_factor(raw: DataFrame, direction: str, date: str = "trade_date") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.operators import cross_section, models, trees
 from tidepanel.operators.rolling import all_features, feature_names
+from tidepanel.sources.sinks import written
 
 #: Rounds that a model takes at most, and goes on without a better validation rank IC, in the registered queries.
 ROUNDS, PATIENCE = 6, 3
@@ -21,13 +22,14 @@ def date_weights(rows: DataFrame) -> DataFrame:
     dates = rows.where("role = 'train'").groupBy("fold", "role", "signal_date").agg(F.count("*").alias("_n"))
     total = dates.groupBy("fold").agg(F.sum("_n").alias("_rows"), F.count("*").alias("_dates"))
     each = dates.join(total, "fold").select("fold", "role", "signal_date", (F.col("_rows") / (F.col("_dates") * F.col("_n"))).alias("w"))
-    return rows.join(each, ["fold", "role", "signal_date"], "left").withColumn("w", F.coalesce("w", F.lit(1.0)))
+    return rows.join(F.broadcast(each), ["fold", "role", "signal_date"], "left").withColumn("w", F.coalesce("w", F.lit(1.0)))
 
 
 def fold_rows(panel: DataFrame, assigned: DataFrame) -> DataFrame:
     """``assigned(fold, role, signal_date, security_id, y, ...)`` with ``w`` and ``x``, the binned features: a byte each, binned before rows meet folds."""
     names = feature_names()
-    clean = cross_section.preprocess(all_features(panel).select("trade_date", "security_id", *names), names).withColumnRenamed("trade_date", "signal_date")
+    stored = written(all_features(panel).select("trade_date", "security_id", *names), "features")
+    clean = cross_section.preprocess(stored, names).withColumnRenamed("trade_date", "signal_date")
     x = trees.binned(clean, names, trees.normal_cuts(len(names)))
     return date_weights(assigned).join(x, ["signal_date", "security_id"])
 
