@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from tidepanel.operators import cross_section, rolling, wide
+from tidepanel.plans import registry
 
 
 def _series(rng, n):
@@ -113,3 +114,8 @@ def test_quality_of_many_features_equals_that_of_few(spark):
         for c, v in r.asDict().items():
             assert own[c] == (pytest.approx(v, abs=1e-9) if isinstance(v, float) else v), (r.feature, c)
     assert cross_section.preprocess(p.limit(0), names).count() == 0 and cross_section.quality(p.limit(0), names).count() == 0
+
+
+def test_wide_fold_rows_are_neither_joined_nor_shuffled(spark, small):
+    plan = registry._wide_rows(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("FileScan parquet") == 1
