@@ -165,6 +165,15 @@ def test_segment_decoding_is_whole_text_decoding(crf):
         assert any("0123abcd4567ef89aa" in text[a:b] for a, b in spans)
 
 
+def test_substring_dedup_leaves_no_shuffle_files(spark, small):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").count(".data")
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    spark._jvm.System.gc()
+    before = files()
+    assert substrings.substring_dedup(table).count() == table.count()
+    assert files() <= before
+
+
 def test_model_finds_secrets_that_no_pattern_knows(spark, small, crf):
     rng = random.Random(12345)
     prose = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").where("length(text) > 300").orderBy("doc_id").limit(150).collect()]

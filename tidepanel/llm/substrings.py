@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm import textcodes as tc
-from tidepanel.llm.store import small_batches, written
+from tidepanel.llm.store import discard, prompt_cleanup, small_batches, written
 
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -147,6 +147,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     A flagged start begins a window whose word sequence also starts in a smaller id.
     """
     small_batches(docs.sparkSession)
+    prompt_cleanup(docs.sparkSession)
     level, double = max(1, (window + 3) // 4), max(1, window // 2)
     text = F.col(text_col)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.hash(text).alias("t2"))
@@ -167,6 +168,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     spans = spans.join(reps, "t1").where("doc_id = rep").select("rep", "t1", "t2", "spans")
     texts = base.select(F.col("doc_id").alias("rep"), "t1", "t2", "text")
     candidates = written(texts.join(spans.hint("merge"), ["rep", "t1", "t2"]), "candidates")
+    discard(first)
 
     rows = written(candidates.mapInArrow(_windows(window), "rep long, t1 long, pos int, h long, h2 int"), "windows")
     least = written(rows.groupBy("h", "h2").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("h", "h2", "lo"), "least")
