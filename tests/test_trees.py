@@ -97,6 +97,20 @@ def test_trees_are_grown_leaf_by_leaf(spark, c):
     assert {r.candidate_id for r in nodes} == {0, 1}
 
 
+@pytest.mark.parametrize("weight", [1.5, 1e6])
+def test_histograms_are_whole_sums(weight):
+    rng = np.random.default_rng(5)
+    x, leaf = rng.integers(0, 8, (4, 3000)).astype(np.uint8), rng.integers(0, 3, 3000)
+    g, h = np.rint(rng.normal(size=3000) * trees.SCALE), np.rint(rng.random(3000) * weight * trees.SCALE)
+    got = trees._added(x, leaf, 3, 8, g, h)
+    assert got.shape == (3, 4, 3, 8)
+    for f in range(4):
+        for n in range(3):
+            for b in range(8):
+                own = (leaf == n) & (x[f] == b)
+                assert got[:, f, n, b].tolist() == [g[own].sum(), h[own].sum(), own.sum()]
+
+
 def test_one_partition_or_many_give_the_same_trees(spark):
     table, cuts, c = panel(spark), trees.normal_cuts(5, 16), [{"num_leaves": 5, "bagging_fraction": 0.8, "feature_fraction": 0.8}]
     get = lambda t: sorted(map(tuple, trees.fit(t, FEATURES, c, cuts, 3, 3).trees.collect()), key=str)
