@@ -174,6 +174,36 @@ def test_substring_dedup_leaves_no_shuffle_files(spark, small):
     assert files() <= before
 
 
+def test_every_token_of_a_text_is_decoded():
+    rng, draw = random.Random(7), np.random.default_rng(7)
+    bits = ["plain", "words", "HunterTwoBlueSky", "A", "x1", "=", ":", "a_b", "Z" * 30, "pass", ".", "'q'", "\n"]
+    tagged = 0
+    for k in range(200):
+        text = "".join(rng.choice(bits) + rng.choice((" ", " ", "  ", "")) for _ in range(rng.randrange(60)))
+        tokens = [t.span() for t in secrets.TOKEN.finditer(text)]
+        feats = secrets.features(text, tokens, secrets.file_features(text)) if tokens else []
+        names = sorted({f for own in feats for f in own}) or ["bias"]
+        emit = draw.normal(size=(len(names), 3)) / 2
+        emit[:, secrets.OUTSIDE] += draw.random() / 3
+        model = secrets.CRF({f: i for i, f in enumerate(names)}, emit, draw.normal(size=(3, 3)))
+        spans, before = [], secrets.OUTSIDE
+        for (a, b), y in zip(tokens, secrets.viterbi(model.scores(feats), model.move) if tokens else [], strict=True):
+            if y == secrets.BEGIN or y == secrets.INSIDE and before == secrets.OUTSIDE:
+                spans.append((a, b))
+            elif y == secrets.INSIDE:
+                spans[-1] = (spans[-1][0], b)
+            before = y
+        assert secrets.crf_spans(text, model) == [(a, a + len(text[a:b].rstrip("."))) for a, b in spans]
+        tagged += len(spans)
+        if tokens:
+            bounds, scores = secrets.token_scores(text, model)
+            assert bounds.tolist() == [list(t) for t in tokens] and np.allclose(scores, model.scores(feats))
+    assert tagged > 500
+    text = "some quite plain words of prose before HunterTwoBlueSky and many more plain words of prose behind it"
+    model = secrets.CRF({"s:aA16v2": 0, "bias": 1}, np.array([[9.0, 0.0, 0.0], [0.0, 0.0, 2.0]]), np.zeros((3, 3)))
+    assert list(secrets.segments(text)) == [] and [text[a:b] for a, b in secrets.crf_spans(text, model)] == ["HunterTwoBlueSky"]
+
+
 def test_model_finds_secrets_that_no_pattern_knows(spark, small, crf):
     rng = random.Random(12345)
     prose = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").where("length(text) > 300").orderBy("doc_id").limit(150).collect()]

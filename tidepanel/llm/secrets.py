@@ -1,13 +1,12 @@
 """Operator 3: secret spans by base patterns and a linear-chain conditional random field.
 
-Tokens are runs of the characters that secrets use, or single marks.  Only tokens near a
-trigger (a digit, a mark that assigns or joins, a colon, a key word, or a very long word) can carry
-a secret: the model holds every other token to "outside", so a text falls apart into
-segments, and decoding them one by one, with the transitions from and to the held tokens
-beside them, is the decoding of the whole text.  Labels are begin, inside and outside; features are the
+Tokens are runs of the characters that secrets use, or single marks.  Every token of a text is scored, and the best labelling of the
+whole text is found: a bound on what a run of tagged tokens can gain tells where the best labelling is outside, and the stretches between are
+decoded one by one, with the transitions from and to the tokens beside them.  Labels are begin, inside and outside; features are the
 shape, length, variety, changes of character class and key words of a token and its neighbours in the whole
-text, and of the whole file.  Weights are fitted by maximum likelihood on a bounded sample: weak labels from the base patterns,
-and strings drawn by rule and planted in the corpus's own prose, so that shape and context have to carry where
+text, and of the whole file.  Weights are fitted by maximum likelihood on a bounded sample: weak labels from the base patterns around
+triggers (a digit, a mark that assigns or joins, a colon, a key word, or a very long word),
+and strings drawn by rule and planted in the corpus's own prose, every token of which is learned from, so that shape and context have to carry where
 no base pattern looks: secrets of many alphabets with and without a key word before them, and
 look-alikes (versions, dates, paths, hosts, ids, numbers) that are none.
 """
@@ -18,6 +17,8 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,9 @@ SPACE = re.compile(r"[\x20\x09-\x0D]")
 KEY = re.compile(r"pass|pwd|secret|token|cred|auth|key", re.I | re.A)
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 REACH = 24
+#: Places of the neighbours that bear on a token; characters of words whose weights are kept; slack of the bound on runs.
+BESIDE = (-3, -2, -1, 1, 2)
+KEPT, SLACK = 1 << 22, 1e-6
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 CLASSES = str.maketrans({**dict.fromkeys("abcdefghijklmnopqrstuvwxyz", "a"), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A"), **dict.fromkeys("0123456789", "9"), **dict.fromkeys("_+/.-", "-")})
 
@@ -152,6 +156,10 @@ def around(text: str, bounds: list[tuple[int, int]]) -> tuple[list[tuple[int, in
     return before, after
 
 
+def own_features(word: str, form: str, key: str) -> list[str]:
+    return ["bias", *inside(word), f"s:{form}", f"key{key}", f"hex{int(len(word) > 15 and not word.strip('0123456789abcdef'))}"]
+
+
 def features(text: str, bounds: list[tuple[int, int]], of_file: tuple[str, ...], beside=None) -> list[list[str]]:
     before, after = beside or around(text, bounds)
     first, last = len(before), len(before) + len(bounds)
@@ -161,8 +169,8 @@ def features(text: str, bounds: list[tuple[int, int]], of_file: tuple[str, ...],
     keys = ["k" if KEY.search(w) else "" for w in words]
     out, n = [], len(words)
     for i, w in enumerate(words[first:last], first):
-        own = ["bias", *inside(w), f"s:{shapes[i]}", f"key{keys[i]}", *of_file, f"hex{int(len(w) > 15 and not w.strip('0123456789abcdef'))}"]
-        for d in (-3, -2, -1, 1, 2):
+        own = [*own_features(w, shapes[i], keys[i]), *of_file]
+        for d in BESIDE:
             j = i + d
             own.append(f"s{d}:{shapes[j]}{keys[j]}" if 0 <= j < n else f"s{d}:edge")
         own.append("glued" if i and bounds[i - 1][1] == bounds[i][0] else "free")
@@ -188,9 +196,84 @@ class CRF:
     emit: np.ndarray
     move: np.ndarray
 
+    def weight(self, own: list[str]) -> np.ndarray:
+        return self.emit[[self.index[f] for f in own if f in self.index]].sum(0)
+
     def scores(self, feats: list[list[str]]) -> np.ndarray:
-        index, emit = self.index, self.emit
-        return np.array([emit[[index[f] for f in own if f in index]].sum(0) for own in feats])
+        return np.array([self.weight(own) for own in feats])
+
+    @cached_property
+    def words(self) -> _Words:
+        return _Words(self)
+
+
+class _Words:
+    """What a word adds to the scores of its own token and of those beside it, looked up once a word; emptied when words of ``KEPT`` characters are held."""
+
+    def __init__(self, crf: CRF) -> None:
+        self.crf = crf
+        self.empty()
+
+    def empty(self) -> None:
+        self.code: dict[str, int] = {}
+        self.forms: dict[str, int] = {}
+        self.own, self.form, self.beside, self.held = np.zeros((256, 3)), np.zeros(256, np.int64), np.zeros((256, len(BESIDE), 3)), 0
+        self.edge = self._formed("edge")
+
+    def _formed(self, name: str) -> int:
+        if name not in self.forms:
+            k = self.forms[name] = len(self.forms)
+            if k == len(self.beside):
+                self.beside = np.concatenate([self.beside, np.zeros_like(self.beside)])
+            self.beside[k] = [self.crf.weight([f"s{d}:{name}"]) for d in BESIDE]
+        return self.forms[name]
+
+    def _learn(self, word: str) -> None:
+        k = self.code[word] = len(self.code)
+        if k == len(self.own):
+            self.own, self.form = np.concatenate([self.own, np.zeros_like(self.own)]), np.concatenate([self.form, np.zeros_like(self.form)])
+        form, key = shape(word), "k" if KEY.search(word) else ""
+        self.own[k], self.form[k] = self.crf.weight(own_features(word, form, key)), self._formed(form + key)
+        self.held += len(word)
+
+    def codes(self, words: list[str]) -> np.ndarray:
+        for word in set(words).difference(self.code):
+            self._learn(word)
+        return np.array([self.code[w] for w in words], np.int64)
+
+
+def token_scores(text: str, model: CRF) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds and label scores of every token of the text: those of ``model.scores(features(...))``."""
+    known, bounds, codes, tokens = model.words, [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)], TOKEN.finditer(text)
+    if known.held > KEPT:
+        known.empty()
+    while part := list(islice(tokens, 1 << 16)):
+        bounds.append(np.array([t.span() for t in part], np.int64))
+        codes.append(known.codes([t[0] for t in part]))
+    bounds, codes = np.concatenate(bounds), np.concatenate(codes)
+    n, edge = len(codes), np.full(3, known.edge)
+    if not n:
+        return bounds, np.zeros((0, 3))
+    out = known.own[codes] + model.weight(list(file_features(text)))
+    form = np.concatenate([edge, known.form[codes], edge])
+    for j, d in enumerate(BESIDE):
+        out += known.beside[form[3 + d : 3 + d + n], j]
+    glued = np.concatenate([[False], bounds[1:, 0] == bounds[:-1, 1]])
+    return bounds, out + np.where(glued[:, None], model.weight(["glued"]), model.weight(["free"]))
+
+
+def open_tokens(emit: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Where the best labelling may be other than outside: tokens of some run that may score, tagged, no less than outside.
+
+    Each tagged token gains at most its own best score over outside and the best step into a tagged token, the end of a run the best step out of one.
+    """
+    tagged = [BEGIN, INSIDE]
+    gain = emit[:, tagged].max(1) - emit[:, OUTSIDE]
+    gain[1:] += move[:, tagged].max() - move[OUTSIDE, OUTSIDE]
+    upto = np.cumsum(gain)
+    best_end = np.maximum.accumulate(upto[::-1])[::-1]
+    least_start = np.minimum.accumulate(np.concatenate([[0.0], upto[:-1]]))
+    return best_end - least_start + max(0.0, (move[tagged, OUTSIDE] - move[OUTSIDE, OUTSIDE]).max()) >= -SLACK
 
 
 def viterbi(emit: np.ndarray, move: np.ndarray, before: bool = False, after: bool = False) -> list[int]:
@@ -265,15 +348,16 @@ def fit_crf(sequences: list[tuple[list[list[str]], list[int]]], steps: int = 120
 
 
 def crf_spans(text: str, model: CRF) -> list[tuple[int, int]]:
-    """Spans that the model tags, over the whole text; a full stop at the end is not part of one."""
+    """Spans that the model tags in the best labelling of all tokens of the text; a full stop at the end is not part of one."""
     out: list[tuple[int, int]] = []
-    of_file = None
-    for bounds in segments(text):
-        of_file = of_file or file_features(text)
-        before, after = around(text, bounds)
-        labels = viterbi(model.scores(features(text, bounds, of_file, (before, after))), model.move, bool(before), bool(after))
+    bounds, emit = token_scores(text, model)
+    if not len(bounds):
+        return out
+    maybe = np.concatenate([[False], open_tokens(emit, model.move), [False]])
+    for lo, hi in np.flatnonzero(maybe[1:] != maybe[:-1]).reshape(-1, 2).tolist():
+        labels = viterbi(emit[lo:hi], model.move, lo > 0, hi < len(bounds))
         opened = False
-        for (a, b), y in zip(bounds, labels, strict=True):
+        for (a, b), y in zip(bounds[lo:hi].tolist(), labels, strict=True):
             if y == OUTSIDE:
                 opened = False
             elif y == BEGIN or not opened:
@@ -326,7 +410,7 @@ def drawn_lookalike(rng: random.Random, words: list[str]) -> str:
 
 def planted(text: str, at: int, rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     """Prose around ``at`` with a drawn string in it, and the span of that if it is a secret."""
-    near = text[max(0, at - 160) : at + 160]
+    near = text[max(0, at - 60) : at + 60]
     words = re.findall("[a-z]{3,}", near) or ["one", "two"]
     left, _, right = near.partition(" ")[2].rpartition(" ")[0].partition(" ") if rng.random() < 0.2 else (near[: len(near) // 2].rpartition(" ")[0], "", near[len(near) // 2 :].partition(" ")[2])
     if rng.random() < 0.5:
@@ -337,10 +421,7 @@ def planted(text: str, at: int, rng: random.Random) -> tuple[str, list[tuple[int
 
 
 def _examples(text: str, key: int, keep: int, plants: float) -> Iterator[tuple[list[list[str]], list[int]]]:
-    """Feature and label sequences of a text's segments with base spans, of some others, and of planted strings.
-
-    One token to either side, which the model holds outside, belongs to each.
-    """
+    """Feature and label sequences of a text's segments with base spans, of some others, with a token to either side, and of planted strings with all prose around."""
     of_file, rng = file_features(text), random.Random(key)
 
     def example(own: str, bounds: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> tuple[list[list[str]], list[int]]:
@@ -355,8 +436,9 @@ def _examples(text: str, key: int, keep: int, plants: float) -> Iterator[tuple[l
             yield example(text, bounds, base)
     for _ in range(int(plants + rng.random()) if len(text) > 40 else 0):
         made, spans = planted(text, rng.randrange(len(text)), rng)
-        for own in segments(made):
-            yield example(made, own, base_spans(made) + spans)
+        every = [t.span() for t in TOKEN.finditer(made)]
+        if every:
+            yield features(made, every, of_file), weak_labels(every, base_spans(made) + spans)
 
 
 def _training(keep: int, plants: float):
