@@ -640,3 +640,23 @@ def test_sieve(spark):
         hit = table.where(sieve.sieve(ids, "doc_id", bits)(F.col("doc_id"))).select("doc_id").distinct().count()
         assert 501 <= hit < 4000
     assert sieve.without(table, ids.limit(0)).count() == 4002 and sieve.without(table.limit(0), ids).count() == 0
+
+
+def test_texts_scored_together_are_scored_as_alone():
+    """op3_secrets scores runs of texts at once: by the features of every token, whatever texts lie beside, in code points."""
+    rng, draw = random.Random(11), np.random.default_rng(11)
+    bits = ["plain", "HunterTwoBlueSky", "A", "x1", "=", ":", "a_b", "Z" * 30, "pass", "toKen", ".", "'q'", "\n", "é", "日本", "0f" * 9, "0F" * 9, "aB9/" * 11, "aeiou-xyz9", "q" * 70, "9.8.7+6", "to", "ken", "v1-Beta.22"]
+    texts = ["".join(rng.choice(bits) + rng.choice((" ", " ", "")) for _ in range(rng.randrange(40))) for _ in range(150)] + ["", "to", "ken", "=", "x" * 5000 + "key"]
+    wide = [[t.span() for t in secrets.TOKEN.finditer(t)] for t in texts]
+    feats = [secrets.features(t, b, secrets.file_features(t)) if b else [] for t, b in zip(texts, wide, strict=True)]
+    names = sorted({f for own in feats for fs in own for f in fs})
+    model = secrets.CRF({f: i for i, f in enumerate(names)}, draw.normal(size=(len(names), 3)), draw.normal(size=(3, 3)))
+    first, bounds, emit = secrets.chunk_scores(texts, model)
+    assert first[0] == 0 and first[-1] == len(bounds) == len(emit)
+    for k, (t, b) in enumerate(zip(texts, wide, strict=True)):
+        own = slice(first[k], first[k + 1])
+        assert bounds[own].tolist() == [list(x) for x in b]
+        assert not b or np.allclose(emit[own], model.scores(feats[k]))
+    assert list(secrets.chunk_spans(texts, model)) == [secrets.all_spans(t, model) for t in texts]
+    assert len(model.words.code) < 200  # codes, not words, are held
+    assert [t for own in secrets._chunks([None, *texts]) for t in own] == ["", *texts] and list(secrets._chunks([])) == []

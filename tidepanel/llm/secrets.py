@@ -18,7 +18,6 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +41,9 @@ SPACE = re.compile(r"[\x20\x09-\x0D]")
 KEY = re.compile(r"pass|pwd|secret|token|cred|auth|key", re.I | re.A)
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 REACH = 24
-#: Places of the neighbours that bear on a token; characters of words whose weights are kept; slack of the bound on runs.
+#: Places of the neighbours that bear on a token; slack of the bound on runs; bytes of words, and of texts, that are taken together.
 BESIDE = (-3, -2, -1, 1, 2)
-KEPT, SLACK = 1 << 22, 1e-6
+SLACK, RUN = 1e-6, 1 << 19
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 CLASSES = str.maketrans({**dict.fromkeys("abcdefghijklmnopqrstuvwxyz", "a"), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A"), **dict.fromkeys("0123456789", "9"), **dict.fromkeys("_+/.-", "-")})
 
@@ -208,58 +207,132 @@ class CRF:
 
 
 class _Words:
-    """What a word adds to the scores of its own token and of those beside it, looked up once a word; emptied when words of ``KEPT`` characters are held."""
+    """What a word adds to the scores of its own token and of those beside it, looked up once for all words of one code."""
 
     def __init__(self, crf: CRF) -> None:
         self.crf = crf
-        self.empty()
-
-    def empty(self) -> None:
-        self.code: dict[str, int] = {}
+        self.code, self.own, self.form = np.zeros(0, np.int64), np.zeros((0, 3)), np.zeros(0, np.int64)
         self.forms: dict[str, int] = {}
-        self.own, self.form, self.beside, self.held = np.zeros((256, 3)), np.zeros(256, np.int64), np.zeros((256, len(BESIDE), 3)), 0
+        self.beside = np.zeros((0, len(BESIDE), 3))
         self.edge = self._formed("edge")
 
     def _formed(self, name: str) -> int:
         if name not in self.forms:
-            k = self.forms[name] = len(self.forms)
-            if k == len(self.beside):
-                self.beside = np.concatenate([self.beside, np.zeros_like(self.beside)])
-            self.beside[k] = [self.crf.weight([f"s{d}:{name}"]) for d in BESIDE]
+            self.forms[name] = len(self.forms)
+            self.beside = np.concatenate([self.beside, [[self.crf.weight([f"s{d}:{name}"]) for d in BESIDE]]])
         return self.forms[name]
 
-    def _learn(self, word: str) -> None:
-        k = self.code[word] = len(self.code)
-        if k == len(self.own):
-            self.own, self.form = np.concatenate([self.own, np.zeros_like(self.own)]), np.concatenate([self.form, np.zeros_like(self.form)])
-        form, key = shape(word), "k" if KEY.search(word) else ""
-        self.own[k], self.form[k] = self.crf.weight(own_features(word, form, key)), self._formed(form + key)
-        self.held += len(word)
+    def _learn(self, code: np.ndarray, words: list[str]) -> None:
+        form, key = [shape(w) for w in words], ["k" if KEY.search(w) else "" for w in words]
+        own = [self.crf.weight(own_features(*x)) for x in zip(words, form, key, strict=True)]
+        code = np.concatenate([self.code, code])
+        order = np.argsort(code)
+        self.code, self.own = code[order], np.concatenate([self.own, own])[order]
+        self.form = np.concatenate([self.form, [self._formed(f + k) for f, k in zip(form, key, strict=True)]])[order]
+
+    def places(self, code: np.ndarray, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where ``own`` and ``form`` hold each token's; a code that is new is learned from one token that has it."""
+        new = ~np.isin(code, self.code)
+        if new.any():
+            found, first = np.unique(code[new], return_index=True)
+            at = np.flatnonzero(new)[first]
+            self._learn(found, [data[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+        return np.searchsorted(self.code, code)
+
+
+def _bytes_in(characters: str) -> np.ndarray:
+    return np.isin(np.arange(256), list(characters.encode()))
+
 
-    def codes(self, words: list[str]) -> np.ndarray:
-        for word in set(words).difference(self.code):
-            self._learn(word)
-        return np.array([self.code[w] for w in words], np.int64)
+LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_LOWER, _UPPER, _DIGIT, _MARK, _VOWEL, _HEX = map(_bytes_in, (LETTERS, LETTERS.upper(), DIGITS, "_+/.-", "aeiouAEIOU", DIGITS + "abcdef"))
+_INNER, _ALONE = _LOWER | _UPPER | _DIGIT | _MARK, _bytes_in("=:\"'")
+_CLASS = _UPPER + 2 * _DIGIT + 3 * _MARK
+#: A bit for each character of words, in two numbers.
+_BITS = [np.where(part, np.uint64(1) << (np.cumsum(part) - 1).clip(0).astype(np.uint64), np.uint64(0)) for part in (_LOWER | _UPPER | _DIGIT, _MARK)]
+_SIZES = np.array([1, 3, 6, 10, 16, 24, 40])
+_KEY = re.compile(KEY.pattern.encode())
+
+
+def _token_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds in bytes of the runs and single marks that ``TOKEN`` finds."""
+    inner, alone = np.concatenate([[False], _INNER[data], [False]]), np.concatenate([[False], _ALONE[data], [False]])
+    starts = alone[1:] | inner[1:] & ~inner[:-1]
+    ends = alone[:-1] | inner[:-1] & ~inner[1:]
+    return np.flatnonzero(starts), np.flatnonzero(ends)
+
+
+def _codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keyed: np.ndarray) -> np.ndarray:
+    """A number for each token; tokens of equal numbers have equal ``own_features`` and equal ``shape``."""
+    n = ends - starts
+    at = np.cumsum(n) - n
+    x = data[np.arange(int(n.sum())) + np.repeat(starts - at, n)]
+    count = lambda table: np.add.reduceat(table[x], at, dtype=np.int64)
+    lower, upper, digits, marks, hexes = map(count, (_LOWER, _UPPER, _DIGIT, _MARK, _HEX))
+    distinct = sum(np.bitwise_count(np.bitwise_or.reduceat(bits[x], at)).astype(np.int64) for bits in _BITS)
+    variety = np.minimum(9, 10 * distinct // np.minimum(64, n)) // 3
+    kind = _CLASS[x]
+    turned = np.concatenate([[False], kind[1:] != kind[:-1]])
+    turned[at] = False
+    changes = np.add.reduceat(turned, at, dtype=np.int64) / np.maximum(1, n - 1)
+    vowels = count(_VOWEL) / np.maximum(1, n - digits - marks)
+    place, low = np.arange(1, len(x) + 1), _LOWER[x]
+    before = np.where(low, 0, place)
+    before[at] = np.where(low[at], at, at + 1)
+    run = np.maximum.reduceat(place - np.maximum.accumulate(before), at)
+    step = lambda part: np.minimum(3, (4 * part).astype(np.int64))
+    mixed = [(step(changes), 4), (step(digits / n), 4), (step(2 * vowels), 4), (np.minimum(3, marks), 4), (np.minimum(3, run // 4), 4), (n > 15, 2)]
+    plain = [(n >= 6, 2), (lower > 0, 2), (upper > 0, 2), (digits > 0, 2), (marks > 0, 2), (np.searchsorted(_SIZES, n), 8), (variety, 4), (keyed, 2), ((n > 15) & (hexes == n), 2)]
+    code = np.where(_ALONE[x[at]], x[at], 0).astype(np.int64)
+    for value, many in plain:
+        code = code * many + value
+    for value, many in mixed:
+        code = code * many + np.where(n >= 6, value, 0)
+    return code
+
+
+def chunk_scores(texts: list[str], model: CRF) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of some texts together: where each one's tokens begin among all, token bounds in its own code points, and label scores.
+
+    The scores are those of ``model.scores(features(...))`` over all tokens of each text; words are taken in runs of about ``RUN`` bytes.
+    """
+    known = model.words
+    data = "\n".join(texts).encode(errors="surrogatepass")
+    x = np.frombuffer(data, np.uint8)
+    starts, ends = _token_bounds(x)
+    sizes = [len(t) if t.isascii() else len(t.encode(errors="surrogatepass")) for t in texts]
+    begins = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64) + 1)])  # of texts in bytes; one more byte lies between two
+    first = np.searchsorted(starts, begins)
+    if not len(starts):
+        return first, np.zeros((0, 2), np.int64), np.zeros((0, 3))
+    keyed = np.zeros(len(starts), bool)
+    keyed[np.searchsorted(starts, [m.start() for m in _KEY.finditer(data.lower())], "right") - 1] = True
+    code, i = np.zeros(len(starts), np.int64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + RUN, "right")))
+        code[i:j] = _codes(x, starts[i:j], ends[i:j], keyed[i:j])
+        i = j
+    places = known.places(code, data, starts, ends)
+    text = np.repeat(np.arange(len(texts)), np.diff(first))
+    of_file = np.array([model.weight(list(file_features(t))) if a < b else np.zeros(3) for t, a, b in zip(texts, first[:-1].tolist(), first[1:].tolist(), strict=True)])
+    emit = known.own[places] + of_file[text]
+    form = np.full(len(starts) + 3 * len(texts) + 3, known.edge)  # three edges before, between and after texts
+    own = np.arange(len(starts)) + 3 * (text + 1)
+    form[own] = known.form[places]
+    for j, d in enumerate(BESIDE):
+        emit += known.beside[form[own + d], j]
+    glued = np.concatenate([[False], starts[1:] == ends[:-1]])
+    emit += np.where(glued[:, None], model.weight(["glued"]), model.weight(["free"]))
+    bounds = np.stack([starts, ends], 1)
+    if len(data) > sum(map(len, texts)) + len(texts) - 1:
+        before = np.concatenate([[0], np.cumsum((x & 0xC0) != 0x80)])
+        bounds, begins = before[bounds], before[np.minimum(begins, len(x))]
+    return first, bounds - begins[text][:, None], emit
 
 
 def token_scores(text: str, model: CRF) -> tuple[np.ndarray, np.ndarray]:
     """Bounds and label scores of every token of the text: those of ``model.scores(features(...))``."""
-    known, bounds, codes, tokens = model.words, [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)], TOKEN.finditer(text)
-    if known.held > KEPT:
-        known.empty()
-    while part := list(islice(tokens, 1 << 16)):
-        bounds.append(np.array([t.span() for t in part], np.int64))
-        codes.append(known.codes([t[0] for t in part]))
-    bounds, codes = np.concatenate(bounds), np.concatenate(codes)
-    n, edge = len(codes), np.full(3, known.edge)
-    if not n:
-        return bounds, np.zeros((0, 3))
-    out = known.own[codes] + model.weight(list(file_features(text)))
-    form = np.concatenate([edge, known.form[codes], edge])
-    for j, d in enumerate(BESIDE):
-        out += known.beside[form[3 + d : 3 + d + n], j]
-    glued = np.concatenate([[False], bounds[1:, 0] == bounds[:-1, 1]])
-    return bounds, out + np.where(glued[:, None], model.weight(["glued"]), model.weight(["free"]))
+    return chunk_scores([text], model)[1:]
 
 
 def open_tokens(emit: np.ndarray, move: np.ndarray) -> np.ndarray:
@@ -347,15 +420,16 @@ def fit_crf(sequences: list[tuple[list[list[str]], list[int]]], steps: int = 120
     return CRF(index, emit, move)
 
 
-def crf_spans(text: str, model: CRF) -> list[tuple[int, int]]:
-    """Spans that the model tags in the best labelling of all tokens of the text; a full stop at the end is not part of one."""
+def _decoded(text: str, bounds: np.ndarray, emit: np.ndarray, move: np.ndarray) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    bounds, emit = token_scores(text, model)
     if not len(bounds):
         return out
-    maybe = np.concatenate([[False], open_tokens(emit, model.move), [False]])
+    maybe = open_tokens(emit, move)
+    if not maybe.any():
+        return out
+    maybe = np.concatenate([[False], maybe, [False]])
     for lo, hi in np.flatnonzero(maybe[1:] != maybe[:-1]).reshape(-1, 2).tolist():
-        labels = viterbi(emit[lo:hi], model.move, lo > 0, hi < len(bounds))
+        labels = viterbi(emit[lo:hi], move, lo > 0, hi < len(bounds))
         opened = False
         for (a, b), y in zip(bounds[lo:hi].tolist(), labels, strict=True):
             if y == OUTSIDE:
@@ -368,14 +442,36 @@ def crf_spans(text: str, model: CRF) -> list[tuple[int, int]]:
     return [(a, a + len(text[a:b].rstrip("."))) for a, b in out]
 
 
+def crf_spans(text: str, model: CRF) -> list[tuple[int, int]]:
+    """Spans that the model tags in the best labelling of all tokens of the text; a full stop at the end is not part of one."""
+    return _decoded(text, *token_scores(text, model), model.move)
+
+
+def chunk_spans(texts: list[str], model: CRF) -> Iterator[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+    """Per text its base spans, and those plus the model's spans that overlap none of them and could hold a secret."""
+    first, bounds, emit = chunk_scores(texts, model)
+    for text, i, j in zip(texts, first[:-1].tolist(), first[1:].tolist(), strict=True):
+        base = base_spans(text)
+        more = [(a, 3, b) for a, b in _decoded(text, bounds[i:j], emit[i:j], model.move) if b - a >= ASSIGN_LEAST and not any(a < y and x < b for x, _, y in base)]
+        yield base, sorted(base + more)
+
+
 def all_spans(text: str, model: CRF) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and those plus the model's spans that overlap none of them and could hold a secret."""
-    base = base_spans(text)
-    more = [(a, 3, b) for a, b in crf_spans(text, model) if b - a >= ASSIGN_LEAST and not any(a < y and x < b for x, _, y in base)]
-    return base, sorted(base + more)
+    """``chunk_spans`` of one text."""
+    return next(chunk_spans([text], model))
 
 
-LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+def _chunks(texts: list[str | None]) -> Iterator[list[str]]:
+    """Whole texts in runs of about ``RUN`` characters; null is empty."""
+    own, size = [], 0
+    for text in texts:
+        own.append(text or "")
+        size += len(own[-1])
+        if size >= RUN:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
 
 
 def drawn_secret(rng: random.Random) -> tuple[str, str]:
@@ -482,8 +578,7 @@ def _scanned(parts, names: list[str], text_col: str):
         model = CRF(*parts.value)
         for batch in tc.slices(batches):
             counts, base_text, every = [], [], []
-            for text in batch.column(text_col).to_pylist():
-                base, spans = all_spans(text or "", model)
+            for base, spans in (found for own in _chunks(batch.column(text_col).to_pylist()) for found in chunk_spans(own, model)):
                 kinds = [k for _, k, _ in base]
                 counts.append([kinds.count(k) for k in range(3)])
                 base_text.append(digest_text(base))
