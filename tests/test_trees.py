@@ -3,6 +3,7 @@
 import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +171,24 @@ def test_trees_of_odd_tables(spark):
     for bad in ([{"leaves": 3}], []):
         with pytest.raises(ContractError):
             trees.fit(table, FEATURES, bad, cuts, 2, 2)
+
+
+def test_rows_are_kept_in_blocks():
+    """Rows of one (fold, chunk, role) lie together, whatever batches they come in; none is lost, and an unknown date stays one."""
+    rng = np.random.default_rng(2)
+    n, features = 40_000, 3
+    x, fold, role, chunk = rng.integers(0, 9, (n, features)).astype(np.uint8), rng.choice(["a", "b"], n, p=[0.9, 0.1]), rng.integers(0, 2, n), rng.integers(0, 2, n)
+    u, y, w, day = np.arange(n), rng.normal(size=n), rng.random(n), np.where(np.arange(n) % 50 == 0, -(2**31), rng.integers(0, 9, n)).astype(np.int32)
+    table = pa.table({"fold": fold, "chunk": pa.array(chunk, pa.int32()), "role": pa.array(role, pa.int32()), "day": day, "u": u, "y": y, "w": w}).append_column("x", [trees._bytes(x)])
+    made = list(trees._packed_blocks(features, {"a": 0.5, "b": -1.0}, 2, 3)(iter(table.to_batches(max_chunksize=700))))
+    assert max(b.column("n")[0].as_py() for b in made) == trees.BLOCK and len(made) <= 20
+    seen = []
+    for batch in made:
+        (key, own), = trees._blocks(batch, features)
+        at = own["u"]
+        seen += at.tolist()
+        assert (fold[at] == key[0]).all() and (chunk[at] == key[1]).all() and (role[at] == batch.column("role")[0].as_py()).all()
+        assert (own["x"].T == x[at]).all() and (own["y"] == y[at]).all() and (own["w"] == w[at]).all() and (own["day"] == day[at]).all()
+        assert own["scores"].shape == (2 - key[1], len(at)) and (own["scores"] == (0.5 if key[0] == "a" else -1.0)).all()
+    assert sorted(seen) == list(range(n))
+    assert list(trees._packed_blocks(features, {}, 2, 3)(iter([]))) == []
