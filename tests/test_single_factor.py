@@ -1,12 +1,14 @@
 """The single-factor run on a small panel: bounds, refusals, publishing and its failures."""
 
 import dataclasses
+import datetime as dt
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.operators import contracts, cross_section, evidence, factors, labels
+from tidepanel.operators import contracts, cross_section, evidence, factors, labels, portfolio
 from tidepanel.plans import single_factor
 from tidepanel.sources import audit, panel, sinks
 
@@ -91,3 +93,76 @@ def test_fingerprint_ignores_order_and_sees_nulls(spark):
     b = spark.createDataFrame([(None, 1), (2, 3)], "x int, y int")
     assert panel.fingerprint(a).first() == panel.fingerprint(a.orderBy(F.desc("x")).repartition(3)).first()
     assert panel.fingerprint(a).first() != panel.fingerprint(b).first() and panel.fingerprint(a.limit(0)).first().n == 0
+
+
+def sorts(df):
+    """Keys of the sorts in a physical plan, and the plan's text from the top."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    prepared = df._jdf.queryExecution().executedPlan().toString()
+    return [line.split("Sort [", 1)[1] for line in prepared.split("== Initial Plan ==")[-1].splitlines() if "Sort [" in line], plan
+
+
+def odd_panel(spark):
+    """Ties, nulls, NaN, an infinity, names that leave and return, and a last date without any usable name."""
+    rng = np.random.default_rng(5)
+    days = [dt.date(2024, 1, 1) + dt.timedelta(k) for k in range(6)]
+    rows = []
+    for k, day in enumerate(days):
+        for s in range(23):
+            score, y = float(rng.integers(0, 6)), float(rng.integers(0, 5)) / 7
+            score = None if s == 3 else float("nan") if s == 4 else float("inf") if s == 5 else score
+            rows.append((day, f"{s:02d}", score, None if s == 6 else y, y * y - s, bool(rng.random() < 0.9) and k < 5, bool(rng.random() < 0.6) and k < 5, day, day))
+    return spark.createDataFrame(rows, "trade_date date, security_id string, directed_score double, label_excess_o2o_1d double, label_excess_o2o_2d double, basic_eligible boolean, tradable_next_open boolean, entry_date date, label_end_date_1d date")
+
+
+def test_daily_ic_copies_no_row_before_it_sorts(spark):
+    p = odd_panel(spark)
+    daily = cross_section.evaluate_ic(p, (1, 2))
+    keys, plan = sorts(daily)
+    assert len(keys) == 3 and all("eligibility" not in k for k in keys)  # the score, and each label once
+    assert plan.index("Generate") < plan.rindex("Window")  # rows are dealt to horizons above the windows
+    got = {(r.trade_date, r.eligibility, r.horizon_days): r for r in daily.collect()}
+    rows = p.toPandas()
+    assert len(got) == 6 * 4
+    for (day, kind, h), r in got.items():
+        x = rows[(rows.trade_date == day) & rows.basic_eligible & (rows.tradable_next_open | (kind == "basic"))]
+        x = x[np.isfinite(x.directed_score) & np.isfinite(x[f"label_excess_o2o_{h}d"])]
+        s, y = x.directed_score, x[f"label_excess_o2o_{h}d"]
+        assert r.n_names == len(x)
+        if len(x) >= 3 and s.nunique() > 1 and y.nunique() > 1:
+            assert r.pearson_ic == pytest.approx(s.corr(y)) and r.rank_ic == pytest.approx(s.rank().corr(y.rank()))
+        else:
+            assert r.pearson_ic is None and r.rank_ic is None
+
+
+def test_positions_sort_a_date_once_and_turnover_follows_names(spark):
+    p = odd_panel(spark)
+    held = portfolio.positions(p, 1, 4, 3)
+    assert sum("directed_score" in k for k in sorts(held)[0]) == 1 and not any("portfolio" in k for k in sorts(held)[0])
+    want = {}
+    for seq, (_, x) in enumerate(list(p.toPandas().groupby("trade_date")), 1):
+        x = x[np.isfinite(x.directed_score) & x.tradable_next_open].sort_values(["directed_score", "security_id"]).security_id.tolist()
+        if len(x) < 4:
+            continue
+        parts = [list(b) for b in np.array_split(x, 3)]
+        books = {f"Q{k + 1}": {s: 1 / len(b) for s in b} for k, b in enumerate(parts)} | {"top_4": {s: 0.25 for s in x[-4:]}}
+        want[seq] = books | {"top_bottom": {s: 1 / len(parts[2]) for s in parts[2]} | {s: -1 / len(parts[0]) for s in parts[0]}}
+    got = {}
+    for r in held.collect():
+        got.setdefault(r.seq, {}).setdefault(r.portfolio, {})[r.security_id] = r.weight
+    assert got == want and len(want) == 5
+    known = {(r.seq, r.portfolio): r.turnover for r in portfolio.turnovers(held).collect()}
+    for seq, books in want.items():
+        for name, now in books.items():
+            before = want[seq - 1][name] if seq > 1 else {}
+            assert known[seq, name] == pytest.approx(0.5 * sum(abs(now.get(s, 0) - before.get(s, 0)) for s in now | before))
+
+
+def test_evidence_carries_no_daily_column(inputs):
+    got = single_factor.evidence_panel(inputs, "CLOSE_POS5", PROFILE)
+    assert not set(got.columns) & {"adjusted_open", "adjusted_high", "volume", "traded_amount"}
+    assert got.where("directed_score is not null").count() > 0
+
+
+def test_lines_are_sorted_by_supplier(spark, small):
+    assert all(k.startswith("security_id") for k in sorts(panel.panel(spark, small))[0])

@@ -47,6 +47,16 @@ def avg_rank(value: str, *by: str) -> Column:
     return (F.rank().over(w) + F.count("*").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))) / 2
 
 
+def avg_rank_of(flag: str, value: str, *by: str) -> Column:
+    """Average rank (1-based) of ``value`` among the rows of a group that ``flag`` marks; other rows have no use for theirs.
+
+    Ranks by several flags share one ordered window, so subsets that overlap need neither copies of rows nor sorts of their own.
+    """
+    w = Window.partitionBy(*by).orderBy(value)
+    marked = lambda start: F.count_if(F.col(flag)).over(w.rangeBetween(start, Window.currentRow))
+    return marked(Window.unboundedPreceding) - (marked(Window.currentRow) - 1) / 2
+
+
 def rounded(df, digits: int, *keys: str):
     """Double columns rounded, with no negative zero."""
     return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" and c not in keys else F.col(c) for c, t in df.dtypes])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.core import avg_rank, clean, scorr, sdiv
+from tidepanel.functions.core import avg_rank, avg_rank_of, clean, scorr, sdiv
 from tidepanel.operators import wide
 from tidepanel.operators.contracts import ContractError, valid_horizons
 from tidepanel.operators.wide import CLIP, MAD
@@ -153,21 +153,29 @@ def evaluate_ic(panel: DataFrame, horizons: tuple[int, ...] = (1, 5, 20), date:
     """``pearson_ic, rank_ic, n_names`` per date, horizon and eligibility (``basic``, ``tradable``).
 
     Pairs are finite score and label; below 3 names or 2 distinct values of a side the ICs are NULL, and the row stays.
+    A row is shuffled once and sorted once by its score and once by each label: ranks of all horizons and eligibilities are
+    counts of their rows up to a value.
     """
     valid_horizons(horizons)
     basic = F.coalesce("basic_eligible", F.lit(False))
-    kinds = F.explode(F.array(F.struct(F.lit("basic").alias("eligibility"), basic.alias("ok")), F.struct(F.lit("tradable").alias("eligibility"), (basic & F.coalesce("tradable_next_open", F.lit(False))).alias("ok"))))
-    names = [f"label_excess_o2o_{h}d" for h in horizons]
-    each = F.explode(F.array(*(F.struct(F.lit(h).alias("horizon_days"), F.col(n).alias("label")) for h, n in zip(horizons, names, strict=True))))
-    long = panel.select(date, "directed_score", kinds.alias("e"), *names).select(date, "directed_score", "e.*", each.alias("h")).select(date, "directed_score", "eligibility", "ok", "h.*")
-    by = [date, "eligibility", "horizon_days"]
-    usable = F.col("ok") & clean(F.col("directed_score")).isNotNull() & clean(F.col("label")).isNotNull()
-    rows = long.select(*by, "directed_score", "label", usable.alias("ok")).repartition(*by)
-    ranked = rows.select("*", avg_rank("directed_score", *by, "ok").alias("_x"), avg_rank("label", *by, "ok").alias("_y"))
-    at = lambda c: F.when(F.col("ok"), F.col(c))
-    x, y = at("_x"), at("_y")
-    enough = (F.count_if("ok") >= 3) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    return ranked.groupBy(*by).agg(F.when(enough, scorr(at("directed_score"), at("label"))).alias("pearson_ic"), F.when(enough, scorr(x, y)).alias("rank_ic"), F.count_if("ok").alias("n_names"))
+    kinds = {"basic": basic, "tradable": basic & F.coalesce("tradable_next_open", F.lit(False))}
+    scored = clean(F.col("directed_score")).isNotNull()
+    flags = {(e, h): f"_{e}_{h}" for h in horizons for e in kinds}
+    usable = [(kinds[e] & scored & clean(F.col(f"label_excess_o2o_{h}d")).isNotNull()).alias(c) for (e, h), c in flags.items()]
+    labels = {h: f"_label{h}" for h in horizons}
+    rows = panel.select(date, "directed_score", *(F.col(f"label_excess_o2o_{h}d").alias(c) for h, c in labels.items()), *usable)
+    rows = rows.select("*", *(avg_rank_of(c, "directed_score", date).alias(f"_x{c}") for c in flags.values()))
+    for h, label in labels.items():
+        rows = rows.select("*", *(avg_rank_of(c, label, date).alias(f"_y{c}") for (_, k), c in flags.items() if k == h))
+    at = lambda c, x: F.when(F.col(c), F.col(x))
+    each = F.explode(F.array(*(
+        F.struct(F.lit(e).alias("eligibility"), F.lit(h).alias("horizon_days"), F.col(c).alias("ok"), at(c, "directed_score").alias("s"), at(c, labels[h]).alias("l"), at(c, f"_x{c}").alias("x"), at(c, f"_y{c}").alias("y"))
+        for (e, h), c in flags.items()
+    )))
+    long = rows.select(date, each.alias("e")).select(date, "e.*")
+    enough = (F.count_if("ok") >= 3) & (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
+    pearson, rank = (F.when(enough, scorr(F.col(a), F.col(b))) for a, b in (("s", "l"), ("x", "y")))
+    return long.groupBy(date, "eligibility", "horizon_days").agg(pearson.alias("pearson_ic"), rank.alias("rank_ic"), F.count_if("ok").alias("n_names"))
 
 
 def quintiles(panel: DataFrame, score: str, label: str, date: str, key: str = "security_id", q: int = 5, fail: bool = False) -> DataFrame:

@@ -12,9 +12,14 @@ KEYS = ["trade_date", "security_id"]
 
 
 def research_panel(daily: DataFrame, members: DataFrame, tradable: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Members' rows with the authoritative ``tradable_next_open`` (missing: false) and ``basic_eligible``."""
-    rows = daily.drop("tradable_next_open", "basic_eligible").join(members.select(*KEYS), KEYS, "left_semi")
-    rows = rows.join(tradable.select(*KEYS, "tradable_next_open"), KEYS, "left").withColumn("tradable_next_open", F.coalesce("tradable_next_open", F.lit(False)))
+    """Members' rows with the authoritative ``tradable_next_open`` (missing: false) and ``basic_eligible``.
+
+    Joins sort by security first, as series are read in that order and a date has far more rows than a security.
+    """
+    by = ["security_id", "trade_date"]
+    rows = daily.drop("tradable_next_open", "basic_eligible").join(members.select(*KEYS), by, "left_semi")
+    rest = [c for c in rows.columns if c not in KEYS]
+    rows = rows.join(tradable.select(*KEYS, "tradable_next_open"), by, "left").select(*KEYS, *rest, F.coalesce("tradable_next_open", F.lit(False)).alias("tradable_next_open"))
     rows = rows.withColumn("basic_eligible", F.lit(True))
     if start:
         rows = rows.where(F.col("trade_date") >= F.lit(start).cast("date"))

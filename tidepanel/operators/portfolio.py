@@ -13,6 +13,7 @@ from tidepanel.operators.contracts import ContractError, valid_portfolio
 #: Periods a year by horizon in days.
 PERIODS = {1: 252, 5: 52, 20: 12}
 NAMES = ["portfolio", "portfolio_kind", "is_diagnostic"]
+KINDS = ("quintile_long", "top_k_long", "diagnostic_long_short")
 
 
 def net_return(gross: Column, turnover: Column, bps: float) -> Column:
@@ -33,36 +34,48 @@ def rebalances(panel: DataFrame, h: int, least: int, date: str = "trade_date") -
     return every.withColumn("seq", F.when(valid, F.sum(valid.cast("long")).over(order)))
 
 
-def positions(panel: DataFrame, h: int, top_k: int, q: int, date: str = "trade_date") -> DataFrame:
+def positions(panel: DataFrame, h: int, top_k: int, q: int, date: str = "trade_date", kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """``seq, date, portfolio, portfolio_kind, is_diagnostic, security_id, weight`` and label columns.
 
     Quantiles split the ranked names evenly (the first get one more); the top k are the last k by (score, id);
-    ``top_bottom`` holds the top quantile long and the bottom one short.
+    ``top_bottom`` holds the top quantile long and the bottom one short.  A side's names are told from the number of names of the
+    date, so one sort by date serves all portfolios; only those of ``kinds`` are made.
     """
     label, end = f"label_excess_o2o_{h}d", f"label_end_date_{h}d"
     calendar = rebalances(panel, h, max(top_k, q), date).where("seq is not null")
-    rows = panel.where(clean(F.col("directed_score")).isNotNull() & F.coalesce("tradable_next_open", F.lit(False))).join(calendar, date)
-    key = F.col("security_id").cast("string")
-    up, down = Window.partitionBy(date).orderBy("directed_score", key), Window.partitionBy(date).orderBy(F.desc("directed_score"), F.desc(key))
-    ranked = rows.select("seq", date, "security_id", "entry_date", F.col(end).alias("label_end_date"), F.col(label).alias("label"), F.ntile(q).over(up).alias("b"), F.row_number().over(down).alias("t"))
-    one = lambda name, kind, diagnostic, w: F.struct(name.alias("portfolio"), F.lit(kind).alias("portfolio_kind"), F.lit(diagnostic).alias("is_diagnostic"), w.alias("w"))
-    memberships = F.filter(F.array(
-        one(F.concat(F.lit("Q"), "b"), "quintile_long", False, F.lit(1.0)),
-        F.when(F.col("t") <= top_k, one(F.lit(f"top_{top_k}"), "top_k_long", False, F.lit(1.0))),
-        F.when(F.col("b").isin(1, q), one(F.lit("top_bottom"), "diagnostic_long_short", True, F.when(F.col("b") == q, 1.0).otherwise(-1.0))),
-    ), lambda m: m.isNotNull())
-    long = ranked.select("seq", date, "security_id", "entry_date", "label_end_date", "label", F.explode(memberships).alias("m")).select("seq", date, "security_id", "entry_date", "label_end_date", "label", "m.*")
-    side = F.count("*").over(Window.partitionBy("seq", "portfolio", F.signum("w")))
-    return long.withColumn("weight", F.col("w") / side).drop("w")
+    rows = panel.where(clean(F.col("directed_score")).isNotNull() & F.coalesce("tradable_next_open", F.lit(False))).join(F.broadcast(calendar), date)
+    up, n = Window.partitionBy(date).orderBy("directed_score", F.col("security_id").cast("string")), F.col("n_eligible")
+    from_top = n - F.row_number().over(up) + 1
+    ranked = rows.select("seq", date, "security_id", "entry_date", F.col(end).alias("label_end_date"), F.col(label).alias("label"), "n_eligible", F.ntile(q).over(up).alias("b"), from_top.alias("t"))
+    size = F.floor(n / q) + (F.col("b") <= n % q).cast("long")
+
+    def one(kind: str, name: Column, diagnostic: bool, w: Column, held: Column | None = None) -> Column:
+        made = F.struct(name.alias("portfolio"), F.lit(kind).alias("portfolio_kind"), F.lit(diagnostic).alias("is_diagnostic"), w.alias("weight"))
+        return made if held is None else F.when(held, made)
+
+    every = {
+        "quintile_long": one("quintile_long", F.concat(F.lit("Q"), "b"), False, 1.0 / size),
+        "top_k_long": one("top_k_long", F.lit(f"top_{top_k}"), False, F.lit(1.0 / top_k), F.col("t") <= top_k),
+        "diagnostic_long_short": one("diagnostic_long_short", F.lit("top_bottom"), True, F.when(F.col("b") == q, 1.0).otherwise(-1.0) / size, F.col("b").isin(1, q)),
+    }
+    memberships = F.array_compact(F.array(*(every[k] for k in KINDS if k in kinds)))
+    columns = ["seq", date, "security_id", "entry_date", "label_end_date", "label"]
+    return ranked.select(*columns, F.explode(memberships).alias("m")).select(*columns, "m.*")
 
 
 def _changes(held: DataFrame, *columns: str) -> DataFrame:
-    """Weight changes ``d`` per (seq, portfolio, security) since the last valid rebalance, and whether it is held now (``own``)."""
-    own = F.struct(F.col("seq").alias("seq"), F.col("weight").alias("w"), F.lit(True).alias("own"))
-    gone = F.struct((F.col("seq") + 1).alias("seq"), (-F.col("weight")).alias("w"), F.lit(False).alias("own"))
-    rows = held.select("portfolio", "security_id", *columns, F.explode(F.array(own, gone)).alias("x")).select("portfolio", "security_id", *columns, "x.*")
-    kept = [F.max(F.when(F.col("own"), F.col(c))).alias(c) for c in columns]
-    return rows.groupBy("seq", "portfolio", "security_id").agg(F.sum("w").alias("d"), F.max("own").alias("own"), F.sum(F.when(F.col("own"), F.col("w"))).alias("weight"), *kept)
+    """Weight changes ``d`` per (seq, portfolio, security) since the last valid rebalance, and whether it is held now (``own``).
+
+    A name is compared with its own rows before and after; a row is added only where a name leaves its portfolio.
+    """
+    w = Window.partitionBy("security_id", "portfolio").orderBy("seq")
+    before = F.when(F.lag("seq").over(w) == F.col("seq") - 1, F.lag("weight").over(w))
+    leaves = F.coalesce(F.lead("seq").over(w) != F.col("seq") + 1, F.lit(True))
+    rows = held.select("portfolio", "security_id", "seq", "weight", *columns, (F.col("weight") - F.coalesce(before, F.lit(0.0))).alias("_d"), leaves.alias("_leaves"))
+    own = F.struct("seq", F.col("_d").alias("d"), F.lit(True).alias("own"), "weight", *columns)
+    nothing = (F.lit(None).cast(held.schema[c].dataType).alias(c) for c in ("weight", *columns))
+    gone = F.struct((F.col("seq") + 1).alias("seq"), (-F.col("weight")).alias("d"), F.lit(False).alias("own"), *nothing)
+    return rows.select("portfolio", "security_id", F.explode(F.array_compact(F.array(own, F.when(F.col("_leaves"), gone)))).alias("x")).select("portfolio", "security_id", "x.*")
 
 
 def turnovers(held: DataFrame) -> DataFrame:
@@ -70,14 +83,14 @@ def turnovers(held: DataFrame) -> DataFrame:
     return _changes(held).groupBy("seq", "portfolio").agg((0.5 * F.sum(F.abs("d"))).alias("turnover"))
 
 
-def periods(panel: DataFrame, h: int, top_k: int, q: int, bps: float, date: str = "trade_date") -> DataFrame:
-    """One row per rebalance date and portfolio: names, returns, turnover and cost.
+def periods(panel: DataFrame, h: int, top_k: int, q: int, bps: float, date: str = "trade_date", kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """One row per rebalance date and portfolio (those of ``kinds``): names, returns, turnover and cost.
 
     A period is evaluable if all labels are finite and all names share entry and end dates.  Dates with too few
     names give placeholder rows that are not evaluable and leave the previous weights as they are.
     """
     valid_portfolio(h, top_k, q, bps)
-    names = _changes(positions(panel, h, top_k, q, date), date, "entry_date", "label_end_date", "label")
+    names = _changes(positions(panel, h, top_k, q, date, kinds), date, "entry_date", "label_end_date", "label")
     count = F.count_if("own")
     at = lambda c: F.when(F.col("own"), F.col(c))
     one_date = lambda c: (F.count(at(c)) == count) & (F.min(at(c)) == F.max(at(c)))
@@ -91,8 +104,9 @@ def periods(panel: DataFrame, h: int, top_k: int, q: int, bps: float, date: str
         (0.5 * F.sum(F.abs("d"))).alias("turnover"),
     ).where("n_names > 0")
     spark = panel.sparkSession
-    kinds = spark.createDataFrame([*((f"Q{i}", "quintile_long", False) for i in range(1, q + 1)), (f"top_{top_k}", "top_k_long", False), ("top_bottom", "diagnostic_long_short", True)], "portfolio string, portfolio_kind string, is_diagnostic boolean")
-    grid = rebalances(panel, h, max(top_k, q), date).select(date).crossJoin(F.broadcast(kinds))
+    every = [*((f"Q{i}", "quintile_long", False) for i in range(1, q + 1)), (f"top_{top_k}", "top_k_long", False), ("top_bottom", "diagnostic_long_short", True)]
+    books = spark.createDataFrame([x for x in every if x[1] in kinds], "portfolio string, portfolio_kind string, is_diagnostic boolean")
+    grid = rebalances(panel, h, max(top_k, q), date).select(date).crossJoin(F.broadcast(books))
     rows = grid.join(made.drop("seq"), [date, "portfolio"], "left")
     gross = F.when(F.col("is_evaluable"), F.col("_g"))
     turnover = F.coalesce("turnover", F.lit(0.0))
@@ -144,9 +158,9 @@ def active_metrics(table: DataFrame, h: int, scenarios: tuple[float, ...] = (0.0
     )
 
 
-def simulate(panel: DataFrame, h: int, top_k: int, q: int = 5, bps: float = 10.0, date: str = "trade_date") -> tuple[DataFrame, DataFrame]:
-    """Periods with NAV, and their summary."""
-    table = with_nav(periods(panel, h, top_k, q, bps, date), date)
+def simulate(panel: DataFrame, h: int, top_k: int, q: int = 5, bps: float = 10.0, date: str = "trade_date", kinds: tuple[str, ...] = KINDS) -> tuple[DataFrame, DataFrame]:
+    """Periods with NAV, and their summary, of the portfolios of ``kinds``."""
+    table = with_nav(periods(panel, h, top_k, q, bps, date, kinds), date)
     return table, summarize(table, h, date)
 
 

@@ -74,18 +74,22 @@ def evidence_panel(inputs: Inputs, factor_id: str, profile: Profile) -> DataFram
     """Signal rows from start to end: eligibility, labels and the directed score.
 
     Rows before the start serve the factor's lookback, rows after the end the labels; both are found on the
-    calendars and pushed into the scans as date bounds.  No row after the end reaches the factor.
+    calendars and pushed into the scans as date bounds.  No row after the end reaches the factor.  Of the daily columns, those
+    that the labels and the factor read go through the joins, and none of them into the result.
     """
     spark = inputs.daily.sparkSession
     sessions = factors.lookback(factors.registry(spark)).where(F.col("factor_id") == factor_id).first().sessions
     since = factors.history_start(inputs.daily, profile.start, sessions).first().trade_date or profile.start
     until = factors.label_end(inputs.bench, profile.end, max(profile.horizons)).first().trade_date or profile.end
-    rows = sinks.written(labels.research_panel(inputs.daily, inputs.members, inputs.tradable, str(since), str(until)), "research")
+    own = [c for c in factors.lookup(factor_id).fields if c != "market_return"]
+    daily = inputs.daily.select(*dict.fromkeys([*labels.KEYS, "adjusted_open", *own]))
+    rows = sinks.written(labels.research_panel(daily, inputs.members, inputs.tradable, str(since), str(until)), "research")
     signal = F.col("trade_date").between(F.lit(profile.start).cast("date"), F.lit(profile.end).cast("date"))
     past = sources.with_market_return(factors.leak_free(rows, profile.end), inputs.bench)
     raw = factors.compute(past, factor_id).where(signal)
     score = cross_section.prepare_factor(raw, factors.lookup(factor_id).direction).select(*labels.KEYS, "directed_score")
-    return labels.forward_labels(rows, inputs.bench, profile.horizons).where(signal).join(score, labels.KEYS, "left")
+    known = rows.select(*labels.KEYS, "adjusted_open", "tradable_next_open", "basic_eligible")
+    return labels.forward_labels(known, inputs.bench, profile.horizons).drop("adjusted_open").where(signal).join(score, labels.KEYS, "left")
 
 
 def _horizons(rows: DataFrame, profile: Profile, part: int) -> DataFrame:

@@ -41,25 +41,30 @@ def fingerprint(df: DataFrame) -> DataFrame:
 
 
 def derived_panel(lines: DataFrame) -> DataFrame:
-    """Monthly panel per supplier from ``lineitem``: one shuffle, partial aggregates, no sort of lines.
+    """Monthly panel per supplier from ``lineitem``: one shuffle, partial aggregates.
 
-    First and last prices of a month are min_by / max_by over the line order.
+    First and last prices of a month come from the least and the largest line by the line order.  Such structs cannot be
+    aggregated by hash, so each task sorts its lines: by the supplier first, as the key of more values settles most
+    comparisons without a look at the rows.
     """
-    unit = F.col("l_extendedprice") / F.col("l_quantity")
-    order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
-    rows = lines.select(F.trunc("l_shipdate", "month").alias("trade_date"), F.col("l_suppkey").alias("security_id"), unit.alias("unit"), order.alias("o"), "l_quantity", "l_extendedprice", "l_returnflag")
-    return rows.groupBy("trade_date", "security_id").agg(
-        F.min_by("unit", "o").alias("adjusted_open"),
-        F.max("unit").alias("adjusted_high"),
-        F.min("unit").alias("adjusted_low"),
-        F.max_by("unit", "o").alias("adjusted_close"),
-        (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("vwap"),
+    columns = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"]
+    order = F.struct(*columns)
+    unit = lambda o="": F.col(f"{o}l_extendedprice") / F.col(f"{o}l_quantity")
+    rows = lines.select(F.trunc("l_shipdate", "month").alias("trade_date"), F.col("l_suppkey").alias("security_id"), *columns, (F.col("l_returnflag") == "R").alias("_r"))
+    made = rows.groupBy("security_id", "trade_date").agg(
+        F.min(order).alias("_first"),
+        F.max(order).alias("_last"),
+        F.max(unit()).alias("adjusted_high"),
+        F.min(unit()).alias("adjusted_low"),
         F.sum("l_quantity").alias("volume"),
         F.sum("l_extendedprice").alias("traded_amount"),
         F.count("*").cast("double").alias("turnover"),
-        (F.sum("l_quantity") >= 60).alias("is_member"),
-        (F.count_if(F.col("l_returnflag") == "R") <= 3).alias("tradable_next_open"),
-    )
+        F.count_if("_r").alias("_n_r"),
+    )
+    return made.select(
+        "trade_date", "security_id", unit("_first.").alias("adjusted_open"), "adjusted_high", "adjusted_low", unit("_last.").alias("adjusted_close"), (F.col("traded_amount") / F.col("volume")).alias("vwap"),
+        "volume", "traded_amount", "turnover", (F.col("volume") >= 60).alias("is_member"), (F.col("_n_r") <= 3).alias("tradable_next_open"),
+    )
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
