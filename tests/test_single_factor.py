@@ -158,6 +158,14 @@ def test_positions_sort_a_date_once_and_turnover_follows_names(spark):
             assert known[seq, name] == pytest.approx(0.5 * sum(abs(now.get(s, 0) - before.get(s, 0)) for s in now | before))
 
 
+def test_books_of_one_kind_are_those_of_all(spark):
+    p = odd_panel(spark)
+    for part in (0, 1):
+        whole = portfolio.simulate(p, 1, 4, 3)[part].where("portfolio_kind = 'top_k_long'")
+        own = portfolio.simulate(p, 1, 4, 3, kinds=("top_k_long",))[part]
+        assert own.count() > 0 and sorted(map(str, own.collect())) == sorted(map(str, whole.collect()))
+
+
 def test_evidence_carries_no_daily_column(inputs):
     got = single_factor.evidence_panel(inputs, "CLOSE_POS5", PROFILE)
     assert not set(got.columns) & {"adjusted_open", "adjusted_high", "volume", "traded_amount"}

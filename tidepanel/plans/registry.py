@@ -56,10 +56,12 @@ def labelled(s: SparkSession, d: str, horizons: tuple[int, ...] = (1,)) -> DataF
 
 
 def scored_of(p: DataFrame, factor: str = "REV5") -> DataFrame:
-    """Labelled research panel with a factor's directed score: the single-factor run up to its evidence."""
-    rows = written(research_of(p), "research")
+    """Labels, eligibility and a factor's directed score of the research panel: the single-factor run up to its evidence."""
+    own = dict.fromkeys([*labels.KEYS, "adjusted_open", *factors.lookup(factor).fields])
+    rows = written(labels.research_panel(p.select(*own), sources.membership(p), sources.tradability(p)), "research")
     prepared = cross_section.prepare_factor(factors.compute(factors.leak_free(rows), factor), factors.lookup(factor).direction)
-    return labels.forward_labels(rows, sources.benchmark(p), HORIZONS).join(prepared.select(*labels.KEYS, "directed_score"), labels.KEYS, "left")
+    known = rows.select(*labels.KEYS, "adjusted_open", "tradable_next_open", "basic_eligible")
+    return labels.forward_labels(known, sources.benchmark(p), HORIZONS).drop("adjusted_open").join(prepared.select(*labels.KEYS, "directed_score"), labels.KEYS, "left")
 
 
 def scored(s: SparkSession, d: str, factor: str = "REV5") -> DataFrame:
@@ -540,7 +542,7 @@ def _board(s: SparkSession, d: str) -> DataFrame:
     run = {"factor_id": F.lit("REV5"), "run_id": F.lit("run")}
     rows = written(scored(s, d), "scored")
     summary = evidence.with_p_value(evidence.ic_summary(cross_section.evaluate_ic(rows, HORIZONS))).withColumns(run)
-    books = [portfolio.simulate(rows, h, 10)[1].withColumns(run) for h in HORIZONS]
+    books = [portfolio.simulate(rows, h, 10, kinds=("top_k_long",))[1].withColumns(run) for h in HORIZONS]  # a scoreboard row holds no others
     return evidence.scoreboard_row(summary, books[0].unionByName(books[1]).unionByName(books[2]), list(run), HORIZONS)
 
 
