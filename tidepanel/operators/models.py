@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepanel.operators.contracts import ContractError
@@ -18,14 +18,27 @@ from tidepanel.operators.contracts import ContractError
 ALPHAS = (0.1, 1.0, 10.0, 100.0)
 
 
+def _lists(batch: pa.RecordBatch, n: int) -> np.ndarray:
+    """The arrays ``x`` of n numbers as a matrix."""
+    return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+
+
+def _listed(rows: DataFrame, features: list[str]) -> Column:
+    """The features as one array ``x``, which rows may have already."""
+    return F.col("x") if dict(rows.dtypes).get("x") == "array<double>" else F.array(*(F.col(f).cast("double") for f in features)).alias("x")
+
+
 def _gram(n: int):
     """Weighted Gram matrix of each fold in a partition, a row of it per output row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
         for batch in batches:
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+            x = np.column_stack([np.ones(batch.num_rows), _lists(batch, n - 2), batch.column("y").to_numpy(zero_copy_only=False)])
             w, fold = batch.column("w").to_numpy(zero_copy_only=False), np.array(batch.column("fold").to_pylist(), object)
+            known = np.ones(len(x), bool)
+            known[np.flatnonzero(batch.column("x").flatten().is_null().to_numpy(zero_copy_only=False)) // (n - 2)] = False
+            x, w, fold = x[known], w[known], fold[known]
             for f in set(fold.tolist()):
                 own = fold == f
                 sums[f] = sums.get(f, 0.0) + (x[own] * w[own, None]).T @ x[own]
@@ -40,11 +53,11 @@ def ridge(rows: DataFrame, features: list[str], label: str, weight: str, alphas:
 
     Each partition makes the weighted Gram matrix of its rows, Spark adds those up row by row; one matrix of (features + 2)^2
     sums per fold comes to the driver, where each penalty is a small solve.  The intercept is not penalised.  Rows with
-    a NULL in a feature, the label or the weight are left out; a fold whose weights sum to nothing is refused.
+    a NULL in a feature, the label or the weight are left out; a fold whose weights sum to nothing is refused.  Rows with the features as
+    an array ``x`` of doubles beside their columns are read by that.
     """
     n = len(features) + 2
-    x = F.array(F.lit(1.0), *(F.col(f).cast("double") for f in features), F.col(label).cast("double"))
-    known = rows.select(F.col(by).cast("string").alias("fold"), F.col(weight).cast("double").alias("w"), x.alias("x")).where(F.col("w").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
+    known = rows.select(F.col(by).cast("string").alias("fold"), F.col(weight).cast("double").alias("w"), F.col(label).cast("double").alias("y"), _listed(rows, features)).where("w is not null and y is not null")
     parts = known.mapInArrow(_gram(n), "fold string, i int, g array<double>").select("fold", "i", array_to_vector("g").alias("g"))
     grams: dict[str, np.ndarray] = {}
     for r in parts.groupBy("fold", "i").agg(Summarizer.sum(F.col("g")).alias("g")).collect():
@@ -64,12 +77,32 @@ def ridge(rows: DataFrame, features: list[str], label: str, weight: str, alphas:
 
 
 def predict_linear(rows: DataFrame, coefficients: DataFrame, features: list[str], by: str = "fold") -> DataFrame:
-    """``rows`` once per alpha with ``score``; the coefficients, a row per fold and alpha, are broadcast."""
-    wide = coefficients.groupBy(by, "alpha").agg(F.map_from_entries(F.collect_list(F.struct("feature", "coefficient"))).alias("_m"))
-    wide = wide.select(by, "alpha", F.element_at("_m", "__intercept__").alias("_b0"), F.array(*(F.element_at("_m", F.lit(f)) for f in features)).alias("_b"))
-    products = F.zip_with(F.array(*(F.col(f).cast("double") for f in features)), "_b", lambda x, b: x * b)
-    score = F.aggregate(products, F.col("_b0"), lambda x, y: x + y)
-    return rows.join(F.broadcast(wide), by).select(*rows.columns, "alpha", score.alias("score"))
+    """``rows``, less the features, once per alpha with ``score``; the coefficients, a row per fold, alpha and feature, are broadcast.
+
+    Products are added in the order of the features, so equal rows have equal scores.  A row with a NULL in a feature has none.
+    """
+    told: dict = {}
+    for r in coefficients.select(F.col(by).cast("string").alias("by"), "alpha", "feature", "coefficient").collect():
+        told.setdefault(r["by"], {}).setdefault(r["alpha"], {})[r["feature"]] = r["coefficient"]
+    shared = rows.sparkSession.sparkContext.broadcast({k: [(a, [c["__intercept__"], *(c[f] for f in features)]) for a, c in own.items()] for k, own in told.items()})
+    kept = [c for c in rows.columns if c not in (*features, "x")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group = np.array([None if v is None else str(v) for v in batch.column("_by").to_pylist()], object)
+            for k, own in shared.value.items():
+                at = np.flatnonzero(group == k)
+                if not len(at):
+                    continue
+                x, rest = np.ascontiguousarray(_lists(batch, len(features))[at].T), batch.select(kept).take(pa.array(at))
+                for alpha, (score, *b) in own:
+                    score = np.full(len(at), score)
+                    for value, weight in zip(x, b, strict=True):
+                        score += value * weight
+                    yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(np.full(len(at), alpha)), pa.array(score, from_pandas=True)], names=[*kept, "alpha", "score"])
+
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes if c in kept), "alpha double, score double"])
+    return rows.select(*kept, F.col(by).cast("string").alias("_by"), _listed(rows, features)).mapInArrow(run, schema)
 
 
 #: The parameter set that is carried over unchanged, as one candidate; losses are squared.

@@ -117,7 +117,9 @@ def _within(shared: Broadcast, names: list[str], date: str):
 
         def passed_on() -> pa.RecordBatch:
             code, value = (np.concatenate(p) if p else np.zeros(0, t) for p, t in ((codes, np.int64), (values, np.float64)))
-            order = np.lexsort((value, code))
+            order = np.argsort(value)
+            for low_bits in (code & 0xFFFF, code >> 16)[: 1 + (low.size > 1 << 16)]:  # codes of 16 bits are sorted by their digits
+                order = order[np.argsort(low_bits[order].astype(np.uint16), kind="stable")]
             code, value = code[order], value[order]
             first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (value[1:] != value[:-1])])) if len(code) else np.zeros(0, np.int64)
             many = np.diff(np.concatenate([first, [len(code)]])).astype(np.int64)
@@ -249,14 +251,18 @@ def statistics(rows: DataFrame, names: list[str], date: str) -> Statistics:
     return told
 
 
-def _standardised(shared: Broadcast, names: list[str], date: str, then: Callable[[np.ndarray], np.ndarray] | None):
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(x).reshape(-1)))
+
+
+def _standardised(shared: Broadcast, names: list[str], date: str, then: Callable[[np.ndarray], np.ndarray] | None, listed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, x, at in _batches(batches, names, date, shared.value.dates):
             z = np.empty(x.shape)
             for p, rows, own in _by_date(x, at):
                 z[rows] = shared.value.scored(own, p)
             if _is_packed(batch.schema.names, names):
-                made = {"x": packed_bytes(then(z) if then else z)}
+                made = {"x": (_lists if listed else packed_bytes)(then(z) if then else z)}
             else:
                 made = {n: pa.array(z[:, k]) for k, n in enumerate(names)}
             yield pa.RecordBatch.from_arrays([made.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
@@ -264,10 +270,14 @@ def _standardised(shared: Broadcast, names: list[str], date: str, then: Callable
     return run
 
 
-def preprocess(rows: DataFrame, names: list[str], date: str, then: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """Median fill, clip and z-score of each feature (doubles) per date; of packed rows ``x`` is what ``then`` makes of the z-scores of rows."""
+def preprocess(rows: DataFrame, names: list[str], date: str, then: Callable[[np.ndarray], np.ndarray] | None = None, listed: bool = False) -> DataFrame:
+    """Median fill, clip and z-score of each feature (doubles) per date.
+
+    Of packed rows ``x`` is what ``then`` makes of the z-scores of rows, as bytes, or as an array of doubles if ``listed``.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(statistics(rows, names, date))
-    return rows.mapInArrow(_standardised(shared, names, date, then), rows.schema)
+    schema = ", ".join(f"`{c}` {'array<double>' if listed and c == 'x' else t}" for c, t in rows.dtypes)
+    return rows.mapInArrow(_standardised(shared, names, date, then, listed), schema)
 
 
 def _checks(told: Statistics, raw: np.ndarray, x: np.ndarray, at: int) -> list[np.ndarray]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.canonical import canonical_json
 from tidepanel.functions.core import rounded, sdiv
-from tidepanel.operators import catalog, contracts, cross_section, evidence, factors, labels, models, portfolio, rolling, trees, user_factors
+from tidepanel.operators import catalog, contracts, cross_section, evidence, factors, labels, models, portfolio, rolling, trees, user_factors, wide
 from tidepanel.plans import single_factor, tree_track
 from tidepanel.plans import sqltext as sql
 from tidepanel.sources import audit, layout, sinks
@@ -604,7 +604,7 @@ def assigned(s: SparkSession, d: str) -> DataFrame:
 
 
 def fold_features(s: SparkSession, d: str) -> DataFrame:
-    """Fold rows with ``w``, the train weights, and all cleaned features.
+    """Fold rows with ``w``, the train weights, and all cleaned features: as an array ``x``, and as columns, which cost nothing unless they are used.
 
     A row's folds go through the features as one list and are told apart at the end: wide rows are stored once, raw, and neither shuffled nor
     copied for folds before they are used.
@@ -613,9 +613,10 @@ def fold_features(s: SparkSession, d: str) -> DataFrame:
     rows = labels.forward_labels(research_of(p), sources.benchmark(p), (1,)).select(F.col("trade_date").alias("signal_date"), "security_id", F.col("label_end_date_1d").alias("label_end_date"), F.col("label_excess_o2o_1d").alias("y")).where("y is not null")
     rows = written(labels.fold_assignments(rows, folds(s)), "assigned")
     own = tree_track.date_weights(rows).groupBy(F.col("signal_date").alias("trade_date"), "security_id").agg(F.first("y").alias("y"), F.collect_list(F.struct("fold", "role", "label_end_date", "w")).alias("folds"))
-    raw = written(rolling.all_features(p.join(own, labels.KEYS, "left"), ("y", "folds")).select(*labels.KEYS, "y", "folds", *ALL), "features")
-    x = cross_section.preprocess(raw, ALL).withColumnRenamed("trade_date", "signal_date").where("folds is not null")
-    return x.select("signal_date", "security_id", "y", F.explode("folds").alias("_f"), *ALL).select("_f.*", "signal_date", "security_id", "y", *ALL)
+    raw = written(rolling.all_features(p.join(own, labels.KEYS, "left"), ("y", "folds"), packed=True), "features")
+    x = wide.preprocess(raw, ALL, "trade_date", listed=True).withColumnRenamed("trade_date", "signal_date").where("folds is not null")
+    rows = x.select("signal_date", "security_id", "y", F.explode("folds").alias("_f"), "x").select("_f.*", "signal_date", "security_id", "y", "x")
+    return rows.select("*", *(F.col("x")[k].alias(n) for k, n in enumerate(ALL)))
 
 
 def _train(rows: DataFrame) -> DataFrame:
@@ -627,7 +628,7 @@ def _coefficients(rows: DataFrame) -> DataFrame:
 
 
 def _validated(rows: DataFrame, coefficients: DataFrame) -> DataFrame:
-    scored_rows = models.predict_linear(rows.where("role = 'validation'"), coefficients, ALL).select("fold", "alpha", "signal_date", "y", "score")
+    scored_rows = models.predict_linear(rows.where("role = 'validation'").select("fold", "signal_date", "y", "x"), coefficients, ALL)
     ics = cross_section.rank_ic(scored_rows, "score", "y", "signal_date", "fold", "alpha")
     return evidence.ic_statistics(ics, "rank_ic", ["fold", "alpha"]).withColumnRenamed("mean", "mean_rank_ic").withColumnRenamed("icir", "rank_icir")
 
@@ -651,7 +652,7 @@ def ridge_test(s: SparkSession, d: str) -> DataFrame:
     rows = _wide_rows(s, d)
     coefficients = _coefficients(rows)
     chosen = evidence.best_candidates(_validated(rows, coefficients)).select("fold", "alpha")
-    found = models.predict_linear(rows.where("role = 'test'"), coefficients, ALL).join(F.broadcast(chosen), ["fold", "alpha"])
+    found = models.predict_linear(rows.where("role = 'test'").select("fold", "signal_date", "security_id", "y", "x"), coefficients.join(chosen, ["fold", "alpha"]), ALL)
     sizes = industries(s, d).select(F.col("trade_date").alias("signal_date"), "security_id", "size", "industry")
     found = found.select("fold", "signal_date", "security_id", "alpha", "y", "score").join(sizes, ["signal_date", "security_id"], "left")
     return cross_section.neutralize(found, "score", date="signal_date").select("fold", "signal_date", "security_id", "alpha", "y", "score", "neutral_score")
